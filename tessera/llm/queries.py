@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_documents
 
 
+def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_count import token_table
+
+    return token_table(read_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_table
 
@@ -21,6 +29,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(read_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination_table
+
+    return contamination_table(read_documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mix import mix_table
 
@@ -34,5 +48,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_license_scan, op4_quality_rules, op9_source_mix, op10_line_dedup)
+    f.__name__: f for f in (op2_token_count, op3_license_scan, op4_quality_rules, op7_decontaminate, op9_source_mix, op10_line_dedup)
 }
