@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_documents
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_table
+
+    return toxicity_table(read_documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+
+
 def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,5 +54,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_count, op3_license_scan, op4_quality_rules, op7_decontaminate, op9_source_mix, op10_line_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_token_count, op3_license_scan, op4_quality_rules, op7_decontaminate, op9_source_mix, op10_line_dedup)
 }
