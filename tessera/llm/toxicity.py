@@ -8,9 +8,9 @@ others stand between them. Kernel values with all landmarks, whitened by the
 landmarks' own kernel matrix, are the features of a linear SVM.
 
 Labels are given per text, and one insult makes a text toxic, so a text's value
-is the largest value of its units. Training alternates between picking the unit
-that stands for each toxic text and fitting the SVM on those units against the
-hardest units of clean texts. A logistic curve turns values into 0 to 1.
+is the largest value of its units. Landmarks are pieces of units that stand in
+many toxic and hardly any clean texts; the units that hold one are fitted against
+the hardest units of clean texts, which are picked anew in each round. A logistic curve turns values into 0 to 1.
 
 Null and empty texts have no units and get the lowest value. Units longer than
 the kernel's width are read in overlapping pieces, whole texts included. Without
@@ -36,8 +36,9 @@ MAX_TEXTS = 900
 MAX_CHARS = 40_000
 MAX_LANDMARKS = 28
 CLEAN_LANDMARKS = 8
-MIN_LANDMARK, MAX_LANDMARK = 5, 8
+MIN_LANDMARK, MAX_LANDMARK = 5, 12
 ROUNDS = 4
+VARIANTS = 20
 KNOWN_UNITS = 1_000_000
 
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
@@ -84,12 +85,12 @@ class KernelSvm:
             out[part] = subsequence_kernel(encode(chosen, len(chosen[-1])), self.codes) / self.scale
         return out
 
-    def fit(self, positive: np.ndarray, negative: np.ndarray, penalty: float = 1e-4, steps: int = 60) -> None:
-        """Squared hinge loss by Newton steps; both classes weigh the same."""
+    def fit(self, positive: np.ndarray, weight: np.ndarray, negative: np.ndarray, penalty: float = 1e-4, steps: int = 60) -> None:
+        """Squared hinge loss by Newton steps; both classes weigh the same, ``weight`` divides the positive half."""
         x = np.vstack([positive, negative]).astype(np.float64) @ self.whiten
         x = np.hstack([x, np.ones((len(x), 1))])
         y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        c = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative)))
+        c = np.r_[0.5 * weight / weight.sum(), np.full(len(negative), 0.5 / max(1, len(negative)))]
         w = np.zeros(x.shape[1])
         ridge = penalty * np.eye(x.shape[1])
         ridge[-1, -1] = 1e-8
@@ -121,13 +122,15 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     worth, in_clean = {p for p, n in in_toxic.items() if n >= 3}, Counter()
     for b in clean:
         in_clean.update(worth & set().union(*map(parts, b)))
-    limit, least = 0.002 * len(clean), max(3, 0.03 * len(toxic))
+    limit = 0.002 * len(clean)
+    # so many texts that no piece is likely to fall into toxic texts alone by chance
+    least = max(3.0, 0.02 * len(toxic), 14.5 / np.log((len(toxic) + len(clean)) / len(toxic)))
     worth = {p for p in worth if in_clean[p] <= limit}
     left = [[u for u in (parts(u) & worth for u in b) if u] for b in toxic]
     chosen: list[str] = []
     while len(chosen) < MAX_LANDMARKS:
         count = Counter(p for b in left for p in set().union(*b))
-        best = min(count, key=lambda p: (-count[p] / (1 + in_clean[p]), len(p), p), default=None)
+        best = min(count, key=lambda p: (-count[p] / (1 + in_clean[p]), -len(p), p), default=None)
         if best is None or count[best] < least:
             break
         chosen.append(best)
@@ -137,7 +140,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
 
 def train(toxic_texts: list[str], clean_texts: list[str]) -> KernelSvm | None:
     toxic, clean = [units(t) for t in toxic_texts], [units(t) for t in clean_texts]
-    toxic = [b for b in toxic if b]
+    toxic = sorted({frozenset(b) for b in toxic if b}, key=sorted)  # copies count once
     if not toxic or not clean:
         return None
     landmarks = choose_landmarks(toxic, clean)
@@ -151,25 +154,48 @@ def train(toxic_texts: list[str], clean_texts: list[str]) -> KernelSvm | None:
     negative = np.array(sorted({at[p] for u in clean_units for p in pieces(u)}))
     model = KernelSvm(landmarks)
     kernel = model.kernel(strings)
+    in_toxic = np.unique(np.concatenate(bags))
+    # Units that hold a landmark whole stand for their texts; each landmark's units share one weight.
+    share = kernel[in_toxic] / model.scale
+    stands = in_toxic[share.max(1) >= 0.999]
+    if not len(stands):
+        return None
+    group = share.argmax(1)[share.max(1) >= 0.999]
+    weight = 1.0 / np.bincount(group, minlength=len(landmarks))[group]
+    # The same units with a foreign character inside are to be found too.
+    gapped, of = [], []
+    for g in range(len(landmarks)):
+        for i in stands[group == g][:VARIANTS]:
+            inner = strings[i][1:-1]
+            made = [f"<{inner[:k]}\x01{inner[k:]}>" for k in range(1, len(inner))]
+            gapped += [m for m in made if len(m) <= PIECE]
+            of += [g] * (len(gapped) - len(of))
+    weight = np.r_[weight, 0.5 / np.bincount(of, minlength=len(landmarks))[of]] if of else weight
+    gapped_kernel = model.kernel(gapped)
     value = kernel.max(1)
     for stage in range(2):
         for _ in range(ROUNDS):
-            witness = np.array([b[np.argmax(value[b])] for b in bags])
             hard = negative[np.argsort(-value[negative], kind="stable")[:20_000]]
-            model.fit(kernel[witness], kernel[hard])
+            model.fit(np.vstack([kernel[stands], gapped_kernel]), weight, kernel[hard])
             value = model.values(kernel)
         if stage == 0:
             # clean strings that come closest serve as landmarks too
             near = [strings[i] for i in negative[np.argsort(-value[negative], kind="stable")[:CLEAN_LANDMARKS]]]
-            extra = KernelSvm(near)
-            kernel = np.hstack([kernel, extra.kernel(strings)])
+            beside = KernelSvm(near)
+            kernel = np.hstack([kernel, beside.kernel(strings)])
+            gapped_kernel = np.hstack([gapped_kernel, beside.kernel(gapped)])
             model = KernelSvm([*landmarks, *near])
-    top = np.array([value[b].max() for b in bags])
+    explained = set(stands.tolist())
+    top = np.array([value[b].max() for b in bags if explained & set(b.tolist())])
     low = np.array([value[b].max() if len(b) else model.bias for b in clean_bags])
-    # The curve crosses one half between the upper clean and the lower toxic values, nearer to the clean.
-    upper, lower = np.quantile(low, 0.999), np.quantile(top, 0.01)
-    model.shift = float(0.6 * upper + 0.4 * lower)
-    model.slope = float(6 / max(0.1, abs(lower - upper)))
+    # The curve crosses one half where the fewest texts fall on the wrong side, in the middle of the widest such gap.
+    cuts = np.unique(np.r_[top, low])
+    middle = (cuts[1:] + cuts[:-1]) / 2
+    wrong = np.searchsorted(np.sort(top), middle) / len(top) + (len(low) - np.searchsorted(np.sort(low), middle)) / len(low)
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+    at = best[np.argmax((cuts[1:] - cuts[:-1])[best])]
+    model.shift = float(0.7 * cuts[at] + 0.3 * cuts[at + 1])
+    model.slope = float(6 / max(0.1, cuts[at + 1] - cuts[at]))
     return model
 
 
