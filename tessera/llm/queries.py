@@ -35,6 +35,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(read_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicate_table
+
+    return near_duplicate_table(read_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination_table
 
@@ -54,5 +60,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_token_count, op3_license_scan, op4_quality_rules, op7_decontaminate, op9_source_mix, op10_line_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_token_count, op3_license_scan, op4_quality_rules, op6_near_dedup, op7_decontaminate, op9_source_mix, op10_line_dedup)
 }
