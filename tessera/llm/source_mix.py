@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD
+from .common import SPACE_WORD, materialize
 
 WEIGHT_CYCLE = (1, 2, 3)
 MAX_REPEATS = 3
@@ -35,8 +35,8 @@ def word_count(text: Column) -> Column:
 def quality_weight(text: Column, size: Column) -> Column:
     """Between 0.1 and 1: the share of characters that are not symbols or digits, less for very short texts."""
     length = F.greatest(F.length(F.coalesce(text, F.lit(""))), F.lit(1))
-    plain = F.length(F.translate(F.coalesce(text, F.lit("")), "0123456789#*$%&|<>{}[]=_~^\\/@", ""))
-    return F.greatest(F.lit(0.1), plain / length * F.least(F.lit(1.0), size / F.lit(20.0)))
+    odd = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[0-9#*$%&|<>{}\[\]=_~^\\/@]"))
+    return F.greatest(F.lit(0.1), (1 - odd / length) * F.least(F.lit(1.0), size / F.lit(20.0)))
 
 
 def uniform_draw(doc_id: Column, seed: int) -> Column:
@@ -74,14 +74,19 @@ def source_targets(sizes: DataFrame, cycle=WEIGHT_CYCLE, max_repeats: float = MA
     return spark.createDataFrame([(r["source"], n, t) for r, n, t in zip(rows, size, target, strict=True)], schema)
 
 
-def mix_sources(docs: DataFrame, cycle=WEIGHT_CYCLE, max_repeats: float = MAX_REPEATS, seed: int = 7, weight=None) -> DataFrame:
-    """``docs`` with mx_size, mx_source_size, mx_target, mx_copies and mx_taken."""
+def mix_sources(docs: DataFrame, cycle=WEIGHT_CYCLE, max_repeats: float = MAX_REPEATS, seed: int = 7, weight=None, keep_text: bool = True) -> DataFrame:
+    """``docs`` with mx_size, mx_source_size, mx_target, mx_copies and mx_taken.
+
+    Texts are read once: sizes and keys are written beside the other columns, and
+    the three passes that follow read those.
+    """
     text = F.col("text")
     base = docs.withColumn("mx_size", word_count(text))
     w = weight if weight is not None else quality_weight(text, F.col("mx_size"))
     base = base.withColumn("mx_key", -F.log(uniform_draw(F.col("doc_id"), seed)) / w)
     # Equal-sized ranges of key / (1 + key), which lies in [0, 1).
     base = base.withColumn("mx_range", F.floor(F.col("mx_key") / (1 + F.col("mx_key")) * RANGES).cast("int"))
+    base = materialize(base if keep_text else base.drop("text"), "keys")
     slim = base.select("source", "mx_range", "mx_size")
     ranges = slim.groupBy("source", "mx_range").agg(F.sum("mx_size").alias("mx_range_size"))
     sizes = ranges.groupBy("source").agg(F.sum("mx_range_size").alias("source_size"))
@@ -113,5 +118,5 @@ def mix_sources(docs: DataFrame, cycle=WEIGHT_CYCLE, max_repeats: float = MAX_RE
 
 
 def mix_table(docs: DataFrame) -> DataFrame:
-    out = mix_sources(docs.select("doc_id", "text", "source"))
+    out = mix_sources(docs.select("doc_id", "text", "source"), keep_text=False)
     return out.select("doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"), F.col("mx_taken").alias("taken"))
