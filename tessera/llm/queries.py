@@ -35,6 +35,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(read_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_table
+
+    return score_table(read_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicate_table
 
@@ -47,6 +53,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_table(read_documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeat_table
+
+    return repeat_table(read_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mix import mix_table
 
@@ -60,5 +72,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_token_count, op3_license_scan, op4_quality_rules, op6_near_dedup, op7_decontaminate, op9_source_mix, op10_line_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_token_count, op3_license_scan, op4_quality_rules, op5_lm_score, op6_near_dedup, op7_decontaminate, op8_suffix_dedup, op9_source_mix, op10_line_dedup)
 }
