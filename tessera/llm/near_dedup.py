@@ -312,7 +312,8 @@ def near_duplicate_table(docs: DataFrame, width: int = 4) -> DataFrame:
 
 
 def keep_one_per_group(docs: DataFrame, text: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the rows whose group has a smaller id; of rows with one id and equal text one stays."""
+    """``docs`` without the rows whose group has a smaller id; rows with one id stay or go together."""
     found = find_groups(docs, text, width, percent)
-    gone = found.where(F.col("doc_id") != F.col("nd_component")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = materialize(found.where(F.col("doc_id") != F.col("nd_component")).select("doc_id").distinct(), "gone")
+    # ids only, and only while they are few; otherwise both sides are shuffled
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
