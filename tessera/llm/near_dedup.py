@@ -265,7 +265,8 @@ def _large_cluster_links(bands: DataFrame, large: DataFrame, sets: DataFrame, pe
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = placed.select("cluster", "node", "component", block.alias("block")).join(sets, "node")
     apart = placed.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "node", "component", "block").join(sets, "node")
-    return links.union(_verify_blocks(apart, members, percent))
+    # fresh column ids, as both sides come from one table
+    return links.union(_verify_blocks(apart.toDF(*apart.columns), members, percent))
 
 
 def find_groups(docs: DataFrame, text: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
