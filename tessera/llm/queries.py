@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_documents
+from .sql import SQL  # noqa: F401  (read by the entry point)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
