@@ -4,7 +4,9 @@ Each source gets a target (weights shared over all words, capped at a multiple
 of the source's own words and reshared). Complete epochs are taken first; the
 rest is a weighted sample without replacement: every document draws an
 exponential key divided by its quality weight and the documents with the
-smallest keys are taken until their sizes fill the budget.
+smallest keys are taken while their sizes fit the budget. What is left goes to
+the largest later document that fits, or to the next in order if that comes
+nearer to the budget.
 
 The prefix sum never sorts a whole source in one task: keys are cut into ranges,
 the sizes of the ranges are summed first, and only the one range in which the
@@ -106,15 +108,28 @@ def mix_sources(docs: DataFrame, cycle=WEIGHT_CYCLE, max_repeats: float = MAX_RE
     edge = base.select("source", "mx_range", "mx_key", "doc_id", "mx_size").join(F.broadcast(plan.drop("mx_source_size", "mx_target")), F.col("source").eqNullSafe(F.col("mx_source")) & (F.col("mx_range") == F.col("mx_end")))
     inside = Window.partitionBy("mx_source").orderBy("mx_key", "doc_id", "mx_size").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("mx_run", F.col("mx_end_before") + F.sum("mx_size").over(inside))
-    cuts = edge.where(F.col("mx_run") - F.col("mx_size") / 2 <= F.col("mx_rest")).groupBy("mx_source").agg(F.max(order).alias("mx_cut")).withColumnRenamed("mx_source", "mx_s")
-    plan = plan.join(F.broadcast(cuts), F.col("mx_source").eqNullSafe(F.col("mx_s")), "left").drop("mx_s", "mx_end_before")
-    out = base.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("mx_source"))).drop("mx_source")  # one row per source
+    best = F.struct("mx_size", (-F.col("mx_key")).alias("k"), "doc_id")
+    fits = F.col("mx_run") <= F.col("mx_rest")
+    cuts = edge.groupBy("mx_source").agg(
+        F.max(F.when(fits, order)).alias("mx_cut"), F.max(F.when(fits, F.col("mx_run"))).alias("mx_cut_run"),
+        F.min_by(best, F.when(~fits, order)).alias("mx_next"), F.min(F.when(~fits, F.col("mx_run") - F.col("mx_rest"))).alias("mx_over"),
+    ).withColumnRenamed("mx_source", "mx_s")
+    plan = plan.join(F.broadcast(cuts), F.col("mx_source").eqNullSafe(F.col("mx_s")), "left").drop("mx_s")
+    plan = plan.withColumn("mx_left", F.col("mx_rest") - F.coalesce("mx_cut_run", "mx_end_before")).drop("mx_end_before", "mx_cut_run")
+    # The next document in order is taken if it overshoots by less than the largest later one that fits leaves open.
     early = F.col("mx_end").isNull() | (F.col("mx_range") < F.col("mx_end"))
     last = (F.col("mx_range") == F.col("mx_end")) & F.coalesce(order <= F.col("mx_cut"), F.lit(False))
-    out = out.withColumn("mx_more", (F.col("mx_rest") > 0) & (early | last))
+    later = base.select("source", "mx_range", "mx_key", "doc_id", "mx_size").join(F.broadcast(plan.select("mx_source", "mx_end", "mx_cut", "mx_left")), F.col("source").eqNullSafe(F.col("mx_source")))
+    fill = later.where(~(early | last) & (F.col("mx_size") > 0) & (F.col("mx_size") <= F.col("mx_left"))).groupBy("mx_source").agg(F.max(best).alias("mx_fill")).withColumnRenamed("mx_source", "mx_s")
+    plan = plan.join(F.broadcast(fill), F.col("mx_source").eqNullSafe(F.col("mx_s")), "left").drop("mx_s")
+    closer = F.col("mx_over") < F.col("mx_left") - F.coalesce(F.col("mx_fill.mx_size"), F.lit(0))
+    plan = plan.withColumn("mx_fill", F.when(closer, F.col("mx_next")).otherwise(F.col("mx_fill"))).drop("mx_left", "mx_next", "mx_over")
+    out = base.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("mx_source"))).drop("mx_source")  # one row per source
+    filled = F.coalesce(best == F.col("mx_fill"), F.lit(False))
+    out = out.withColumn("mx_more", (F.col("mx_rest") > 0) & (early | last | filled))
     out = out.withColumn("mx_copies", F.least(F.lit(int(max_repeats)), F.col("mx_epochs") + F.col("mx_more").cast("long")).cast("long"))
     out = out.withColumn("mx_taken", F.col("mx_copies") * F.col("mx_size"))
-    return out.drop("mx_key", "mx_range", "mx_epochs", "mx_rest", "mx_end", "mx_cut", "mx_more")
+    return out.drop("mx_key", "mx_range", "mx_epochs", "mx_rest", "mx_end", "mx_cut", "mx_fill", "mx_more")
 
 
 def mix_table(docs: DataFrame) -> DataFrame:

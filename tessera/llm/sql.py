@@ -88,8 +88,12 @@ g AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, weight * coal
 e AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS epochs FROM g),
 run AS (SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest, sum(size) OVER w AS run, row_number() OVER w AS r FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
   WINDOW w AS (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)),
-c AS (SELECT *, max(CASE WHEN run - size / 2 <= rest THEN r END) OVER (PARTITION BY source) AS cut FROM run)
-SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * least(3, epochs + CASE WHEN rest > 0 AND r <= coalesce(cut, 0) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c"""
+c AS (SELECT *, max(CASE WHEN run <= rest THEN r END) OVER (PARTITION BY source) AS cut, rest - coalesce(max(CASE WHEN run <= rest THEN run END) OVER (PARTITION BY source), 0) AS over FROM run),
+p AS (SELECT source, arg_max(CASE WHEN size > 0 AND size <= over THEN r END, (size, -key, doc_id)) FILTER (size > 0 AND size <= over) AS fill, max(CASE WHEN size > 0 AND size <= over THEN size END) AS filled,
+  min(r) FILTER (run > rest) AS nxt, min(run - rest) FILTER (run > rest) AS too_much, any_value(over) AS over FROM c WHERE r > coalesce(cut, 0) GROUP BY source),
+z AS (SELECT source, CASE WHEN too_much < over - coalesce(filled, 0) THEN nxt ELSE fill END AS fill FROM p)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * least(3, epochs + CASE WHEN rest > 0 AND (r <= coalesce(cut, 0) OR r = fill) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c LEFT JOIN z ON c.source IS NOT DISTINCT FROM z.source"""
 
 _LINES = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 k AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{_UP}', '{_LOW}') AS key FROM l),
