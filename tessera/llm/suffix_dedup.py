@@ -224,11 +224,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     texts = docs.select(F.xxhash64(body).alias("t"), body.alias("body")).where(F.octet_length("body") >= length)
     rows = _anchor_rows(texts, length)
     known = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("n > 1")
-    found = rows.join(known.select("h", (F.col("r0") != F.col("r1")).alias("mixed")), "h").groupBy("mixed", "h", "r", "t", "lo", "hi", "at").agg(F.count("*").alias("n"))
-    found = materialize(found, "anchors")
+    # nothing stands between this join and the write, so partitions with a frequent anchor can be split
+    found = materialize(rows.join(known.select("h", (F.col("r0") != F.col("r1")).alias("mixed")), "h"), "anchors")
     whole = found.where("not mixed").select("t", "lo", "hi")
     mixed = found.where("mixed")
-    ranges = mixed.groupBy("h", "r").agg(F.sum("n").alias("n"), F.min(F.struct("t", "lo", "hi", "at")).alias("x"))
+    ranges = mixed.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(F.struct("t", "lo", "hi", "at")).alias("x"))
     ranges = materialize(ranges.select("h", "r", "n", "x.*"), "ranges")
     want = ranges.groupBy("t").agg(F.collect_list(F.struct("h", "r", "lo", "hi", "at")).alias("want"))
     few = ranges.count() <= BROADCAST_ROWS
