@@ -27,7 +27,6 @@ from .common import SPACE_WORD, materialize
 WEIGHT_CYCLE = (1, 2, 3)
 MAX_REPEATS = 3
 RANGES = 4096
-MAX_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -50,30 +49,22 @@ def uniform_draw(doc_id: Column, seed: int) -> Column:
 def source_targets(sizes: DataFrame, cycle=WEIGHT_CYCLE, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row per source.
 
-    The cap and resharing need at most one step per source, so the small table
-    is handled on the driver; its row count is checked.
+    With sources in the order of cap over weight, those before some place are
+    capped and the others share what is left by weight; the place is the first
+    whose share stays within its own cap. The windows run over one row per source.
     """
-    rows = sizes.limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
-    size = [int(r["source_size"] or 0) for r in rows]
-    weight = [cycle[i % len(cycle)] for i in range(len(rows))]
-    target, open_, left = [0.0] * len(rows), set(range(len(rows))), float(sum(size))
-    while open_:
-        share = left / sum(weight[i] for i in open_)
-        over = [i for i in sorted(open_) if weight[i] * share > max_repeats * size[i]]
-        if not over:
-            for i in open_:
-                target[i] = weight[i] * share
-            break
-        for i in over:
-            target[i] = float(max_repeats * size[i])
-            left -= target[i]
-            open_.discard(i)
-    spark = sizes.sparkSession
-    schema = "source string, source_size long, target double"
-    return spark.createDataFrame([(r["source"], n, t) for r, n, t in zip(rows, size, target, strict=True)], schema)
+    at = Window.orderBy(F.col("source").asc_nulls_last())
+    nth = (F.row_number().over(at) - 1) % len(cycle)
+    weighed = sizes.withColumn("w", F.element_at(F.array(*[F.lit(c) for c in cycle]), nth + 1)).withColumn("cap", F.lit(max_repeats) * F.col("source_size"))
+    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
+    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    total = F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = weighed.withColumn("level", (total - before).cast("double") / rest).withColumn("r", F.row_number().over(order))
+    fitting = F.when(F.col("w") * F.col("level") <= F.col("cap"), F.col("r"))
+    level = F.min_by("level", fitting).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("w") * level, F.col("cap").cast("double")))
+    return placed.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 
 def mix_sources(docs: DataFrame, cycle=WEIGHT_CYCLE, max_repeats: float = MAX_REPEATS, seed: int = 7, weight=None, keep_text: bool = True) -> DataFrame:
@@ -95,7 +86,7 @@ def mix_sources(docs: DataFrame, cycle=WEIGHT_CYCLE, max_repeats: float = MAX_RE
     goal = source_targets(sizes, cycle, max_repeats).select(F.col("source").alias("mx_source"), F.col("source_size").alias("mx_source_size"), F.col("target").alias("mx_target"))
     goal = goal.withColumn("mx_epochs", F.coalesce(F.floor(F.col("mx_target") / F.nullif(F.col("mx_source_size"), F.lit(0))), F.lit(0)).cast("long"))
     goal = goal.withColumn("mx_rest", F.col("mx_target") - F.col("mx_epochs") * F.col("mx_source_size"))
-    goal = F.broadcast(goal)  # at most MAX_SOURCES rows
+    goal = F.broadcast(goal)  # one row per source
     before = Window.partitionBy("source").orderBy("mx_range").rowsBetween(Window.unboundedPreceding, -1)
     ends = ranges.withColumn("mx_before", F.coalesce(F.sum("mx_range_size").over(before), F.lit(0)))
     ends = ends.join(goal, F.col("source").eqNullSafe(F.col("mx_source")))
