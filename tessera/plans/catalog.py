@@ -632,3 +632,123 @@ def conversation_fuzzy_dedup(spark, d):
     """Order-dependent fuzzy dedup within each conversation; no SQL."""
     turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
     return evaluation.fuzzy_dedup(turns, ["conv_id"], "turn", "text").select("conv_id", "turn")
+
+
+# ---------------------------------------------------------------- further operators
+
+
+@register(
+    f"""WITH {_FUSED}, hits AS (SELECT query_id, rank, source, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) = 1 AS first FROM fused JOIN documents ON doc_id = unit_id),
+gold AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS source, 2 AS grade FROM benchmark UNION ALL SELECT item_id, 'src' || ((item_id + 7) % 20), 1 FROM benchmark),
+got AS (SELECT query_id, sum((power(2.0, grade) - 1) / log2(rank + 1.0)) AS dcg FROM hits JOIN gold USING (query_id, source) WHERE first GROUP BY query_id)
+SELECT item_id AS query_id, round(coalesce(dcg / (3.0 + 1.0 / log2(3.0)), 0), 6) AS ndcg FROM benchmark LEFT JOIN got ON got.query_id = item_id"""
+)
+def ndcg_graded(spark, d):
+    """Grade 2 for one invented source per item, 1 for another."""
+    ranked = hybrid_top5(spark, d).select("query_id", "rank", "source")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    pairs = F.array(F.struct((F.col("query_id") % 20).alias("s"), F.lit(2).alias("grade")), F.struct(((F.col("query_id") + 7) % 20).alias("s"), F.lit(1).alias("grade")))
+    gold = items.select("query_id", F.explode(pairs).alias("p")).select("query_id", F.concat(F.lit("src"), F.col("p.s").cast("string")).alias("source"), F.col("p.grade").alias("grade"))
+    return metrics.graded_ndcg(ranked, gold, 5).withColumn("ndcg", F.round("ndcg", 6))
+
+
+@register(
+    f"""WITH {_BM25}, {_DENSE_ITEMS}, b AS (SELECT query_id, unit_id FROM bm25 WHERE rank <= 5), a AS (SELECT query_id, unit_id FROM dense WHERE rank <= 5),
+j AS (SELECT coalesce(b.query_id, a.query_id) AS query_id, b.unit_id AS ub, a.unit_id AS ua FROM b FULL JOIN a ON a.query_id = b.query_id AND a.unit_id = b.unit_id)
+SELECT query_id, count(*) FILTER (ua IS NULL) AS lost, count(*) FILTER (ub IS NULL) AS gained, CASE WHEN count(*) FILTER (ua IS NULL) > 0 THEN 'LOST' WHEN count(*) FILTER (ub IS NULL) > 0 THEN 'GAINED' ELSE 'SAME' END AS change FROM j GROUP BY query_id"""
+)
+def lost_and_gained(spark, d):
+    """Units of the lexical top five that the dense top five lacks, and the reverse."""
+    return metrics.lost_and_gained(_bm25(spark, d).where("rank <= 5"), _dense_items(spark, d).where("rank <= 5"), ["query_id", "unit_id"])
+
+
+@register(
+    f"""WITH {_IV}, m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m),
+u AS (SELECT user_id, min(s) AS s, max(e) AS e FROM g GROUP BY user_id, i),
+p AS (SELECT user_id, floor(epoch(ts))::BIGINT // 60 + 30 AS gs, floor(epoch(ts))::BIGINT // 60 + 90 AS ge, event_id AS span_id FROM events WHERE event_type = 'purchase'),
+c AS (SELECT p.user_id, p.span_id, bool_or(u.s IS NOT NULL) AS covered FROM p LEFT JOIN u ON u.user_id = p.user_id AND u.s <= gs AND u.e >= ge GROUP BY ALL)
+SELECT user_id AS query_id, round(count(*) FILTER (covered) / count(*), 6) AS recall FROM c GROUP BY user_id"""
+)
+def span_recall(spark, d):
+    """Hour-long spans half an hour after purchases, held by the union of a user's intervals."""
+    minute = F.floor(F.unix_timestamp("ts") / 60)
+    spans = table(spark, d, "events").where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("span_id"), (minute + 30).alias("gs"), (minute + 90).alias("ge"))
+    covered = intervals.covered_spans(spans, _intervals(spark, d), ["user_id"]).withColumnRenamed("user_id", "query_id")
+    return metrics.span_recall(covered).withColumn("recall", F.round("recall", 6))
+
+
+@register(
+    """SELECT event_type AS kind, count(*) AS n, count(*) FILTER (100 + event_id % 2000 <= CASE event_type WHEN 'click' THEN 1500 WHEN 'view' THEN 2000 END) AS n_visible FROM events GROUP BY event_type"""
+)
+def prefix_visibility(spark, d):
+    """Windows shown by prefixes of 1500 and 2000 characters, by kind of source."""
+    windows = table(spark, d, "events").select(F.col("event_type").alias("kind"), (F.col("event_id") % 2000).alias("s"), (100 + F.col("event_id") % 2000).alias("e"))
+    seen = evaluation.visible_in_prefix(windows, {"click": 1500, "view": 2000})
+    return seen.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("visible").alias("n_visible"))
+
+
+@register("SELECT item_id, k AS position, CASE k WHEN 0 THEN left(text, 40) WHEN 1 THEN left(text, 40) || ' overview' ELSE left(text, 40) || ' limitations' END AS query FROM benchmark, (VALUES (0), (1), (2)) v(k)")
+def query_expansion(spark, d):
+    """Three fixed templates per query."""
+    head = F.substring("text", 1, 40)
+    made = F.array(head, F.concat(head, F.lit(" overview")), F.concat(head, F.lit(" limitations")))
+    return table(spark, d, "benchmark").select("item_id", F.posexplode(made).alias("position", "query"))
+
+
+@register("SELECT user_id, event_id, round(value, 6) AS value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events QUALIFY rank <= 10")
+def web_topk(spark, d):
+    """Ten best rows by score per request, ties in input order."""
+    return lexical.top_k(table(spark, d, "events"), 10, "user_id", "event_id", F.col("value")).select("user_id", "event_id", F.round("value", 6).alias("value"), "rank")
+
+
+@register("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, CASE WHEN count(*) < 3 OR avg(value) < 20 THEN 'refresh' ELSE 'keep' END AS action FROM events WHERE event_type = 'view' GROUP BY user_id")
+def source_refresh(spark, d):
+    """Too few or too weak sources ask for a new search."""
+    views = table(spark, d, "events").where("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return views.select("user_id", "n", F.round("mean", 6).alias("mean"), F.when((F.col("n") < 3) | (F.col("mean") < 20), "refresh").otherwise("keep").alias("action"))
+
+
+@register("SELECT conv_id, turn, lower(regexp_replace(regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(lower(text), '&', 'and', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', ''), '^$', '')) AS slug FROM conversations WHERE text IS NOT NULL")
+def slugs(spark, d):
+    return table(spark, d, "conversations").where(F.col("text").isNotNull()).select("conv_id", "turn", text.slug(F.col("text")).alias("slug"))
+
+
+@register(
+    """WITH g AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic = 0) AS fn FROM labels)
+SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM g"""
+)
+def precision_recall(spark, d):
+    q, t = F.col("quality"), F.col("toxic")
+    counts = table(spark, d, "labels").agg(F.count_if((q == 1) & (t == 1)).alias("tp"), F.count_if((q == 0) & (t == 1)).alias("fp"), F.count_if((q == 1) & (t == 0)).alias("fn"))
+    out = evaluation.precision_recall(counts)
+    return out.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@register("SELECT conv_id, round((sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) * 0.27::DOUBLE + sum(CASE WHEN role <> 'user' THEN length(text) ELSE 0 END) * 1.1::DOUBLE) / 1e6, 8) AS cost FROM conversations GROUP BY conv_id")
+def token_cost(spark, d):
+    size = F.length("text")
+    by = table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.when(F.col("role") == "user", size).otherwise(0)).alias("prompt"), F.sum(F.when(F.col("role") != "user", size).otherwise(0)).alias("completion"))
+    return by.select("conv_id", F.round(evaluation.token_cost(), 8).alias("cost"))
+
+
+@register("SELECT count(*) AS n, count(*) FILTER (d.doc_id IS NULL) AS missing, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS extra FROM labels l LEFT JOIN documents d USING (doc_id)")
+def roster_equality(spark, d):
+    """Both sides of a roster comparison; equal rosters have no missing and no extra ids."""
+    roster = table(spark, d, "labels").select("doc_id", F.lit(1).alias("l"))
+    both = roster.join(table(spark, d, "documents").select("doc_id", F.lit(1).alias("r")), "doc_id", "full_outer")
+    return both.agg(F.count("l").alias("n"), F.count_if(F.col("l").isNotNull() & F.col("r").isNull()).alias("missing"), F.count_if(F.col("l").isNull()).alias("extra"))
+
+
+@register(
+    """SELECT doc_id, substr(text, greatest(p - 180, 0) + 1, least(p + 20 + 180, length(text)) - greatest(p - 180, 0)) AS context FROM (SELECT doc_id, text, length(text) // 2 AS p FROM documents WHERE length(text) >= 100)"""
+)
+def context_windows(spark, d):
+    docs = table(spark, d, "documents").where(F.length("text") >= 100).withColumn("p", F.floor(F.length("text") / 2).cast("int"))
+    return docs.select("doc_id", text.context_window(F.col("text"), F.col("p"), F.col("p") + 20).alias("context"))
+
+
+@register("SELECT source, count(*) AS n, max(n_chars) AS longest, sum(n_chars)::BIGINT AS chars, round(max(n_chars) / sum(n_chars), 6) AS top_share FROM documents GROUP BY source")
+def source_concentration(spark, d):
+    by = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"), F.sum("n_chars").alias("chars"))
+    return by.withColumn("top_share", F.round(F.col("longest") / F.col("chars"), 6))
