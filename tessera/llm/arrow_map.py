@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +13,18 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+#: Rows that are worked on at a time.
+ROWS = 1024
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, beside the heap of their executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def append_columns(df: DataFrame, inputs: list[str], added: T.StructType, make: Callable[[], Callable[..., list[list]]]) -> DataFrame:
     """``df`` with the columns of ``added``.
 
@@ -24,10 +39,14 @@ def append_columns(df: DataFrame, inputs: list[str], added: T.StructType, make:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            columns = work(*[batch.column(batch.schema.get_field_index(c)) for c in inputs])
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            arrays += [c if isinstance(c, pa.Array) else pa.array(c, kind, from_pandas=False) for c, kind in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                columns = work(*[batch.column(batch.schema.get_field_index(c)) for c in inputs])
+                arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+                arrays += [c if isinstance(c, pa.Array) else pa.array(c, kind, from_pandas=False) for c, kind in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)

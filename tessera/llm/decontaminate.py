@@ -168,7 +168,7 @@ def _cut(text: str, runs: list[list[int]]) -> str:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with dc_n_words, dc_n_hit, dc_runs (word ranges), dc_items (ids) and dc_text (without the runs)."""
+    """``docs`` with dc_n_words, dc_n_hit, dc_runs (word ranges), dc_items (ids) and dc_text (without the runs; null if there are none)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
@@ -201,7 +201,7 @@ def _matcher(held):
                 counts.append(len(words))
                 spans.append(runs)
                 names.append(sorted(ids))
-                cleaned.append(_cut(value, runs) if runs else value)
+                cleaned.append(_cut(value, runs) if runs else None)
             return [counts, spans, names, cleaned]
 
         return work
@@ -213,7 +213,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     """``docs`` with hit spans cut from ``text``; documents whose hit share exceeds ``max_coverage`` go."""
     out = find_contamination(docs, benchmark, text, window)
     out = out.where(F.col("dc_n_hit") <= F.col("dc_n_words") * F.lit(float(max_coverage)))
-    return out.withColumn(text, F.col("dc_text")).drop("dc_n_words", "dc_runs", "dc_items", "dc_text", "dc_n_hit")
+    return out.withColumn(text, F.coalesce("dc_text", text)).drop("dc_n_words", "dc_runs", "dc_items", "dc_text", "dc_n_hit")
 
 
 def contamination_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ from .arrow_map import append_columns
 
 CHUNK_CHARS = 16_384
 LIMIT = 1024
-MAX_STATES = 400_000
-MAX_KNOWN = 600_000
+MAX_STATES = 200_000
+MAX_KNOWN = 400_000
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -121,7 +121,7 @@ class BpeTransducer:
         key = (before, token)
         known = self.stands.get(key)
         if known is None:
-            if len(self.stands) > 2_000_000:
+            if len(self.stands) > 400_000:
                 self.stands.clear()
             left, right = self.bytes_of.get(before, b""), self.bytes_of[token]
             known = self.stands[key] = self.merged(left + right) == ([left] if left else []) + [right]

@@ -39,7 +39,7 @@ CLEAN_LANDMARKS = 8
 MIN_LANDMARK, MAX_LANDMARK = 5, 12
 ROUNDS = 4
 VARIANTS = 20
-KNOWN_UNITS = 1_000_000
+KNOWN_UNITS = 300_000
 
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _INSIDE = re.compile(r"[\W_]+")
