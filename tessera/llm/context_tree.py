@@ -1,4 +1,8 @@
-"""Context-tree weighting over bytes: the model itself, in numpy."""
+"""Context-tree weighting over bytes: the model itself, in numpy.
+
+``ContextTree`` holds a whole tree. ``climb`` and ``descend`` weigh any set of
+whole subtrees by themselves, so that a tree of any size can be dealt out.
+"""
 
 from __future__ import annotations
 
@@ -48,6 +52,47 @@ def byte_logs(one: np.ndarray) -> np.ndarray:
     return out
 
 
+def gram_array(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of depth + 1 bytes of all texts and their number by text. The context's last byte is highest, the byte after it lowest."""
+    data = np.frombuffer(b"".join(bytes(depth) + t + bytes([END]) for t in texts), np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    gram = data.astype(np.int64)
+    for k in range(1, depth + 1):
+        gram[k:] |= data[: len(data) - k].astype(np.int64) << (8 * (depth + 1 - k))
+    return gram[np.arange(sizes.sum()) + np.repeat((np.arange(len(texts)) + 1) * depth, sizes)], sizes
+
+
+def gram_nodes(gram: np.ndarray, n: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted grams: the decision nodes after ``bits`` bits, their zeros and ones, and the place of each gram's node."""
+    node = gram >> (8 - bits)
+    begins = np.r_[True, node[1:] != node[:-1]]
+    starts = np.flatnonzero(begins)
+    ones = np.add.reduceat(n * ((gram >> (7 - bits)) & 1), starts)
+    return node[starts], np.add.reduceat(n, starts) - ones, ones, np.cumsum(begins) - 1
+
+
+def climb(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, child: np.ndarray | None, bits: int, steps: int):
+    """Weigh ``steps`` depths from the deepest up. Gives the layers for ``descend`` and, a depth above them, node, zeros, ones and log P_w of the children."""
+    layers = []
+    for _ in range(steps):
+        own, weight = log_estimate(zeros, ones), np.ones(len(node))
+        if child is not None:
+            estimate = own - np.log(2)
+            own = np.logaddexp(estimate, child - np.log(2))
+            weight = np.exp(np.minimum(estimate - own, 0))
+        above, up = np.unique(((node >> (bits + 8)) << bits) | (node & ((1 << bits) - 1)), return_inverse=True)
+        layers.append((up, weight, (ones + 0.5) / (zeros + ones + 1)))
+        node, zeros, ones, child = above, np.bincount(up, zeros), np.bincount(up, ones), np.bincount(up, own)
+    return layers, node, zeros, ones, child
+
+
+def descend(layers: list, alpha: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of a one mixed so far, and the weight left for what is deeper, from above the layers to the deepest."""
+    for up, weight, one in reversed(layers):
+        alpha, beta = alpha[up] + beta[up] * weight * one, beta[up] * (1 - weight)
+    return alpha, beta
+
+
 @dataclass
 class ContextTree:
     """keys: per depth the sorted contexts; first: number of the first state of each depth; logs: by state and byte."""

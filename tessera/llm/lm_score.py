@@ -3,10 +3,12 @@
 Model: bytes are taken apart into eight binary decisions. For every context of up
 to ``DEPTH`` bytes and every decision node Krichevsky-Trofimov estimates are mixed
 over all depths with context-tree weights. The counts are those of all training
-texts: (DEPTH + 1)-grams are counted block by block, summed by Spark and rolled
-up to all depths. Contexts below a fixed share of all bytes (``1 / SHARE``) merge
-into one child of their parent, so there are at most ``SHARE`` contexts a depth,
-however large the corpus. A text's score is the log10 probability of its bytes
+texts and no context is left out, so the tree grows with the corpus; it is never
+in one place. (DEPTH + 1)-grams are counted block by block and summed by Spark;
+subtrees of ``TOP`` + 1 bytes are weighed apart and give the sums for the top of
+the tree, which is bounded by the alphabet and goes to all tasks. The result is a
+table of the log probability of every gram that a scored text holds; each block of
+texts meets the rows of its own grams. A text's score is the log10 probability of its bytes
 and its end; ``bits_per_byte`` is the code length.
 
 Base: the sum over words (A-Z lower-cased) and one end of
@@ -29,65 +31,144 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_map import append_columns
+from .arrow_map import append_columns, give_back
 from .common import hash_remainder, materialize
-from .context_tree import DEPTH, END, ContextTree
+from .context_tree import DEPTH, climb, descend, gram_array, gram_nodes
 
-SHARE = 1 << 16
+TOP = 2
+SUBTREE_ROWS = 200_000
 HEAD = 200_000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 24 << 20
+SLICE_BYTES = 2 << 20
+MAX_HELD_GRAMS = 2_000_000
 MAX_HELD_WORDS = 500_000
 _END_WORD = b""  # no word is empty
 
 
+def _summed(gram: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    if n is None:
+        gram = np.sort(gram)
+    else:
+        order = np.argsort(gram, kind="stable")
+        gram, n = gram[order], n[order]
+    starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    return gram[starts], np.diff(np.r_[starts, len(gram)]) if n is None else np.add.reduceat(n, starts)
+
+
 def _gram_counts(texts: DataFrame, depth: int) -> DataFrame:
-    """(gram, n): runs of depth + 1 bytes, the last byte lowest; texts begin with zero bytes."""
-
-    def count(parts: list[bytes]) -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(bytes(depth) + p + bytes([END]) for p in parts), np.uint8)
-        sizes = np.array([len(p) + 1 for p in parts], np.int64)
-        place = np.arange(sizes.sum()) + np.repeat((np.arange(len(parts)) + 1) * depth, sizes)
-        gram = np.zeros(len(data), np.int64)
-        for k in range(depth + 1):
-            gram[k:] |= data[: len(data) - k].astype(np.int64) << (8 * k)
-        value, n = np.unique(gram[place], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(value), pa.array(n.astype(np.int64))], names=["gram", "n"])
+    """(block, gram, n) of (block, text), summed in tasks: runs of depth + 1 bytes; texts begin with zero bytes."""
 
     def run(batches):
-        held, size = [], 0
+        held, size, sums, at = [], 0, [], None
+
+        def take():
+            nonlocal held, size, sums
+            if held:
+                sums.append(_summed(gram_array(held, depth)[0]))
+                held, size = [], 0
+            if len(sums) > 1:
+                sums = [_summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))]
+
+        def flush():
+            nonlocal sums
+            take()
+            for gram, n in sums:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), at, np.int64)), pa.array(gram), pa.array(n)], names=["block", "gram", "n"])
+            sums = []
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != at:
+                    yield from flush()
+                    at = block
                 held.append((text or "").encode())
                 size += len(held[-1])
-                if size > BLOCK_BYTES:
-                    yield count(held)
-                    held, size = [], 0
-        if held:
-            yield count(held)
-
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def train_tree(texts: DataFrame, depth: int = DEPTH, share: int = SHARE) -> ContextTree:
-    """``texts`` has one column."""
-    grams = materialize(_gram_counts(texts, depth), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.expr(f"shiftright(gram, 8) & {(1 << (8 * d)) - 1}L").alias("context")) for d in range(depth + 1)]))
-    rolled = grams.select(levels.alias("x"), F.expr("cast(gram & 255L as int)").alias("byte"), "n").select("x.*", "byte", "n")
-    rolled = rolled.groupBy("d", "context", "byte").agg(F.sum("n").alias("n"))
-    kept = rolled.groupBy("d", "context").agg(F.sum("n").alias("m")).where(F.col("m") * share >= total).select("d", "context")
-    rows = rolled.join(kept, ["d", "context"]).select("d", "context", "byte", "n").toArrow()  # at most share contexts a depth
-    d, context, byte, n = (rows.column(k).to_numpy() for k in range(4))
-    out = []
-    for level in range(depth + 1):
-        at = d == level
-        keys, place = np.unique(context[at], return_inverse=True)
-        if level == 0 and not len(keys):
-            keys = np.zeros(1, np.int64)
-        counts = np.zeros((len(keys), 256), np.float32 if total < 1 << 24 else np.float64)
-        counts[place, byte[at]] = n[at]
-        out.append((keys, counts))
-    return ContextTree.weigh(out)
+                if size > SLICE_BYTES:
+                    take()
+                    if len(sums[0][0]) > MAX_HELD_GRAMS:
+                        yield from flush()
+        yield from flush()
+        give_back()
+
+    return texts.mapInArrow(run, "block long, gram long, n long")
+
+
+def _whole_subtrees(batches, shift: int):
+    """Sorted grams and counts, cut between subtrees only."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)))
+        rows += batch.num_rows
+        if rows < SUBTREE_ROWS:
+            continue
+        gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        cut = int(np.searchsorted(gram, gram[-1] >> shift << shift))
+        if cut:
+            yield gram[:cut], n[:cut]
+        held, rows = [(gram[cut:], n[cut:])], 0  # a subtree that goes on is looked at again after as many rows
+    if held:
+        gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(gram):
+            yield gram, n
+
+
+def gram_logs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, log): log10 probability of each gram's last byte after the others, from (gram, n); grams with n = 0 are asked for only.
+
+    The grams of one subtree come to one task; a task works on about
+    ``SUBTREE_ROWS`` rows, or one subtree, at a time.
+    """
+    spark = counts.sparkSession
+    summed = materialize(counts.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    shift = 8 * (depth - TOP)
+    dealt = summed.repartition(F.shiftright("gram", shift)).sortWithinPartitions("gram")
+
+    def up(batches):
+        for gram, n in _whole_subtrees(batches, shift):
+            for bits in range(8):
+                node, zeros, ones, _ = gram_nodes(gram, n, bits)
+                _, node, zeros, ones, child = climb(node, zeros, ones, None, bits, depth - TOP)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), bits, np.int32)), *map(pa.array, (node, zeros, ones, child))], names=["bits", "node", "zeros", "ones", "child"])
+
+    sums = dealt.mapInArrow(up, "bits int, node long, zeros double, ones double, child double")
+    sums = sums.groupBy("bits", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "child")]).toArrow()  # at most 255 nodes for each two bytes
+    bit, *columns = (sums.column(k).to_numpy() for k in range(5))
+    top = []
+    for bits in range(8):
+        node, zeros, ones, child = (c[bit == bits] for c in columns)
+        order = np.argsort(node)
+        layers, above, *_ = climb(node[order], zeros[order], ones[order], child[order], bits, TOP + 1)
+        top.append((node[order], *descend(layers, np.zeros(len(above)), np.ones(len(above)))))
+    held = spark.sparkContext.broadcast(top)
+
+    def down(batches):
+        for gram, n in _whole_subtrees(batches, shift):
+            logs = np.zeros(len(gram))
+            for bits, (known, alpha, beta) in enumerate(held.value):
+                node, zeros, ones, at = gram_nodes(gram, n, bits)
+                layers, node, *_ = climb(node, zeros, ones, None, bits, depth - TOP)
+                place = np.searchsorted(known, node)
+                one = np.clip(descend(layers, alpha[place], beta[place])[0], 1e-12, 1 - 1e-12)[at]
+                logs += np.log10(np.where((gram >> (7 - bits)) & 1, one, 1 - one))
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(logs)], names=["gram", "log"])
+
+    return dealt.mapInArrow(down, "gram long, log double")
+
+
+def _score_block(_, texts: pa.Table, logs: pa.Table) -> pa.Table:
+    """A block's texts with the logs of all its grams."""
+    gram, log = logs.column("gram").to_numpy(), logs.column("log").to_numpy()
+    order = np.argsort(gram)
+    gram, log = gram[order], log[order]
+    values, scores, held, size = texts.column("text").to_pylist(), [], [], 0
+    for k, value in enumerate(values):
+        held.append((value or "").encode())
+        size += len(held[-1])
+        if size > SLICE_BYTES or k + 1 == len(values):
+            asked, sizes = gram_array(held, DEPTH)
+            scores.append(np.add.reduceat(log[np.searchsorted(gram, asked)], np.cumsum(sizes) - sizes))
+            held, size = [], 0
+    return pa.table({"lm_row": texts.column("lm_row"), "lm_score": np.concatenate(scores)})
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
@@ -134,19 +215,17 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", head:
     n_all, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = n_all + 0.1 * (vocabulary + 1)
     frequent = _head(counts, head)
-    held = spark.sparkContext.broadcast((train_tree(training), frequent))  # both bounded
+    held = spark.sparkContext.broadcast(frequent)  # bounded
 
     def make():
-        tree, known = held.value
-        logs = {w: math.log10((c + 0.1) / floor) for w, c in known.items()}
+        logs = {w: math.log10((c + 0.1) / floor) for w, c in held.value.items()}
         task = TaskContext.get()
         row = [(task.partitionId() if task else 0) << 36]
+        block = [row[0], 0]  # its first row, its bytes
 
         def work(texts):
-            ids, tokens, seen, base, score, sizes, rare, times = [], [], [], [], [], [], [], []
-            held_texts, size = [], 0
-            values = texts.to_pylist()
-            for k, value in enumerate(values):
+            ids, tokens, seen, base, blocks, sizes, rare, times = [], [], [], [], [], [], [], []
+            for value in texts.to_pylist():
                 data = (value or "").encode()
                 row[0] += 1
                 ids.append(row[0])
@@ -161,22 +240,27 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", head:
                 rare.append(list(left))
                 times.append(list(left.values()) if left else [])
                 sizes.append(len(data))
-                held_texts.append(data)
-                size += len(data)
-                if size > 1 << 20 or k + 1 == len(values):
-                    score += tree.log_probabilities(held_texts).tolist()
-                    held_texts, size = [], 0
-            return [ids, tokens, seen, base, score, sizes, rare, times]
+                if block[1] > BLOCK_BYTES:
+                    block[:] = row[0], 0
+                block[1] += len(data)
+                blocks.append(block[0])
+            return [ids, tokens, seen, base, blocks, sizes, rare, times]
 
         return work
 
     long, double = T.LongType(), T.DoubleType()
-    added = T.StructType([T.StructField("lm_row", long), T.StructField("lm_n_tokens", long), T.StructField("lm_seen", long), T.StructField("lm_part", double), T.StructField("lm_score", double), T.StructField("lm_bytes", long), T.StructField("lm_rare", T.ArrayType(T.BinaryType())), T.StructField("lm_times", T.ArrayType(long))])
+    added = T.StructType([T.StructField("lm_row", long), T.StructField("lm_n_tokens", long), T.StructField("lm_seen", long), T.StructField("lm_part", double), T.StructField("lm_block", long), T.StructField("lm_bytes", long), T.StructField("lm_rare", T.ArrayType(T.BinaryType())), T.StructField("lm_times", T.ArrayType(long))])
     scored = materialize(append_columns(docs, [text], added, make), "scored")
+    asked = materialize(_gram_counts(scored.select("lm_block", text), DEPTH).select(F.col("block").alias("lm_met"), "gram"), "asked")  # a block that two tasks read may name a gram twice
+    counts_of = _gram_counts(training.select(F.lit(0).cast("long"), "*"), DEPTH).select("gram", "n")
+    logs = gram_logs(counts_of.union(asked.select("gram", F.lit(0).cast("long"))))
+    met = asked.join(logs, "gram").select("lm_met", "gram", "log")
+    blocks = scored.select("lm_block", "lm_row", F.col(text).alias("text")).groupBy("lm_block")
+    scores = blocks.cogroup(met.groupBy("lm_met")).applyInArrow(_score_block, "lm_row long, lm_score double")
     rare = scored.select("lm_row", F.explode(F.arrays_zip("lm_rare", "lm_times")).alias("x")).select("lm_row", F.col("x.lm_rare").alias("word"), F.col("x.lm_times").alias("times"))
     rare = rare.join(counts, "word", "left").select("lm_row", "times", F.coalesce("n", F.lit(0)).alias("c"))
     rest = rare.groupBy("lm_row").agg(F.sum(F.col("times") * F.log10((F.col("c") + 0.1) / F.lit(float(floor)))).alias("lm_rest"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("lm_more"))
-    out = scored.drop("lm_rare", "lm_times").join(rest, "lm_row", "left")
+    out = scored.drop("lm_rare", "lm_times", "lm_block").join(scores, "lm_row").join(rest, "lm_row", "left")
     out = out.withColumn("lm_base", F.col("lm_part") + F.coalesce("lm_rest", F.lit(0.0)))
     out = out.withColumn("lm_n_known", F.col("lm_seen") + F.coalesce("lm_more", F.lit(0)))
     out = out.withColumn("lm_train_tokens", F.lit(int(n_all)).cast("long"))

@@ -410,6 +410,36 @@ def test_tree_is_a_distribution_and_matches_the_recursion():
     assert np.allclose(byte_logs(one)[0], tree.logs[tree.first[1]], atol=1e-4)
 
 
+def test_rare_contexts_stay_in_the_tree(spark, monkeypatch):
+    """Scores against a tree in one place that holds every context; a context met once in 90,000 bytes counts."""
+    import random
+
+    from tessera.llm import lm_score
+    from tessera.llm.context_tree import DEPTH, gram_array
+
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 30_000)
+    monkeypatch.setattr(lm_score, "SLICE_BYTES", 9_000)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefg ", k=rng.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=120)) for _ in range(150)] + ["xylophon quartz"]
+    assert sum(map(len, texts)) > 1 << 16
+    gram, _ = gram_array([t.encode() for t in texts], DEPTH)
+    levels = []
+    for d in range(DEPTH + 1):
+        near_last = np.zeros(len(gram), np.int64)
+        for k in range(d):
+            near_last |= ((gram >> (8 * (DEPTH - k))) & 255) << (8 * k)
+        keys, place = np.unique(near_last, return_inverse=True)
+        counts = np.zeros((len(keys), 256))
+        np.add.at(counts, (place, gram & 255), 1)
+        levels.append((keys, counts))
+    asked = [*texts, "xylophon quarz", "never seen", "", None]
+    want = ContextTree.weigh(levels).log_probabilities([(t or "").encode() for t in asked])
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["lm_score"] for r in lm_score.score_texts(docs, spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert len(got) == len(asked) and np.allclose([got[i] for i in range(len(asked))], want, rtol=1e-4, atol=1e-3)
+
+
 # ------------------------------------------------------------------ toxicity
 
 
