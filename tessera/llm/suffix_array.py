@@ -1,92 +1,106 @@
-"""Suffix arrays by induced sorting, with whole buckets moved at once."""
+"""Suffix arrays by recursive induced sorting, with whole buckets moved at once, and permuted common prefixes."""
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Names up to this many are letters of the next level down; more are written as two digits each.
+MAX_LETTERS = 1024
+STRIDE = 16
+
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the one after it. The last suffix (the sentinel) counts as smaller."""
     n = len(s)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(s[1:].astype(np.int64) - s[:-1])
+    step[:-1] = np.sign(s[1:].astype(np.int32) - s[:-1])
     step[-1] = 1
     at = np.where(step != 0, np.arange(n), n)
     at = np.minimum.accumulate(at[::-1])[::-1]
     return step[at] > 0
 
 
-def _place(found: np.ndarray, s: np.ndarray, buckets: dict[int, list[np.ndarray]]) -> None:
-    """Append positions to the lists of their first characters, keeping their order."""
+def _put(order: np.ndarray, edge: np.ndarray, found: np.ndarray, s: np.ndarray, step: int) -> None:
+    """Place positions at the edges of their buckets, one after another, and move the edges on."""
     if not len(found):
         return
     letters = s[found]
-    order = np.argsort(letters, kind="stable")
-    found, letters = found[order], letters[order]
-    cut = np.flatnonzero(letters[1:] != letters[:-1]) + 1
-    for part, letter in zip(np.split(found, cut), letters[np.concatenate([[0], cut])].tolist(), strict=True):
-        buckets.setdefault(letter, []).append(part)
+    by = np.argsort(letters, kind="stable")
+    letters = letters[by]
+    begin = np.r_[0, np.flatnonzero(letters[1:] != letters[:-1]) + 1]
+    count = np.diff(np.r_[begin, len(letters)])
+    at = letters[begin]
+    first = edge[at] - (step < 0)
+    order[np.repeat(first - step * begin, count) + step * np.arange(len(letters))] = found[by]
+    edge[at] += step * count
 
 
 def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Order all suffixes from the leftmost-smaller ones in ``seeds`` (in their order)."""
-    letters = np.unique(s).tolist()
-    none = np.zeros(0, np.int64)
-    seeded: dict[int, list[np.ndarray]] = {}
-    _place(seeds, s, seeded)
-    larger: dict[int, list[np.ndarray]] = {}
-    done_larger: dict[int, np.ndarray] = {}
-    for c in letters:  # left to right: larger suffixes at the heads of their buckets
-        out = []
-        todo = np.concatenate(larger.pop(c, [none]))
-        while len(todo):
-            out.append(todo)
-            before = todo[todo > 0] - 1
-            before = before[~smaller[before]]
-            same = s[before] == c
-            _place(before[~same], s, larger)
-            todo = before[same]
-        done_larger[c] = np.concatenate(out) if out else none
-        before = np.concatenate(seeded.get(c, [none]))
-        before = before[before > 0] - 1
-        _place(before[~smaller[before]], s, larger)
-    tails: dict[int, list[np.ndarray]] = {}
-    parts: list[np.ndarray] = []
-    for c in reversed(letters):  # right to left: smaller suffixes at the tails
-        out = []
-        todo = np.concatenate(tails.pop(c, [none]))
-        if c == letters[0]:
-            todo = np.concatenate([todo, [len(s) - 1]])
-        while len(todo):
-            out.append(todo)
-            before = todo[todo > 0] - 1
-            before = before[smaller[before]]
-            same = s[before] == c
-            _place(before[~same], s, tails)
-            todo = before[same]
-        block = np.concatenate(out) if out else none
-        heads = done_larger[c]
-        before = heads[::-1]
-        before = before[before > 0] - 1
-        _place(before[smaller[before]], s, tails)
-        parts.append(np.concatenate([heads, block[::-1]]))
-    return np.concatenate(parts[::-1])
-
-
-def _double(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string over many letters: ranks of prefixes, doubled until they differ."""
-    n, rank, width = len(names), names.astype(np.int64), 1
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - width] = rank[width:] + 1
-        key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[0], (np.diff(key[order]) != 0).astype(np.int64)])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        width *= 2
-        if rank[order[-1]] == n - 1 or width >= n:
-            return order
+    size = np.bincount(s)
+    ends = np.cumsum(size)
+    starts = ends - size
+    order = np.empty(len(s), np.int64)
+    tails = ends - np.bincount(s[seeds], minlength=len(size))
+    _put(order, tails.copy(), seeds, s, 1)
+    heads, present = starts.copy(), np.flatnonzero(size).tolist()
+
+    def forward(todo):
+        before = todo[todo > 0] - 1
+        _put(order, heads, before[~smaller[before]], s, 1)
+
+    for c in present:  # left to right: larger suffixes at the heads of their buckets
+        at = starts[c]
+        while at < heads[c]:
+            at, todo = heads[c], order[at : heads[c]]
+            forward(todo)
+        if tails[c] < ends[c]:
+            forward(order[tails[c] : ends[c]])
+    tails = ends.copy()
+    tails[s[-1]] -= 1
+    order[tails[s[-1]]] = len(s) - 1
+
+    def backward(todo):
+        before = todo[todo > 0] - 1
+        _put(order, tails, before[smaller[before]], s, -1)
+
+    for c in reversed(present):  # right to left: smaller suffixes at the tails
+        at = ends[c]
+        while at > tails[c]:
+            at, todo = tails[c], order[tails[c] : at][::-1]
+            backward(todo)
+        if starts[c] < heads[c]:
+            backward(order[starts[c] : heads[c]][::-1])
+    return order
+
+
+def _order_of(names: np.ndarray, n: int) -> np.ndarray:
+    """Order of the suffixes of a string of names, whose last is smallest and alone, one level down."""
+    most, m = int(names.max()) + 1, len(names)
+    if most <= MAX_LETTERS or 2 * m > 0.9 * n:
+        return suffix_array(names)
+    base = int(np.ceil(np.sqrt(most)))
+    digits = np.zeros(2 * m + 1, np.int64)
+    digits[0:-1:2], digits[1::2] = names // base + 1, names % base + 1
+    order = suffix_array(digits)[1:]
+    return order[order % 2 == 0] // 2
+
+
+def _names(s: np.ndarray, seeds: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks of the leftmost-smaller substrings in text order, equal ones sharing one; and their number."""
+    n = len(s)
+    end = np.full(n, n - 1)
+    end[seeds[:-1]] = seeds[1:]
+    value = (s.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(0xBF58476D1CE4E5B9 | 1))]))
+    back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(0xBF58476D1CE4E5B9 | 1, -1, 1 << 64)))]))
+    total = np.concatenate([[np.uint64(0)], np.cumsum((value ^ (value >> np.uint64(29))) * power[:n])])
+    print_ = (total[end[order] + 1] - total[order]) * back[order]
+    length = end[order] - order
+    fresh = (print_[1:] != print_[:-1]) | (length[1:] != length[:-1])
+    name = np.empty(n, np.int64)
+    name[order] = np.concatenate([[0], np.cumsum(fresh)])
+    return name[seeds], int(fresh.sum()) + 1
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -94,12 +108,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
     Suffixes are classified, the leftmost-smaller substrings are sorted by
     inducing from their first letters and named, the string of names is sorted
-    (one level down, by doubling if names repeat), and all suffixes are induced.
+    by the same method if names repeat, and all suffixes are induced.
     """
-    s = text.astype(np.int64)
-    n = len(s)
+    n = len(text)
     if n == 1:
         return np.zeros(1, np.int64)
+    s = text.astype(np.uint16 if int(text.max()) < 1 << 16 else np.int64)
     smaller = _types(s)
     seeds = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     if len(seeds) > 1:
@@ -107,37 +121,35 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         is_seed[seeds] = True
         rough = _induce(s, smaller, seeds)
         order = rough[is_seed[rough]]
-        # names: equal substrings up to and including the next seed share one
-        end = np.full(n, n - 1)
-        end[seeds[:-1]] = seeds[1:]
-        value = (s.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(0xBF58476D1CE4E5B9 | 1))]))
-        back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(0xBF58476D1CE4E5B9 | 1, -1, 1 << 64)))]))
-        total = np.concatenate([[np.uint64(0)], np.cumsum((value ^ (value >> np.uint64(29))) * power[:n])])
-        print_ = (total[end[order] + 1] - total[order]) * back[order]
-        length = end[order] - order
-        fresh = (print_[1:] != print_[:-1]) | (length[1:] != length[:-1])
-        name = np.concatenate([[0], np.cumsum(fresh)])
-        names = np.empty(n, np.int64)
-        names[order] = name
-        reduced = names[seeds]
-        seeds = order if name[-1] == len(seeds) - 1 else seeds[_double(reduced)]
+        names, most = _names(s, seeds, order)
+        seeds = order if most == len(seeds) else seeds[_order_of(names, n)]
     return _induce(s, smaller, seeds)
 
 
-def common_prefixes(text: np.ndarray, first: np.ndarray, second: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix length of the suffixes at ``first`` and ``second``, in whole steps of eight up to ``cap``.
+def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
+    """For each place the common prefix, up to ``cap``, of its suffix with the one before it in ``order``; 0 for the first.
 
-    Reading ``first`` in text order gives the permuted common-prefix array.
-    ``text`` must go on for ``cap`` letters after each place.
+    A place's prefix is at least that of the place before it less one. Every
+    ``STRIDE``-th place is worked out in full, and what it found is carried on
+    from place to place in text order, all strides side by side.
     """
-    words = np.lib.stride_tricks.sliding_window_view(text, 8)
-    out = np.zeros(len(first), np.int64)
-    left = np.arange(len(first))
-    for k in range(0, cap, 8):
-        same = (words[first[left] + k] == words[second[left] + k]).all(1)
-        left = left[same]
-        out[left] += 8
-        if not len(left):
-            break
-    return np.minimum(out, cap)
+    n = len(text)
+    before = np.full(n, n, np.int64)
+    before[order[1:]] = order[:-1]
+    padded = np.concatenate([text, np.zeros(cap + STRIDE, text.dtype)])
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    out = np.zeros(n, np.int64)
+    for k in range(min(STRIDE, n)):
+        place = np.arange(k, n, STRIDE)
+        have = np.maximum(out[place - 1] - 1, 0) if k else np.zeros(len(place), np.int64)
+        left = np.flatnonzero((before[place] < n) & (have < cap))
+        have[before[place] == n] = 0
+        while len(left):
+            a, b = place[left] + have[left], before[place[left]] + have[left]
+            same = eight[np.minimum(a, n)] == eight[np.minimum(b, n)]
+            run = np.where(same.all(1), 8, np.argmin(same, 1))
+            run = np.minimum(run, np.minimum(n - a, n - b))
+            have[left] += run
+            left = left[(run == 8) & (have[left] < cap)]
+        out[place] = np.minimum(have, cap)
+    return out

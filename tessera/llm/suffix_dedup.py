@@ -8,18 +8,20 @@ repeat is left out first, without losing a repeat:
    anchors at equal offsets, so only windows whose anchor hash occurs more than
    once can repeat. Neighbouring windows share anchors: an anchor stands for one
    range of window starts.
-2. Ranges with equal bytes repeat as a whole. Only where one anchor has ranges
-   with different bytes something is left to be found out.
-3. Those ranges are fetched from the texts and split by the hash of ``SIDE`` more
-   bytes left or right of the anchor, so a frequent phrase in ever new
-   surroundings falls apart again. Groups are packed into shards of bounded size.
-4. In a shard the suffix array is made by induced sorting, and permuted common
-   prefixes of neighbouring window starts tell which windows repeat.
+2. Ranges with equal bytes are counted and one of each is fetched from the texts.
+   The ranges of one anchor form a group; groups are dealt out by anchor and
+   packed into shards of ``SHARD_BYTES``.
+3. In a shard the suffix array is made by recursive induced sorting, and permuted
+   common prefixes, carried in text order, tell which windows repeat. A window of
+   a range that occurs more than once repeats in any case.
+4. A group of more than ``GROUP_BYTES``, such as a frequent phrase in ever new
+   surroundings, is in no one place: its windows are counted by their hashes.
 5. Window runs become byte spans of their texts, and the spans are cut out.
 
-Texts are known by a 64-bit hash, so copies share their spans. Null and empty
-texts have no bytes; texts shorter than ``length`` stay whole. Spans that overlap
-or touch are one run. Cuts are made in bytes and may part a character.
+The plan is the same at every size. Texts are known by a 64-bit hash, so copies
+share their spans. Null and empty texts have no bytes; texts shorter than
+``length`` stay whole. Spans that overlap or touch are one run. Cuts are made in
+bytes and may part a character. Added columns (``sd_*``) must be new.
 """
 
 from __future__ import annotations
@@ -30,17 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_map import append_columns
-from .common import materialize
+from .arrow_map import append_columns, give_back
+from .common import materialize, release
 from .shingles import mix64
-from .suffix_array import common_prefixes, suffix_array
+from .suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 200
 GRAM = 40
-SIDE = 72
-SHARD_BYTES = 400_000
+SHARD_BYTES = 1 << 20
+GROUP_BYTES = 1 << 20
 SLICE_BYTES = 1 << 20
-BROADCAST_ROWS = 500_000
+LONG_BYTES = 1 << 26  # longer texts are read in pieces that overlap by a window less one byte
 _POSITION_BITS = 28
 
 _RNG = np.random.default_rng(77)
@@ -104,17 +106,22 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return text, gram[place].view(np.int64), print_.view(np.int64), lo - base, hi - base, place - base
 
 
-def _slices(values: list[bytes | None]):
-    start, held, size = 0, [], 0
+def _slices(values: list[str | None], length: int):
+    """Texts of about ``SLICE_BYTES`` together: (rows, offsets in their texts, bytes)."""
+    rows, offsets, held, size = [], [], [], 0
     for i, value in enumerate(values):
-        data = value or b""
-        if held and size + len(data) > SLICE_BYTES:
-            yield start, held
-            start, held, size = i, [], 0
-        held.append(data)
-        size += len(data)
+        data = (value or "").encode()
+        for at in range(0, max(1, len(data) - length + 1), LONG_BYTES):
+            part = data[at : at + LONG_BYTES + length - 1]
+            if held and size + len(part) > SLICE_BYTES:
+                yield np.array(rows), np.array(offsets), held
+                rows, offsets, held, size = [], [], [], 0
+            rows.append(i)
+            offsets.append(at)
+            held.append(part)
+            size += len(part)
     if held:
-        yield start, held
+        yield np.array(rows), np.array(offsets), held
 
 
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
@@ -123,125 +130,148 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for start, part in _slices([(x or "").encode() for x in batch.column(1).to_pylist()]):
-                text, h, r, lo, hi, at = anchors(part, length)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(r), pa.array(keys[start + text]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(at.astype(np.int32))], names=["h", "r", "t", "lo", "hi", "at"])
+            for rows, offsets, part in _slices(batch.column(1).to_pylist(), length):
+                text, h, r, lo, hi, _ = anchors(part, length)
+                more = offsets[text]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(r), pa.array(keys[rows[text]]), pa.array((lo + more).astype(np.int32)), pa.array((hi + more).astype(np.int32))], names=["h", "r", "t", "lo", "hi"])
+        give_back()
 
-    return texts.mapInArrow(run, "h long, r long, t long, lo int, hi int, at int")
+    return texts.mapInArrow(run, "h long, r long, t long, lo int, hi int")
 
 
-def _pieces(texts: DataFrame, length: int) -> DataFrame:
-    """One row per range and side: (g, h, r, seg, a, b): group, the bytes, first and last window start in them.
+def _pieces(bodies: DataFrame, length: int) -> DataFrame:
+    """(h, r, n, large, seg): the bytes of each wanted range; a range may come from copies in several tasks.
 
-    ``texts`` is (body, want): want holds (h, r, lo, hi, at).
+    ``bodies`` is (t, body, want): want holds (h, r, n, large, lo, hi).
     """
+    kinds = {"h": pa.int64(), "r": pa.int64(), "n": pa.int64(), "large": pa.bool_(), "seg": pa.binary()}
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            rows: list[tuple] = []
-            for body, want in zip(*[batch.column(k).to_pylist() for k in range(2)], strict=True):
-                data = body.encode()
-                for w in want:
-                    h, r, lo, hi, at = w["h"], w["r"], w["lo"], w["hi"], w["at"]
-                    # windows with SIDE bytes before the anchor, then the others, which have them behind it
-                    cut = at - SIDE
-                    for side, a, b in ((0, lo, min(hi, cut)), (1, max(lo, cut + 1), hi)):
-                        if a <= b:
-                            near = data[at - SIDE : at + GRAM] if side == 0 else data[at : at + GRAM + SIDE]
-                            rows.append((_group(h, side, near), h, r, data[a : b + length], a - lo, b - lo))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["g", "h", "r", "seg", "a", "b"])
+            rows: dict[str, list] = {c: [] for c in kinds}
+            for t, body, want in zip(*[batch.column(k) for k in range(3)], strict=True):
+                if t.as_py() in seen:
+                    continue
+                seen.add(t.as_py())
+                data = body.as_py().encode()
+                for w in want.as_py():
+                    for c in ("h", "r", "n", "large"):
+                        rows[c].append(w[c])
+                    rows["seg"].append(data[w["lo"] : w["hi"] + length])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c], k) for c, k in kinds.items()], names=list(kinds))
+        give_back()
 
-    return texts.mapInArrow(run, "g long, h long, r long, seg binary, a int, b int")
+    return bodies.mapInArrow(run, "h long, r long, n long, large boolean, seg binary")
 
 
-def _group(h: int, side: int, near: bytes) -> int:
-    import xxhash
-
-    value = xxhash.xxh64_intdigest(near, seed=side) ^ (h & 0xFFFFFFFFFFFFFFFF)
-    return value - (1 << 64) if value >= 1 << 63 else value
-
-
-def repeated_windows(groups: np.ndarray, segments: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each segment a mask over its windows: which stand in another segment of its group, or there again.
+def repeated_windows(segments: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each segment a mask over its windows: which stand in another segment, or occur more than once with their range.
 
     All windows of ``segments`` are different places of the texts.
     """
-    text = np.frombuffer(b"".join(s + bytes(8) for s in segments), np.uint8)
+    gap = b"\0" * 8
+    text = np.frombuffer(b"".join(s + gap for s in segments), np.uint8)
     sizes = np.array([len(s) for s in segments])
     offset = np.concatenate([[0], np.cumsum(sizes + 8)])[:-1]
-    letters = np.concatenate([text.astype(np.int64) + 2, [0]])
-    at = np.concatenate([np.arange(o + n, o + n + 8) for o, n in zip(offset, sizes, strict=True)])
-    letters[at] = 1
-    owner = np.repeat(np.arange(len(segments)), sizes + 8)
-    is_start = np.zeros(len(letters), bool)
-    starts = [np.arange(o, o + n - length + 1) for o, n in zip(offset, sizes, strict=True)]
-    is_start[np.concatenate(starts)] = True
+    letters = np.concatenate([text.astype(np.uint16) + np.uint16(2), np.zeros(1, np.uint16)])
+    letters[np.repeat(offset + sizes, 8) + np.tile(np.arange(8), len(segments))] = 1
+    mark = np.zeros(len(letters) + 1, np.int8)
+    mark[offset] = 1
+    mark[offset + sizes - length + 1] -= 1
+    is_start = np.cumsum(mark[:-1]).astype(bool)
     order = suffix_array(letters)
-    order = order[is_start[order]]
-    # permuted: the common prefix of each start with the one before it in suffix order
-    prefix = common_prefixes(text, order[1:], order[:-1], length) >= length
-    prefix &= groups[owner[order[1:]]] == groups[owner[order[:-1]]]
+    prefix = permuted_common_prefixes(letters, order, length)
+    # the common prefix of two starts is the least of those between them in suffix order
+    at = np.flatnonzero(is_start[order])
+    least = np.minimum.reduceat(prefix[order], at[:-1] + 1)[: len(at) - 1] if len(at) > 1 else np.zeros(0, np.int64)
+    same, found = least >= length, order[at]
     repeats = np.zeros(len(letters), bool)
-    repeats[order[1:][prefix]] = True
-    repeats[order[:-1][prefix]] = True
-    return [repeats[s] | (c > 1) for s, c in zip(starts, counts, strict=True)]
+    repeats[found[1:][same]] = True
+    repeats[found[:-1][same]] = True
+    return [repeats[o : o + n - length + 1] | (c > 1) for o, n, c in zip(offset, sizes, counts, strict=True)]
 
 
 def _sorted_shards(pieces: DataFrame, length: int) -> DataFrame:
-    """Repeated window runs (h, r, x, y), relative to the range, of the sorted ``pieces`` (g, h, r, seg, a, b, n)."""
+    """Repeated window runs (h, r, x, y), relative to the range, of the ``pieces`` (h, r, n, seg), which are sorted by h and r."""
 
     def run(batches):
         held: list[tuple] = []
-        size, last = 0, None
+        size, last = 0, (None, None)
 
         def close():
-            masks = repeated_windows(np.array([x[0] for x in held]), [x[3] for x in held], np.array([x[6] for x in held]), length)
+            masks = repeated_windows([x[3] for x in held], np.array([x[2] for x in held]), length)
             rows = []
-            for (_, h, r, _, a, _, _), mask in zip(held, masks, strict=True):
+            for (h, r, _, _), mask in zip(held, masks, strict=True):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                rows += [(h, r, a + int(x), a + int(y) - 1) for x, y in zip(edge[::2], edge[1::2], strict=True)]
+                rows += [(h, r, int(x), int(y) - 1) for x, y in zip(edge[::2], edge[1::2], strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "r", "x", "y"])
 
         for batch in batches:
-            for row in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
-                if size > SHARD_BYTES and row[0] != last:
+            for row in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                if row[:2] == last:
+                    continue  # the same range from another copy
+                if size > SHARD_BYTES and row[0] != last[0]:
                     yield close()
                     held, size = [], 0
                 held.append(row)
                 size += len(row[3]) + 8
-                last = row[0]
+                last = row[:2]
         if held:
             yield close()
+        give_back()
 
     return pieces.mapInArrow(run, "h long, r long, x int, y int")
 
 
+def _window_hashes(pieces: DataFrame, length: int) -> DataFrame:
+    """(k, j, h, r, n, x): two hashes of every window of the ``pieces`` (h, r, n, seg)."""
+
+    def run(batches):
+        for batch in batches:
+            for h, r, n, seg in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                data = np.frombuffer(seg, np.uint8)
+                k = gram_hashes(data, length)
+                j = gram_hashes(data[::-1], length)[::-1]
+                m = len(k)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.ascontiguousarray(j).view(np.int64)), pa.array(np.full(m, h)), pa.array(np.full(m, r)), pa.array(np.full(m, n)), pa.array(np.arange(m, dtype=np.int32))], names=["k", "j", "h", "r", "n", "x"])
+        give_back()
+
+    return pieces.mapInArrow(run, "k long, j long, h long, r long, n long, x int")
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(t, spans): text hash and its byte spans to cut, for the texts that have any."""
+    """(t, sd_starts): text hash and its byte spans to cut, for the texts that have any."""
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.xxhash64(body).alias("t"), body.alias("body")).where(F.octet_length("body") >= length)
-    rows = _anchor_rows(texts, length)
-    known = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("n > 1")
-    # nothing stands between this join and the write, so partitions with a frequent anchor can be split
-    found = materialize(rows.join(known.select("h", (F.col("r0") != F.col("r1")).alias("mixed")), "h"), "anchors")
-    whole = found.where("not mixed").select("t", "lo", "hi")
-    mixed = found.where("mixed")
-    ranges = mixed.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(F.struct("t", "lo", "hi", "at")).alias("x"))
-    ranges = materialize(ranges.select("h", "r", "n", "x.*"), "ranges")
-    want = ranges.groupBy("t").agg(F.collect_list(F.struct("h", "r", "lo", "hi", "at")).alias("want"))
-    few = ranges.count() <= BROADCAST_ROWS
-    bodies = texts.join(F.broadcast(want) if few else want.hint("shuffle_hash"), "t").select("body", "want")
-    pieces = _pieces(bodies, length).dropDuplicates(["g", "h", "r", "a"]).join(ranges.select("h", "r", "n"), ["h", "r"])
-    pieces = materialize(pieces, "pieces")
-    # windows of one range are all different, so a group of one piece repeats only if it has copies
-    again = pieces.groupBy("g").agg(F.count("*").alias("m"), F.max("n").alias("top")).where("m > 1 or top > 1").select("g")
-    shards = pieces.join(again, "g").select("g", "h", "r", "seg", "a", "b", "n")
-    runs = _sorted_shards(shards.repartition("g").sortWithinPartitions("g"), length)
-    partly = mixed.select("h", "r", "t", "lo").join(runs, ["h", "r"]).select("t", (F.col("lo") + F.col("x")).alias("lo"), (F.col("lo") + F.col("y")).alias("hi"))
-    spans = whole.union(partly).groupBy("t", "lo").agg(F.max("hi").alias("hi"))
-    return spans.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("lo", (F.col("hi") + length).alias("end")))).alias("sd_starts"))
+    rows = materialize(_anchor_rows(texts, length), "anchors")
+    known = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "known")
+    # Both sides of each join below are tables and its result is written at once, so Spark can split a frequent key.
+    found = materialize(rows.join(known, "h"), "found")
+    release(rows, known)
+    ranges = materialize(found.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(F.struct("t", "lo", "hi")).alias("x")).select("h", "r", "n", "x.*"), "ranges")
+    size = F.sum(F.col("hi") - F.col("lo") + length)
+    large = materialize(ranges.groupBy("h").agg(size.alias("size")).where(F.col("size") > GROUP_BYTES).select("h", F.lit(True).alias("large")), "large")
+    any_large = large.limit(1).count() > 0
+    marked = ranges.join(large, "h", "left") if any_large else ranges.withColumn("large", F.lit(False))
+    item = F.struct("h", "r", "n", F.coalesce("large", F.lit(False)).alias("large"), "lo", "hi")
+    want = materialize(marked.groupBy("t").agg(F.collect_list(item).alias("want")), "want")
+    pieces = materialize(_pieces(texts.join(want.hint("shuffle_hash"), "t").select("t", "body", "want"), length), "pieces")
+    release(ranges, want)
+    shards = pieces.where("not large").select("h", "r", "n", "seg").repartition("h").sortWithinPartitions("h", "r")
+    runs = _sorted_shards(shards, length)
+    if any_large:
+        windows = materialize(_window_hashes(pieces.where("large").select("h", "r", "n", "seg"), length), "windows")
+        twice = windows.groupBy("k", "j").agg(F.max("n").alias("n"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("n > 1 or r0 <> r1").select("k", "j")
+        runs = runs.union(windows.join(materialize(twice, "twice"), ["k", "j"]).select("h", "r", "x", F.col("x").alias("y")))
+    runs = materialize(runs, "runs")
+    release(pieces)
+    spans = found.join(runs, ["h", "r"]).select("t", (F.col("lo") + F.col("x")).alias("lo"), (F.col("lo") + F.col("y")).alias("hi"))
+    spans = spans.groupBy("t", "lo").agg(F.max("hi").alias("hi"))
+    spans = materialize(spans.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("lo", (F.col("hi") + length).alias("end")))).alias("sd_starts")), "spans")
+    release(found, runs)
+    return spans
 
 
 def _merge(starts: list[dict] | None) -> list[list[int]]:
@@ -256,11 +286,9 @@ def _merge(starts: list[dict] | None) -> list[list[int]]:
 
 def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with sd_n_bytes, sd_spans (byte ranges that go) and sd_kept (the remaining bytes)."""
-    spans = materialize(repeated_spans(docs, text, length), "spans")
+    spans = repeated_spans(docs, text, length)
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    few = spans.agg(F.sum(F.size("sd_starts"))).first()[0] or 0
-    right = F.broadcast(spans) if few <= BROADCAST_ROWS else spans
-    joined = docs.withColumn("sd_t", key).join(right.withColumnRenamed("t", "sd_t"), "sd_t", "left").drop("sd_t")
+    joined = docs.withColumn("sd_t", key).join(spans.withColumnRenamed("t", "sd_t").hint("shuffle_hash"), "sd_t", "left").drop("sd_t")
 
     def make():
         def work(texts, starts):

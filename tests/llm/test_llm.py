@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup, suffix_dedup, token_count
+from tessera.llm import suffix_array as suffix_array_module
 from tessera.llm.context_tree import ContextTree, byte_logs
 from tessera.llm.decontaminate import SuffixAutomaton, contamination_table, decontaminate, find_contamination, word_list
 from tessera.llm.license_scan import license_table
@@ -21,7 +22,7 @@ from tessera.llm.quality_rules import quality_table
 from tessera.llm.shingles import shingle_sets
 from tessera.llm.source_mix import mix_sources, mix_table, source_targets
 from tessera.llm.string_kernel import encode, subsequence_kernel
-from tessera.llm.suffix_array import suffix_array
+from tessera.llm.suffix_array import permuted_common_prefixes, suffix_array
 from tessera.llm.suffix_dedup import repeat_table
 from tessera.llm.token_count import token_table
 from tessera.llm.toxicity import score_toxicity, toxicity_table, train
@@ -279,11 +280,18 @@ def test_automaton_does_not_cross_items():
 # ------------------------------------------------------------------ suffixes
 
 
-def test_suffix_array():
+@pytest.mark.parametrize("letters", [2, 1024])
+def test_suffix_array(monkeypatch, letters):
+    monkeypatch.setattr(suffix_array_module, "MAX_LETTERS", letters)
     rng = np.random.default_rng(3)
-    for _ in range(150):
-        s = np.concatenate([rng.integers(1, 2 + rng.integers(0, 4), rng.integers(0, 50)), [0]])
-        assert suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    for k in range(150):
+        s = np.concatenate([np.tile(rng.integers(1, 2 + rng.integers(0, 4), rng.integers(0, 50)), 1 + k % 4), [0]])
+        order, each = suffix_array(s), s.tolist()
+        assert order.tolist() == sorted(range(len(s)), key=lambda i: each[i:])
+        prefixes = permuted_common_prefixes(s.astype(np.uint16), order, 20)
+        for x, y in zip(order[1:].tolist(), order[:-1].tolist(), strict=True):
+            n = next(n for n in range(len(s)) if each[x + n] != each[y + n])
+            assert prefixes[x] == min(n, 20)
 
 
 def brute_spans(rows, length):
@@ -306,10 +314,11 @@ def brute_spans(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("few", "shard"), [(500_000, 400_000), (0, 2000)])
-def test_suffix_dedup(spark, monkeypatch, few, shard):
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", few)
+@pytest.mark.parametrize(("shard", "group", "long"), [(1 << 20, 1 << 20, 1 << 26), (2000, 1 << 20, 500), (2000, 600, 1 << 26)])
+def test_suffix_dedup(spark, monkeypatch, shard, group, long):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
+    monkeypatch.setattr(suffix_dedup, "LONG_BYTES", long)
     rows = [r for r in DOCS if r[0] != 8]
     part = DOCS[8][1][:900]
     rows += [(200 + i, DOCS[8][1][2000 + 300 * i : 2300 + 300 * i] + part[i * 7 : 250 + i * 40] + DOCS[8][1][9000 + 99 * i : 9150 + 99 * i]) for i in range(12)] + [(300, part + "\n" + part), (301, "ab" * 400)]
