@@ -375,8 +375,8 @@ def test_rare_words_are_joined(docs):
     from tessera.llm.lm_score import score_texts
 
     slim = docs.select("doc_id", "text")
-    a = score_texts(slim, slim.select("text"), head=3).withColumn("b", F.round("lm_base", 6))
-    b = score_texts(slim, slim.select("text")).withColumn("b", F.round("lm_base", 6))
+    a = score_texts(slim, F.lit(True), head=3).withColumn("b", F.round("lm_base", 6))
+    b = score_texts(slim, F.lit(True)).withColumn("b", F.round("lm_base", 6))
     assert table(a, "b", "lm_n_known") == table(b, "b", "lm_n_known")
 
 
@@ -444,8 +444,8 @@ def test_rare_contexts_stay_in_the_tree(spark, monkeypatch):
         levels.append((keys, counts))
     asked = [*texts, "xylophon quarz", "never seen", "", None]
     want = ContextTree.weigh(levels).log_probabilities([(t or "").encode() for t in asked])
-    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["lm_score"] for r in lm_score.score_texts(docs, spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    docs = spark.createDataFrame([*enumerate(asked), *[(-1, t) for t in texts]], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["lm_score"] for r in lm_score.score_texts(docs, F.col("doc_id") < 0).where("doc_id >= 0").collect()}
     assert len(got) == len(asked) and np.allclose([got[i] for i in range(len(asked))], want, rtol=1e-4, atol=1e-3)
 
 
