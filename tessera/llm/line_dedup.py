@@ -2,36 +2,41 @@
 
 A line's key is the line with white space stripped at both ends and A-Z
 lower-cased. Distinct key hashes are counted over documents (a document counts
-once). The keys that stand in several documents are put in a minimal perfect
-hash index: per shard, levels of bit arrays give every key its own slot, and two
-compact arrays hold a 64-bit fingerprint and a saturating count for each slot.
-Documents probe the arrays; lines are not joined.
+once, however many rows have its id; rows without an id do not count). The keys of
+two documents or more are put in a minimal perfect hash index: per shard, levels
+of bit arrays give every key its own slot, and two compact arrays hold a 64-bit
+fingerprint and a saturating count for each slot. Documents probe the arrays;
+lines are not joined.
 
 Hash and fingerprint come from two different seeds, so a foreign line would have
 to agree in the shard, the slot and 64 independent bits.
 
-The index holds only keys of ``min_docs`` or more documents: no other can be
-dropped. It is broadcast while it is below ``max_index_bytes``; beyond that the
-lines are joined to the counts by shuffle, which gives the same result.
+The shards of the most frequent keys, ``max_index_bytes`` at most, are sent to all
+tasks. Where there are more keys, the hashes (not the lines) that these shards do
+not answer are dealt out by shard, and each of the other shards is probed where
+its hashes come together; as frequent keys are answered before, no shard meets a
+key that holds a large share of all lines.
 
 Null text counts as one empty line, as does empty text. Keys shorter than
-``min_chars`` stay. Repeated rows are documents of their own if their ids differ;
-rows with the same id count as the rows they are.
+``min_chars`` stay. Added columns (``ld_*``) must be new.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_map import refuse_columns
 from .common import ascii_lower, materialize
 
 MIN_DOCS = 10
 MIN_CHARS = 1
 KEYS_PER_SHARD = 200_000
 MAX_INDEX_BYTES = 64 << 20
+KEY_BYTES = 12  # fingerprint, count and about 2.7 bytes of bit arrays and ranks
 _LEVELS = 40
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -124,60 +129,113 @@ def _with_keys(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
     return out.withColumn("ld_f", F.transform("ld_keys", lambda k: long_enough(k, F.xxhash64(F.lit("fingerprint"), k)))).drop("ld_keys")
 
 
-def line_counts(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h, f, n): hash, fingerprint and document count of the line keys found in ``min_docs`` documents or more."""
-    keyed = _with_keys(docs.select(text), text, min_chars)
+def line_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h, f, n): hash, fingerprint and document count of the line keys found in two documents or more."""
+    keyed = _with_keys(docs.select(F.col(doc_id).alias("ld_id"), text), text, min_chars)
     pairs = F.array_distinct(F.filter(F.arrays_zip("ld_h", "ld_f"), lambda x: x["ld_h"].isNotNull()))
-    each = keyed.select(F.explode(pairs).alias("x")).select(F.col("x.ld_h").alias("h"), F.col("x.ld_f").alias("f"))
-    return each.groupBy("h", "f").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    each = keyed.where(F.col("ld_id").isNotNull()).select("ld_id", F.explode(pairs).alias("x")).select("ld_id", F.col("x.ld_h").alias("h"), F.col("x.ld_f").alias("f"))
+    return each.groupBy("h", "f").agg(F.count_distinct("ld_id").alias("n")).where(F.col("n") >= 2)
 
 
-def drop_repeated_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and ld_n_lines, ld_n_dropped."""
+def _index(counts: DataFrame, shards: int) -> DataFrame:
+    """One row (shard, mph, fingerprints, counts) per shard."""
+    dealt = counts.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").applyInPandas(_build_shard, "shard int, mph binary, fingerprints binary, counts binary")
+
+
+class _Shard:
+    def __init__(self, mph: bytes, fingerprints: bytes, counts: bytes):
+        self.hash, self.prints, self.counts = PerfectHash.load(mph), np.frombuffer(fingerprints, np.int64), np.frombuffer(counts, np.uint8)
+
+    def number(self, h: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """Documents of each key as far as the array counts them, 0 for a key that is not in the index."""
+        slot = self.hash.lookup(h.view(np.uint64))
+        out = np.zeros(len(h), np.uint8)
+        known = slot >= 0
+        out[known] = np.where(self.prints[slot[known]] == f[known], self.counts[slot[known]], 0)
+        return out
+
+
+def _least_frequency(counts: DataFrame, most: int) -> int:
+    """The smallest count such that at most ``most`` keys have it or more."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    held = 0
+    lowest = None
+    for row in sorted(counts.groupBy(step.alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("n")).collect(), key=lambda r: -r["b"]):
+        held += row["c"]
+        if held > most:
+            break
+        lowest = row["n"]
+    return lowest if lowest is not None else 1 << 62
+
+
+def _probe_apart(flat: DataFrame, index: DataFrame, shards: int, least: int) -> DataFrame:
+    """(ld_row, at) of the lines (ld_row, at, h, f) that the index counts ``least`` times or more; each shard and its lines meet in one task."""
+    nothing = {c: F.lit(None).cast("long").alias(c) for c in ("ld_row", "at", "h", "f")}
+    arrays = {c: F.lit(None).cast("binary").alias(c) for c in ("mph", "fingerprints", "counts")}
+    first = index.select("shard", F.lit(0).alias("turn"), *nothing.values(), *arrays)
+    rest = flat.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("turn"), "ld_row", F.col("at").cast("long").alias("at"), "h", "f", *arrays.values())
+    dealt = first.union(rest).repartition("shard").sortWithinPartitions("shard", "turn")
+
+    def run(batches):
+        name, found = None, None
+        for batch in batches:
+            shard, turn = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            begin = np.r_[0, np.flatnonzero((np.diff(shard) != 0) | (turn[1:] == 0)) + 1, len(shard)] if len(shard) else [0]
+            for a, b in zip(begin[:-1], begin[1:], strict=True):
+                if turn[a] == 0:
+                    name, found = shard[a], _Shard(*(batch.column(k)[int(a)].as_py() for k in (6, 7, 8)))
+                    a += 1
+                if a < b and shard[a] == name:
+                    part = batch.slice(int(a), int(b - a))
+                    hit = pa.array(found.number(part.column(4).to_numpy(), part.column(5).to_numpy()) >= least)
+                    yield pa.RecordBatch.from_arrays([part.column(2).filter(hit), part.column(3).filter(hit)], names=["ld_row", "at"])
+
+    return dealt.mapInArrow(run, "ld_row long, at long")
+
+
+def drop_repeated_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, max_index_bytes: int = MAX_INDEX_BYTES, keys_per_shard: int = KEYS_PER_SHARD, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with ``text`` cleaned, and ld_n_lines, ld_n_dropped. ``min_docs`` from 2 to 255."""
+    if not 2 <= min_docs <= 255:
+        raise ValueError("min_docs must be between 2 and 255")
+    refuse_columns(docs, ["ld_n_lines", "ld_n_dropped"])
     spark = docs.sparkSession
-    counts = materialize(line_counts(docs, text, min_docs, min_chars), "lines")
-    n_keys = counts.count()
+    counts = materialize(line_counts(docs, text, doc_id, min_chars), "lines")
+    n_keys, most = counts.count(), max_index_bytes // KEY_BYTES
     keyed = _with_keys(docs, text, min_chars)
-    if n_keys * 12 <= max_index_bytes:
-        shards = max(1, -(-n_keys // KEYS_PER_SHARD))
-        index = counts.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-        index = index.groupBy("shard").applyInPandas(_build_shard, "shard int, mph binary, fingerprints binary, counts binary")
-        held = spark.sparkContext.broadcast([(r["shard"], bytes(r["mph"]), bytes(r["fingerprints"]), bytes(r["counts"])) for r in index.toLocalIterator()])
-        loaded: dict = {}
-
-        @F.pandas_udf("array<boolean>")
-        def probe(hashes: pd.Series, prints: pd.Series) -> pd.Series:
-            if not loaded:
-                loaded.update({s: (PerfectHash.load(m), np.frombuffer(f, np.int64), np.frombuffer(c, np.uint8)) for s, m, f, c in held.value})
-                loaded.setdefault(-1, None)
-            sizes = [len(x) for x in hashes]
-            flat_h = np.concatenate([np.asarray(pd.array(x, "Int64").fillna(0) if x.dtype == object or x.dtype.kind == "f" else x, np.int64) for x in hashes]) if sizes else np.zeros(0, np.int64)
-            flat_f = np.concatenate([np.asarray(pd.array(x, "Int64").fillna(0) if x.dtype == object or x.dtype.kind == "f" else x, np.int64) for x in prints]) if sizes else np.zeros(0, np.int64)
-            drop = np.zeros(len(flat_h), bool)
-            shard = flat_h % shards
-            for s, found in loaded.items():
-                if found is None:
-                    continue
+    frequent, rest = (counts, None) if n_keys <= most else (counts.where(F.col("n") >= (limit := _least_frequency(counts, most))), counts.where(F.col("n") < limit))
+    shards = max(1, -(-min(n_keys, most) // keys_per_shard))
+    held = spark.sparkContext.broadcast([(r["shard"], bytes(r["mph"]), bytes(r["fingerprints"]), bytes(r["counts"])) for r in _index(frequent, shards).toLocalIterator()])  # max_index_bytes at most
+    loaded: dict = {}
+
+    @F.pandas_udf("array<boolean>")
+    def probe(hashes: pd.Series, prints: pd.Series) -> pd.Series:
+        if not loaded:
+            loaded.update({s: _Shard(*arrays) for s, *arrays in held.value})
+            loaded.setdefault(-1, None)
+        sizes = [len(x) for x in hashes]
+        flat_h, flat_f = (np.concatenate([np.asarray(x, np.int64) for x in each]) if sizes else np.zeros(0, np.int64) for each in (hashes, prints))
+        drop = np.zeros(len(flat_h), bool)
+        shard = flat_h % shards
+        for s, found in loaded.items():
+            if found is not None:
                 at = np.flatnonzero(shard == s)
-                slot = found[0].lookup(flat_h[at].view(np.uint64))
-                known = slot >= 0
-                good = np.zeros(len(at), bool)
-                good[known] = (found[1][slot[known]] == flat_f[at][known]) & (found[2][slot[known]] >= min(min_docs, 255))
-                drop[at] = good
-            ends = np.cumsum(sizes)
-            return pd.Series([drop[e - n : e] for n, e in zip(sizes, ends, strict=True)])
-
-        zero = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(0).cast("long")))
-        marked = keyed.withColumn("ld_drop", probe(zero("ld_h"), zero("ld_f")))
-        # a short key reads as 0; whatever the index says of 0, it stays
-        marked = marked.withColumn("ld_drop", F.zip_with("ld_h", "ld_drop", lambda h, d: h.isNotNull() & d))
-    else:
-        row = F.monotonically_increasing_id()
-        numbered = materialize(keyed.withColumn("ld_row", row), "numbered")
-        flat = numbered.select("ld_row", F.posexplode(F.arrays_zip("ld_h", "ld_f")).alias("at", "x")).select("ld_row", "at", F.col("x.ld_h").alias("h"), F.col("x.ld_f").alias("f"))
-        gone = flat.join(counts.select("h", "f"), ["h", "f"], "left_semi").groupBy("ld_row").agg(F.collect_set("at").alias("ld_gone"))
+                drop[at] = found.number(flat_h[at], flat_f[at]) >= min_docs
+        ends = np.cumsum(sizes)
+        return pd.Series([drop[e - n : e] for n, e in zip(sizes, ends, strict=True)])
+
+    zero = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(0).cast("long")))
+    marked = keyed.withColumn("ld_drop", probe(zero("ld_h"), zero("ld_f")))
+    # a short key reads as 0; whatever the index says of 0, it stays
+    marked = marked.withColumn("ld_drop", F.zip_with("ld_h", "ld_drop", lambda h, d: h.isNotNull() & d))
+    if rest is not None:
+        numbered = materialize(marked.withColumn("ld_row", F.monotonically_increasing_id()), "numbered")
+        flat = numbered.select("ld_row", F.posexplode(F.arrays_zip("ld_h", "ld_f", "ld_drop")).alias("at", "x")).where("x.ld_h is not null and not x.ld_drop")
+        shards = max(1, -(-(n_keys - min(n_keys, most)) // keys_per_shard))
+        found = _probe_apart(flat.select("ld_row", "at", F.col("x.ld_h").alias("h"), F.col("x.ld_f").alias("f")), _index(rest, shards), shards, min_docs)
+        gone = found.groupBy("ld_row").agg(F.collect_set("at").alias("ld_gone"))
         marked = numbered.join(gone, "ld_row", "left")
-        marked = marked.withColumn("ld_drop", F.transform("ld_h", lambda h, i: F.coalesce(F.array_contains("ld_gone", i), F.lit(False)))).drop("ld_row", "ld_gone")
+        marked = marked.withColumn("ld_drop", F.transform("ld_drop", lambda d, i: d | F.coalesce(F.array_contains("ld_gone", i.cast("long")), F.lit(False)))).drop("ld_row", "ld_gone")
     keep = F.filter("ld_lines", lambda x, i: ~F.coalesce(F.get("ld_drop", i), F.lit(False)))
     out = marked.withColumn("ld_n_lines", F.size("ld_lines").cast("long"))
     out = out.withColumn("ld_n_dropped", F.size(F.filter("ld_drop", lambda d: d)).cast("long"))
