@@ -13,8 +13,9 @@ the sizes of the ranges are summed first, and only the one range in which the
 budget ends is sorted. The draw is a hash of the id, so reruns agree.
 
 Null text has size 0 and is never needed. A null source is a source of its own,
-last in order. Rows with equal ids draw equal keys; ties are ordered by size and
-then text hash. An empty table gives an empty result.
+last in order. Rows with equal ids, null ones included, draw equal keys; ties are
+ordered by size, then text hash, then row, so that each is taken by itself. An
+empty table gives an empty result. Added columns (``mx_*``) must be new.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow_map import refuse_columns
 from .common import SPACE_WORD, materialize
 
 WEIGHT_CYCLE = (1, 2, 3)
 MAX_REPEATS = 3
-RANGES = 4096
+RANGES = 16_384
+#: Tables of one row per source are sent to all tasks up to so many rows, and shuffled beyond.
+BROADCAST_SOURCES = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -73,8 +77,9 @@ def mix_sources(docs: DataFrame, cycle=WEIGHT_CYCLE, max_repeats: float = MAX_RE
     Texts are read once: sizes and keys are written beside the other columns, and
     the three passes that follow read those.
     """
+    refuse_columns(docs, ["mx_size", "mx_source_size", "mx_target", "mx_copies", "mx_taken"])
     text = F.col("text")
-    base = docs.withColumn("mx_size", word_count(text))
+    base = docs.withColumn("mx_size", word_count(text)).withColumn("mx_hash", F.xxhash64(text)).withColumn("mx_row", F.monotonically_increasing_id())
     w = weight if weight is not None else quality_weight(text, F.col("mx_size"))
     base = base.withColumn("mx_key", -F.log(uniform_draw(F.col("doc_id"), seed)) / w)
     # Equal-sized ranges of key / (1 + key), which lies in [0, 1).
@@ -86,7 +91,9 @@ def mix_sources(docs: DataFrame, cycle=WEIGHT_CYCLE, max_repeats: float = MAX_RE
     goal = source_targets(sizes, cycle, max_repeats).select(F.col("source").alias("mx_source"), F.col("source_size").alias("mx_source_size"), F.col("target").alias("mx_target"))
     goal = goal.withColumn("mx_epochs", F.coalesce(F.floor(F.col("mx_target") / F.nullif(F.col("mx_source_size"), F.lit(0))), F.lit(0)).cast("long"))
     goal = goal.withColumn("mx_rest", F.col("mx_target") - F.col("mx_epochs") * F.col("mx_source_size"))
-    goal = F.broadcast(goal)  # one row per source
+    goal = materialize(goal, "goal")  # one row per source
+    few = F.broadcast if goal.count() <= BROADCAST_SOURCES else (lambda table: table)
+    goal = few(goal)
     before = Window.partitionBy("source").orderBy("mx_range").rowsBetween(Window.unboundedPreceding, -1)
     ends = ranges.withColumn("mx_before", F.coalesce(F.sum("mx_range_size").over(before), F.lit(0)))
     ends = ends.join(goal, F.col("source").eqNullSafe(F.col("mx_source")))
@@ -95,32 +102,33 @@ def mix_sources(docs: DataFrame, cycle=WEIGHT_CYCLE, max_repeats: float = MAX_RE
     plan = goal.join(ends.withColumnRenamed("mx_source", "mx_s"), F.col("mx_source").eqNullSafe(F.col("mx_s")), "left").drop("mx_s")
     plan = plan.select("mx_source", "mx_source_size", "mx_target", "mx_epochs", "mx_rest", "mx_end", "mx_end_before")
     # Only the range in which a source's budget ends has to be put in order; its last taken row is the cut.
-    order = F.struct("mx_key", "doc_id", "mx_size")
-    edge = base.select("source", "mx_range", "mx_key", "doc_id", "mx_size").join(F.broadcast(plan.drop("mx_source_size", "mx_target")), F.col("source").eqNullSafe(F.col("mx_source")) & (F.col("mx_range") == F.col("mx_end")))
-    inside = Window.partitionBy("mx_source").orderBy("mx_key", "doc_id", "mx_size").rowsBetween(Window.unboundedPreceding, 0)
+    ties = ["doc_id", "mx_size", "mx_hash", "mx_row"]
+    order = F.struct("mx_key", *ties)
+    edge = base.select("source", "mx_range", "mx_key", *ties).join(few(plan.drop("mx_source_size", "mx_target")), F.col("source").eqNullSafe(F.col("mx_source")) & (F.col("mx_range") == F.col("mx_end")))
+    inside = Window.partitionBy("mx_source").orderBy("mx_key", *ties).rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("mx_run", F.col("mx_end_before") + F.sum("mx_size").over(inside))
-    best = F.struct("mx_size", (-F.col("mx_key")).alias("k"), "doc_id")
+    best = F.struct("mx_size", (-F.col("mx_key")).alias("k"), "doc_id", "mx_hash", "mx_row")
     fits = F.col("mx_run") <= F.col("mx_rest")
     cuts = edge.groupBy("mx_source").agg(
         F.max(F.when(fits, order)).alias("mx_cut"), F.max(F.when(fits, F.col("mx_run"))).alias("mx_cut_run"),
         F.min_by(best, F.when(~fits, order)).alias("mx_next"), F.min(F.when(~fits, F.col("mx_run") - F.col("mx_rest"))).alias("mx_over"),
     ).withColumnRenamed("mx_source", "mx_s")
-    plan = plan.join(F.broadcast(cuts), F.col("mx_source").eqNullSafe(F.col("mx_s")), "left").drop("mx_s")
+    plan = plan.join(few(cuts), F.col("mx_source").eqNullSafe(F.col("mx_s")), "left").drop("mx_s")
     plan = plan.withColumn("mx_left", F.col("mx_rest") - F.coalesce("mx_cut_run", "mx_end_before")).drop("mx_end_before", "mx_cut_run")
     # The next document in order is taken if it overshoots by less than the largest later one that fits leaves open.
     early = F.col("mx_end").isNull() | (F.col("mx_range") < F.col("mx_end"))
     last = (F.col("mx_range") == F.col("mx_end")) & F.coalesce(order <= F.col("mx_cut"), F.lit(False))
-    later = base.select("source", "mx_range", "mx_key", "doc_id", "mx_size").join(F.broadcast(plan.select("mx_source", "mx_end", "mx_cut", "mx_left")), F.col("source").eqNullSafe(F.col("mx_source")))
+    later = base.select("source", "mx_range", "mx_key", *ties).join(few(plan.select("mx_source", "mx_end", "mx_cut", "mx_left")), F.col("source").eqNullSafe(F.col("mx_source")))
     fill = later.where(~(early | last) & (F.col("mx_size") > 0) & (F.col("mx_size") <= F.col("mx_left"))).groupBy("mx_source").agg(F.max(best).alias("mx_fill")).withColumnRenamed("mx_source", "mx_s")
-    plan = plan.join(F.broadcast(fill), F.col("mx_source").eqNullSafe(F.col("mx_s")), "left").drop("mx_s")
+    plan = plan.join(few(fill), F.col("mx_source").eqNullSafe(F.col("mx_s")), "left").drop("mx_s")
     closer = F.col("mx_over") < F.col("mx_left") - F.coalesce(F.col("mx_fill.mx_size"), F.lit(0))
     plan = plan.withColumn("mx_fill", F.when(closer, F.col("mx_next")).otherwise(F.col("mx_fill"))).drop("mx_left", "mx_next", "mx_over")
-    out = base.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("mx_source"))).drop("mx_source")  # one row per source
+    out = base.join(few(plan), F.col("source").eqNullSafe(F.col("mx_source"))).drop("mx_source")  # one row per source
     filled = F.coalesce(best == F.col("mx_fill"), F.lit(False))
     out = out.withColumn("mx_more", (F.col("mx_rest") > 0) & (early | last | filled))
     out = out.withColumn("mx_copies", F.least(F.lit(int(max_repeats)), F.col("mx_epochs") + F.col("mx_more").cast("long")).cast("long"))
     out = out.withColumn("mx_taken", F.col("mx_copies") * F.col("mx_size"))
-    return out.drop("mx_key", "mx_range", "mx_epochs", "mx_rest", "mx_end", "mx_cut", "mx_fill", "mx_more")
+    return out.drop("mx_key", "mx_range", "mx_hash", "mx_row", "mx_epochs", "mx_rest", "mx_end", "mx_cut", "mx_fill", "mx_more")
 
 
 def mix_table(docs: DataFrame) -> DataFrame:
