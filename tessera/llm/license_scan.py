@@ -22,16 +22,44 @@ from .common import ALNUM_RUN, ALNUM_WORD, ascii_lower, let, words_of
 #: Phrases whose places are counted, with their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Label, characteristic wording, mandatory phrases.
+#: Label, wording as lower-cased words, mandatory phrases.
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        ("permission is hereby granted", "free of charge"),
+    ),
     ("apache", "licensed under the apache license version 2 0", ("apache license",)),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        ("in compliance with the license", "limitations under the license"),
+    ),
     ("gpl", "licensed under the gnu general public license", ("general public license",)),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license "
+        "or at your option any later version this program is distributed in the hope that it will be useful but without any warranty",
+        ("general public license", "redistribute it and or modify it"),
+    ),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "source and binary forms")),
+    (
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice "
+        "this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        ("redistributions of source code", "list of conditions"),
+    ),
+    (
+        "bsd",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ("endorse or promote products", "prior written permission"),
+    ),
     ("mpl", "this source code form is subject to the terms of the mozilla public license", ("mozilla public license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by", "this work is licensed under a creative commons attribution license", ("creative commons attribution",)),
 )
 RARE_WORDS = 4
@@ -53,6 +81,18 @@ def rare_index(templates=TEMPLATES, rare_words: int = RARE_WORDS) -> list[tuple[
     return index
 
 
+def gate_words(index, phrases: list[str]) -> list[str]:
+    """Words of which every file with a base phrase or all mandatory phrases of a template holds one, rare ones."""
+    common = {"a", "an", "and", "any", "are", "be", "by", "for", "free", "in", "is", "it", "of", "or", "program", "software", "the", "this", "to", "use", "with", "without", "you", "general", "public", "source", "work"}
+    pick = lambda words: max(words, key=lambda w: (w not in common, len(w), w))
+    sets = [phrase.split() for phrase in phrases] + [" ".join(ps).split() for _, ps, _ in index]
+    found: list[str] = []
+    for words in sorted(sets, key=len):
+        if not set(words) & set(found):
+            found.append(pick(words))
+    return sorted(found)
+
+
 def _stands(norm: Column, phrase: str) -> Column:
     return norm.contains(f" {phrase} ")
 
@@ -74,8 +114,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", base=BASE_PHRASES, templa
     """``docs`` with ls_* columns: n_words, starts (of base phrases), base_labels, labels, score."""
     index = rare_index(templates)
     lowered = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    # Any base phrase or template needs one of these words; most texts have none and stop here.
-    needed = sorted({phrase.split()[-1] for phrase, _ in base} | {ph.split()[0] for _, phrases, _ in index for ph in phrases[:1]})
+    # Any base phrase or template needs one of these words; texts without them stop here.
+    needed = gate_words(index, [phrase for phrase, _ in base])
     longest = [w for w in needed if len(w) > 3]
     short = [w for w in needed if len(w) <= 3]
     gate = F.lit(False)
@@ -97,11 +137,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", base=BASE_PHRASES, templa
     shares = []
     for label, phrases, words in index:
         total = sum(idf for _, _, idf in words)
-        votes = F.filter(
-            F.transform("ls_hits", _voter(words)),
-            lambda v: v["s"].isNotNull(),
-        )
-        best = F.array_max(let(votes, lambda vs: F.transform(F.array_distinct(F.transform(vs, lambda v: v["s"])), lambda s: F.aggregate(F.filter(vs, lambda v: v["s"] == s), F.lit(0.0), lambda a, v: a + v["x"]))))
+        best = _best_start(F.filter(F.transform("ls_hits", _voter(words)), lambda v: v["s"].isNotNull()))
         ready = F.lit(True)
         for phrase in phrases:
             ready = ready & _stands(F.col("ls_norm"), phrase)
@@ -114,6 +150,18 @@ def scan_licenses(docs: DataFrame, text: str = "text", base=BASE_PHRASES, templa
     return out.drop("ls_low", "ls_words", "ls_norm", "ls_hits", "ls_shares")
 
 
+def _best_start(votes: Column) -> Column:
+    """Largest sum of weights on one start: the votes are sorted and folded once."""
+    state = "struct<s:int,x:double,best:double>"
+    zero = F.struct(F.lit(None).cast("int").alias("s"), F.lit(0.0).alias("x"), F.lit(0.0).alias("best")).cast(state)
+
+    def fold(held: Column, vote: Column) -> Column:
+        x = F.when(vote["s"].eqNullSafe(held["s"]), held["x"] + vote["x"]).otherwise(vote["x"])
+        return F.struct(vote["s"].alias("s"), x.alias("x"), F.greatest(held["best"], x).alias("best")).cast(state)
+
+    return F.aggregate(F.array_sort(votes), zero, fold, lambda held: held["best"])
+
+
 def _voter(words: list[tuple[str, int, float]]):
     """Maps a hit to the start that it implies for a template, with the word's IDF."""
 
