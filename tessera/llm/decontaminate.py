@@ -18,6 +18,7 @@ windows hit, but it is not listed.
 from __future__ import annotations
 
 import re
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ from .common import materialize
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+_MANY = -(1 << 31)  # no token
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -78,6 +80,15 @@ class SuffixAutomaton:
         self.near_short = [-1] * len(self.length)
         for state in order:
             self.near_short[state] = state if state in self.short else self.near_short[self.link[state]]
+        self._pack()
+
+    def _pack(self) -> None:
+        """Most states have one transition: flat arrays hold it, and only the others keep a table."""
+        self.only_token = array("i", [next(iter(t)) if len(t) == 1 else _MANY for t in self.next])
+        self.only_next = array("i", [next(iter(t.values())) if len(t) == 1 else -1 for t in self.next])
+        self.many = {state: t for state, t in enumerate(self.next) if len(t) > 1}
+        del self.next
+        self.link, self.length, self.near_short = (array("i", x) for x in (self.link, self.length, self.near_short))
 
     def _extend(self, last: int, token: int, item: int, owner: list[int]) -> int:
         new = len(self.length)
@@ -107,18 +118,20 @@ class SuffixAutomaton:
 
     def stream(self, words: list[bytes]) -> tuple[list[list[int]], set[int]]:
         """Maximal runs [start, end) of hit words, and the numbers of the items they come from."""
-        vocab, nxt, link, length, near = self.vocab.get, self.next, self.link, self.length, self.near_short
+        vocab, link, length, near = self.vocab.get, self.link, self.length, self.near_short
+        only_token, only_next, many, none = self.only_token, self.only_next, self.many, {}
         window, state, size, runs, items = self.window, 0, 0, [], set()
         for i, word in enumerate(words):
             token = vocab(word)
             if token is None:
                 state = size = 0
                 continue
-            to = nxt[state].get(token)
-            while to is None and state:
+            while True:
+                to = only_next[state] if only_token[state] == token else many.get(state, none).get(token)
+                if to is not None or not state:
+                    break
                 state = link[state]
                 size = length[state]
-                to = nxt[state].get(token)
             if to is None:
                 state = size = 0
                 continue
@@ -179,6 +192,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         rows = sorted({(r["item_id"] is None, r["item_id"] or "", r["text"]) for r in part.toLocalIterator()})
         machine = SuffixAutomaton([(None if none else name, word_list(body)) for none, name, body in rows], window)
         held = spark.sparkContext.broadcast(machine)  # at most one shard of the benchmark
+        if shard:
+            out = out.drop("dc_n_words", "dc_text")
         out = append_columns(out, [text] + (["dc_runs", "dc_items"] if shard else []), _ADDED, _matcher(held))
         if shard + 1 < shards:
             out = materialize(out, "benchmark")
