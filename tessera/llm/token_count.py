@@ -192,8 +192,6 @@ class BpeTransducer:
         return ChunkMap(a.head, a.count + self.fragment_count(a.tail + b.head) + b.count, b.tail)
 
     def piece_count(self, text: str) -> int:
-        if len(text) <= CHUNK_CHARS:
-            return self.fragment_count(text)
         maps = [self.chunk_map(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
         while len(maps) > 1:
             maps = [self.compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
