@@ -92,30 +92,46 @@ def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
     return docs.select(*columns) if columns else docs
 
 
+#: A node with more links than this, and than 1/50,000 of all links, is a hub: there are 100,000 hubs at most.
+HUB_LINKS = 1_000
+MAX_HUBS = 100_000
+
+
+def _with_lowest(links: DataFrame, lowest: DataFrame, n_links: int) -> DataFrame:
+    """``links(a, b)`` with the ``m`` of their ``a`` from ``lowest(a, m, n)``, n being the number of links of a.
+
+    The links of a hub stay where they are, as its row goes to all tasks; the others are joined by shuffle.
+    """
+    least = max(HUB_LINKS, 2 * n_links // MAX_HUBS)
+    hubs = F.broadcast(lowest.where(F.col("n") > least).select("a", "m"))  # the degrees sum to 2 * n_links, so MAX_HUBS rows at most, or 2 * n_links / HUB_LINKS
+    others = links.join(hubs, "a", "left_anti").join(lowest.where(F.col("n") <= least).select("a", "m"), "a")
+    return links.join(hubs, "a").union(others)
+
+
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; the component is its smallest node.
 
     Alternates large-star and small-star rewiring. Each round is two grouped
-    minima (combined on the map side) and joins, so a hub with very many
-    neighbours is never gathered in one task; each round is written to the
-    shared folder, so lineage stays short. Links never reach the driver, which
-    only sees one checksum a round.
+    minima (combined on the map side) and joins in which the links of a hub are
+    not gathered; each round is written to the shared folder, so lineage stays
+    short. Links never reach the driver, which only sees one checksum a round.
     """
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    last = None
+    last = (cur.count(),)
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m0")).select("a", F.least("a", "m0").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(cur).where("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        low = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n")), name)
+        large = _with_lowest(both.where("b > a"), low, last[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialize(large.union(cur).where("a > b").distinct(), name)
+        lower = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
+        small = _with_lowest(large, lower, last[0])
+        small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         nxt = materialize(small.where("a > b").distinct(), name)
-        sums = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        cur = nxt
-        if tuple(sums) == last:
+        release(cur, low, large, lower)
+        cur, sums = nxt, tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if sums == last:
             break
-        last = tuple(sums)
+        last = sums
     else:
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
