@@ -144,6 +144,47 @@ def test_mix_targets_and_reruns(spark, docs):
     assert set(docs.columns) < set(mix_sources(docs).columns)
 
 
+@pytest.mark.parametrize("ids", ["null", "cast(id % 2 as int)"])
+def test_rows_of_one_id_are_taken_by_themselves(spark, ids):
+    rows = spark.range(2000).select(F.expr(ids).cast("long").alias("doc_id"), F.lit("w w w w w w w w w w").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
+    for r in mix_table(rows).groupBy("target").agg(F.sum("taken").alias("t")).collect():
+        assert abs(r["t"] - r["target"]) <= 10
+
+
+def test_license_votes_stay_linear(spark):
+    import time
+
+    text = "mit license cc by nc 4 0 " * 16_000
+    began = time.time()
+    row = license_table(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert row["n_base"] == 16_000 and row["base_labels"] == "mit" and time.time() - began < 8
+
+
+def test_license_labels_against_plain_counting(spark):
+    from tessera.llm.license_scan import MIN_AGREEMENT, RARE_WORDS, TEMPLATES, gate_words, rare_index
+
+    assert "with" not in gate_words(rare_index(), [])
+    split = [t.split() for _, t, _ in TEMPLATES]
+    idf = {w: math.log((1 + len(split)) / sum(w in t for t in split)) for t in split for w in t}
+
+    def want(_, text):
+        words = ALNUM.findall(low(text))
+        norm, found = f" {' '.join(words)} ", set()
+        for (label, _, phrases), t in zip(TEMPLATES, split, strict=True):
+            rare = sorted(set(t), key=lambda w: (-idf[w], t.index(w)))[:RARE_WORDS]
+            if all(f" {p} " in norm for p in phrases):
+                mass = max((sum(idf[w] for w in rare if 0 <= s + t.index(w) < len(words) and words[s + t.index(w)] == w) for s in range(-len(t), len(words))), default=0)
+                found |= {label} if mass / sum(idf[w] for w in rare) >= MIN_AGREEMENT else set()
+        for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")):
+            found |= {label} if f" {phrase} " in norm else set()
+        return (",".join(sorted(found)),)
+
+    rows = [(k, f"Some text; {t}. More {' '.join(p)}") for k, (_, t, p) in enumerate(TEMPLATES)] + [(50 + k, " ".join(w for i, w in enumerate(t) if i % 3)) for k, t in enumerate(split)]
+    rows += [(90, "with or without fee"), (91, "free of charge, permission is hereby granted"), (92, None), (93, "this list of conditions; Redistributions of source code")]
+    got = table(license_table(frame(spark, rows)), "labels")
+    assert got == by_row(want, rows) and {"bsd", "isc", "mpl", "cc-by"} <= {x for r in got for x in r[1].split(",")}
+
+
 # ------------------------------------------------------------------ lines
 
 
@@ -154,20 +195,44 @@ def test_perfect_hash():
     assert len(PerfectHash.build(np.zeros(0, np.uint64)).lookup(keys)) == len(keys)
 
 
-@pytest.mark.parametrize("most", [1 << 20, 0])
-def test_line_dedup(docs, most):
+@pytest.mark.parametrize(("most", "shard"), [(1 << 20, 200_000), (60, 3), (0, 2)])
+def test_line_dedup(docs, most, shard):
+    out = drop_repeated_lines(docs, max_index_bytes=most, keys_per_shard=shard)
+    out = out.select("doc_id", "ld_n_lines", "ld_n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("d"), "mark", "h")
+    assert table(out, "ld_n_lines", "ld_n_dropped", "d") == by_row(brute_lines(DOCS))
+    assert sum(r["ld_n_dropped"] for r in out.collect()) >= 30
+
+
+def brute_lines(rows):
     key = lambda x: low(x.strip(" \t\n\r\x0b\x0c"))
-    df = Counter(k for _, t in DOCS for k in {key(x) for x in (t or "").split("\n")})
+    ids = defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            ids[key(x)] |= {i} - {None}
 
     def want(_, t):
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not (key(x) and df[key(x)] >= 10)]
+        kept = [x for x in lines if not (key(x) and len(ids[key(x)]) >= 10)]
         return len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()
 
-    out = drop_repeated_lines(docs, max_index_bytes=most)
-    out = out.select("doc_id", "ld_n_lines", "ld_n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("d"), "mark", "h")
-    assert table(out, "ld_n_lines", "ld_n_dropped", "d") == by_row(want)
-    assert sum(r["ld_n_dropped"] for r in out.collect()) >= 30
+    return want
+
+
+def test_a_document_counts_once_for_a_line(spark):
+    rows = [(1, f"shared\nown {k}") for k in range(12)] + [(None, "shared")] * 12 + [(k, "other\nshared") for k in range(2, 10)]
+    assert table(line_table(frame(spark, rows)), "n_lines", "n_dropped", "kept_sha256") == by_row(brute_lines(rows), rows)
+    rows += [(10, " SHARED ")]
+    got = table(line_table(frame(spark, rows)), "n_lines", "n_dropped", "kept_sha256")
+    assert got == by_row(brute_lines(rows), rows) and sum(r[2] for r in got) == 33
+
+
+def test_names_that_would_be_replaced_are_refused(docs):
+    with pytest.raises(ValueError, match="ld_n_lines"):
+        drop_repeated_lines(docs.withColumn("LD_N_LINES", F.lit(1)))
+    with pytest.raises(ValueError, match="mx_size"):
+        mix_sources(docs.withColumn("mx_size", F.lit(1)))
+    with pytest.raises(ValueError, match="dc_runs"):
+        find_contamination(docs.withColumn("dc_runs", F.lit(1)), items(docs.sparkSession))
 
 
 # ------------------------------------------------------------------ near duplicates
