@@ -22,16 +22,25 @@ def _types(s: np.ndarray) -> np.ndarray:
 
 def _put(order: np.ndarray, edge: np.ndarray, found: np.ndarray, s: np.ndarray, step: int) -> None:
     """Place positions at the edges of their buckets, one after another, and move the edges on."""
-    if not len(found):
+    n = len(found)
+    if n < 2:
+        if n:
+            c = s[found[0]]
+            order[edge[c] - (step < 0)] = found[0]
+            edge[c] += step
         return
     letters = s[found]
-    by = np.argsort(letters, kind="stable")
+    by = letters.argsort(kind="stable")
     letters = letters[by]
-    begin = np.r_[0, np.flatnonzero(letters[1:] != letters[:-1]) + 1]
-    count = np.diff(np.r_[begin, len(letters)])
+    inner = np.flatnonzero(letters[1:] != letters[:-1])
+    begin = np.zeros(len(inner) + 2, np.int64)
+    begin[1:-1], begin[-1] = inner + 1, n
+    count, begin = begin[1:] - begin[:-1], begin[:-1]
     at = letters[begin]
-    first = edge[at] - (step < 0)
-    order[np.repeat(first - step * begin, count) + step * np.arange(len(letters))] = found[by]
+    first = edge[at] - step * begin - (step < 0)
+    place = np.arange(n) if step > 0 else np.arange(0, -n, -1)
+    place += np.repeat(first, count)
+    order[place] = found[by]
     edge[at] += step * count
 
 
@@ -40,14 +49,17 @@ def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray
     size = np.bincount(s)
     ends = np.cumsum(size)
     starts = ends - size
-    order = np.empty(len(s), np.int64)
+    order = np.empty(len(s), np.int32 if len(s) < 1 << 31 else np.int64)
     tails = ends - np.bincount(s[seeds], minlength=len(size))
     _put(order, tails.copy(), seeds, s, 1)
     heads, present = starts.copy(), np.flatnonzero(size).tolist()
+    # the last suffix stands before none, so its place serves the one before the first, which is to be left out
+    up, down = ~smaller, smaller.copy()
+    up[-1] = down[-1] = False
 
     def forward(todo):
-        before = todo[todo > 0] - 1
-        _put(order, heads, before[~smaller[before]], s, 1)
+        before = todo - 1
+        _put(order, heads, before[up[before]], s, 1)
 
     for c in present:  # left to right: larger suffixes at the heads of their buckets
         at = starts[c]
@@ -61,8 +73,8 @@ def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray
     order[tails[s[-1]]] = len(s) - 1
 
     def backward(todo):
-        before = todo[todo > 0] - 1
-        _put(order, tails, before[smaller[before]], s, -1)
+        before = todo - 1
+        _put(order, tails, before[down[before]], s, -1)
 
     for c in reversed(present):  # right to left: smaller suffixes at the tails
         at = ends[c]
@@ -99,7 +111,8 @@ def _names(s: np.ndarray, seeds: np.ndarray, order: np.ndarray) -> tuple[np.ndar
     length = end[order] - order
     fresh = (print_[1:] != print_[:-1]) | (length[1:] != length[:-1])
     name = np.empty(n, np.int64)
-    name[order] = np.concatenate([[0], np.cumsum(fresh)])
+    name[order[0]] = 0
+    name[order[1:]] = np.cumsum(fresh)
     return name[seeds], int(fresh.sum()) + 1
 
 

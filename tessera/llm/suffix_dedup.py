@@ -9,11 +9,13 @@ repeat is left out first, without losing a repeat:
    once can repeat. Neighbouring windows share anchors: an anchor stands for one
    range of window starts.
 2. Ranges with equal bytes are counted and one of each is fetched from the texts.
-   The ranges of one anchor form a group; groups are dealt out by anchor and
-   packed into shards of ``SHARD_BYTES``.
-3. In a shard the suffix array is made by recursive induced sorting, and permuted
-   common prefixes, carried in text order, tell which windows repeat. A window of
-   a range that occurs more than once repeats in any case.
+   The ranges of one anchor form a group, and groups are dealt out by anchor. A
+   range that occurs more than once repeats as a whole. Of the others only the
+   windows go on whose common part with up to ``WIDTH`` - 1 neighbours stands in
+   another range of the group too; a group of one range has nothing to compare.
+3. What goes on is packed into shards of ``SHARD_BYTES``. In a shard the suffix
+   array is made by recursive induced sorting, and permuted common prefixes,
+   carried in text order, tell which windows repeat.
 4. A group of more than ``GROUP_BYTES``, such as a frequent phrase in ever new
    surroundings, is in no one place: its windows are counted by their hashes.
 5. Window runs become byte spans of their texts, and the spans are cut out.
@@ -21,7 +23,8 @@ repeat is left out first, without losing a repeat:
 The plan is the same at every size. Texts are known by a 64-bit hash, so copies
 share their spans. Null and empty texts have no bytes; texts shorter than
 ``length`` stay whole. Spans that overlap or touch are one run. Cuts are made in
-bytes and may part a character. Added columns (``sd_*``) must be new.
+bytes and may part a character. Input columns of added names
+(``sd_*``) are kept as ``<name>_in``.
 """
 
 from __future__ import annotations
@@ -32,15 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_map import append_columns, give_back
+from .arrow_map import append_columns, give_back, make_room
 from .common import materialize, release
 from .shingles import mix64
 from .suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 200
 GRAM = 40
-SHARD_BYTES = 1 << 20
-GROUP_BYTES = 1 << 20
+WIDTH = 41
+SHARD_BYTES = 3 << 20
+GROUP_BYTES = 1 << 18
 SLICE_BYTES = 1 << 20
 LONG_BYTES = 1 << 26  # longer texts are read in pieces that overlap by a window less one byte
 _POSITION_BITS = 28
@@ -131,20 +135,20 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for rows, offsets, part in _slices(batch.column(1).to_pylist(), length):
-                text, h, r, lo, hi, _ = anchors(part, length)
+                text, h, r, lo, hi, at = anchors(part, length)
                 more = offsets[text]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(r), pa.array(keys[rows[text]]), pa.array((lo + more).astype(np.int32)), pa.array((hi + more).astype(np.int32))], names=["h", "r", "t", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(r), pa.array(keys[rows[text]]), pa.array((lo + more).astype(np.int32)), pa.array((hi + more).astype(np.int32)), pa.array((at - lo).astype(np.int32))], names=["h", "r", "t", "lo", "hi", "at"])
         give_back()
 
-    return texts.mapInArrow(run, "h long, r long, t long, lo int, hi int")
+    return texts.mapInArrow(run, "h long, r long, t long, lo int, hi int, at int")
 
 
 def _pieces(bodies: DataFrame, length: int) -> DataFrame:
-    """(h, r, n, large, seg): the bytes of each wanted range; a range may come from copies in several tasks.
+    """(h, r, n, large, at, seg): the bytes of each wanted range; a range may come from copies in several tasks.
 
-    ``bodies`` is (t, body, want): want holds (h, r, n, large, lo, hi).
+    ``bodies`` is (t, body, want): want holds (h, r, n, large, lo, hi, at).
     """
-    kinds = {"h": pa.int64(), "r": pa.int64(), "n": pa.int64(), "large": pa.bool_(), "seg": pa.binary()}
+    kinds = {"h": pa.int64(), "r": pa.int64(), "n": pa.int64(), "large": pa.bool_(), "at": pa.int32(), "seg": pa.binary()}
 
     def run(batches):
         seen: set[int] = set()
@@ -156,17 +160,17 @@ def _pieces(bodies: DataFrame, length: int) -> DataFrame:
                 seen.add(t.as_py())
                 data = body.as_py().encode()
                 for w in want.as_py():
-                    for c in ("h", "r", "n", "large"):
+                    for c in ("h", "r", "n", "large", "at"):
                         rows[c].append(w[c])
                     rows["seg"].append(data[w["lo"] : w["hi"] + length])
             yield pa.RecordBatch.from_arrays([pa.array(rows[c], k) for c, k in kinds.items()], names=list(kinds))
         give_back()
 
-    return bodies.mapInArrow(run, "h long, r long, n long, large boolean, seg binary")
+    return bodies.mapInArrow(run, "h long, r long, n long, large boolean, at int, seg binary")
 
 
-def repeated_windows(segments: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each segment a mask over its windows: which stand in another segment, or occur more than once with their range.
+def repeated_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
+    """For each segment a mask over its windows: which stand in another segment, or there again.
 
     All windows of ``segments`` are different places of the texts.
     """
@@ -179,7 +183,7 @@ def repeated_windows(segments: list[bytes], counts: np.ndarray, length: int) ->
     mark = np.zeros(len(letters) + 1, np.int8)
     mark[offset] = 1
     mark[offset + sizes - length + 1] -= 1
-    is_start = np.cumsum(mark[:-1]).astype(bool)
+    is_start = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
     order = suffix_array(letters)
     prefix = permuted_common_prefixes(letters, order, length)
     # the common prefix of two starts is the least of those between them in suffix order
@@ -189,37 +193,86 @@ def repeated_windows(segments: list[bytes], counts: np.ndarray, length: int) ->
     repeats = np.zeros(len(letters), bool)
     repeats[found[1:][same]] = True
     repeats[found[:-1][same]] = True
-    return [repeats[o : o + n - length + 1] | (c > 1) for o, n, c in zip(offset, sizes, counts, strict=True)]
+    return [repeats[o : o + n - length + 1] for o, n in zip(offset, sizes, strict=True)]
+
+
+def _alike(group: list[tuple], length: int) -> list[tuple[tuple, int, int]]:
+    """(range, first window, last window) of what may repeat in a group of ranges (h, r, n, at, seg).
+
+    Windows whose distance to the anchor lies in one class of ``WIDTH`` share a
+    part; a window can only repeat if that part stands in another range as well.
+    """
+    if len(group) < 2 or all(x[2] > 1 for x in group):
+        return []
+    seen: dict[tuple[int, bytes], int] = {}
+    parts = []
+    for x in group:
+        at, seg = x[3], x[4]
+        first, last = at - (len(seg) - length), at  # distances of the last and the first window
+        own = []
+        for c in range(first // WIDTH, last // WIDTH + 1):
+            near, far = c * WIDTH, c * WIDTH + WIDTH - 1
+            key = (c, seg[at - near : at - min(far, length - GRAM) + length])
+            seen[key] = seen.get(key, 0) + 1
+            own.append((at - min(far, last), at - max(near, first), key))
+        parts.append(own)
+    out: list[tuple[tuple, int, int]] = []
+    for x, own in zip(group, parts, strict=True):
+        run = None
+        for a, b, key in reversed(own):  # in the order of the windows
+            if seen[key] > 1:
+                run = (run[0], b) if run else (a, b)
+            elif run:
+                out.append((x, *run))
+                run = None
+        if run:
+            out.append((x, *run))
+    return out
 
 
 def _sorted_shards(pieces: DataFrame, length: int) -> DataFrame:
-    """Repeated window runs (h, r, x, y), relative to the range, of the ``pieces`` (h, r, n, seg), which are sorted by h and r."""
+    """Repeated window runs (h, r, x, y), relative to the range, of the ``pieces`` (h, r, n, at, seg), which are sorted by h and r."""
 
     def run(batches):
+        rows: list[tuple] = []
         held: list[tuple] = []
-        size, last = 0, (None, None)
+        group: list[tuple] = []
+        size = 0
+
+        def end_group():
+            nonlocal size
+            rows.extend((x[0], x[1], 0, len(x[4]) - length) for x in group if x[2] > 1)
+            found = _alike(group, length)
+            held.extend(found)
+            size += sum(b - a + length + 8 for _, a, b in found)
+            group.clear()
 
         def close():
-            masks = repeated_windows([x[3] for x in held], np.array([x[2] for x in held]), length)
-            rows = []
-            for (h, r, _, _), mask in zip(held, masks, strict=True):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                rows += [(h, r, int(x), int(y) - 1) for x, y in zip(edge[::2], edge[1::2], strict=True)]
+            nonlocal size
+            if held:
+                masks = repeated_windows([x[4][a : b + length] for x, a, b in held], length)
+                for (x, a, _), mask in zip(held, masks, strict=True):
+                    if x[2] == 1:
+                        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).tolist()
+                        rows.extend((x[0], x[1], a + y, a + z - 1) for y, z in zip(edge[::2], edge[1::2], strict=True))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "r", "x", "y"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "r", "x", "y"])
+            rows.clear()
+            held.clear()
+            size = 0
+            return batch
 
         for batch in batches:
-            for row in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                if row[:2] == last:
+            for row in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                if group and group[-1][:2] == row[:2]:
                     continue  # the same range from another copy
-                if size > SHARD_BYTES and row[0] != last[0]:
-                    yield close()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3]) + 8
-                last = row[:2]
-        if held:
-            yield close()
+                if group and group[-1][0] != row[0]:
+                    end_group()
+                    if size > SHARD_BYTES or len(rows) > 100_000:
+                        yield close()
+                group.append(row)
+        end_group()
+        yield close()
         give_back()
 
     return pieces.mapInArrow(run, "h long, r long, x int, y int")
@@ -250,16 +303,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     # Both sides of each join below are tables and its result is written at once, so Spark can split a frequent key.
     found = materialize(rows.join(known, "h"), "found")
     release(rows, known)
-    ranges = materialize(found.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(F.struct("t", "lo", "hi")).alias("x")).select("h", "r", "n", "x.*"), "ranges")
+    ranges = materialize(found.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(F.struct("t", "lo", "hi", "at")).alias("x")).select("h", "r", "n", "x.*"), "ranges")
     size = F.sum(F.col("hi") - F.col("lo") + length)
     large = materialize(ranges.groupBy("h").agg(size.alias("size")).where(F.col("size") > GROUP_BYTES).select("h", F.lit(True).alias("large")), "large")
     any_large = large.limit(1).count() > 0
     marked = ranges.join(large, "h", "left") if any_large else ranges.withColumn("large", F.lit(False))
-    item = F.struct("h", "r", "n", F.coalesce("large", F.lit(False)).alias("large"), "lo", "hi")
+    item = F.struct("h", "r", "n", F.coalesce("large", F.lit(False)).alias("large"), "lo", "hi", "at")
     want = materialize(marked.groupBy("t").agg(F.collect_list(item).alias("want")), "want")
     pieces = materialize(_pieces(texts.join(want.hint("shuffle_hash"), "t").select("t", "body", "want"), length), "pieces")
     release(ranges, want)
-    shards = pieces.where("not large").select("h", "r", "n", "seg").repartition("h").sortWithinPartitions("h", "r")
+    shards = pieces.where("not large").select("h", "r", "n", "at", "seg").repartition("h").sortWithinPartitions("h", "r")
     runs = _sorted_shards(shards, length)
     if any_large:
         windows = materialize(_window_hashes(pieces.where("large").select("h", "r", "n", "seg"), length), "windows")
@@ -286,6 +339,7 @@ def _merge(starts: list[dict] | None) -> list[list[int]]:
 
 def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with sd_n_bytes, sd_spans (byte ranges that go) and sd_kept (the remaining bytes)."""
+    docs = make_room(docs, ["sd_t", "sd_starts", "sd_n_bytes", "sd_spans", "sd_kept"])
     spans = repeated_spans(docs, text, length)
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     joined = docs.withColumn("sd_t", key).join(spans.withColumnRenamed("t", "sd_t").hint("shuffle_hash"), "sd_t", "left").drop("sd_t")
