@@ -17,11 +17,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 ROWS = 1024
 
 
-def refuse_columns(df: DataFrame, names: list[str]) -> None:
-    """An input column that an operator would replace is an error, not a loss."""
-    taken = {n.lower() for n in names} & {c.lower() for c in df.columns}
-    if taken:
-        raise ValueError(f"columns of these names are added and must not be there before: {sorted(taken)}")
+def make_room(df: DataFrame, names: list[str]) -> DataFrame:
+    """Input columns of these names, whatever their case, are kept as ``<name>_in``."""
+    wanted, have = {n.lower() for n in names}, {c.lower() for c in df.columns}
+    out = []
+    for c in df.columns:
+        new = c
+        while c.lower() in wanted and new.lower() in have | wanted:
+            new += "_in"
+        have.add(new.lower())
+        out.append(new)
+    return df.toDF(*out) if out != df.columns else df
 
 
 def give_back() -> None:
@@ -38,9 +44,9 @@ def append_columns(df: DataFrame, inputs: list[str], added: T.StructType, make:
     ``make()`` is called once per task and returns a function from the input
     columns, as Arrow arrays, to one list of values per added column. The other
     columns pass through untouched. An added column may replace one of ``inputs``;
-    any other column of its name is refused, whatever its case.
+    any other column of its name is kept as ``<name>_in``.
     """
-    refuse_columns(df, [n for n in added.names if n not in inputs])
+    df = make_room(df, [n for n in added.names if n not in inputs])
     schema = T.StructType([*[f for f in df.schema.fields if f.name not in added.names], *added.fields])
     kept = [f.name for f in df.schema.fields if f.name not in added.names]
     kinds = [to_arrow_type(f.dataType) for f in added.fields]

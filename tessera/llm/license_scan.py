@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_map import make_room
 from .common import ALNUM_RUN, ALNUM_WORD, ascii_lower, let, words_of
 
 #: Phrases whose places are counted, with their labels.
@@ -112,6 +113,7 @@ def _starts(words: Column, phrase: str) -> Column:
 
 def scan_licenses(docs: DataFrame, text: str = "text", base=BASE_PHRASES, templates=TEMPLATES) -> DataFrame:
     """``docs`` with ls_* columns: n_words, starts (of base phrases), base_labels, labels, score."""
+    docs = make_room(docs, ["ls_n_words", "ls_starts", "ls_base", "ls_labels", "ls_score"])
     index = rare_index(templates)
     lowered = ascii_lower(F.coalesce(F.col(text), F.lit("")))
     # Any base phrase or template needs one of these words; texts without them stop here.

@@ -18,7 +18,8 @@ its hashes come together; as frequent keys are answered before, no shard meets a
 key that holds a large share of all lines.
 
 Null text counts as one empty line, as does empty text. Keys shorter than
-``min_chars`` stay. Added columns (``ld_*``) must be new.
+``min_chars`` stay. Input columns of added
+names (``ld_*``) are kept as ``<name>_in``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_map import refuse_columns
+from .arrow_map import make_room
 from .common import ascii_lower, materialize
 
 MIN_DOCS = 10
@@ -198,7 +199,7 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN
     """``docs`` with ``text`` cleaned, and ld_n_lines, ld_n_dropped. ``min_docs`` from 2 to 255."""
     if not 2 <= min_docs <= 255:
         raise ValueError("min_docs must be between 2 and 255")
-    refuse_columns(docs, ["ld_n_lines", "ld_n_dropped"])
+    docs = make_room(docs, ["ld_n_lines", "ld_n_dropped"])
     spark = docs.sparkSession
     counts = materialize(line_counts(docs, text, doc_id, min_chars), "lines")
     n_keys, most = counts.count(), max_index_bytes // KEY_BYTES

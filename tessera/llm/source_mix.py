@@ -15,7 +15,8 @@ budget ends is sorted. The draw is a hash of the id, so reruns agree.
 Null text has size 0 and is never needed. A null source is a source of its own,
 last in order. Rows with equal ids, null ones included, draw equal keys; ties are
 ordered by size, then text hash, then row, so that each is taken by itself. An
-empty table gives an empty result. Added columns (``mx_*``) must be new.
+empty table gives an empty result. Input columns of added names (``mx_*``) are kept
+as ``<name>_in``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_map import refuse_columns
+from .arrow_map import make_room
 from .common import SPACE_WORD, materialize
 
 WEIGHT_CYCLE = (1, 2, 3)
@@ -77,7 +78,7 @@ def mix_sources(docs: DataFrame, cycle=WEIGHT_CYCLE, max_repeats: float = MAX_RE
     Texts are read once: sizes and keys are written beside the other columns, and
     the three passes that follow read those.
     """
-    refuse_columns(docs, ["mx_size", "mx_source_size", "mx_target", "mx_copies", "mx_taken"])
+    docs = make_room(docs, ["mx_size", "mx_source_size", "mx_target", "mx_copies", "mx_taken"])
     text = F.col("text")
     base = docs.withColumn("mx_size", word_count(text)).withColumn("mx_hash", F.xxhash64(text)).withColumn("mx_row", F.monotonically_increasing_id())
     w = weight if weight is not None else quality_weight(text, F.col("mx_size"))

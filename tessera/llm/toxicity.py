@@ -14,7 +14,9 @@ the hardest units of clean texts, which are picked anew in each round. A logisti
 
 Null and empty texts have no units and get the lowest value. Units longer than
 the kernel's width are read in overlapping pieces, whole texts included. Without
-labels of both kinds all scores are 0. Repeated label rows count as toxic if one is.
+labels of both kinds all scores are 0. Repeated label rows count as toxic if one is;
+of rows with one id the smallest text is learned from. An input column ``tx_score``
+is kept as ``tx_score_in``.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_map import append_columns
+from .arrow_map import append_columns, make_room
 from .common import hash_remainder
-from .string_kernel import OVERLAP, PIECE, encode, subsequence_kernel
+from .string_kernel import OVERLAP, PIECE, encode, sparse_kernel, subsequence_kernel
 
 #: The classifier is fitted on at most this many labelled texts of each class (smallest id hashes), none longer than MAX_CHARS.
 MAX_TEXTS = 900
@@ -39,7 +41,7 @@ CLEAN_LANDMARKS = 8
 MIN_LANDMARK, MAX_LANDMARK = 5, 12
 ROUNDS = 4
 VARIANTS = 20
-KNOWN_UNITS = 300_000
+KNOWN_UNITS = 200_000
 
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _INSIDE = re.compile(r"[\W_]+")
@@ -79,10 +81,10 @@ class KernelSvm:
         """Kernel values with the landmarks, on the landmarks' scale."""
         out = np.zeros((len(strings), len(self.codes)), np.float32)
         order = np.argsort([len(s) for s in strings], kind="stable")
-        for at in range(0, len(order), 512):
-            part = order[at : at + 512]
+        for at in range(0, len(order), 4096):
+            part = order[at : at + 4096]
             chosen = [strings[i] for i in part]
-            out[part] = subsequence_kernel(encode(chosen, len(chosen[-1])), self.codes) / self.scale
+            out[part] = sparse_kernel(encode(chosen, len(chosen[-1])), self.codes) / self.scale
         return out
 
     def fit(self, positive: np.ndarray, weight: np.ndarray, negative: np.ndarray, penalty: float = 1e-4, steps: int = 60) -> None:
@@ -206,15 +208,15 @@ def training_texts(docs: DataFrame, labels: DataFrame, text: str = "text", limit
     for kind in (1, 0):
         ids = marks.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id")
         found = docs.select("doc_id", F.col(text).alias("tx_text")).where(F.length("tx_text").between(1, MAX_CHARS))
-        found = found.join(F.broadcast(ids), "doc_id", "left_semi").select("tx_text")  # at most ``limit`` ids
-        out.append(sorted(r["tx_text"] for r in found.limit(2 * limit).toLocalIterator()))
+        found = found.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("tx_text").alias("tx_text"))  # at most ``limit`` ids
+        out.append(sorted(r["tx_text"] for r in found.toLocalIterator()))
     return out[0], out[1]
 
 
 def score_toxicity(docs: DataFrame, model: KernelSvm | None, text: str = "text") -> DataFrame:
     """``docs`` with tx_score."""
     if model is None:
-        return docs.withColumn("tx_score", F.lit(0.0))
+        return make_room(docs, ["tx_score"]).withColumn("tx_score", F.lit(0.0))
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few landmarks
 
     def make():

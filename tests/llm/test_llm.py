@@ -21,7 +21,7 @@ from tessera.llm.near_dedup import band_keys, keep_one_per_group, near_duplicate
 from tessera.llm.quality_rules import quality_table
 from tessera.llm.shingles import shingle_sets
 from tessera.llm.source_mix import mix_sources, mix_table, source_targets
-from tessera.llm.string_kernel import encode, subsequence_kernel
+from tessera.llm.string_kernel import common_subsequence_lengths, encode, sparse_kernel, subsequence_kernel
 from tessera.llm.suffix_array import permuted_common_prefixes, suffix_array
 from tessera.llm.suffix_dedup import repeat_table
 from tessera.llm.token_count import token_table
@@ -226,13 +226,15 @@ def test_a_document_counts_once_for_a_line(spark):
     assert got == by_row(brute_lines(rows), rows) and sum(r[2] for r in got) == 33
 
 
-def test_names_that_would_be_replaced_are_refused(docs):
-    with pytest.raises(ValueError, match="ld_n_lines"):
-        drop_repeated_lines(docs.withColumn("LD_N_LINES", F.lit(1)))
-    with pytest.raises(ValueError, match="mx_size"):
-        mix_sources(docs.withColumn("mx_size", F.lit(1)))
-    with pytest.raises(ValueError, match="dc_runs"):
-        find_contamination(docs.withColumn("dc_runs", F.lit(1)), items(docs.sparkSession))
+def test_columns_of_added_names_are_kept(docs):
+    def kept(out, name):
+        assert {r[f"{name}_in"] for r in out.collect()} == {7}
+
+    kept(drop_repeated_lines(docs.withColumn("LD_N_LINES", F.lit(7))), "LD_N_LINES")
+    kept(mix_sources(docs.withColumn("mx_size", F.lit(7))), "mx_size")
+    kept(find_contamination(docs.withColumn("dc_runs", F.lit(7)), items(docs.sparkSession)), "dc_runs")
+    kept(score_toxicity(docs.withColumn("tx_score", F.lit(7)), None), "tx_score")
+    kept(suffix_dedup.cut_repeats(docs.where("doc_id < 5").withColumn("sd_kept", F.lit(7))), "sd_kept")
 
 
 # ------------------------------------------------------------------ near duplicates
@@ -379,7 +381,7 @@ def brute_spans(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("shard", "group", "long"), [(1 << 20, 1 << 20, 1 << 26), (2000, 1 << 20, 500), (2000, 600, 1 << 26)])
+@pytest.mark.parametrize(("shard", "group", "long"), [(3 << 20, 1 << 18, 1 << 26), (2000, 1 << 20, 500), (2000, 600, 1 << 26)])
 def test_suffix_dedup(spark, monkeypatch, shard, group, long):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
@@ -534,6 +536,27 @@ def test_kernel_against_enumeration():
             assert k[i, j] == pytest.approx(sum(v * fb.get(x, 0) for x, v in fa.items()), abs=1e-5)
 
 
+def test_sparse_kernel_leaves_nothing_out():
+    rng = np.random.default_rng(9)
+    left, right = (["".join(rng.choice(list("abcdefghö"), rng.integers(1, 13))) for _ in range(n)] for n in (700, 30))
+    a, b = encode(left, 12), encode(right, 12)
+    whole = subsequence_kernel(a, b)
+    assert np.allclose(sparse_kernel(a, b), whole, rtol=1e-4, atol=1e-6) and (whole == 0).any() and (whole > 0).any()
+
+    def common(s, t):
+        row = [0] * (len(t) + 1)
+        for x in s:
+            row = [0] + [0] * len(t) if not row else row
+            new = [0]
+            for k, y in enumerate(t):
+                new.append(max(new[-1], row[k + 1], row[k] + (x == y)))
+            row = new
+        return row[-1]
+
+    lengths = common_subsequence_lengths(a, b)
+    assert all(lengths[i, j] == common(left[i], right[j]) for i in range(0, 700, 9) for j in range(30))
+
+
 def test_toxicity_finds_gapped_words(spark):
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("aeioubcdmnrst"), rng.integers(3, 9))) for _ in range(400)]
