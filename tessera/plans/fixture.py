@@ -1,0 +1,26 @@
+"""Small tables given in place, for operators whose inputs the supplied tables don't hold."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def rows(spark: SparkSession, schema: str, values: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(values, schema)
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, (int, float)):
+        return repr(value)
+    if isinstance(value, (list, tuple)):
+        return "[" + ", ".join(map(_literal, value)) + "]"
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def values(name: str, columns: str, data: list[tuple]) -> str:
+    """The same rows as a named SQL table."""
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in data) + ")"

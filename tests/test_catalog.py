@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import catalog, reports  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages benchmark labels conversations lineitem orders"
