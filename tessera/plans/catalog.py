@@ -746,9 +746,3 @@ def roster_equality(spark, d):
 def context_windows(spark, d):
     docs = table(spark, d, "documents").where(F.length("text") >= 100).withColumn("p", F.floor(F.length("text") / 2).cast("int"))
     return docs.select("doc_id", text.context_window(F.col("text"), F.col("p"), F.col("p") + 20).alias("context"))
-
-
-@register("SELECT source, count(*) AS n, max(n_chars) AS longest, sum(n_chars)::BIGINT AS chars, round(max(n_chars) / sum(n_chars), 6) AS top_share FROM documents GROUP BY source")
-def source_concentration(spark, d):
-    by = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"), F.sum("n_chars").alias("chars"))
-    return by.withColumn("top_share", F.round(F.col("longest") / F.col("chars"), 6))
