@@ -24,3 +24,8 @@ def _literal(value) -> str:
 def values(name: str, columns: str, data: list[tuple]) -> str:
     """The same rows as a named SQL table."""
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in data) + ")"
+
+
+def expected(columns: str, data: list[tuple]) -> str:
+    """SQL that gives rows worked out by hand."""
+    return f"WITH {values('t', columns, data)} SELECT * FROM t"
