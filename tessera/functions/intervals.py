@@ -24,7 +24,14 @@ def overlap_chars(rows: DataFrame, keys: list[str], start: str = "s", end: str =
 
 
 def covered_spans(spans: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``spans`` (keys, span_id, gs, ge) with ``covered``: whether the union of ``rows`` (keys, s, e) holds the span whole."""
-    merged = islands(rows, keys)
-    hit = spans.join(merged, keys).where("s <= gs and e >= ge").select(*keys, "span_id").distinct().withColumn("_hit", F.lit(True))
+    """``spans`` (keys, span_id, gs, ge) with ``covered``: whether the union of ``rows`` (keys, s, e) holds the span whole.
+
+    Islands don't overlap, so only the last one that starts at or before a span can
+    hold it: one ordered pass over islands and spans of a key.
+    """
+    ends = islands(rows, keys).select(*keys, F.col("s").alias("_at"), F.lit(0).alias("_turn"), F.col("e").alias("_e"), *[F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in ("span_id", "gs", "ge")])
+    asked = spans.select(*keys, F.col("gs").alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast(ends.schema["_e"].dataType).alias("_e"), "span_id", "gs", "ge")
+    order = Window.partitionBy(*keys).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    both = ends.unionByName(asked).withColumn("_reach", F.last("_e", ignorenulls=True).over(order)).where("_turn = 1")
+    hit = both.where("_reach >= ge").select(*keys, "span_id").distinct().withColumn("_hit", F.lit(True))
     return spans.join(hit, [*keys, "span_id"], "left").withColumn("covered", F.coalesce("_hit", F.lit(False))).drop("_hit")

@@ -14,9 +14,18 @@ SPACES = r"[\x20\x09-\x0D]+"
 _PIECE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+#: White space of any script, no-break spaces included.
+ANY_SPACES = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased pieces between white space, without empty ones."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACES), lambda w: w != "")
+    """Lower-cased pieces between white space of any kind, without empty ones."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), ANY_SPACES), lambda w: w != "")
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``; a plain reference within another lambda might be evaluated per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def token_count(text: Column) -> Column:
@@ -69,7 +78,7 @@ def bind_quote(n_occurrences: Column, quote: Column) -> Column:
 
 def slug(title: Column, most: int = 80) -> Column:
     low = F.regexp_replace(F.lower(title), "&", "and")
-    return F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most), "-+$", "")
+    return F.substring(F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
 
 
 def excerpt(text: Column, most: int = 220) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,17 +15,23 @@ MAX_URL = 2048
 
 
 def normalize(url: Column) -> Column:
-    """Built-in subset: https, no user info, default port, ASCII host lower-cased, fragment dropped; else null.
+    """Normal form of a citation URL, or null.
 
-    Hosts that need IDNA, and numeric hosts, are left to ``is_public_host``.
+    https only, no user info, port 443 or none, host lower-cased and in ASCII (IDNA),
+    an empty path as ``/``, query kept, fragment dropped, at most ``MAX_URL`` characters,
+    whole escapes only, no control characters, blanks or backslashes inside. Hosts are public names of valid
+    labels or public addresses; addresses are written out. Plain names are handled
+    by built-ins, all others in Python.
     """
     parts = r"^[hH][tT][tT][pP][sS]://([A-Za-z0-9.-]+)(:443)?(/[^?#]*)?(\?[^#]*)?(#.*)?$"
     host = F.lower(F.regexp_extract(url, parts, 1))
     path = F.regexp_extract(url, parts, 3)
     query = F.regexp_extract(url, parts, 4)
     bad = url.rlike(r"[\x00-\x20\x7F\\]") | url.rlike("%(?![0-9A-Fa-f]{2})") | (F.length(url) > MAX_URL)
-    good = url.rlike(parts) & ~bad & host.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$")
-    return F.when(good, F.concat(F.lit("https://"), host, F.when(path == "", "/").otherwise(path), query))
+    label = "[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?"
+    plain = url.rlike(parts) & ~bad & host.rlike(rf"^{label}(\.{label})*\.[a-z]([a-z0-9-]{{0,61}}[a-z0-9])?$") & (F.length(host) <= 253) & ~host.rlike(r"(^|\.)(localhost|local)$") & ~host.rlike("(^|[.])xn--")
+    simple = F.concat(F.lit("https://"), host, F.when(path == "", "/").otherwise(path), query)
+    return F.when(plain, simple).otherwise(hard_url(F.when(~F.coalesce(plain, F.lit(False)), url)))
 
 
 def host_of(url: Column) -> Column:
@@ -36,18 +43,34 @@ def label(title: Column, url: Column) -> Column:
 
 
 def _number(part: str) -> int | None:
-    for prefix, base, digits in (("0x", 16, "[0-9a-f]*"), ("0", 8, "[0-7]*"), ("", 10, "[0-9]+")):
-        rest = part[len(prefix) :]
-        if part.startswith(prefix) and re.fullmatch(digits, rest) and (prefix != "0" or len(part) > 1):
-            return int(rest or "0", base)
-    return None
+    """A number as browsers read it in a host: hexadecimal, octal with a leading zero, or decimal."""
+    low = part.lower()
+    if low.startswith("0x"):
+        digits, base = low[2:], 16
+    elif len(low) > 1 and low[0] == "0":
+        digits, base = low[1:], 8
+    else:
+        digits, base = low, 10
+    allowed = "0123456789abcdef"[:base]
+    if not low or any(c not in allowed for c in digits):
+        return None
+    return int(digits or "0", base)
+
+
+def _parts(host: str) -> list[str]:
+    parts = host.split(".")
+    return parts[:-1] if len(parts) > 1 and parts[-1] == "" else parts
+
+
+def ends_in_number(host: str) -> bool:
+    last = _parts(host)[-1]
+    return bool(last) and (last.isascii() and last.isdigit() or _number(last) is not None)
 
 
 def ipv4(host: str) -> ipaddress.IPv4Address | None:
     """Reads shortened, octal and hexadecimal forms; None if the host is no address."""
-    parts = host.lower().removesuffix(".").split(".")
-    numbers = [_number(p) for p in parts]
-    if not 0 < len(parts) <= 4 or None in numbers:
+    numbers = [_number(p) for p in _parts(host.lower())]
+    if not 0 < len(numbers) <= 4 or None in numbers:
         return None
     if any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(numbers)):
         return None
@@ -55,20 +78,59 @@ def ipv4(host: str) -> ipaddress.IPv4Address | None:
     return ipaddress.IPv4Address(value)
 
 
+def _public(address) -> bool:
+    mapped = getattr(address, "ipv4_mapped", None)
+    return address.is_global and not address.is_multicast and (mapped is None or _public(mapped))
+
+
+_LABEL = re.compile("[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?")
+
+
+def public_host(host: str | None) -> str | None:
+    """The host as a citation URL writes it, or None if it is not public or not valid."""
+    if not host or host.startswith("[") or "\\" in host:
+        return None
+    try:
+        name = host.encode("idna").decode("ascii").lower().rstrip(".")
+    except UnicodeError:
+        return None
+    if not name or name == "localhost" or name.endswith((".localhost", ".local")):
+        return None
+    try:
+        address = ipaddress.ip_address(name)
+    except ValueError:
+        address = ipv4(name) if ends_in_number(name) else None
+        if address is None and ends_in_number(name):
+            return None
+    if address is not None:
+        return (f"[{address.compressed}]" if address.version == 6 else str(address)) if _public(address) else None
+    return name if len(name) <= 253 and all(_LABEL.fullmatch(x) for x in name.split(".")) else None
+
+
+def citation_url(raw: str | None) -> str | None:
+    if raw is None or len(raw) > MAX_URL or "\\" in raw or re.search(r"[\x00-\x1f\x7f]", raw):
+        return None
+    url = raw.strip(" ")
+    if not url or re.search("%(?![0-9A-Fa-f]{2})", url):
+        return None
+    try:
+        parts = urlsplit(url)
+        user, secret, host, port = parts.username, parts.password, parts.hostname, parts.port
+    except ValueError:
+        return None
+    name = public_host(host)
+    if parts.scheme.lower() != "https" or user is not None or secret is not None or port not in (None, 443) or name is None:
+        return None
+    out = urlunsplit(("https", name, parts.path or "/", parts.query, ""))
+    return out if len(out) <= MAX_URL else None
+
+
+@F.pandas_udf(T.StringType())
+def hard_url(urls: pd.Series) -> pd.Series:
+    return urls.map(citation_url)
+
+
 @F.pandas_udf(T.BooleanType())
 def is_public_host(hosts: pd.Series) -> pd.Series:
-    """Neither local names nor private or reserved addresses."""
-
-    def public(host: str | None) -> bool:
-        if not host:
-            return False
-        name = host.lower().removesuffix(".")
-        if name == "localhost" or name.endswith((".localhost", ".local", ".internal")):
-            return False
-        try:
-            address = ipaddress.ip_address(name.strip("[]"))
-        except ValueError:
-            address = ipv4(name)
-        return address.is_global if address is not None else "." in name and not name.rsplit(".", 1)[1].isdigit()
-
-    return hosts.map(public)
+    """Whether a host is a valid public name or address."""
+    return hosts.map(lambda h: public_host(h) is not None)

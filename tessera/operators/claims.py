@@ -27,16 +27,21 @@ def build_inventory(rows: DataFrame) -> DataFrame:
     """
     first = lambda c: F.min_by(c, "pos")
     reason = F.when(F.coalesce(F.col("reason"), F.lit("")) != "", F.col("pos"))
-    merged = rows.groupBy("claim_id").agg(
+    # Rows that agree in what is collected below count as one, so a sentence that stands everywhere stays small.
+    alike = rows.groupBy("claim_id", "starts", "req_ids").agg(
+        first("section").alias("section"), first("claim_type").alias("claim_type"), F.max(material_rank(F.col("material"))).alias("m"), F.min_by("reason", reason).alias("reason"), F.min(reason).alias("_reason_pos"),
+        F.bool_or("ambiguous").alias("ambiguous"), F.bool_or("requires_citation").alias("requires_citation"), F.count("*").alias("n"), F.min("pos").alias("pos"),
+    )
+    merged = alike.groupBy("claim_id").agg(
         first("section").alias("section"),
         first("claim_type").alias("claim_type"),
-        F.max(material_rank(F.col("material"))).alias("m"),
-        F.min_by("reason", reason).alias("reason"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"),
+        F.max("m").alias("m"),
+        F.min_by("reason", "_reason_pos").alias("reason"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("starts")))).alias("starts"),
         F.bool_or("ambiguous").alias("ambiguous"),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "req_ids"))), lambda x: x["req_ids"]))).alias("req_ids"),
         F.bool_or("requires_citation").alias("given"),
-        F.count("*").alias("n_rows"),
+        F.sum("n").alias("n_rows"),
     )
     n = F.size("starts")
     merged = merged.withColumn("material", F.when(F.col("m") == 2, "true").when(F.col("m") == 1, "unknown").otherwise("false"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .lexical import top_k
 
 BLOCK = 4096
+NEAR_DUPLICATE = 0.95
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -17,6 +18,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The first ``k`` of each query by falling score, then unit."""
+    order = np.lexsort((rows[2], -rows[1], rows[0]))
+    at = rows[0][order]
+    begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    nth = np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))
+    return [x[order][nth < k] for x in rows]
+
+
+def similar_pairs(top: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataFrame:
+    """(query_id, unit_a, unit_b, cosine) of pairs in one query's short list (query_id, rank, unit_id, embedding) that are as similar as ``threshold``."""
+    a, b = (top.select("query_id", F.col("unit_id").alias(f"unit_{n}"), F.col("rank").alias(f"_r{n}"), F.col("embedding").alias(f"_e{n}")) for n in "ab")
+    pairs = a.join(b, "query_id").where("_ra < _rb").withColumn("cosine", dot(F.col("_ea"), F.col("_eb")))
+    return pairs.where(F.col("cosine") >= threshold).select("query_id", "unit_a", "unit_b", "cosine")
+
+
 def nearest(spark: SparkSession, queries: DataFrame, rows: DataFrame, k: int, include_self: bool = True) -> DataFrame:
     """(query_id, unit_id, score, rank) for queries (query_id, embedding) and rows (unit_id, embedding).
 
@@ -35,18 +52,17 @@ def nearest(spark: SparkSession, queries: DataFrame, rows: DataFrame, k: int, in
 
         def run(batches, held=held):
             q, m = held.value
-            best: list[list[tuple[float, int]]] = [[] for _ in q]
+            best = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]  # query's place, score, unit
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 unit = batch.column(0).to_numpy()
-                vectors = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(unit), -1)
-                scores = np.round(m @ vectors.T, 9)
-                for i in range(len(q)):
-                    take = np.lexsort((unit, -scores[i]))[: k + 1]
-                    best[i] = sorted(best[i] + [(-scores[i, j], unit[j]) for j in take])[: k + 1]
-            rows_ = [(q[i], u, -s) for i in range(len(q)) for s, u in best[i] if include_self or u != q[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.int64()), pa.array([r[1] for r in rows_], pa.int64()), pa.array([r[2] for r in rows_], pa.float64())], names=["query_id", "unit_id", "score"])
+                scores = np.round(m @ batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(unit), -1).T, 9)
+                least = np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)] if len(unit) > k + 1 else np.full(len(q), -np.inf)
+                at, col = np.nonzero(scores >= least[:, None])
+                best = _best([np.r_[best[0], at], np.r_[best[1], scores[at, col]], np.r_[best[2], unit[col]]], k + 1)
+            keep = np.ones(len(best[0]), bool) if include_self else best[2] != q[best[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(q[best[0][keep]]), pa.array(best[2][keep]), pa.array(best[1][keep])], names=["query_id", "unit_id", "score"])
 
         found = rows.select("unit_id", "embedding").mapInArrow(run, "query_id long, unit_id long, score double")
         out = found if out is None else out.unionByName(found)

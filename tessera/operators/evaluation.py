@@ -52,10 +52,20 @@ def match_pairs(edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return sorted((a, b) for b, a in owner.items())
 
 
+#: Groups that are worked on in one task hold so many rows at most.
+MAX_GROUP = 20_000
+
+
+def _bounded(pdf: pd.DataFrame) -> None:
+    if len(pdf) > MAX_GROUP:
+        raise ValueError(f"a group of {len(pdf)} rows is above the bound of {MAX_GROUP}")
+
+
 def largest_matching(edges: DataFrame) -> DataFrame:
-    """(case_id, left, right) from edges of the same shape; each case is one small fixture."""
+    """(case_id, left, right) from edges of the same shape; each case is one small fixture, and one above ``MAX_GROUP`` edges fails."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _bounded(pdf)
         pairs = match_pairs(list(zip(pdf["left"], pdf["right"], strict=True)))
         return pd.DataFrame([(pdf["case_id"].iloc[0], a, b) for a, b in pairs], columns=["case_id", "left", "right"])
 
@@ -63,10 +73,11 @@ def largest_matching(edges: DataFrame) -> DataFrame:
 
 
 def fuzzy_dedup(rows: DataFrame, keys: list[str], order: str, text: str, threshold: float = 0.85) -> DataFrame:
-    """First-kept dedup by sequence-match ratio within one group (one run's claims); empty texts go."""
+    """First-kept dedup by sequence-match ratio within one group (one run's claims); empty texts go. A group above ``MAX_GROUP`` rows fails."""
     schema = rows.schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _bounded(pdf)
         kept, texts = [], []
         for i, t in pdf.sort_values(order)[text].items():
             low = (t or "").strip().lower()

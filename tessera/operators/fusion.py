@@ -9,6 +9,9 @@ RRF_K = 60
 CANDIDATES = 20
 SEEDS = 5
 TOKEN_BUDGET = 2000
+#: What is searched for beside a topic.
+QUERY_TEMPLATES = ("explained technical", "failure modes limitations production", "implementation Python example")
+MIN_SOURCES, MIN_MEAN_SCORE = 3, 0.5
 
 
 def rrf(dense: DataFrame, lexical: DataFrame, k: int = SEEDS, candidates: int = CANDIDATES) -> DataFrame:
@@ -56,13 +59,13 @@ def first_seen(expanded: DataFrame) -> DataFrame:
     return counted.where("_r = 1").drop("_r")
 
 
-def pack(rows: DataFrame, budget: int = TOKEN_BUDGET, seed_first: bool = True, extra_order: tuple[str, ...] = ()) -> DataFrame:
+def pack(rows: DataFrame, budget: int = TOKEN_BUDGET, seed_first: bool = True, extra_order: tuple[str, ...] = (), fail_over_budget: bool = True) -> DataFrame:
     """``rows`` (query_id, seed_rank, pos, relation, unit_id, tokens) with ``packed`` and ``packed_order``.
 
     Seeds come first, then neighbours by group; a row that does not fit is
     skipped and later ones are still tried. The fold runs over one query's rows
     (a few per seed) with built-in functions. A query whose seeds alone exceed
-    the budget fails.
+    the budget fails, or, if it is not to fail, packs nothing and is marked ``over_budget``.
     """
     first = F.when(F.col("relation") == "SEED", 0).otherwise(1) if seed_first else F.lit(0)
     order = F.struct(first.alias("o"), "seed_rank", *extra_order, "pos", "unit_id", F.col("tokens").cast("long").alias("tokens"), "relation")
@@ -78,8 +81,12 @@ def pack(rows: DataFrame, budget: int = TOKEN_BUDGET, seed_first: bool = True, e
     folded = folded.withColumn("fold", F.aggregate("rows", start, step))
     if seed_first:
         seeds = F.aggregate(F.filter("rows", lambda r: r["relation"] == "SEED"), F.lit(0).cast("long"), lambda a, r: a + r["tokens"])
-        folded = folded.withColumn("fold", F.when(seeds <= budget, F.col("fold")).otherwise(F.raise_error(F.lit("seeds exceed the token budget"))))
-    flat = folded.select("query_id", "fold", F.explode("rows").alias("r")).select("query_id", "r.seed_rank", "r.pos", "r.relation", "r.unit_id", "r.tokens", F.array_position("fold.kept", F.col("r.unit_id").cast("bigint")).alias("at"))
+        folded = folded.withColumn("over", seeds > budget)
+        none = F.raise_error(F.lit("seeds exceed the token budget")) if fail_over_budget else start
+        folded = folded.withColumn("fold", F.when(~F.col("over"), F.col("fold")).otherwise(none))
+    else:
+        folded = folded.withColumn("over", F.lit(False))
+    flat = folded.select("query_id", "fold", F.col("over").alias("over_budget"), F.explode("rows").alias("r")).select("query_id", "over_budget", "r.seed_rank", "r.pos", "r.relation", "r.unit_id", "r.tokens", F.array_position("fold.kept", F.col("r.unit_id").cast("bigint")).alias("at"))
     return flat.withColumn("packed", F.col("at") > 0).withColumn("packed_order", F.when(F.col("at") > 0, F.col("at") - 1)).drop("at")
 
 
@@ -100,3 +107,9 @@ def seed_runs(packed: DataFrame) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("packed_order")
     new = (~F.lag("seed_rank").over(order).eqNullSafe(F.col("seed_rank"))).cast("int")
     return packed.where("packed").withColumn("_new", new).withColumn("run", F.sum("_new").over(order)).drop("_new")
+
+
+def needs_refresh(sources: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, action): too few sources, or too low a mean score, ask for a new search."""
+    few = (F.col("n") < MIN_SOURCES) | (F.coalesce(F.col("_mean"), F.lit(0.0)) < MIN_MEAN_SCORE)
+    return sources.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("score").alias("_mean")).select(*keys, "n", F.when(few, "refresh").otherwise("keep").alias("action"))

@@ -7,25 +7,35 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Distinct query words are sent to all tasks up to so many, and shuffled beyond.
+BROADCAST_TERMS = 1_000_000
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
-    postings: DataFrame  # term, unit_id, tf
-    lengths: DataFrame  # unit_id, len
+    split: DataFrame  # unit_id, len, t: a unit's words, which stand in one row
     terms: DataFrame  # term, df, cf
 
+    @property
+    def lengths(self) -> DataFrame:
+        return self.split.select("unit_id", "len")
+
 
 def build_index(units: DataFrame, unit_id: str = "unit_id", text: str = "text") -> LexicalIndex:
-    """Units without tokens count as units of length 0."""
-    split = units.select(F.col(unit_id).alias("unit_id"), tokens(F.col(text)).alias("_t"))
-    lengths = split.select("unit_id", F.size("_t").cast("long").alias("len"))
-    postings = split.select("unit_id", F.explode("_t").alias("term")).groupBy("term", "unit_id").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    return LexicalIndex(postings, lengths, terms)
+    """Units without tokens count as units of length 0.
+
+    A unit's words are sorted in its row, so that one grouping by word, combined on
+    the map side, gives both how often a word stands and in how many units.
+    """
+    split = units.select(F.col(unit_id).alias("unit_id"), tokens(F.col(text)).alias("t")).select("unit_id", F.size("t").cast("long").alias("len"), "t")
+    first = lambda s: F.transform(s, lambda w, i: F.struct(w.alias("term"), (F.when(i == 0, True).otherwise(F.get(s, i - 1) != w)).cast("int").alias("first")))
+    each = split.select(F.explode(let(F.array_sort("t"), first)).alias("x")).select("x.*")
+    return LexicalIndex(split, each.groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("cf")))
 
 
 def idf_table(index: LexicalIndex) -> DataFrame:
@@ -39,13 +49,16 @@ def idf_table(index: LexicalIndex) -> DataFrame:
 def bm25_scores(index: LexicalIndex, queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, unit_id, score); repeated query words count again, unknown words add nothing, zero scores go.
 
-    The query side is reduced to distinct words first, so only postings of words
-    that some query has are joined.
+    Words that no query has are left out where the unit's row is, before anything is shuffled.
     """
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weights = idf_table(index).join(wanted.select("term").distinct(), "term", "left_semi")
+    asked = wanted.select("term").distinct()
+    few = asked.count() <= BROADCAST_TERMS
+    asked = F.broadcast(asked) if few else asked
+    weights = idf_table(index).join(asked, "term", "left_semi")
     average = index.lengths.agg(F.avg("len").alias("avgdl"))
-    hit = index.postings.join(weights, "term").join(index.lengths, "unit_id").join(F.broadcast(average))
+    postings = index.split.select("unit_id", "len", F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy("unit_id", "len", "term").agg(F.count("*").alias("tf"))
+    hit = postings.join(F.broadcast(weights) if few else weights, "term").join(F.broadcast(average))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))
     part = hit.select("term", "unit_id", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
     scored = wanted.join(part, "term").groupBy("query_id", "unit_id").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))

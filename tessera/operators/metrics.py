@@ -91,3 +91,9 @@ def distribution(rows: DataFrame, value: str, keys: tuple[str, ...] = ()) -> Dat
         F.round(F.avg(v), 6).alias("mean"),
         F.round(F.sum(v), 6).alias("total"),
     )
+
+
+def nearest_rank(rows: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Least, middle, 95th and greatest value by nearest rank, and how many there are."""
+    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by {value})")
+    return rows.groupBy(*keys).agg(p(0.5).alias("p50"), F.min(value).alias("low"), F.max(value).alias("high"), p(0.95).alias("p95"), F.count("*").alias("units"))

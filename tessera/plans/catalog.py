@@ -18,6 +18,7 @@ from ..operators import chunking, claims, dense, evaluation, fusion, lexical, me
 from ..sources import store
 from ..sources.tables import table
 from ..streaming import events as stream
+from . import fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,7 +37,7 @@ def register(sql: str | None = None):
 
 # ---------------------------------------------------------------- text and chunks
 
-_TOK = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_TOK = rf"list_filter(string_split_regex(lower(coalesce(text, '')), '{text.ANY_SPACES}'), lambda w: w <> '')"
 _POSTINGS = f"""
 toks AS (SELECT doc_id, {_TOK} AS t FROM documents),
 postings AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL),
@@ -67,7 +68,7 @@ members AS (
   UNION ALL SELECT query_id, rank, 1, 'SEED', unit_id FROM fused JOIN linked USING (unit_id)
   UNION ALL SELECT query_id, rank, 2, 'NEXT', next_id FROM fused JOIN linked USING (unit_id) WHERE next_id IS NOT NULL),
 firsts AS (SELECT *, count(*) OVER (PARTITION BY query_id, unit_id) AS seen, row_number() OVER (PARTITION BY query_id, unit_id ORDER BY seed_rank, pos) AS r FROM members QUALIFY r = 1),
-sized AS (SELECT f.*, least(len({_TOK}), 400) AS tokens, d.text FROM firsts f JOIN documents d ON d.doc_id = f.unit_id)"""
+sized AS (SELECT f.*, len({_TOK}) AS tokens, d.text FROM firsts f JOIN documents d ON d.doc_id = f.unit_id)"""
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -101,13 +102,13 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
 def _expanded(spark: SparkSession, d: str) -> DataFrame:
     linked = fusion.with_neighbours(_units(spark, d), document="source", start="unit_id")
     flat = fusion.first_seen(fusion.expand(_fused(spark, d), linked))
-    sizes = _units(spark, d).select("unit_id", F.least(F.size(text.tokens(F.col("text"))), F.lit(400)).alias("tokens"), "text")
+    sizes = _units(spark, d).select("unit_id", F.size(text.tokens(F.col("text"))).alias("tokens"), "text")
     return flat.join(sizes, "unit_id")
 
 
 @register(f"WITH {_POSTINGS} SELECT term, df, cf FROM terms")
 def term_df(spark, d):
-    return lexical.build_index(_units(spark, d)).terms.select("term", "df", "cf")
+    return lexical.build_index(_units(spark, d)).terms
 
 
 @register(
@@ -133,16 +134,14 @@ def packed_units(spark, d):
 
 
 @register(
-    """WITH t AS (SELECT doc_id, text, strpos(text, chr(10)) AS p FROM documents)
-SELECT doc_id, length(text) AS chars, strlen(text) AS bytes, strlen(left(text, 100)) AS byte_at_100,
-  len(regexp_extract_all(left(text, 500), '\\r\\n|\\r|\\n')) + 1 AS line_at_500 FROM t"""
+    """WITH t AS (SELECT doc_id, text, unnest(range(0, length(text) + 1, 1000)) AS place FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, place, strlen(left(text, place)) AS byte, len(regexp_extract_all(left(text, place), '\\r\\n|\\r|\\n')) + 1 AS line FROM t"""
 )
 def source_offsets(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select(
-        "doc_id", F.length(t).alias("chars"), F.octet_length(t).alias("bytes"),
-        text.byte_offset(t, F.lit(100)).alias("byte_at_100"), text.line_number(t, F.lit(500)).alias("line_at_500"),
-    )
+    """Byte and line of every thousandth character."""
+    places = F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(1000)))
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text", places.alias("place"))
+    return rows.select("doc_id", "place", text.byte_offset(F.col("text"), F.col("place")).alias("byte"), text.line_number(F.col("text"), F.col("place")).alias("line"))
 
 
 # ---------------------------------------------------------------- ranking and packing
@@ -189,11 +188,13 @@ fold AS (
   SELECT query_id, i, unit_id, seed_rank, pos, relation, tokens, tokens <= 2000 AS packed, CASE WHEN tokens <= 2000 THEN tokens ELSE 0 END AS used FROM ordered WHERE i = 1
   UNION ALL
   SELECT o.query_id, o.i, o.unit_id, o.seed_rank, o.pos, o.relation, o.tokens, f.used + o.tokens <= 2000, CASE WHEN f.used + o.tokens <= 2000 THEN f.used + o.tokens ELSE f.used END
-  FROM fold f JOIN ordered o ON o.query_id = f.query_id AND o.i = f.i + 1)
-SELECT query_id, unit_id, seed_rank, relation, packed, CASE WHEN packed THEN count(*) FILTER (packed) OVER (PARTITION BY query_id ORDER BY i) - 1 END AS packed_order FROM fold"""
+  FROM fold f JOIN ordered o ON o.query_id = f.query_id AND o.i = f.i + 1),
+total AS (SELECT query_id, sum(tokens) FILTER (relation = 'SEED') > 2000 AS over FROM sized GROUP BY query_id)
+SELECT query_id, unit_id, seed_rank, relation, coalesce(over, false) AS over_budget, packed AND NOT coalesce(over, false) AS packed, CASE WHEN packed AND NOT coalesce(over, false) THEN count(*) FILTER (packed) OVER (PARTITION BY query_id ORDER BY i) - 1 END AS packed_order FROM fold JOIN total USING (query_id)"""
 )
 def seed_first_pack(spark, d):
-    return fusion.pack(_expanded(spark, d)).select("query_id", "unit_id", "seed_rank", "relation", "packed", "packed_order")
+    """Whole documents as units; a query whose seeds exceed the budget packs nothing and says so."""
+    return fusion.pack(_expanded(spark, d), fail_over_budget=False).select("query_id", "unit_id", "seed_rank", "relation", "over_budget", "packed", "packed_order")
 
 
 @register(
@@ -296,18 +297,17 @@ def exact_dup_groups(spark, d):
     return docs.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
+_VECTORS = [(1, 1, [1.0, 0.0]), (1, 2, [0.99, 0.14]), (1, 3, [0.0, 1.0]), (1, 4, [0.3, 0.954]), (1, 5, [0.25, 0.968]), (2, 6, [0.6, 0.8]), (2, 7, [0.6, 0.8]), (2, 8, [0.8, 0.6])]
+
+
 @register(
-    f"""WITH {_DENSE_SELF}, p AS (SELECT a.query_id, a.unit_id AS unit_a, b.unit_id AS unit_b, list_inner_product(x.v, y.v) AS cos
-  FROM dense a JOIN dense b ON a.query_id = b.query_id AND a.rank < b.rank JOIN vec x ON x.vec_id = a.unit_id JOIN vec y ON y.vec_id = b.unit_id)
-SELECT query_id, unit_a, unit_b, round(cos, 6) AS cosine FROM p WHERE round(cos, 9) >= 0.4"""
+    "WITH " + fixture.values("t", "query_id, unit_id, v", _VECTORS) + """
+SELECT a.query_id, a.unit_id AS unit_a, b.unit_id AS unit_b, round(list_inner_product(a.v::DOUBLE[], b.v::DOUBLE[]), 6) AS cosine FROM t a JOIN t b ON a.query_id = b.query_id AND a.unit_id < b.unit_id WHERE list_inner_product(a.v::DOUBLE[], b.v::DOUBLE[]) >= 0.95"""
 )
 def near_dup_pairs(spark, d):
-    """Similar pairs within each query's ten nearest."""
-    top = _dense_self(spark, d).select("query_id", "unit_id", "rank").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("unit_id"), "embedding"), "unit_id")
-    a = top.select("query_id", F.col("unit_id").alias("unit_a"), F.col("rank").alias("ra"), F.col("embedding").alias("ea"))
-    b = top.select("query_id", F.col("unit_id").alias("unit_b"), F.col("rank").alias("rb"), F.col("embedding").alias("eb"))
-    pairs = a.join(b, "query_id").where("ra < rb").withColumn("cosine", dense.dot(F.col("ea"), F.col("eb")))
-    return pairs.where(F.round("cosine", 9) >= 0.4).select("query_id", "unit_a", "unit_b", F.round("cosine", 6).alias("cosine"))
+    """Similar pairs within each query's ten nearest; ranks follow the ids."""
+    top = fixture.rows(spark, "query_id int, unit_id int, embedding array<double>", _VECTORS).withColumn("rank", F.col("unit_id"))
+    return dense.similar_pairs(top, dense.NEAR_DUPLICATE).withColumn("cosine", F.round("cosine", 6))
 
 
 # ---------------------------------------------------------------- intervals
@@ -368,7 +368,7 @@ def pages_by_host(spark, d):
 _SENT = r"regexp_replace(trim(regexp_replace(s, '[\x20\x09-\x0D]+', ' ', 'g')), '[.!?]+$', '')"
 _CLAIMS = f"""
 parts AS (SELECT doc_id, lang, source, unnest(string_split_regex(text, '[.!?][\\x20\\x09-\\x0D]+')) AS s, generate_subscripts(string_split_regex(text, '[.!?][\\x20\\x09-\\x0D]+'), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
-c AS (SELECT doc_id * 100000 + i AS pos, doc_id, lang, source, {_SENT} AS claim_text FROM parts),
+c AS (SELECT doc_id * 10000000 + i AS pos, doc_id, lang, source, {_SENT} AS claim_text FROM parts),
 claims AS (SELECT *, 'clm-' || left(sha256(claim_text), 16) AS claim_id FROM c WHERE claim_text <> '')"""
 
 
@@ -377,7 +377,7 @@ def _claims(spark, d):
     docs = table(spark, d, "documents").where(F.col("text").isNotNull())
     parts = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", r"[.!?][\x20\x09-\x0D]+")).alias("i", "s"))
     body = F.regexp_replace(text.collapse(F.col("s")), r"[.!?]+$", "")
-    out = parts.select((F.col("doc_id") * 100000 + F.col("i")).alias("pos"), "doc_id", "lang", "source", body.alias("claim_text")).where("claim_text <> ''")
+    out = parts.select((F.col("doc_id") * 10000000 + F.col("i")).alias("pos"), "doc_id", "lang", "source", body.alias("claim_text")).where("claim_text <> ''")
     return out.withColumn("claim_id", text.claim_id(F.col("claim_text")))
 
 
@@ -418,8 +418,8 @@ SELECT doc_id, n, CASE WHEN n = 0 THEN 'ANCHOR_FAILED' WHEN n = 1 THEN 'bound' E
 )
 def occurrence_bind(spark, d):
     docs = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text", F.substring("text", 1, 6).alias("quote")).where("quote <> ''")
-    # a literal pattern counted with overlap: built-in, linear in the text
-    pattern = F.concat(F.lit(r"(?=\Q"), F.col("quote"), F.lit(r"\E)"))
+    # a literal pattern counted with overlap: built-in, linear in the text; an end mark inside the quote is written apart
+    pattern = F.concat(F.lit(r"(?=\Q"), F.replace(F.col("quote"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
     n = F.regexp_count("text", pattern).cast("long")
     return docs.withColumn("n", n).select("doc_id", "n", text.anchor_validity(F.col("n"), F.lit(False)).alias("validity"), text.bind_quote(F.col("n"), F.col("quote")).alias("reason"))
 
@@ -588,12 +588,6 @@ def cache_ttl(spark, d):
     return table(spark, d, "events").select("event_id", store.cache_key(F.col("event_type"), F.col("user_id")).alias("key"), store.fresh(F.col("ts").cast("timestamp"), now).alias("fresh"))
 
 
-@register("SELECT user_id, count(*) AS n, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4) AS spend, sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) >= 100 AS stopped FROM events GROUP BY user_id")
-def cost_gate(spark, d):
-    spend = F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0))
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(spend, 4).alias("spend"), (spend >= 100).alias("stopped"))
-
-
 @register(
     """SELECT user_id, count(*) AS steps, count(*) FILTER (event_type = 'click') AS attempts, arg_max(event_type, (ts, event_id)) AS last_step FROM events GROUP BY user_id"""
 )
@@ -688,11 +682,10 @@ def prefix_visibility(spark, d):
     return seen.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("visible").alias("n_visible"))
 
 
-@register("SELECT item_id, k AS position, CASE k WHEN 0 THEN left(text, 40) WHEN 1 THEN left(text, 40) || ' overview' ELSE left(text, 40) || ' limitations' END AS query FROM benchmark, (VALUES (0), (1), (2)) v(k)")
+@register("SELECT item_id, k AS position, CASE k WHEN 0 THEN text || ' explained technical' WHEN 1 THEN text || ' failure modes limitations production' ELSE text || ' implementation Python example' END AS query FROM benchmark, (VALUES (0), (1), (2)) v(k)")
 def query_expansion(spark, d):
-    """Three fixed templates per query."""
-    head = F.substring("text", 1, 40)
-    made = F.array(head, F.concat(head, F.lit(" overview")), F.concat(head, F.lit(" limitations")))
+    """Three fixed templates over the whole topic."""
+    made = F.array(*[F.concat("text", F.lit(f" {t}")) for t in fusion.QUERY_TEMPLATES])
     return table(spark, d, "benchmark").select("item_id", F.posexplode(made).alias("position", "query"))
 
 
@@ -702,14 +695,14 @@ def web_topk(spark, d):
     return lexical.top_k(table(spark, d, "events"), 10, "user_id", "event_id", F.col("value")).select("user_id", "event_id", F.round("value", 6).alias("value"), "rank")
 
 
-@register("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, CASE WHEN count(*) < 3 OR avg(value) < 20 THEN 'refresh' ELSE 'keep' END AS action FROM events WHERE event_type = 'view' GROUP BY user_id")
+@register("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, CASE WHEN count(*) < 3 OR avg(value / 40) < 0.5 THEN 'refresh' ELSE 'keep' END AS action FROM events WHERE event_type = 'view' GROUP BY user_id")
 def source_refresh(spark, d):
-    """Too few or too weak sources ask for a new search."""
-    views = table(spark, d, "events").where("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    return views.select("user_id", "n", F.round("mean", 6).alias("mean"), F.when((F.col("n") < 3) | (F.col("mean") < 20), "refresh").otherwise("keep").alias("action"))
+    """Fewer than three sources, or a mean score below one half, ask for a new search; a fortieth of an event's value is its score."""
+    views = table(spark, d, "events").where("event_type = 'view'").withColumn("score", F.col("value") / 40)
+    return fusion.needs_refresh(views, ["user_id"]).join(views.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("mean")), "user_id").select("user_id", "n", "mean", "action")
 
 
-@register("SELECT conv_id, turn, lower(regexp_replace(regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(lower(text), '&', 'and', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', ''), '^$', '')) AS slug FROM conversations WHERE text IS NOT NULL")
+@register("SELECT conv_id, turn, left(regexp_replace(regexp_replace(regexp_replace(lower(text), '&', 'and', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug FROM conversations WHERE text IS NOT NULL")
 def slugs(spark, d):
     return table(spark, d, "conversations").where(F.col("text").isNotNull()).select("conv_id", "turn", text.slug(F.col("text")).alias("slug"))
 
@@ -741,8 +734,8 @@ def roster_equality(spark, d):
 
 
 @register(
-    """SELECT doc_id, substr(text, greatest(p - 180, 0) + 1, least(p + 20 + 180, length(text)) - greatest(p - 180, 0)) AS context FROM (SELECT doc_id, text, length(text) // 2 AS p FROM documents WHERE length(text) >= 100)"""
+    """SELECT doc_id, substr(text, greatest(p - 180, 0) + 1, least(p + 20 + 180, length(text)) - greatest(p - 180, 0)) AS context FROM (SELECT doc_id, text, length(text) // 2 AS p FROM documents)"""
 )
 def context_windows(spark, d):
-    docs = table(spark, d, "documents").where(F.length("text") >= 100).withColumn("p", F.floor(F.length("text") / 2).cast("int"))
+    docs = table(spark, d, "documents").withColumn("p", F.floor(F.length("text") / 2).cast("int"))
     return docs.select("doc_id", text.context_window(F.col("text"), F.col("p"), F.col("p") + 20).alias("context"))
