@@ -13,7 +13,8 @@
    already in one group.
 5. A cluster above ``CLUSTER_SHINGLES`` is not gathered. Its classes are compared
    with hubs of their bands by joins first; what then stands apart from the
-   cluster's largest group is compared with all its members, block by block.
+   cluster's largest group is compared with all its members, in slices and blocks
+   of ``BLOCK_SHINGLES`` each, so that no task holds more of either side.
 6. Components of the verified links give every row its group.
 
 Links of 0.8 similarity share no band with a chance below 1e-7.
@@ -38,7 +39,7 @@ from .shingles import mix64, shingle_sets, slices
 PLACES = 128
 BAND = 4
 PERCENT = 80
-CLUSTER_SHINGLES = 400_000
+CLUSTER_SHINGLES = 100_000
 BLOCK_SHINGLES = 1_000_000
 BROADCAST_IDS = 2_000_000
 
@@ -217,7 +218,7 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify_blocks(apart: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between the members of each block and the outsiders sent to it, one per outsider and group of members."""
+    """Links between the members of each block and the outsiders of each slice, one per outsider and group of members."""
 
     def run(key, left, right):
         if not left.num_rows or not right.num_rows:
@@ -245,7 +246,7 @@ def _verify_blocks(apart: DataFrame, members: DataFrame, percent: int) -> DataFr
                 b.append(int(nodes[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.groupBy("cluster", "block").cogroup(apart.groupBy("cluster", "block")).applyInArrow(run, "a long, b long")
+    return members.groupBy("cluster", "block", "slice").cogroup(apart.groupBy("cluster", "block", "slice")).applyInArrow(run, "a long, b long")
 
 
 def _large_cluster_links(bands: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -253,18 +254,23 @@ def _large_cluster_links(bands: DataFrame, large: DataFrame, sets: DataFrame, pe
     own = bands.join(large.select("node"), "node", "left_semi")
     # A hub per band key: a member chosen by hash, so a node meets other hubs in other bands.
     hubs = own.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("n"))).alias("x")).select("key", F.col("x.n").alias("b"))
-    pairs = own.join(hubs, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b")
+    # Where both sides of a join are tables, Spark can split a frequent key.
+    pairs = materialize(own, "own-bands").join(materialize(hubs, "hubs"), "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b")
+    pairs = materialize(pairs, "hub-pairs")
     # pairs that share one band only are met again below, in the blocks
     links = materialize(_verify_pairs(pairs, sets, percent), "hub-links")
     groups = connected_components(links, "hub-groups")
     placed = large.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     weight = placed.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     main = weight.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    blocks = F.ceil(F.col("cluster_n") / BLOCK_SHINGLES).cast("int")
-    placed = materialize(placed.join(main, "cluster").withColumn("blocks", blocks), "placed")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = placed.select("cluster", "node", "component", block.alias("block")).join(sets, "node")
-    apart = placed.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "node", "component", "block").join(sets, "node")
+    size = F.ceil(F.col("cluster_n") / BLOCK_SHINGLES).cast("int")
+    placed = materialize(materialize(placed, "grouped").join(materialize(main, "main"), "cluster").withColumn("blocks", size), "placed")
+    outside = placed.where("component <> main").groupBy("cluster").agg(F.ceil(F.sum("nd_n") / BLOCK_SHINGLES).cast("int").alias("slices"))
+    placed = materialize(placed.join(materialize(outside, "slices"), "cluster"), "outside")  # clusters without outsiders are done
+    dealt = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = placed.withColumn("block", dealt(1, "blocks")).withColumn("slice", each("slices")).select("cluster", "block", "slice", "node", "component").join(sets, "node")
+    apart = placed.where("component <> main").withColumn("slice", dealt(2, "slices")).withColumn("block", each("blocks")).select("cluster", "block", "slice", "node", "component").join(sets, "node")
     # fresh column ids, as both sides come from one table
     return links.union(_verify_blocks(apart.toDF(*apart.columns), members, percent))
 
