@@ -1,22 +1,27 @@
 """Token counts by a compiled finite-state transducer for byte-level BPE.
 
-The transducer reads the bytes of one pre-token. Its state is the set of
+The transducer reads characters. Its state says which kind of pre-token is open
+(letters, digits, other signs, a run of white space, an apostrophe that may begin a
+contraction) and where the bytes of that pre-token have led: the set of
 vocabulary-trie nodes that are still open, each with the token before it and the
-number of tokens up to there; reading a byte leads to one next state, and the
-transition is annotated with the change in the number of emitted tokens. States
-and transitions are compiled when they are first met and shared by all later
-texts of the worker. Which of the tokens that end at a byte is the right one
-follows from the merges: two neighbours stand if merging their joint bytes gives
-back the two.
-
-A text is cut into chunks. After the first place where white space follows a
-character that is none, the segmentation of a chunk does not depend on what came
-before, so the state map of a chunk is a constant beyond that place: the part
-before it, the tokens between the first and the last such place, and the part
-after. These maps are composed pairwise in a tree (an associative scan).
-
-Null and empty texts have no tokens. A text without any white space is one
-chunk map that stays open to its end, and is read in linear time.
+number of tokens up to there. Reading a character leads to one next state, and the
+transition is annotated with the change in the number of tokens that the text read
+so far has (it may fall when tokens merge). Which of the tokens that end at a byte
+is the right one follows from the merges: two neighbours stand if merging their
+joint bytes gives back the two. States and transitions are compiled when they are
+first met and shared by all later texts of the worker; transitions over a whole
+word are the composition of those over its characters and are kept as well.
+
+A text is cut into chunks, and each chunk becomes a map from the state before it to
+the state behind it and the tokens added. From the first character of white space
+that follows one of another kind all states agree, so a map is a function of the
+start state up to that place (its head) and constant beyond. Maps are composed
+pairwise in a tree (an associative scan): where the first map has such a place, its
+end state is put into the second one; where it has none, the heads are joined. The
+map of the whole text is applied to the initial state.
+
+Null and empty texts have no tokens. A text without white space is one map that is
+all head. An input column of an added name (``tk_*``) is kept as ``<name>_in``.
 """
 
 from __future__ import annotations
@@ -30,13 +35,16 @@ from pyspark.sql import types as T
 
 from .arrow_map import append_columns
 
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 4096
 LIMIT = 1024
 MAX_STATES = 200_000
-MAX_KNOWN = 400_000
+MAX_WORDS = 300_000
+MAX_WORD_CHARS = 32
 
-#: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
+#: Fixed value: the pre-token pattern of byte-level BPE vocabularies, which the transitions below follow.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+START, LETTERS, DIGITS, OTHER, SPACE, APOSTROPHE, HALF = range(7)
+_ONE, _TWO = "stmd", {"r": "e", "v": "e", "l": "l"}  # what follows an apostrophe in the contractions of the pattern
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,13 +54,40 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class State(dict):
+    """Transitions by character or word: (next state, change in the number of tokens).
+
+    kind: the open pre-token's; nodes: where its bytes have led; pending: a character that may still go elsewhere.
+    """
+
+    __slots__ = ("at", "epoch", "kind", "machine", "nodes", "pending")
+
+    def __init__(self, machine: BpeTransducer, kind: int, at: int, pending: str):
+        self.machine, self.kind, self.pending = machine, kind, pending
+        self.at, self.epoch, self.nodes = at, machine.epoch, machine.byte_states[at]
+
+    def place(self) -> int:
+        if self.epoch != self.machine.epoch:  # the table of places was begun anew since
+            self.at, self.epoch = self.machine.place(self.nodes), self.machine.epoch
+        return self.at
+
+    def __missing__(self, symbol: str) -> tuple[State, int]:
+        machine = self.machine
+        if len(symbol) > 1:
+            return machine.compile_word(self, symbol)
+        if LETTERS <= self.kind <= OTHER and self.kind != machine.kind(symbol):
+            return machine.opened("", symbol)  # the same from all states of another kind, so it is kept there
+        out = self[symbol] = machine.transition(self, symbol)
+        return out
+
+
 @dataclass(frozen=True)
 class ChunkMap:
-    """head: text before the first sync place; tail: text from the last one; both are one if there is none."""
+    """head: what is read from the start state on; behind it, if there is a place where all states agree, ``rest`` tokens follow and ``end`` is reached."""
 
     head: str
-    count: int
-    tail: str | None
+    rest: int
+    end: State | None
 
 
 class BpeTransducer:
@@ -66,8 +101,9 @@ class BpeTransducer:
                 raise ValueError("added tokens that strip their surroundings are not compiled")
         special = sorted((t["content"] for t in data.get("added_tokens", [])), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.pretokens = regex.compile(PRETOKEN).findall
-        self.sync = regex.compile(r"(?<=\S)(?=\s)")
+        self.symbols = regex.compile(r"\w+\s|\w+|\W").findall
+        self.sync = regex.compile(r"(?<=\S)\s").search
+        self.kinds: dict[str, int] = {}
         letters = byte_alphabet()
         raw = lambda token: bytes(letters[c] for c in token)
         self.bytes_of = {i: raw(t) for t, i in model["vocab"].items() if all(c in letters for c in t)}
@@ -88,14 +124,28 @@ class BpeTransducer:
                 at = self.child[at][byte]
             self.token_at[at] = i
         self.stands: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, int] = {}
         self.reset()
 
     def reset(self) -> None:
-        """Forget the compiled states, which keeps the table bounded."""
-        self.state_id: dict[tuple, int] = {((0, -1, 0),): 0}
-        self.state: list[tuple] = [((0, -1, 0),)]
-        self.step: list[dict[int, tuple[int, int]]] = [{}]
+        """Forget the compiled states, which keeps their table bounded; those that are still held go on working."""
+        self.epoch = getattr(self, "epoch", 0) + 1
+        self.bytes_id: dict[tuple, int] = {((0, -1, 0),): 0}
+        self.byte_states: list[tuple] = [((0, -1, 0),)]
+        self.byte_steps: list[dict[int, tuple[int, int]]] = [{}]
+        self.forget_words()
+
+    def forget_words(self) -> None:
+        self.states: dict[tuple, State] = {}
+        self.fresh: dict[str, tuple[State, int]] = {}
+        self.words = 0
+        self.initial = self.state(START)
+
+    def state(self, kind: int, at: int = 0, pending: str = "") -> State:
+        key = (kind, at, pending)
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(self, kind, at, pending)
+        return found
 
     def merged(self, data: bytes) -> list[bytes]:
         """Apply the merges in order of rank."""
@@ -127,9 +177,9 @@ class BpeTransducer:
             known = self.stands[key] = self.merged(left + right) == ([left] if left else []) + [right]
         return known
 
-    def compile_step(self, at: int, byte: int) -> tuple[int, int]:
+    def byte_step(self, at: int, byte: int) -> tuple[int, int]:
         open_, found = [], None
-        for node, before, count in self.state[at]:
+        for node, before, count in self.byte_states[at]:
             node = self.child[node].get(byte)
             if node is None:
                 continue
@@ -141,66 +191,120 @@ class BpeTransducer:
             raise ValueError(f"no token ends at byte {byte}")
         token, delta = found
         nxt = tuple((node, before, count - delta) for node, before, count in open_ if self.child[node]) + ((0, token, 0),)
-        if nxt not in self.state_id:
-            self.state_id[nxt] = len(self.state)
-            self.state.append(nxt)
-            self.step.append({})
-        self.step[at][byte] = out = (self.state_id[nxt], delta)
+        self.byte_steps[at][byte] = out = (self.place(nxt), delta)
         return out
 
-    def pretoken_count(self, pretoken: str) -> int:
-        if len(self.state) > MAX_STATES:
-            self.reset()
-        at = total = 0
-        for byte in pretoken.encode():
-            at, delta = self.step[at].get(byte) or self.compile_step(at, byte)
+    def place(self, nodes: tuple) -> int:
+        found = self.bytes_id.get(nodes)
+        if found is None:
+            found = self.bytes_id[nodes] = len(self.byte_states)
+            self.byte_states.append(nodes)
+            self.byte_steps.append({})
+        return found
+
+    def read(self, at: int, text: str) -> tuple[int, int]:
+        """Place and change in tokens when the bytes of ``text`` follow in the same pre-token."""
+        total = 0
+        for byte in text.encode():
+            at, delta = self.byte_steps[at].get(byte) or self.byte_step(at, byte)
+            total += delta
+        return at, total
+
+    def kind(self, c: str) -> int:
+        found = self.kinds.get(c)
+        if found is None:
+            found = self.kinds[c] = SPACE if regex.match(r"\s", c) else LETTERS if regex.match(r"\p{L}", c) else DIGITS if regex.match(r"\p{N}", c) else OTHER
+        return found
+
+    def compile_word(self, state: State, word: str) -> tuple[State, int]:
+        """The composition of the transitions over a word's characters; letters that follow letters are read at once."""
+        end, total = state[word[0]]
+        rest = word[1:]
+        if end.kind == LETTERS and (letters := rest.rstrip()).isalpha():
+            place, delta = self.read(end.place(), letters)
+            end, total, rest = self.state(LETTERS, place), total + delta, rest[len(letters) :]
+        for c in rest:
+            end, delta = end[c]
+            total += delta
+        if len(word) <= MAX_WORD_CHARS and self.words < MAX_WORDS:
+            self.words += 1
+            state[word] = end, total
+        return end, total
+
+    def opened(self, before: str, c: str) -> tuple[State, int]:
+        """A new pre-token: ``before`` is a blank or nothing."""
+        found = self.fresh.get(before + c)
+        if found is None:
+            kind = self.kind(c)
+            at, total = self.read(0, before + c)
+            state = self.state(SPACE, 0, c) if kind == SPACE else self.state(APOSTROPHE if c == "'" and not before else kind, at)
+            found = self.fresh[before + c] = state, total
+        return found
+
+    def transition(self, state: State, c: str) -> tuple[State, int]:
+        kind, pending, at = state.kind, state.pending, state.place()
+        new = self.kind(c)
+        if kind == SPACE:  # at: the run without its last character, which is pending
+            whole, last = self.read(at, pending)
+            if new == SPACE:
+                return self.state(SPACE, whole, c), self.read(whole, c)[1]
+            if pending == " ":
+                end, total = self.opened(" ", c)
+                return end, total - last
+            end, total = self.opened("", c)
+            return end, total + self.read(0, pending)[1] - last
+        if kind == APOSTROPHE and c in _ONE:
+            return self.state(START), self.read(0, "'" + c)[1] - self.read(0, "'")[1]
+        if kind == APOSTROPHE and c in _TWO:
+            place, total = self.read(0, c)
+            return self.state(HALF, place, c), total
+        if kind == HALF and c == _TWO[pending]:
+            return self.state(START), self.read(0, "'" + pending + c)[1] - self.read(0, "'")[1] - self.read(0, pending)[1]
+        kind = {APOSTROPHE: OTHER, HALF: LETTERS}.get(kind, kind)
+        if kind == new and kind != START:
+            place, total = self.read(at, c)
+            return self.state(kind, place), total
+        return self.opened("", c)
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        total = 0
+        for symbol in self.symbols(text):
+            state, delta = state[symbol]
             total += delta
-        return total
-
-    def fragment_count(self, fragment: str) -> int:
-        """Tokens of a text that ends where the segmentation ends."""
-        known, total = self.known, 0
-        for pretoken in self.pretokens(fragment):
-            n = known.get(pretoken)
-            if n is None:
-                n = self.pretoken_count(pretoken)
-                if len(pretoken) <= 64:
-                    if len(known) > MAX_KNOWN:
-                        known.clear()
-                    known[pretoken] = n
-            total += n
-        return total
+        return state, total
 
     def chunk_map(self, chunk: str) -> ChunkMap:
-        first = self.sync.search(chunk)
-        if first is None:
+        found = self.sync(chunk)
+        if found is None:
             return ChunkMap(chunk, 0, None)
-        last = first.start()
-        for back in (256, 4096, len(chunk)):
-            places = [m.start() for m in self.sync.finditer(chunk, max(first.start(), len(chunk) - back))]
-            if places:
-                last = places[-1]
-                break
-        return ChunkMap(chunk[: first.start()], self.fragment_count(chunk[first.start() : last]), chunk[last:])
+        at = found.end()
+        end, rest = self.run(self.state(SPACE, 0, chunk[at - 1]), chunk[at:])
+        return ChunkMap(chunk[:at], rest, end)
+
+    def apply(self, chunk: ChunkMap, start: State) -> tuple[State, int]:
+        end, count = self.run(start, chunk.head)
+        return (end, count) if chunk.end is None else (chunk.end, count + chunk.rest)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """``b`` after ``a``. A sync place that only the seam makes is not needed for a right count."""
-        if a.tail is None:
-            return ChunkMap(a.head + b.head, b.count, b.tail)
-        if b.tail is None:
-            return ChunkMap(a.head, a.count, a.tail + b.head)
-        return ChunkMap(a.head, a.count + self.fragment_count(a.tail + b.head) + b.count, b.tail)
+        """``b`` after ``a``."""
+        if a.end is None:
+            return ChunkMap(a.head + b.head, b.rest, b.end)
+        end, count = self.apply(b, a.end)
+        return ChunkMap(a.head, a.rest + count, end)
 
     def piece_count(self, text: str) -> int:
         maps = [self.chunk_map(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
         while len(maps) > 1:
             maps = [self.compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        whole = maps[0]
-        return self.fragment_count(whole.head) + whole.count + (self.fragment_count(whole.tail) if whole.tail else 0)
+        return self.apply(maps[0], self.initial)[1] if maps else 0
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
+        if len(self.byte_states) > MAX_STATES:
+            self.reset()
+        elif self.words >= MAX_WORDS:
+            self.forget_words()
         if self.special is None:
             return self.piece_count(text)
         pieces = self.special.split(text)

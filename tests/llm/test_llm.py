@@ -272,7 +272,7 @@ def brute_groups(rows, width, percent=80):
     return {i: find(i) for i in parent}
 
 
-@pytest.mark.parametrize(("cluster", "block"), [(400_000, 1_000_000), (50, 200)])
+@pytest.mark.parametrize(("cluster", "block"), [(400_000, 1_000_000), (50, 200), (50, 10**6)])
 def test_near_dedup(spark, monkeypatch, cluster, block):
     monkeypatch.setattr(near_dedup, "CLUSTER_SHINGLES", cluster)
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
@@ -414,6 +414,11 @@ def test_chunk_maps_compose(spark, monkeypatch):
     for _ in range(300):
         text = "".join(rng.choice(list("ab e'st\n\t 12!?é漢😀<|>"), rng.integers(0, 60)))
         assert machine.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
+    monkeypatch.setattr(token_count, "MAX_STATES", 50)
+    monkeypatch.setattr(token_count, "MAX_WORDS", 9)  # states are forgotten again and again
+    for text in ("it's we're 'they''ll 'd'r'v !'s 's\n't\t've  'm", "don'ts 'S I'LL '", "a  b   c \n d\n\n", " \u00a0x\u2003\u2003y", "'", "''s", "r'e l'l 'l", "1'2's", "\r\n\r\n x"):
+        for k in range(len(text)):
+            assert machine.count(text[k:]) == len(library.encode(text[k:], add_special_tokens=False).ids), text[k:]
     long = "x1é" * 20000
     assert machine.count(long) == len(library.encode(long, add_special_tokens=False).ids)
 
