@@ -329,7 +329,7 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", head: int =
 
     long, double = T.LongType(), T.DoubleType()
     added = T.StructType([T.StructField("lm_row", long), T.StructField("lm_n_tokens", long), T.StructField("lm_seen", long), T.StructField("lm_part", double), T.StructField("lm_block", long), T.StructField("lm_bytes", long), T.StructField("lm_rare", T.ArrayType(T.BinaryType())), T.StructField("lm_times", T.ArrayType(long))])
-    scored = materialize(append_columns(docs, [text], added, make), "scored")
+    scored = materialize(append_columns(docs, [text], added, make), "scored", "zstd")  # holds the texts
     total = scored.agg(F.coalesce(F.sum("lm_bytes"), F.lit(0))).first()[0]
     shards = int(min(MAX_SHARDS, max(MIN_SHARDS, total // SHARD_TEXT_BYTES)))
     grams = materialize(_block_grams(scored.select("lm_block", "lm_learn", text), DEPTH, shards), "grams")
