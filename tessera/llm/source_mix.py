@@ -29,7 +29,7 @@ from .common import SPACE_WORD, materialize
 
 WEIGHT_CYCLE = (1, 2, 3)
 MAX_REPEATS = 3
-RANGES = 16_384
+RANGES = 4096
 #: Tables of one row per source are sent to all tasks up to so many rows, and shuffled beyond.
 BROADCAST_SOURCES = 500_000
 

@@ -116,12 +116,15 @@ class KernelSvm:
 def choose_landmarks(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     """Pieces of toxic texts' units that tell the classes apart, each explaining units that those before it left."""
 
-    def parts(unit: str) -> set[str]:
+    def parts(unit: str, sizes=range(MIN_LANDMARK, MAX_LANDMARK + 1)) -> set[str]:
         m = f"<{unit}>"
-        return {m[i : i + n] for n in range(MIN_LANDMARK, MAX_LANDMARK + 1) for i in range(len(m) - n + 1)}
+        return {m[i : i + n] for n in sizes for i in range(len(m) - n + 1)}
 
-    in_toxic = Counter(p for b in toxic for p in set().union(*map(parts, b)))
-    worth, in_clean = {p for p, n in in_toxic.items() if n >= 3}, Counter()
+    worth: set[str] = set()
+    for n in range(MIN_LANDMARK, MAX_LANDMARK + 1):  # one length at a time, as most pieces stand in one text only
+        in_toxic = Counter(p for b in toxic for p in set().union(*(parts(u, (n,)) for u in b)))
+        worth |= {p for p, c in in_toxic.items() if c >= 3}
+    in_clean: Counter = Counter()
     for b in clean:
         in_clean.update(worth & set().union(*map(parts, b)))
     limit = 0.002 * len(clean)
