@@ -582,3 +582,77 @@ def test_toxicity_learns_only_from_its_folds(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     held = [r for r in got if r["held_out"]]
     assert all(r["predicted"] == int(r["doc_id"] % 3 == 0) for r in held)
+
+
+# ------------------------------------------------------------------ scores worked out from the definitions
+
+
+def test_scores_of_the_tree_from_the_definition(spark):
+    """All depths, every node of the bytes' decomposition, in plain recursion over dictionaries."""
+    from functools import lru_cache
+
+    from tessera.llm.context_tree import DEPTH, END
+    from tessera.llm.lm_score import score_texts
+
+    rng = np.random.default_rng(12)
+    training = ["abracadabra alakazam", "", "abra abra é", "".join(rng.choice(list("ab c"), 60))]
+    seen: dict = defaultdict(lambda: [0, 0])
+    below: dict = defaultdict(set)
+
+    def steps(text):
+        data = bytes(DEPTH) + text.encode() + bytes([END])
+        for at in range(DEPTH, len(data)):
+            context = data[at - DEPTH : at][::-1]  # nearest byte first
+            for bit in range(8):
+                yield context, (bit, data[at] >> (8 - bit)), (data[at] >> (7 - bit)) & 1
+
+    for text in training:
+        for context, node, one in steps(text):
+            for d in range(DEPTH + 1):
+                seen[context[:d], node][one] += 1
+                if d:
+                    below[context[: d - 1], node].add(context[:d])
+
+    def estimate(z, o):
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+
+    @lru_cache(None)
+    def weighed(context, node):
+        own = estimate(*seen[context, node])
+        if len(context) == DEPTH:
+            return own
+        return np.logaddexp(own, sum(weighed(c, node) for c in below[context, node])) - math.log(2)
+
+    def probability(context, node, d=0):
+        z, o = seen[context[:d], node] if (context[:d], node) in seen else (0, 0)
+        here = (o + 0.5) / (z + o + 1)
+        if d == DEPTH:
+            return here
+        share = 0.5 if z + o == 0 else math.exp(estimate(z, o) - math.log(2) - weighed(context[:d], node))
+        return share * here + (1 - share) * probability(context, node, d + 1)
+
+    asked = [*training, "abrakadabra", "zebra é", "\x7f"]
+    want = [sum(math.log10(p if one else 1 - p) for c, n, one in steps(t) for p in [probability(c, n)]) for t in asked]
+    rows = [(i, t) for i, t in enumerate(asked)] + [(-1, t) for t in training]
+    got = {r["doc_id"]: r["lm_score"] for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), F.col("doc_id") < 0).where("doc_id >= 0").collect()}
+    assert np.allclose([got[i] for i in range(len(asked))], want, rtol=2e-5, atol=2e-4)
+
+
+def test_toxicity_scores_from_single_kernels(spark):
+    """The scored table against one kernel value at a time, without pruning or batches."""
+    from tessera.llm.toxicity import pieces, training_texts, units
+
+    rng = np.random.default_rng(16)
+    words = ["".join(rng.choice(list("aeioubcdmnrst"), rng.integers(3, 9))) for _ in range(150)]
+    rows = [(i, " ".join(rng.choice(words, 12)) + (" grobnik" if i % 3 == 0 else "")) for i in range(150)] + [(500, None), (501, ""), (502, "g.r.o.b.n.i.k"), (503, "x" * 60 + "grobnik")]
+    marks = labels(spark, [(i, int(i % 3 == 0)) for i in range(150)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = train(*training_texts(docs, marks))
+
+    def value(unit):
+        return max(float((subsequence_kernel(encode([p], len(p)), model.codes)[0] / model.scale) @ model.direction) + model.bias for p in pieces(unit))
+
+    known = {u: value(u) for _, t in rows for u in units(t)}
+    want = {i: 1 / (1 + math.exp(-max(-40.0, min(40.0, model.slope * (max((known[u] for u in units(t)), default=model.bias) - model.shift))))) for i, t in rows}
+    for r in toxicity_table(docs, marks).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-4) and r["predicted"] == int(want[r["doc_id"]] >= 0.5)
