@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_map import append_columns
-from .common import connected_components, materialize
+from .common import connected_components, materialize, release
 from .shingles import mix64, shingle_sets, slices
 
 PLACES = 128
 BAND = 4
 PERCENT = 80
-CLUSTER_SHINGLES = 100_000
+CLUSTER_SHINGLES = 400_000
 BLOCK_SHINGLES = 1_000_000
 BROADCAST_IDS = 2_000_000
 
@@ -306,7 +306,10 @@ def find_groups(docs: DataFrame, text: str = "text", width: int = 5, percent: in
     twin = seen.where(F.col("nd_class").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "nd_class").join(classes.select("nd_class", "node"), "nd_class")
     own = materialize(twin.select("doc_id", "node").distinct(), "own")
     links = links.union(own.where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    groups = connected_components(materialize(links.where("a <> b").distinct(), "links"), "groups")
+    links = materialize(links.where("a <> b").distinct(), "links")
+    release(bands, sized, sets)
+    groups = connected_components(links, "groups")
+    release(links)
     mapped = own.groupBy("doc_id").agg(F.min("node").alias("node")).join(groups, "node", "left")
     mapped = mapped.select("doc_id", F.coalesce("component", "node").alias("nd_component"))
     out = seen.select("doc_id", "nd_n").join(mapped, "doc_id", "left")
