@@ -1,4 +1,4 @@
-"""Registered queries of the corpus compiler: a seed corpus given in place with its blocks, children and units worked out by hand, and invariants over the supplied documents."""
+"""Registered queries of the corpus compiler: a seed corpus given in place with its blocks, children and units (printed once and reviewed by hand), and invariants over the supplied documents."""
 
 from __future__ import annotations
 
