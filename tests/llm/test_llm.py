@@ -381,7 +381,7 @@ def brute_spans(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("shard", "group", "long"), [(3 << 20, 1 << 18, 1 << 26), (2000, 1 << 20, 500), (2000, 600, 1 << 26)])
+@pytest.mark.parametrize(("shard", "group", "long"), [(3 << 20, 1 << 20, 1 << 26), (2000, 1 << 20, 500), (2000, 600, 1 << 26)])
 def test_suffix_dedup(spark, monkeypatch, shard, group, long):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
