@@ -21,6 +21,11 @@ class LexicalIndex:
     split: DataFrame  # unit_id, len, t: a unit's words, which stand in one row
     terms: DataFrame  # term, df, cf
 
+    @property
+    def frequencies(self) -> DataFrame:
+        """(term, df)."""
+        return self.split.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
     @property
     def lengths(self) -> DataFrame:
         return self.split.select("unit_id", "len")
@@ -41,7 +46,7 @@ def build_index(units: DataFrame, unit_id: str = "unit_id", text: str = "text")
 def idf_table(index: LexicalIndex) -> DataFrame:
     """(term, idf): ln(N - df + 0.5) - ln(df + 0.5), negatives replaced by EPSILON times the mean over all terms."""
     n = index.lengths.agg(F.count("*").alias("n_units"))
-    raw = index.terms.join(F.broadcast(n)).select("term", (F.log(F.col("n_units") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = index.frequencies.join(F.broadcast(n)).select("term", (F.log(F.col("n_units") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
