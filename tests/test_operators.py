@@ -215,3 +215,21 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     events.append_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out")), "event_id") == [(i,) for i in range(9)]
     assert sum(r[0] for r in rows(events.tumbling(batch), "n")) == 9
+
+
+def test_streamed_runs_end_as_batch_runs(spark, tmp_path):
+    import random
+
+    from tessera.operators import evidence
+
+    rng = random.Random(4)
+    schema = "run_id long, ts long, step_id long, kind string, cost double"
+    data = [(rng.randrange(12), t, t, rng.choice(["step", "step", "step", "fail", "publish"] if t > 60 else ["step", "fail"]), rng.choice([0.004, 0.011])) for t in range(150)]
+    for part in range(3):  # in order of arrival
+        spark.createDataFrame(data[part * 50 : part * 50 + 50], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={part}"))
+    want = evidence.run_outcomes(spark.createDataFrame(data, schema), "run_id", ["ts", "step_id"], "kind", "cost").where("outcome <> 'running'")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    events.append_stream(events.run_ends(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(got.withColumn("spent", F.round("spent", 6)), "run_id", "n_steps", "outcome", "spent") == rows(want.withColumn("spent", F.round("spent", 6)), "run_id", "n_steps", "outcome", "spent")
+    assert got.count() > 6
