@@ -50,3 +50,25 @@ def token_counter(name: str):
         return texts.map(lambda t: count(t or ""))
 
     return counted
+
+
+#: Fixed value: the pre-token pattern of byte-level vocabularies.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ranks_counter(path: str, pattern: str = BYTE_PATTERN) -> Callable[[str], int]:
+    """A token counter from a file of ranks (a token in base64 and its rank on each line), read once here and built once in each worker."""
+    import base64
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    built: list = []
+
+    def count(text: str) -> int:
+        if not built:
+            import tiktoken
+
+            built.append(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
+        return len(built[0].encode_ordinary(text))
+
+    return count

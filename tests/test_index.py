@@ -68,3 +68,24 @@ def test_pack_fails_where_seeds_exceed_the_budget(spark):
         fusion.pack(rows, 50).collect()
     got = {(r["query_id"], r["unit_id"]): (r["over_budget"], r["packed"]) for r in fusion.pack(rows, 50, fail_over_budget=False).collect()}
     assert got == {(1, 7): (True, False), (1, 8): (True, False), (2, 9): (False, True), (2, 10): (False, False)}
+
+
+def test_registered_counters(spark):
+    from tessera.functions import registry
+
+    tokenizers = pytest.importorskip("public_tokenizers")
+    pytest.importorskip("tiktoken")
+    count = registry.ranks_counter(tokenizers.path("byte_bpe_50k.tiktoken"))
+    registry.register("tokenizer", "bytes_50k", count)
+    registry.register("tokenizer", "bytes_50k", count)
+    with pytest.raises(ValueError, match="another"):
+        registry.register("tokenizer", "bytes_50k", len)
+    with pytest.raises(ValueError, match="no encoder"):
+        registry.resolve("encoder", "bytes_50k")
+    texts = ["Hello  world, it's 12 é", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(registry.token_counter("bytes_50k")("t")).collect()]
+    assert got == [count(t or "") for t in texts] and got[0] == 8 and got[1] == 0
+    docs = spark.createDataFrame([(1, "One two three. " * 60)], "doc_id long, text string")
+    assert compiler.compile_units(docs, 40, count).where("n_tokens > 40").count() == 0
+    registry.register("veto", "never", lambda claim, observation: claim.get("id") == 3)
+    assert registry.vetoed({"id": 3}, {}) and not registry.vetoed({"id": 4}, {})
