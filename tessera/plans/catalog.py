@@ -121,18 +121,6 @@ def chunk_fixed_window(spark, d):
     return out.select("doc_id", "chunk_index", "n_tokens", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
-@register()
-def markdown_block_types(spark, d):
-    """Block types of all texts read as Markdown; a parser, so no SQL."""
-    return chunking.markdown_blocks(table(spark, d, "documents")).groupBy("block_type").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
-
-
-@register()
-def packed_units(spark, d):
-    """Greedy packing of parsed blocks; an ordered fold over parsed text, so no SQL."""
-    return chunking.pack_blocks(chunking.markdown_blocks(table(spark, d, "documents")))
-
-
 @register(
     """WITH t AS (SELECT doc_id, text, unnest(range(0, length(text) + 1, 1000)) AS place FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, place, strlen(left(text, place)) AS byte, len(regexp_extract_all(left(text, place), '\\r\\n|\\r|\\n')) + 1 AS line FROM t"""
@@ -614,18 +602,22 @@ def event_tumbling(spark, d):
     return out.select(F.unix_timestamp("started").alias("started"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
-@register()
+_EDGES = [("one", "a", "1"), ("one", "a", "2"), ("one", "b", "1"), ("two", "a", "1"), ("two", "b", "1"), ("two", "c", "2"), ("two", "c", "3"), ("two", "d", "3"), ("three", "x", "9")]
+
+
+@register(fixture.expected("case_id, \"left\", \"right\"", [("one", "a", "2"), ("one", "b", "1"), ("two", "a", "1"), ("two", "c", "2"), ("two", "d", "3"), ("three", "x", "9")]))
 def claim_matching(spark, d):
-    """Largest matching of candidate and gold atoms, per fixture; iterative, so no SQL."""
-    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 100).cast("string").alias("case_id"), (F.col("l_partkey") % 12).cast("string").alias("left"), (F.col("l_suppkey") % 9).cast("string").alias("right")).distinct()
-    return evaluation.largest_matching(rows)
+    """Largest matching of candidate and gold atoms, per case."""
+    return evaluation.largest_matching(fixture.rows(spark, "case_id string, left string, right string", _EDGES))
+
+
+_SAID = [(1, 0, "The cat sat on the mat"), (1, 1, "the cat sat on the mat!"), (1, 2, "A dog ran off"), (1, 3, ""), (1, 4, None), (1, 5, "the dog ran far"), (2, 0, "the cat sat on the mat"), (2, 1, " THE CAT SAT ON THE MAT "), (2, 2, "cat")]
 
 
-@register()
+@register(fixture.expected("conv_id, turn", [(1, 0), (1, 2), (1, 5), (2, 0), (2, 2)]))
 def conversation_fuzzy_dedup(spark, d):
-    """Order-dependent fuzzy dedup within each conversation; no SQL."""
-    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return evaluation.fuzzy_dedup(turns, ["conv_id"], "turn", "text").select("conv_id", "turn")
+    """Order-dependent fuzzy dedup within each conversation."""
+    return evaluation.fuzzy_dedup(fixture.rows(spark, "conv_id long, turn long, text string", _SAID), ["conv_id"], "turn", "text").select("conv_id", "turn")
 
 
 # ---------------------------------------------------------------- further operators

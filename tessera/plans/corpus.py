@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import compiler
+from ..operators import chunking, compiler
 from ..sources.tables import table
 from . import fixture
 from .catalog import _TOK, register
@@ -75,6 +75,20 @@ def compiled_blocks(spark, d):
     return compiler.compile_blocks(_seed(spark)).drop("title").withColumn("heading_path", F.array_join("heading_path", " > "))
 
 
+@register("WITH " + fixture.values("t", "doc_id, ordinal, block_type, s, e, bs, be, line, level, path, parent, previous, next", _BLOCKS) + " SELECT block_type, count(*) AS n, sum(e - s)::BIGINT AS chars FROM t GROUP BY block_type")
+def markdown_block_types(spark, d):
+    return chunking.markdown_blocks(_seed(spark)).groupBy("block_type").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+_PACKED = [(1, 1, 0, 0, 0, 2), (1, 2, 0, 1, 2, 7), (1, 2, 1, 3, 3, 6), (1, 3, 0, 4, 4, 6), (1, 4, 0, 5, 5, 3), (2, 1, 0, 0, 0, 3), (2, 2, 0, 1, 1, 16), (2, 3, 0, 2, 2, 2), (2, 4, 0, 3, 3, 1), (2, 5, 0, 4, 4, 11), (2, 5, 1, 5, 5, 1)]
+
+
+@register("WITH " + fixture.values("t", "doc_id, island, unit, first, last, n_tokens", _PACKED) + " SELECT *, n_tokens > 8 AS overflow FROM t")
+def packed_units(spark, d):
+    """Blocks packed up to eight words between barriers."""
+    return chunking.pack_blocks(chunking.markdown_blocks(_seed(spark)), 8)
+
+
 @register(fixture.expected("doc_id, chunk_index, ordinal, policy, spans, n_tokens, overflow", _CHILDREN))
 def compiled_children(spark, d):
     shown = F.array_join(F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit(" "), x["role"])), ";")

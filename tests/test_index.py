@@ -89,3 +89,19 @@ def test_registered_counters(spark):
     assert compiler.compile_units(docs, 40, count).where("n_tokens > 40").count() == 0
     registry.register("veto", "never", lambda claim, observation: claim.get("id") == 3)
     assert registry.vetoed({"id": 3}, {}) and not registry.vetoed({"id": 4}, {})
+
+
+def test_rules_that_refuse(spark):
+    from tessera.operators import reports, retrieval
+
+    topics = spark.createDataFrame([(0, 1), (1, 2)], "place int, id int")
+    for arguments in ({}, {"topic_id": 1, "limit": 1}, {"topic_id": 0}, {"limit": 0}, {"limit": 21}):
+        with pytest.raises(ValueError):
+            reports.smoke_topics(topics, **arguments)
+    with pytest.raises(ValueError, match="backend"):
+        retrieval.dispatch("remote")
+    with pytest.raises(ValueError, match="seeds"):
+        retrieval.retrieve(spark, topics, topics, topics, topics, n_seeds=4)
+    pairs = spark.createDataFrame([(1, 2, "a b", "c " * 20)], "query_id long, unit_id long, query string, text string")
+    with pytest.raises(Exception, match="more than 9 tokens"):
+        retrieval.pair_scores(pairs, lambda b: [0.0] * len(b), lambda t: len(t.split()), most=9).collect()
