@@ -656,3 +656,34 @@ def test_toxicity_scores_from_single_kernels(spark):
     want = {i: 1 / (1 + math.exp(-max(-40.0, min(40.0, model.slope * (max((known[u] for u in units(t)), default=model.bias) - model.shift))))) for i, t in rows}
     for r in toxicity_table(docs, marks).collect():
         assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-4) and r["predicted"] == int(want[r["doc_id"]] >= 0.5)
+
+
+# ------------------------------------------------------------------ components
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    """One node with 100,000 links, a long chain, a ring and a pair, dealt out in any order."""
+    from tessera.llm import common
+
+    star = spark.range(1, 100_001).select(F.col("id").alias("a"), F.lit(7_000_000).cast("long").alias("b"))
+    extra = [(200_000 + i, 200_001 + i) for i in range(60)] + [(300_000, 300_001), (300_001, 300_002), (300_002, 300_000), (5, 5), (400_001, 400_000), (400_000, 400_001)]
+    edges = star.union(spark.createDataFrame(extra, "a long, b long"))
+    got = common.connected_components(edges)
+    assert got.where("node = 7000000 or node between 1 and 100000").select("component").distinct().collect() == [(1,)]
+    assert got.count() == got.select("node").distinct().count() == 100_001 + 61 + 3 + 2
+    rest = {r["node"]: r["component"] for r in got.where("node between 200000 and 500000").collect()}
+    assert rest == {**{200_000 + i: 200_000 for i in range(61)}, **{300_000 + i: 300_000 for i in range(3)}, 400_000: 400_000, 400_001: 400_000}
+    monkeypatch.setattr(common, "HUB_LINKS", 2)  # nearly all nodes are hubs
+    small = [(int(a), int(b)) for a, b in np.random.default_rng(2).integers(0, 90, (70, 2))]
+    parent = list(range(90))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in small:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(small, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in {x for e in small if e[0] != e[1] for x in e}}
