@@ -64,12 +64,19 @@ class SuffixAutomaton:
             parent = self.link[state]
             if self.length[parent] >= window:
                 found.setdefault(parent, set()).update(own)
-        self.base = {}
+        # base: the state of the last ``window`` words alone; nearly all of those belong to one item, held in a flat array
+        self.base = array("i", [-1]) * len(self.length)
         for state in order:
             if self.length[state] >= window:
                 parent = self.link[state]
                 self.base[state] = self.base[parent] if self.length[parent] >= window else state
-        self.items_at = {s: found[s] for s in set(self.base.values())}
+        self.item_at = array("i", [-1]) * len(self.length)
+        self.items_at: dict[int, frozenset[int]] = {}
+        for state in set(self.base) - {-1}:
+            if len(found[state]) == 1:
+                (self.item_at[state],) = found[state]
+            else:
+                self.items_at[state] = frozenset(found[state])
         self.short: dict[int, list[tuple[int, int]]] = {}
         for k, (_, words) in enumerate(items):
             if 0 < len(words) < window:
@@ -118,7 +125,7 @@ class SuffixAutomaton:
 
     def stream(self, words: list[bytes]) -> tuple[list[list[int]], set[int]]:
         """Maximal runs [start, end) of hit words, and the numbers of the items they come from."""
-        vocab, link, length, near = self.vocab.get, self.link, self.length, self.near_short
+        vocab, link, length, near, base = self.vocab.get, self.link, self.length, self.near_short, self.base
         only_token, only_next, many, none = self.only_token, self.only_next, self.many, {}
         window, state, size, runs, items = self.window, 0, 0, [], set()
         for i, word in enumerate(words):
@@ -139,7 +146,11 @@ class SuffixAutomaton:
             if size >= window:
                 reach = window
                 # the state of the last ``window`` words alone
-                items |= self.items_at[self.base[state]]
+                item = self.item_at[base[state]]
+                if item >= 0:
+                    items.add(item)
+                else:
+                    items |= self.items_at[base[state]]
             at = near[state]
             while at > 0:
                 for n, item in self.short[at]:
