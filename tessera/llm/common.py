@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow_map import bound_batches
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
 
@@ -62,6 +64,7 @@ def materialize(df: DataFrame, name: str, compression: str | None = None) -> Dat
     The files outlive lost executors; they are removed when the driver ends.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     atexit.register(_remove_at_exit, spark, path)
