@@ -123,14 +123,14 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     last = (cur.count(),)
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n")), name)
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
         large = _with_lowest(both.where("b > a"), low, last[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.union(cur).where("a > b").distinct(), name)
-        lower = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
+        lower = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = _with_lowest(large, lower, last[0])
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         nxt = materialize(small.where("a > b").distinct(), name)
-        release(cur, low, large, lower)
+        release(cur, large)
         cur, sums = nxt, tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if sums == last:
             break

@@ -305,7 +305,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     release(rows, known)
     ranges = materialize(found.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(F.struct("t", "lo", "hi", "at")).alias("x")).select("h", "r", "n", "x.*"), "ranges")
     size = F.sum(F.col("hi") - F.col("lo") + length)
-    large = materialize(ranges.groupBy("h").agg(size.alias("size")).where(F.col("size") > GROUP_BYTES).select("h", F.lit(True).alias("large")), "large")
+    large = ranges.groupBy("h").agg(size.alias("size")).where(F.col("size") > GROUP_BYTES).select("h", F.lit(True).alias("large"))
     any_large = large.limit(1).count() > 0
     marked = ranges.join(large, "h", "left") if any_large else ranges.withColumn("large", F.lit(False))
     item = F.struct("h", "r", "n", F.coalesce("large", F.lit(False)).alias("large"), "lo", "hi", "at")
