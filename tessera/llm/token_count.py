@@ -7,8 +7,9 @@ vocabulary-trie nodes that are still open, each with the token before it and the
 number of tokens up to there. Reading a character leads to one next state, and the
 transition is annotated with the change in the number of tokens that the text read
 so far has (it may fall when tokens merge). Which of the tokens that end at a byte
-is the right one follows from the merges: two neighbours stand if merging their
-joint bytes gives back the two. States and transitions are compiled when they are
+is the right one follows from the merges: two neighbours stand if, when the merges
+that made them are undone from the last one on, no earlier merge would have joined
+the pieces that meet between them. States and transitions are compiled when they are
 first met and shared by all later texts of the worker; transitions over a whole
 word are the composition of those over its characters and are kept as well.
 
@@ -27,6 +28,7 @@ all head. An input column of an added name (``tk_*``) is kept as ``<name>_in``.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 import regex
@@ -37,7 +39,7 @@ from .arrow_map import append_columns
 
 CHUNK_CHARS = 4096
 LIMIT = 1024
-MAX_STATES = 200_000
+MAX_STATES = 300_000
 MAX_WORDS = 300_000
 MAX_WORD_CHARS = 32
 
@@ -60,10 +62,10 @@ class State(dict):
     kind: the open pre-token's; nodes: where its bytes have led; pending: a character that may still go elsewhere.
     """
 
-    __slots__ = ("at", "epoch", "kind", "machine", "nodes", "pending")
+    __slots__ = ("at", "epoch", "kind", "machine", "nodes", "older", "pending")
 
     def __init__(self, machine: BpeTransducer, kind: int, at: int, pending: str):
-        self.machine, self.kind, self.pending = machine, kind, pending
+        self.machine, self.kind, self.pending, self.older = machine, kind, pending, None
         self.at, self.epoch, self.nodes = at, machine.epoch, machine.byte_states[at]
 
     def place(self) -> int:
@@ -74,9 +76,12 @@ class State(dict):
     def __missing__(self, symbol: str) -> tuple[State, int]:
         machine = self.machine
         if len(symbol) > 1:
-            return machine.compile_word(self, symbol)
+            if self.older is not None and (known := self.older.get(symbol)) is not None:
+                return machine.keep(self, symbol, known)
+            return machine.keep(self, symbol, machine.compile_word(self, symbol))
         if LETTERS <= self.kind <= OTHER and self.kind != machine.kind(symbol):
-            return machine.opened("", symbol)  # the same from all states of another kind, so it is kept there
+            out = self[symbol] = machine.opened("", symbol)  # the same from all states of another kind
+            return out
         out = self[symbol] = machine.transition(self, symbol)
         return out
 
@@ -101,17 +106,22 @@ class BpeTransducer:
                 raise ValueError("added tokens that strip their surroundings are not compiled")
         special = sorted((t["content"] for t in data.get("added_tokens", [])), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.symbols = regex.compile(r"\w+\s|\w+|\W").findall
+        self.symbols = re.compile(r"\w+\W|\w+|\W").findall  # a word with the sign behind it ends in one of few states
         self.sync = regex.compile(r"(?<=\S)\s").search
         self.kinds: dict[str, int] = {}
         letters = byte_alphabet()
         raw = lambda token: bytes(letters[c] for c in token)
         self.bytes_of = {i: raw(t) for t, i in model["vocab"].items() if all(c in letters for c in t)}
         self.id_of = {b: i for i, b in self.bytes_of.items()}
-        self.rank = {}
+        # joins: rank of the merge of two tokens; made: rank of the merge that makes a token (-1: none) and the two it is made of
+        self.joins: dict[tuple[int, int], int] = {}
+        self.made: dict[int, tuple[int, int, int]] = {i: (-1, i, i) for i in self.bytes_of}
         for r, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.rank.setdefault((raw(a), raw(b)), r)
+            left, right, both = self.id_of[raw(a)], self.id_of[raw(b)], self.id_of[raw(a) + raw(b)]
+            self.joins.setdefault((left, right), r)
+            if self.made[both][0] < 0:
+                self.made[both] = r, left, right
         self.child: list[dict[int, int]] = [{}]
         self.token_at: list[int | None] = [None]
         for token, i in self.id_of.items():
@@ -123,7 +133,6 @@ class BpeTransducer:
                     self.token_at.append(None)
                 at = self.child[at][byte]
             self.token_at[at] = i
-        self.stands: dict[tuple[int, int], bool] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -131,10 +140,7 @@ class BpeTransducer:
         self.epoch = getattr(self, "epoch", 0) + 1
         self.bytes_id: dict[tuple, int] = {((0, -1, 0),): 0}
         self.byte_states: list[tuple] = [((0, -1, 0),)]
-        self.byte_steps: list[dict[int, tuple[int, int]]] = [{}]
-        self.forget_words()
-
-    def forget_words(self) -> None:
+        self.steps: dict[int, int] = {}  # place and byte to next place and change in tokens, packed: one look-up a byte
         self.states: dict[tuple, State] = {}
         self.fresh: dict[str, tuple[State, int]] = {}
         self.words = 0
@@ -147,37 +153,27 @@ class BpeTransducer:
             found = self.states[key] = State(self, kind, at, pending)
         return found
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """Apply the merges in order of rank."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            pair = (parts[best], parts[best + 1])
-            if pair not in self.rank:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
     def neighbours(self, before: int, token: int) -> bool:
-        """Whether the merges leave ``token`` standing after ``before`` (-1: at the start)."""
-        key = (before, token)
-        known = self.stands.get(key)
-        if known is None:
-            if len(self.stands) > 400_000:
-                self.stands.clear()
-            left, right = self.bytes_of.get(before, b""), self.bytes_of[token]
-            known = self.stands[key] = self.merged(left + right) == ([left] if left else []) + [right]
-        return known
-
-    def byte_step(self, at: int, byte: int) -> tuple[int, int]:
+        """Whether the merges leave ``token`` standing after ``before`` (-1: at the start).
+
+        Merges of one rank run from left to right, so one that joins the pieces
+        between two tokens also comes before an equal one within the right token.
+        """
+        left, right, limit, joins, made = before, token, 1 << 60, self.joins, self.made
+        if left < 0:
+            return True
+        while True:
+            if joins.get((left, right), limit) < limit:
+                return False
+            (a, _, inner), (b, outer, _) = made[left], made[right]
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                left, limit = inner, a
+            else:
+                right, limit = outer, b + 1
+
+    def byte_step(self, at: int, byte: int) -> int:
         open_, found = [], None
         for node, before, count in self.byte_states[at]:
             node = self.child[node].get(byte)
@@ -191,7 +187,7 @@ class BpeTransducer:
             raise ValueError(f"no token ends at byte {byte}")
         token, delta = found
         nxt = tuple((node, before, count - delta) for node, before, count in open_ if self.child[node]) + ((0, token, 0),)
-        self.byte_steps[at][byte] = out = (self.place(nxt), delta)
+        out = self.steps[at << 8 | byte] = self.place(nxt) << 8 | delta + 128  # a token of the vocabulary replaces far fewer than 128
         return out
 
     def place(self, nodes: tuple) -> int:
@@ -199,16 +195,18 @@ class BpeTransducer:
         if found is None:
             found = self.bytes_id[nodes] = len(self.byte_states)
             self.byte_states.append(nodes)
-            self.byte_steps.append({})
         return found
 
     def read(self, at: int, text: str) -> tuple[int, int]:
         """Place and change in tokens when the bytes of ``text`` follow in the same pre-token."""
-        total = 0
-        for byte in text.encode():
-            at, delta = self.byte_steps[at].get(byte) or self.byte_step(at, byte)
-            total += delta
-        return at, total
+        data, get, total = text.encode(), self.steps.get, 0
+        for byte in data:
+            found = get(at << 8 | byte)
+            if found is None:
+                found = self.byte_step(at, byte)
+            at = found >> 8
+            total += found & 255
+        return at, total - 128 * len(data)
 
     def kind(self, c: str) -> int:
         found = self.kinds.get(c)
@@ -217,20 +215,43 @@ class BpeTransducer:
         return found
 
     def compile_word(self, state: State, word: str) -> tuple[State, int]:
-        """The composition of the transitions over a word's characters; letters that follow letters are read at once."""
+        """The composition of the transitions over a word's characters and the sign behind it; letters are read at once."""
         end, total = state[word[0]]
-        rest = word[1:]
-        if end.kind == LETTERS and (letters := rest.rstrip()).isalpha():
-            place, delta = self.read(end.place(), letters)
-            end, total, rest = self.state(LETTERS, place), total + delta, rest[len(letters) :]
-        for c in rest:
-            end, delta = end[c]
+        body, sign = (word[1:], "") if self.kind(word[-1]) == LETTERS else (word[1:-1], word[-1])
+        if end.kind == LETTERS and (not body or body.isalpha() and (body.isascii() or all(self.kind(c) == LETTERS for c in body))):
+            place, delta = self.read(end.place(), body)
             total += delta
-        if len(word) <= MAX_WORD_CHARS and self.words < MAX_WORDS:
-            self.words += 1
-            state[word] = end, total
+            if sign and self.kind(sign) != DIGITS:
+                end, delta = self.opened("", sign)
+                total += delta
+            else:
+                end = self.state(LETTERS, place)
+                for c in sign:
+                    end, delta = end[c]
+                    total += delta
+        else:
+            for c in word[1:]:
+                end, delta = end[c]
+                total += delta
         return end, total
 
+    def keep(self, state: State, word: str, found: tuple[State, int]) -> tuple[State, int]:
+        if len(word) <= MAX_WORD_CHARS:
+            if self.words >= MAX_WORDS:
+                self.age_words()
+            self.words += 1
+            state[word] = found
+        return found
+
+    def age_words(self) -> None:
+        """Words that are not met again while as many others are kept will be forgotten."""
+        for state in self.states.values():
+            words = {w: x for w, x in state.items() if len(w) > 1}
+            state.older = words or None
+            for w in words:
+                del state[w]
+        self.words = 0
+
     def opened(self, before: str, c: str) -> tuple[State, int]:
         """A new pre-token: ``before`` is a blank or nothing."""
         found = self.fresh.get(before + c)
@@ -303,8 +324,6 @@ class BpeTransducer:
             return 0
         if len(self.byte_states) > MAX_STATES:
             self.reset()
-        elif self.words >= MAX_WORDS:
-            self.forget_words()
         if self.special is None:
             return self.piece_count(text)
         pieces = self.special.split(text)
