@@ -72,6 +72,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_table(read_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitening_table
+
+    return whitening_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import trie_table
+
+    return trie_table(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_token_count, op3_license_scan, op4_quality_rules, op5_lm_score, op6_near_dedup, op7_decontaminate, op8_suffix_dedup, op9_source_mix, op10_line_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_token_count, op3_license_scan, op4_quality_rules, op5_lm_score, op6_near_dedup, op7_decontaminate, op8_suffix_dedup, op9_source_mix, op10_line_dedup, op12_embedding_whitening, op13_prefix_trie)
 }

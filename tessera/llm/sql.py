@@ -101,6 +101,22 @@ f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_i
 m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
 
+# crc32 of the decimal id, bit by bit; nodes are known by the list of their turns' digests.
+_TRIE = """WITH t AS (SELECT conv_id, coalesce(text, '') AS x, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, k, length(x) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS i FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS b, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
+  lambda a, v: list_reduce(list_prepend(xor(a, v), range(8)), lambda p, q: xor(p // 2, 3988292384 * (p % 2)))), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, k, chars, i FROM c JOIN o ON o.conv_id = c.b AND o.i <= c.h UNION ALL SELECT c.conv_id, k, chars, i FROM c JOIN o ON o.conv_id = c.conv_id AND o.i > c.h),
+w AS (SELECT conv_id, list(k ORDER BY i) AS ks, list(chars ORDER BY i) AS cs FROM r GROUP BY conv_id),
+f AS (SELECT c.conv_id, coalesce(ks, []) AS ks, coalesce(cs, []) AS cs FROM c LEFT JOIN w USING (conv_id)),
+p AS (SELECT conv_id, d, ks[1:d] AS path, coalesce(cs[d], 0) AS chars, d = len(ks) AS ended FROM f, LATERAL (SELECT unnest(range(0, len(ks) + 1)) AS d)),
+n AS (SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS own, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '') AS ends FROM p GROUP BY path),
+up AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN up USING (path)),
+s AS (SELECT path[1:j] AS path, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM m, LATERAL (SELECT unnest(range(0, depth + 1)) AS j) GROUP BY 1)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s USING (path) LEFT JOIN n q ON m.depth > 0 AND q.path = m.path[1:m.depth - 1]"""
+
 SQL: dict[str, str] = {
     "op3_license_scan": _license(),
     "op4_quality_rules": _quality(),
@@ -108,4 +124,5 @@ SQL: dict[str, str] = {
     "op8_suffix_dedup": _SUFFIXES,
     "op9_source_mix": _MIX,
     "op10_line_dedup": _LINES,
+    "op13_prefix_trie": _TRIE,
 }
