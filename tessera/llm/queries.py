@@ -72,6 +72,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_table(read_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_table
+
+    return pii_table(read_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whitening_table
 
@@ -85,5 +91,5 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_token_count, op3_license_scan, op4_quality_rules, op5_lm_score, op6_near_dedup, op7_decontaminate, op8_suffix_dedup, op9_source_mix, op10_line_dedup, op12_embedding_whitening, op13_prefix_trie)
+    f.__name__: f for f in (op1_toxicity, op2_token_count, op3_license_scan, op4_quality_rules, op5_lm_score, op6_near_dedup, op7_decontaminate, op8_suffix_dedup, op9_source_mix, op10_line_dedup, op11_pii, op12_embedding_whitening, op13_prefix_trie)
 }
