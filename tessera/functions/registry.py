@@ -35,7 +35,7 @@ def for_sql(spark: SparkSession) -> list[str]:
     """Register the Python functions of the library under their SQL names."""
     from . import jsontext, text, urls
 
-    named = {"tessera_nfc": text.nfc, "tessera_citation_url": urls.hard_url, "tessera_public_host": urls.is_public_host, "tessera_json_array": jsontext.json_array, "tessera_uuid5": jsontext.uuid5}
+    named = {"tessera_nfc": text.nfc, "tessera_ascii_name": urls.ascii_name, "tessera_json_array": jsontext.json_array, "tessera_uuid5": jsontext.uuid5}
     for name, function in named.items():
         spark.udf.register(name, function)
     return sorted(named)

@@ -35,20 +35,21 @@ def test_slug_excerpt_ratio(spark):
     assert r[2]["value"] is None and r[2]["undefined"] and r[2]["reason"] == "none"
 
 
-@pytest.mark.parametrize(
-    ("url", "want"),
-    [
-        ("https://Example.COM", "https://example.com/"),
-        ("https://a.b:443/x?q=1#f", "https://a.b/x?q=1"),
-        ("http://a.b/", None),
-        ("https://u@a.b/", None),
-        ("https://a.b:8443/", None),
-        ("https://a.b/%zz", None),
-        ("https://a b.c/", None),
-    ],
-)
-def test_url_normal_form(spark, url, want):
-    assert spark.createDataFrame([(url,)], "u string").select(urls.normalize(F.col("u"))).first()[0] == want
+URLS = [
+    ("https://Example.COM", "https://example.com/"), ("https://a.b:443/x?q=1#f", "https://a.b/x?q=1"), ("http://a.b/", None), ("https://u@a.b/", None), ("https://a.b:8443/", None), ("https://a.b/%zz", None), ("https://a.b/%41", "https://a.b/%41"),
+    ("https://127.0.0.1/", None), ("https://2130706433/", None), ("https://0x7f.1/", None), ("https://09.1.1.1/", None), ("https://010.8.8.8/", "https://8.8.8.8/"), ("https://8.8.8.8/x", "https://8.8.8.8/x"), ("https://10.0.0.1/", None), ("https://192.168.1.1/", None),
+    ("https://[::1]/", None), ("https://[2606:4700::1111]/", "https://[2606:4700::1111]/"), ("https://localhost/", None), ("https://x.localhost/", None), ("https://printer.local/", None), ("https://bücher.example/a", "https://xn--bcher-kva.example/a"),
+    ("https://-a.example/", None), ("https://a_b.example/", None), ("https://" + "a" * 64 + ".example/", None), ("https://" + "a" * 63 + ".example/", "https://" + "a" * 63 + ".example/"), ("https://a.example\\x", None), ("https://a.example/a b", "https://a.example/a b"),
+    ("https://a.example/\ttab", None), (" https://a.example/ ", "https://a.example/"), ("", None), (None, None), ("https://", None), ("HTTPS://A.example./", "https://a.example/"), ("https://1.2.3.4.5/", None), ("https://a.1/", None), ("https://example.com:99999/", None), ("https://224.0.0.1/", None),
+    ("https://0x/x", None), ("https://0x.0x./x", None), ("https://09./x", None), ("https://example.com:abc/x", None), ("https://example.com:+443/x", None), ("https://[::ffff:8.8.8.8]/", "https://[::ffff:808:808]/"), ("https://[::ffff:10.0.0.1]/", None),
+    ("https://[2001:db8::1]/", None), ("https://[fe80::1]/", None), ("https://[2606:0:0:1:0:0:0:1]/", "https://[2606:0:0:1::1]/"), ("https://[1:2:3:4:5:6:7:8]/", "https://[1:2:3:4:5:6:7:8]/"), ("https://[2606::1::2]/", None), ("https://[ff02::1]/", None),
+    ("https://134744072/x", "https://8.8.8.8/x"), ("https://exa_mple.com/x", None), ("https://example..com/x", None), ("https://" + ".".join(["a" * 63] * 4) + "/x", None), ("https://a.b/?", "https://a.b/"), ("https://a.b?q", "https://a.b/?q"), ("https://a.b:/x", "https://a.b/x"),
+]
+
+
+def test_url_normal_form(spark):
+    rows = spark.createDataFrame(list(enumerate(u for u, _ in URLS)), "i int, u string").select("i", urls.normalize(F.col("u")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in rows} == {i: want for i, (_, want) in enumerate(URLS)}
 
 
 def test_public_hosts(spark):
