@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACES = r"[\x20\x09-\x0D]+"
-_PIECE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 #: White space of any script, no-break spaces included.
@@ -110,9 +108,3 @@ def byte_offset(text: Column, char_offset: Column) -> Column:
 def line_number(text: Column, char_offset: Column) -> Column:
     """One-based; \\r\\n, \\r and \\n each end a line."""
     return F.regexp_count(F.substr(text, F.lit(1), char_offset), F.lit(r"\r\n|\r|\n")) + 1
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def token_places(texts: pd.Series) -> pd.Series:
-    """(start, end) of the pieces between white space, in code points from 0; Spark has no built-in that gives the places of all matches."""
-    return texts.map(lambda t: [(m.start(), m.end()) for m in _PIECE.finditer(t or "")])

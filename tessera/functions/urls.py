@@ -55,7 +55,7 @@ def v4_number(host: Column) -> Column:
     """The 32-bit address a host of one to four numbers stands for, or null: all but the last are bytes, the last fills the rest."""
 
     def joined(n: Column) -> Column:
-        size, last = F.size(n), F.element_at(n, -1)
+        size, last = F.size(n), F.try_element_at(n, F.lit(-1))
         lead = F.slice(n, F.lit(1), F.greatest(size - 1, F.lit(0)))
         room = F.call_function("shiftleft", F.lit(1).cast("long"), 8 * (5 - size))
         fits = (size <= 4) & ~F.exists(n, F.isnull) & F.forall(lead, lambda v: v <= 255) & (last < room)
@@ -145,7 +145,7 @@ def public_host(host: Column) -> Column:
     name = F.regexp_replace(F.lower(F.when(international, ascii_name(F.when(international, host))).otherwise(host)), r"\.$", "")
 
     def judged(h: Column) -> Column:
-        last = F.element_at(F.split(h, r"\."), -1)
+        last = F.try_element_at(F.split(h, r"\."), F.lit(-1))
         numeric = last.rlike(f"^(?:[0-9]+|{_HEX})$")
         six = let(v6_groups(F.regexp_replace(h, r"^\[|\]$", "")), lambda g: F.when(g.isNotNull() & _open_v6(g), F.concat(F.lit("["), _shortest_v6(g), F.lit("]"))))
         four = let(v4_number(h), lambda n: F.when(n.isNotNull() & _open_v4(n), _dotted(n)))

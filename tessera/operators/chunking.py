@@ -1,18 +1,13 @@
-"""Chunking: fixed token windows (built-in functions) and a Markdown block parser (pandas)."""
+"""Fixed token windows."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
 WINDOW_TOKENS, STRIDE = 400, 350
-UNIT_TOKENS = 254
-BLOCK_SCHEMA = "doc_id long, ordinal int, block_type string, start int, end int, level int, heading_path array<string>, content string"
 
 
 def fixed_windows(docs: DataFrame, width: int = WINDOW_TOKENS, stride: int = STRIDE, text: str = "text") -> DataFrame:
@@ -21,160 +16,3 @@ def fixed_windows(docs: DataFrame, width: int = WINDOW_TOKENS, stride: int = STR
     starts = split.select("doc_id", "_t", F.posexplode(F.sequence(F.lit(0), F.size("_t") - 1, F.lit(stride))).alias("chunk_index", "_s"))
     cut = starts.withColumn("_c", F.slice("_t", F.col("_s") + 1, width))
     return cut.select("doc_id", "chunk_index", F.size("_c").alias("n_tokens"), F.array_join("_c", " ").alias("chunk"))
-
-
-_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-_ITEM = re.compile(r" {0,3}(?:[-*+]|\d{1,9}[.)])[ \t]+")
-_RULE = re.compile(r" {0,3}(?:(?:-[ \t]*){3,}|(?:_[ \t]*){3,}|(?:\*[ \t]*){3,})$")
-_SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
-_TABLE_RULE = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-
-
-def parse_blocks(text: str) -> list[tuple[str, int, int, int]]:
-    """(type, start, end, level) of the top-level blocks of a Markdown subset, in code points.
-
-    Understood: ATX and setext headings, fences, quotes, lists with indented
-    continuation, pipe tables, HTML paragraphs, thematic breaks, paragraphs.
-    """
-    lines, at = [], 0
-    for line in text.splitlines(keepends=True):
-        lines.append((at, line.rstrip("\r\n")))
-        at += len(line)
-    ends = [s + len(t) for s, t in lines]
-    out: list[tuple[str, int, int, int]] = []
-    i, n = 0, len(lines)
-
-    def starts_block(k: int) -> bool:
-        t = lines[k][1]
-        return not t.strip() or bool(_ATX.match(t) or _FENCE.match(t) or _RULE.match(t) or _ITEM.match(t) or t.lstrip().startswith(">"))
-
-    while i < n:
-        start, line = lines[i]
-        if not line.strip():
-            i += 1
-            continue
-        first = i
-        if m := _ATX.match(line):
-            out.append(("heading", start, ends[i], len(m[1])))
-            i += 1
-            continue
-        if m := _FENCE.match(line):
-            close = re.compile(r" {0,3}" + re.escape(m[1][0]) + "{" + str(len(m[1])) + r",}[ \t]*$")
-            i += 1
-            while i < n and not close.match(lines[i][1]):
-                i += 1
-            i = min(i + 1, n)
-            out.append(("fenced_code", start, ends[i - 1], 0))
-            continue
-        if _RULE.match(line):
-            out.append(("thematic_break", start, ends[i], 0))
-            i += 1
-            continue
-        if line.lstrip().startswith(">"):
-            while i < n and lines[i][1].strip() and (lines[i][1].lstrip().startswith(">") or not starts_block(i)):
-                i += 1
-            out.append(("blockquote", start, ends[i - 1], 0))
-            continue
-        if _ITEM.match(line):
-            i += 1
-            while i < n:
-                t = lines[i][1]
-                if not t.strip():
-                    if i + 1 < n and (lines[i + 1][1].startswith("  ") or _ITEM.match(lines[i + 1][1])):
-                        i += 1
-                        continue
-                    break
-                if _RULE.match(t) or (not _ITEM.match(t) and not t.startswith(" ") and starts_block(i)):
-                    break
-                i += 1
-            out.append(("list", start, ends[i - 1], 0))
-            continue
-        if "|" in line and i + 1 < n and "|" in lines[i + 1][1] and _TABLE_RULE.match(lines[i + 1][1]):
-            i += 2
-            while i < n and "|" in lines[i][1]:
-                i += 1
-            out.append(("table", start, ends[i - 1], 0))
-            continue
-        if line.startswith(("    ", "\t")):
-            while i < n and (lines[i][1].startswith(("    ", "\t")) or not lines[i][1].strip()):
-                i += 1
-            while not lines[i - 1][1].strip():
-                i -= 1
-            out.append(("code", start, ends[i - 1], 0))
-            continue
-        kind, level = "html" if re.match(r" {0,3}<[A-Za-z/!?]", line) else "paragraph", 0
-        i += 1
-        while i < n and not (starts_block(i) and not _SETEXT.match(lines[i][1])):
-            if kind == "paragraph" and (m := _SETEXT.match(lines[i][1])):
-                kind, level = "heading", 1 if m[1][0] == "=" else 2
-                i += 1
-                break
-            if not lines[i][1].strip():
-                break
-            i += 1
-        out.append((kind, lines[first][0], ends[i - 1], level))
-    return out
-
-
-def heading_text(block: str) -> str:
-    first = block.splitlines()[0]
-    m = _ATX.match(first)
-    return (m[2] or "").strip() if m else first.strip()
-
-
-def markdown_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per block with its heading path (a heading's own label included)."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for doc, body in zip(pdf["doc_id"], pdf["body"], strict=True):
-                path: list[tuple[int, str]] = []
-                for k, (kind, a, b, level) in enumerate(parse_blocks(body or "")):
-                    content = body[a:b]
-                    if kind == "heading":
-                        while path and path[-1][0] >= level:
-                            path.pop()
-                        path.append((level, heading_text(content)))
-                    rows.append((doc, k, kind, a, b, level, [p for _, p in path], content))
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "block_type", "start", "end", "level", "heading_path", "content"])
-
-    return docs.select("doc_id", F.col(text).alias("body")).mapInPandas(run, BLOCK_SCHEMA)
-
-
-BARRIERS = ("code", "fenced_code", "table", "blockquote", "html", "thematic_break", "source_gap")
-
-
-def core_groups(blocks: DataFrame) -> DataFrame:
-    """Blocks with ``island``: runs of packable blocks between barriers; barriers stand alone."""
-    barrier = F.col("block_type").isin(*BARRIERS) | ((F.col("block_type") == "heading") & (F.col("level") == 1))
-    order = Window.partitionBy("doc_id").orderBy("ordinal")
-    edge = barrier | F.coalesce(F.lag(barrier).over(order), F.lit(False))
-    return blocks.withColumn("barrier", barrier).withColumn("island", F.sum(edge.cast("int")).over(order))
-
-
-def pack_blocks(blocks: DataFrame, budget: int = UNIT_TOKENS) -> DataFrame:
-    """Greedy left-to-right packing of each island's blocks: (doc_id, island, unit, first, last, n_tokens).
-
-    An ordered fold over one island, with built-in functions. A block above the
-    budget forms a unit of its own, marked ``overflow``.
-    """
-    sized = core_groups(blocks).withColumn("t", F.size(tokens(F.col("content"))))
-    rows = sized.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct("ordinal", "t"))).alias("rows"))
-    unit = "array<struct<first:int,last:int,n_tokens:int>>"
-
-    def step(acc, row):
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.coalesce(last["n_tokens"], F.lit(0)) + row["t"] <= budget)
-        grown = F.struct(last["first"].alias("first"), row["ordinal"].alias("last"), (last["n_tokens"] + row["t"]).alias("n_tokens"))
-        new = F.struct(row["ordinal"].alias("first"), row["ordinal"].alias("last"), row["t"].alias("n_tokens"))
-        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new))).cast(unit)
-
-    packed = rows.withColumn("units", F.when(F.size("rows") > 0, F.aggregate(F.slice("rows", 2, F.size("rows")), F.array(F.struct(F.col("rows")[0]["ordinal"].alias("first"), F.col("rows")[0]["ordinal"].alias("last"), F.col("rows")[0]["t"].alias("n_tokens"))).cast(unit), step)))
-    return packed.select("doc_id", "island", F.posexplode("units").alias("unit", "u")).select("doc_id", "island", "unit", "u.*").withColumn("overflow", F.col("n_tokens") > budget)
-
-
-def serialize(title, path, content):
-    """Title, breadcrumb and content as one retrieval text; nothing is stripped."""
-    return F.concat(title, F.lit("\n"), F.array_join(path, " > "), F.lit("\n\n"), content)

@@ -1,168 +1,230 @@
-"""Registered queries of the corpus compiler: a seed corpus given in place with its blocks, children and units (printed once and reviewed by hand), and invariants over the supplied documents."""
+"""Registered queries of the corpus compiler, over Markdown that is made of the supplied documents: each line becomes a block of a kind that its document and place choose."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import chunking, compiler
+from ..functions.arrays import places
+from ..operators import markdown, units
 from ..sources.tables import table
-from . import fixture
-from .catalog import _TOK, register
-
-SEED = [
-    (1, "# Guide\n\nIntro text. More text here.\n\n## Setup\n\n- one two\n- three four\n\n```sh\nrun a\nrun b\n```\n\nLast words é.\n"),
-    (2, "Title line\n==========\n\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n\n> quoted\n\n---\n\nOne two three. Four five six. Seven eight nine ten eleven.\n\nshort\n"),
-    (3, ""),
-    (4, "   \n\n"),
-]
-LIMIT = 9
-
-_BLOCKS = [
-    (1, 0, "heading", 0, 7, 0, 7, 1, 1, "Guide", None, None, None),
-    (1, 1, "paragraph", 9, 36, 9, 36, 3, 0, "Guide", 0, None, 2),
-    (1, 2, "heading", 38, 46, 38, 46, 5, 2, "Guide > Setup", 0, 1, None),
-    (1, 3, "list", 48, 70, 48, 70, 7, 0, "Guide > Setup", 2, None, 4),
-    (1, 4, "fenced_code", 72, 93, 72, 93, 10, 0, "Guide > Setup", 2, 3, 5),
-    (1, 5, "paragraph", 95, 108, 95, 109, 15, 0, "Guide > Setup", 2, 4, None),
-    (2, 0, "heading", 0, 21, 0, 21, 1, 1, "Title line", None, None, None),
-    (2, 1, "table", 23, 62, 23, 62, 4, 0, "Title line", 0, None, 2),
-    (2, 2, "blockquote", 64, 72, 64, 72, 9, 0, "Title line", 0, 1, 3),
-    (2, 3, "thematic_break", 74, 77, 74, 77, 11, 0, "Title line", 0, 2, 4),
-    (2, 4, "paragraph", 79, 137, 79, 137, 13, 0, "Title line", 0, 3, 5),
-    (2, 5, "paragraph", 139, 144, 139, 144, 15, 0, "Title line", 0, 4, None),
-]
-_CHILDREN = [
-    (1, 0, 0, "intact", "0-7 content", 4, None),
-    (1, 1, 1, "intact", "9-36 content", 7, None),
-    (1, 2, 2, "intact", "38-46 content", 6, None),
-    (1, 3, 3, "list-units", "48-58 content", 7, None),
-    (1, 4, 3, "list-units", "58-70 content", 7, None),
-    (1, 5, 4, "fenced_code-units", "72-78 context_before;78-84 content;90-93 context_after", 8, None),
-    (1, 6, 4, "fenced_code-units", "72-78 context_before;84-90 content;90-93 context_after", 8, None),
-    (1, 7, 5, "intact", "95-108 content", 7, None),
-    (2, 0, 0, "intact", "0-21 content", 7, None),
-    (2, 1, 2, "intact", "64-72 content", 6, None),
-    (2, 2, 3, "intact", "74-77 content", 5, None),
-    (2, 3, 4, "paragraph-units", "79-94 content", 7, None),
-    (2, 4, 4, "paragraph-units", "94-109 content", 7, None),
-    (2, 5, 4, "paragraph-units", "109-137 content", 9, None),
-    (2, 6, 5, "intact", "139-144 content", 5, None),
-    (2, None, 1, None, "23-62 content", None, "indivisible"),
-]
-_UNITS = [
-    (1, 0, 0, 0, 7, "", "0", 3),
-    (1, 1, 7, 7, 48, "", "1,2", 8),
-    (1, 2, 36, 48, 72, "", "3,4", 9),
-    (1, 3, 72, 72, 93, "Setup", "5,6", 8),
-    (1, 4, 93, 93, 109, "Setup", "7", 5),
-    (2, 0, 0, 0, 21, "", "0", 5),
-    (2, 1, 21, 21, 64, "", "", 18),
-    (2, 2, 64, 64, 72, "", "1", 4),
-    (2, 3, 72, 72, 77, "", "2", 3),
-    (2, 4, 77, 77, 109, "", "3,4", 8),
-    (2, 5, 103, 109, 145, "", "5,6", 9),
-    (4, 0, 0, 0, 5, "", "", 1),
-]
-
-
-def _seed(spark):
-    return fixture.rows(spark, "doc_id long, text string", SEED)
+from .catalog import register
 
+LIMIT = 40
 
-@register(fixture.expected('doc_id, ordinal, block_type, start, "end", byte_start, byte_end, line, level, heading_path, parent, previous, next', _BLOCKS))
-def compiled_blocks(spark, d):
-    return compiler.compile_blocks(_seed(spark)).drop("title").withColumn("heading_path", F.array_join("heading_path", " > "))
+_WORDS = r"regexp_extract_all(l, '[^ ]+')"
+_PARTS = [
+    f"'## ' || array_to_string({_WORDS}[1:3], ' ')", f"'- ' || array_to_string({_WORDS}[1:6], ' ') || chr(10) || '- ' || array_to_string({_WORDS}[7:], ' ')", "'> ' || l",
+    f"'```' || chr(10) || l || chr(10) || coalesce({_WORDS}[1], 'x') || chr(10) || '```'", f"'| ' || coalesce({_WORDS}[1], 'x') || ' | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || array_to_string({_WORDS}[1:30], ' ') || ' | 2 |' || chr(10) || '| 3 | 4 |'",
+    "'---'", f"'### ' || coalesce({_WORDS}[1], 'x')", "l", f"coalesce({_WORDS}[1], 'x') || chr(10) || '==='",
+]
 
 
-@register("WITH " + fixture.values("t", "doc_id, ordinal, block_type, s, e, bs, be, line, level, path, parent, previous, next", _BLOCKS) + " SELECT block_type, count(*) AS n, sum(e - s)::BIGINT AS chars FROM t GROUP BY block_type")
-def markdown_block_types(spark, d):
-    return chunking.markdown_blocks(_seed(spark)).groupBy("block_type").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+def _markdown(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+
+    def part(line, i):
+        w = F.filter(F.split(line, " "), lambda x: x != "")
+        some = lambda a, n=None: F.array_join(F.slice(w, a, n) if n else F.slice(w, F.lit(a), F.greatest(F.size(w), F.lit(1))), " ")
+        one, form = F.coalesce(F.get(w, F.lit(0)), F.lit("x")), (F.col("doc_id") + i) % 9
+        forms = [
+            F.concat(F.lit("## "), some(1, 3)), F.concat(F.lit("- "), some(1, 6), F.lit("\n- "), some(7)), F.concat(F.lit("> "), line), F.concat(F.lit("```\n"), line, F.lit("\n"), one, F.lit("\n```")),
+            F.concat(F.lit("| "), one, F.lit(" | b |\n|---|---|\n| "), some(1, 30), F.lit(" | 2 |\n| 3 | 4 |")), F.lit("---"), F.concat(F.lit("### "), one), line, F.concat(one, F.lit("\n===")),
+        ]
+        out = F.lit(None).cast("string")
+        for k, f in enumerate(forms):
+            out = F.when(form == k, f).otherwise(out)
+        return out
+
+    head = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n\n"))).otherwise(F.lit(""))
+    return docs.select("doc_id", F.concat(head, F.array_join(F.transform(F.split("text", "\n"), part), "\n\n")).alias("text"))
+
+
+_MARKDOWN = f"""md AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN '# Doc ' || doc_id || chr(10) || chr(10) ELSE '' END ||
+  array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE (doc_id + i - 1) % 9 {' '.join(f'WHEN {k} THEN {p}' for k, p in enumerate(_PARTS))} END), chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL)"""
+
+_RULER = r"'^ {0,3}\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$'"
+#: Lines with window functions: class, fences by parity, marked lines, blocks, heading intervals.
+_BLOCKS = rf"""{_MARKDOWN},
+l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM md),
+l1 AS (SELECT *, (sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - 1)::BIGINT AS s, CASE WHEN regexp_matches(t, '^[ \t]*$') THEN 'blank' WHEN regexp_matches(t, '^ {{0,3}}(```|~~~)') THEN 'fence' WHEN regexp_matches(t, '^ {{0,3}}#{{1,6}}([ \t]|$)') THEN 'heading'
+  WHEN regexp_matches(t, '^ {{0,3}}((-[ \t]*){{3,}}|(_[ \t]*){{3,}}|(\*[ \t]*){{3,}})$') THEN 'rule' WHEN regexp_matches(t, '^ {{0,3}}>') THEN 'quote' WHEN regexp_matches(t, '^ {{0,3}}([-*+]|[0-9]{{1,9}}[.)])[ \t]') THEN 'item' WHEN regexp_matches(t, '^( {{4}}|\t)') THEN 'indent' ELSE 'text' END AS c FROM l0),
+l2 AS (SELECT *, count(*) FILTER (c = 'fence') OVER (PARTITION BY doc_id ORDER BY i) AS f FROM l1),
+l3 AS (SELECT doc_id, t, i, s, CASE WHEN c = 'fence' THEN CASE WHEN f % 2 = 1 THEN 'open' ELSE 'in' END WHEN f % 2 = 1 THEN 'in' ELSE c END AS c FROM l2),
+l4 AS (SELECT *, coalesce(i - lag(i) OVER w > 1, true) AS gap, lag(c) OVER w AS p, row_number() OVER w AS k FROM l3 WHERE c <> 'blank' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+l5 AS (SELECT * REPLACE (CASE WHEN NOT gap AND p = 'text' AND c IN ('text', 'rule') AND regexp_matches(t, '^ {{0,3}}(=+|-+)[ \t]*$') THEN 'under' ELSE c END AS c) FROM l4),
+l6 AS (SELECT *, lag(c) OVER w AS b, coalesce(NOT lead(gap) OVER w AND contains(lead(t) OVER w, '|') AND regexp_matches(lead(t) OVER w, {_RULER}), false) AND contains(t, '|') AS tbl FROM l5 WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+l7 AS (SELECT *, (gap AND c <> 'in') OR coalesce(b IN ('heading', 'rule', 'under') OR (b IN ('open', 'in') AND c <> 'in'), false) AS hard FROM l6),
+l8 AS (SELECT *, CASE c WHEN 'open' THEN 'fenced_code' WHEN 'in' THEN NULL WHEN 'heading' THEN 'heading' WHEN 'rule' THEN 'thematic_break' WHEN 'quote' THEN 'blockquote' WHEN 'item' THEN 'list' WHEN 'under' THEN 'under'
+  ELSE CASE WHEN hard AND c = 'indent' THEN 'code' WHEN hard THEN CASE WHEN tbl THEN 'table' WHEN regexp_matches(t, '^ {{0,3}}<[A-Za-z/!?]') THEN 'html' ELSE 'paragraph' END WHEN b = 'indent' AND c <> 'indent' THEN 'late' END END AS m FROM l7),
+m1 AS (SELECT doc_id, k, gap, CASE WHEN m = 'late' THEN CASE WHEN lag(m) OVER w = 'code' THEN 'paragraph' END WHEN m = 'under' THEN CASE WHEN lag(m) OVER w IN ('list', 'blockquote', 'html', 'table') AND regexp_matches(t, '^ {{0,3}}(-[ \t]*){{3,}}$') THEN 'thematic_break' END ELSE m END AS m FROM l8 WHERE m IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+m2 AS (SELECT *, lag(m) OVER (PARTITION BY doc_id ORDER BY k) AS q FROM m1 WHERE m IS NOT NULL),
+m3 AS (SELECT doc_id, k, m, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ordinal, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS z FROM m2 WHERE NOT coalesce(m = q AND (m = 'list' OR (m = 'blockquote' AND NOT gap)), false)),
+b0 AS (SELECT doc_id, ordinal, any_value(m) AS m, min(s) AS start, max(s + length(t)) AS "end", min(i) AS line, arg_min(t, k) AS t1, arg_max(c, k) AS c9, arg_max(t, k) AS t9 FROM (SELECT l8.*, m3.ordinal, m3.m AS mm FROM l8 JOIN m3 ON m3.doc_id = l8.doc_id AND l8.k >= m3.k AND (l8.k < m3.z OR m3.z IS NULL)) GROUP BY doc_id, ordinal),
+b1 AS (SELECT b0.* EXCLUDE (m), CASE WHEN m3.m = 'paragraph' AND c9 = 'under' THEN 'heading' ELSE m3.m END AS kind, CASE WHEN m3.m = 'heading' THEN length(regexp_extract(t1, '(#+)', 1)) WHEN m3.m = 'paragraph' AND c9 = 'under' THEN CASE WHEN contains(t9, '=') THEN 1 ELSE 2 END ELSE 0 END AS level,
+  CASE WHEN m3.m = 'heading' THEN trim(regexp_replace(regexp_replace(t1, '^ {{0,3}}#{{1,6}}([ \t]+|$)', ''), '(^|[ \t]+)#+[ \t]*$', '')) WHEN m3.m = 'paragraph' AND c9 = 'under' THEN trim(t1) END AS label FROM b0 JOIN m3 USING (doc_id, ordinal)),
+h AS (SELECT g.doc_id, g.ordinal, g.label, g.level, min(x.ordinal) AS until FROM b1 g LEFT JOIN b1 x ON x.doc_id = g.doc_id AND x.ordinal > g.ordinal AND x.kind = 'heading' AND x.level <= g.level WHERE g.kind = 'heading' GROUP BY ALL),
+pa AS (SELECT b.doc_id, b.ordinal, list(h.label ORDER BY h.ordinal) AS path, max(h.ordinal) FILTER (h.ordinal < b.ordinal) AS parent FROM b1 b JOIN h ON h.doc_id = b.doc_id AND h.ordinal <= b.ordinal AND (b.ordinal < h.until OR h.until IS NULL) GROUP BY ALL),
+ti AS (SELECT doc_id, arg_min(label, ordinal) AS title FROM h WHERE level = 1 GROUP BY doc_id),
+b AS (SELECT b1.doc_id, b1.ordinal, kind, start, "end", line, level, coalesce(path, []) AS path, parent, coalesce(title, b1.doc_id::VARCHAR) AS title, substr(text, start + 1, "end" - start) AS content FROM b1 JOIN md ON md.doc_id = b1.doc_id LEFT JOIN pa ON pa.doc_id = b1.doc_id AND pa.ordinal = b1.ordinal LEFT JOIN ti ON ti.doc_id = b1.doc_id)""".replace("{{", "{").replace("}}", "}")
 
 
-_PACKED = [(1, 1, 0, 0, 0, 2), (1, 2, 0, 1, 2, 7), (1, 2, 1, 3, 3, 6), (1, 3, 0, 4, 4, 6), (1, 4, 0, 5, 5, 3), (2, 1, 0, 0, 0, 3), (2, 2, 0, 1, 1, 16), (2, 3, 0, 2, 2, 2), (2, 4, 0, 3, 3, 1), (2, 5, 0, 4, 4, 11), (2, 5, 1, 5, 5, 1)]
+@register(
+    f"""WITH {_BLOCKS} SELECT doc_id, ordinal, kind, start, "end", line, level, array_to_string(path, ' > ') AS heading_path, parent, title,
+  lag(ordinal) OVER w AS previous, lead(ordinal) OVER w AS next, md5(content) AS content_md5 FROM b WINDOW w AS (PARTITION BY doc_id, parent ORDER BY ordinal)"""
+)
+def markdown_tree(spark, d):
+    """Blocks with their places, heading paths, parents and siblings."""
+    out = markdown.siblings(markdown.markdown_blocks(_markdown(spark, d)))
+    return out.withColumn("heading_path", F.array_join("heading_path", " > ")).withColumn("content_md5", F.md5(F.col("content").cast("binary"))).drop("content")
 
 
-@register("WITH " + fixture.values("t", "doc_id, island, unit, first, last, n_tokens", _PACKED) + " SELECT *, n_tokens > 8 AS overflow FROM t")
+@register(f"WITH {_BLOCKS} SELECT kind AS block_type, count(*) AS n, sum(length(content))::BIGINT AS chars FROM b GROUP BY kind")
+def markdown_block_types(spark, d):
+    return markdown.markdown_blocks(_markdown(spark, d)).groupBy(F.col("kind").alias("block_type")).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+_N = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
+_CHILDREN = rf"""{_BLOCKS},
+z AS (SELECT *, {_N.format('content')} AS own, {_N.format('title')} + {_N.format("array_to_string(path, ' > ')")} AS head FROM b),
+big AS (SELECT * FROM z WHERE own + head > {LIMIT}),
+lines AS (SELECT doc_id, ordinal, kind, content, unnest(regexp_extract_all(content, '[^\n]*\n|[^\n]+')) AS piece, generate_subscripts(regexp_extract_all(content, '[^\n]*\n|[^\n]+'), 1) AS j FROM big WHERE kind IN ('fenced_code', 'table', 'list')),
+runs AS (SELECT *, CASE WHEN kind <> 'list' THEN j ELSE 1 + sum(CASE WHEN j > 1 AND regexp_matches(piece, '^ {{0,3}}([-*+]|[0-9]{{1,9}}[.)])[ \t]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, ordinal ORDER BY j) END AS u FROM lines),
+pieces AS (SELECT doc_id, ordinal, kind, u::BIGINT AS u, string_agg(piece, '' ORDER BY j) AS piece FROM runs GROUP BY ALL
+  UNION ALL SELECT doc_id, ordinal, kind, generate_subscripts(regexp_extract_all(content, '(?s).*?[.!?]\s+|.+'), 1), unnest(regexp_extract_all(content, '(?s).*?[.!?]\s+|.+')) FROM big WHERE kind = 'paragraph'),
+cnt AS (SELECT *, count(*) OVER w AS nu, last_value(piece) OVER (w ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tail FROM pieces WINDOW w AS (PARTITION BY doc_id, ordinal)),
+role AS (SELECT *, CASE WHEN (kind = 'fenced_code' AND u = 1) OR (kind = 'table' AND nu > 1 AND u <= 2) THEN 'before' WHEN kind = 'fenced_code' AND nu > 1 AND u = nu AND regexp_matches(tail, '^ {{0,3}}(`{{3,}}|~{{3,}})[ \t]*$') THEN 'after' ELSE 'unit' END AS r,
+  coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, ordinal ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM cnt),
+fix AS (SELECT doc_id, ordinal, coalesce(string_agg(piece, '' ORDER BY u) FILTER (r = 'before'), '') AS before, coalesce(string_agg(piece, '' ORDER BY u) FILTER (r = 'after'), '') AS after FROM role GROUP BY ALL),
+room AS (SELECT big.*, coalesce(before, '') AS before, coalesce(after, '') AS after, {LIMIT} - head - {_N.format("coalesce(before, '')")} - {_N.format("coalesce(after, '')")} AS room FROM big LEFT JOIN fix USING (doc_id, ordinal)),
+un AS (SELECT role.doc_id, role.ordinal, u, a, piece, room, role.kind, {_N.format('piece')} AS n FROM role JOIN room ON room.doc_id = role.doc_id AND room.ordinal = role.ordinal WHERE r = 'unit' AND room > 0),
+w AS (SELECT doc_id, ordinal, u, a, room, unnest(regexp_extract_all(piece, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*')) AS word, generate_subscripts(regexp_extract_all(piece, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*'), 1) AS j, length(regexp_extract(piece, '^[\x20\x09-\x0D]*')) AS lead FROM un WHERE kind = 'paragraph' AND n > room),
+ww AS (SELECT doc_id, ordinal, u, (j - 1) // room AS v, a, lead, sum(length(word)) AS len, count(*) AS n FROM w GROUP BY ALL),
+sub AS (SELECT doc_id, ordinal, u, v, a + CASE WHEN v = 0 THEN 0 ELSE lead + sum(len) OVER (PARTITION BY doc_id, ordinal, u ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS a, n, len + CASE WHEN v = 0 THEN lead ELSE 0 END AS len FROM ww
+  UNION ALL SELECT doc_id, ordinal, u, 0, a, n, length(piece) FROM un WHERE NOT (kind = 'paragraph' AND n > room)),
+seq AS (SELECT sub.*, room.room, row_number() OVER (PARTITION BY sub.doc_id, sub.ordinal ORDER BY u, v) AS j FROM sub JOIN room ON room.doc_id = sub.doc_id AND room.ordinal = sub.ordinal),
+fill AS (SELECT doc_id, ordinal, j, n AS held, 0 AS part FROM seq WHERE j = 1 UNION ALL SELECT s.doc_id, s.ordinal, s.j, CASE WHEN f.held + s.n <= s.room THEN f.held + s.n ELSE s.n END, f.part + CASE WHEN f.held + s.n <= s.room THEN 0 ELSE 1 END FROM fill f JOIN seq s ON s.doc_id = f.doc_id AND s.ordinal = f.ordinal AND s.j = f.j + 1),
+parts AS (SELECT doc_id, ordinal, part, min(a)::BIGINT AS a, max(a + len)::BIGINT AS e, sum(n)::BIGINT AS n FROM fill JOIN seq USING (doc_id, ordinal, j) GROUP BY ALL),
+ch AS (SELECT z.doc_id, z.ordinal, 0 AS part, z.start, z."end", 'intact' AS policy, z.own + z.head AS n_tokens, NULL::VARCHAR AS before, NULL::VARCHAR AS after, CASE WHEN z.own + z.head > {LIMIT} THEN 'indivisible' END AS overflow, z.own AS own_tokens FROM z LEFT JOIN (SELECT DISTINCT doc_id, ordinal FROM parts) q ON q.doc_id = z.doc_id AND q.ordinal = z.ordinal WHERE z.own + z.head <= {LIMIT} OR q.doc_id IS NULL
+  UNION ALL SELECT p.doc_id, p.ordinal, p.part, r.start + p.a, r.start + p.e, r.kind || '-parts', p.n + {LIMIT} - r.room, r.before, r.after, CASE WHEN p.n > r.room THEN 'part too long' END, p.n + CASE WHEN p.part = 0 THEN {_N.format('r.before')} ELSE 0 END + CASE WHEN p.part = max(p.part) OVER (PARTITION BY p.doc_id, p.ordinal) THEN {_N.format('r.after')} ELSE 0 END FROM parts p JOIN room r ON r.doc_id = p.doc_id AND r.ordinal = p.ordinal)""".replace("{{", "{").replace("}}", "}")
+
+
+@register(f'WITH RECURSIVE {_CHILDREN} SELECT doc_id, ordinal, part, start, "end", policy, n_tokens, before, after, overflow FROM ch')
+def markdown_children(spark, d):
+    """Blocks split up to forty words at items, fence lines, rows, sentences or words, with repeated fence marks and table heads; what cannot be split is marked."""
+    out = markdown.split_blocks(markdown.markdown_blocks(_markdown(spark, d)), LIMIT)
+    return out.select("doc_id", "ordinal", "part", "start", "end", "policy", "n_tokens", "before", "after", "overflow")
+
+
+_PACKED = rf"""{_CHILDREN},
+c0 AS (SELECT ch.*, b.kind, b.title, b.start + length(b.content) AS bend, b.start AS bstart, list_filter(CASE WHEN b.kind = 'heading' THEN b.path[1:len(b.path) - 1] ELSE b.path END, lambda x: x <> b.title) AS crumb, b.kind NOT IN ('paragraph', 'list', 'heading') OR (b.kind = 'heading' AND b.level = 1) AS bar,
+  row_number() OVER (PARTITION BY ch.doc_id ORDER BY ch.ordinal, part) - 1 AS k, part = max(part) OVER (PARTITION BY ch.doc_id, ch.ordinal) AS final FROM ch JOIN b ON b.doc_id = ch.doc_id AND b.ordinal = ch.ordinal),
+c1 AS (SELECT *, {_N.format('title')} + {_N.format("array_to_string(crumb, ' > ')")} AS over, sum(own_tokens) OVER (PARTITION BY doc_id ORDER BY k) AS through, coalesce(max(CASE WHEN bar THEN k END) OVER (PARTITION BY doc_id ORDER BY k), -1) AS wall FROM c0),
+pk AS (SELECT doc_id, k, 0 AS unit, CASE WHEN bar THEN {LIMIT + 1} ELSE own_tokens END + over AS held FROM c1 WHERE k = 0 UNION ALL SELECT c.doc_id, c.k, CASE WHEN NOT c.bar AND p.held + c.own_tokens <= {LIMIT} THEN p.unit ELSE p.unit + 1 END,
+  CASE WHEN NOT c.bar AND p.held + c.own_tokens <= {LIMIT} THEN p.held + c.own_tokens ELSE CASE WHEN c.bar THEN {LIMIT + 1} ELSE c.own_tokens END + c.over END FROM pk p JOIN c1 c ON c.doc_id = p.doc_id AND c.k = p.k + 1),
+u0 AS (SELECT doc_id, unit, min(k) AS f, max(k) AS l FROM pk GROUP BY ALL),
+u1 AS (SELECT u0.*, a.bar, a.crumb, a.over, z.through, a.through - a.own_tokens AS before, a.title, z.through - a.through + a.own_tokens + a.over AS core_tokens, CASE WHEN a.part = 0 THEN a.bstart ELSE a.start END AS core_start, CASE WHEN z.final THEN z.bend ELSE z."end" END AS core_end FROM u0 JOIN c1 a ON a.doc_id = u0.doc_id AND a.k = f JOIN c1 z ON z.doc_id = u0.doc_id AND z.k = l),
+op AS (SELECT u.doc_id, u.unit, c.k, CASE WHEN c.kind = 'heading' AND u.through - ({LIMIT} - c.over) > c.through - c.own_tokens THEN c.through ELSE greatest(c.through - c.own_tokens, u.through - ({LIMIT} - c.over)) END AS w FROM u1 u JOIN c1 c ON c.doc_id = u.doc_id AND c.k < u.f AND c.k > (SELECT wall FROM c1 x WHERE x.doc_id = u.doc_id AND x.k = u.f) AND c.k >= u.f - {LIMIT} WHERE NOT u.bar AND u.core_tokens <= {LIMIT}),
+ov AS (SELECT doc_id, unit, arg_min(k, (w, k)) AS k, min(w) AS w FROM op JOIN c1 USING (doc_id, k) WHERE w < c1.through GROUP BY ALL),
+un2 AS (SELECT u.doc_id, u.unit, u.core_start, u.core_end, u.bar AS barrier, coalesce(s.crumb, u.crumb) AS crumb, u.core_tokens, coalesce(u.through - o.w + s.over, u.core_tokens) AS n_tokens, coalesce(u.before - o.w, 0) AS overlap_words,
+  s.start + length(regexp_extract(substr(t.text, s.start + 1, s."end" - s.start), '^[\x20\x09-\x0D]*')) + coalesce(list_sum(list_transform(regexp_extract_all(substr(t.text, s.start + 1, s."end" - s.start), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*')[1:(o.w - s.through + s.own_tokens)::INT], lambda x: length(x))), 0)::BIGINT AS overlap_start
+  FROM u1 u LEFT JOIN ov o USING (doc_id, unit) LEFT JOIN c1 s ON s.doc_id = o.doc_id AND s.k = o.k LEFT JOIN md t ON t.doc_id = u.doc_id)"""
+
+
+@register(f"WITH RECURSIVE {_PACKED} SELECT doc_id, unit, core_start, core_end, barrier, array_to_string(crumb, ' > ') AS breadcrumb, core_tokens, n_tokens, overlap_words, overlap_start FROM un2")
 def packed_units(spark, d):
-    """Blocks packed up to eight words between barriers."""
-    return chunking.pack_blocks(chunking.markdown_blocks(_seed(spark)), 8)
-
-
-@register(fixture.expected("doc_id, chunk_index, ordinal, policy, spans, n_tokens, overflow", _CHILDREN))
-def compiled_children(spark, d):
-    shown = F.array_join(F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit(" "), x["role"])), ";")
-    return compiler.compile_children(_seed(spark), LIMIT).withColumn("spans", shown)
-
+    """Units of up to forty words between barriers, with the words to their left that still fit."""
+    out = markdown.pack_units(markdown.split_blocks(markdown.markdown_blocks(_markdown(spark, d)), LIMIT), LIMIT)
+    return out.select("doc_id", "unit", "core_start", "core_end", "barrier", F.array_join("breadcrumb", " > ").alias("breadcrumb"), "core_tokens", "n_tokens", "overlap_words", "overlap_start")
 
-@register(fixture.expected("doc_id, unit, retrieval_start, core_start, core_end, breadcrumb, children, n_tokens", _UNITS))
-def compiled_units(spark, d):
-    out = compiler.compile_units(_seed(spark), LIMIT)
-    return out.select("doc_id", "unit", "retrieval_start", "core_start", "core_end", F.array_join("breadcrumb", " > ").alias("breadcrumb"), F.array_join(F.transform("children", lambda c: c.cast("string")), ",").alias("children"), "n_tokens")
 
-
-@register(fixture.expected("doc_id, unit, role, kind, start, \"end\"", [(1, 2, "left_overlap", "seam", 36, 38), (1, 2, "left_overlap", "heading", 38, 46), (1, 2, "left_overlap", "seam", 46, 48), (1, 2, "core", "list", 48, 58), (1, 2, "core", "list", 58, 70), (1, 2, "seam", "seam", 70, 72)]))
-def unit_segments(spark, d):
-    """Segments of the unit that carries an overlap to its left."""
-    return compiler.compile_units(_seed(spark), LIMIT).where("doc_id = 1 and unit = 2").select("doc_id", "unit", F.explode("segments").alias("s")).select("doc_id", "unit", "s.*")
-
-
-@register("SELECT doc_id, length(coalesce(text, '')) AS chars, length(coalesce(text, '')) AS core_chars, 0 AS errors, 0 AS broken_links FROM documents")
+@register(f"""WITH RECURSIVE {_PACKED} SELECT md.doc_id, {_N.format('md.text')} AS words, {_N.format('md.text')} AS core_words, count(*) FILTER (n_tokens > {LIMIT}) AS too_long, count(unit) AS units, coalesce(sum(overlap_words), 0)::BIGINT AS overlap_words FROM md LEFT JOIN un2 USING (doc_id) GROUP BY md.doc_id, md.text""")
 def corpus_invariants(spark, d):
-    """All documents compiled: cores cover every character once, children are held once, links lead back; overflows are units of their own."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    units = compiler.compile_units(docs)
-    errors = compiler.unit_errors(units, docs, compiler.compile_children(docs)).where("error <> 'too_long'").groupBy("doc_id").agg(F.count("*").alias("errors"))
-    links = compiler.attach_neighbours(units.select("doc_id", "unit_id", "retrieval_start"))
-    broken = compiler.neighbour_errors(links).join(links.select("unit_id", "doc_id").distinct(), "unit_id").groupBy("doc_id").agg(F.count("*").alias("broken_links"))
-    core = units.groupBy("doc_id").agg(F.sum(F.col("core_end") - F.col("core_start")).alias("core_chars"))
-    out = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("chars")).join(core, "doc_id", "left").join(errors, "doc_id", "left").join(broken, "doc_id", "left")
-    return out.fillna(0)
-
-
-_DAMAGED = [
-    (1, "u1", 0, 0, 10, [0], 5), (1, "u2", 12, 12, 20, [1], 5), (2, "u3", 0, 0, 10, [0], 5), (2, "u4", 8, 8, 20, [0, 1], 300), (3, "u5", 0, 0, 10, [0, 7], 5), (3, "u5", 15, 10, 15, [1], 5), (4, "u6", 0, 0, 20, [0, 1], 5),
-]
+    """Every word of a document stands in one core once; units beyond the limit are those that can't be split."""
+    docs = _markdown(spark, d)
+    packed = markdown.pack_units(markdown.split_blocks(markdown.markdown_blocks(docs), LIMIT), LIMIT)
+    core = F.substr("text", F.col("core_start") + 1, F.col("core_end") - F.col("core_start"))
+    held = docs.join(packed, "doc_id", "left").groupBy("doc_id").agg(
+        F.first(markdown.token_count(F.col("text"))).alias("words"), F.coalesce(F.sum(F.when(F.col("unit").isNotNull(), markdown.token_count(core))), F.lit(0)).alias("core_words"), F.count_if(F.col("n_tokens") > LIMIT).alias("too_long"),
+        F.count("unit").alias("units"), F.coalesce(F.sum("overlap_words"), F.lit(0)).alias("overlap_words"),
+    )
+    return held
+
+
+_LINE = r"[^\n]*\n|[^\n]+"
+
+
+def _line_units(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    rows = docs.withColumn("p", places(F.col("text"), _LINE)).select("doc_id", F.size("p").alias("n"), F.posexplode("p").alias("u", "x"))
+    case, second, last = F.col("doc_id") % 9, F.col("u") == 1, F.col("u") == F.col("n") - 1
+    hit = lambda k: (case == k) & second
+    start = F.col("x.start") + F.when(hit(1), 1).when(hit(2), -1).otherwise(0)
+    out = rows.select(
+        "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.when(hit(4), 0).otherwise(F.col("u")).cast("string")).alias("unit_id"), F.when(hit(3), start + 1).otherwise(start).alias("retrieval_start"), start.alias("core_start"),
+        F.when((case == 0) & last, F.col("x.end") - 1).otherwise(F.col("x.end")).alias("core_end"), F.when(hit(5), F.array().cast("array<int>")).when(hit(6), F.array("u", F.lit(0))).when(hit(7), F.array("u", F.lit(10**6))).otherwise(F.array("u")).alias("children"),
+        F.when(hit(8), 10**6).otherwise(1).alias("n_tokens"),
+    )
+    return docs, rows.select("doc_id", F.col("u").alias("chunk_index")), out
 
 
 @register(
-    fixture.expected(
-        "doc_id, error",
-        [(1, "gap"), (2, "overlapping_cores"), (2, "too_long"), (2, "child_twice"), (3, "overlap_without_owner"), (3, "gap_at_end"), (3, "repeated_id"), (3, "unknown_child"), (1, "child_lost")],
-    )
+    """WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'gap_at_end' WHEN 1 THEN 'gap' WHEN 2 THEN 'overlapping_cores' WHEN 3 THEN 'overlap_without_owner'
+  WHEN 4 THEN 'repeated_id' WHEN 5 THEN 'child_lost' WHEN 6 THEN 'child_twice' WHEN 7 THEN 'unknown_child' ELSE 'too_long' END AS error FROM n WHERE n > CASE WHEN doc_id % 9 = 0 THEN 0 ELSE 1 END"""
 )
 def unit_errors(spark, d):
-    """Units damaged in one way each."""
-    units = fixture.rows(spark, "doc_id long, unit_id string, retrieval_start int, core_start int, core_end int, children array<int>, n_tokens int", _DAMAGED)
-    docs = fixture.rows(spark, "doc_id long, text string", [(n, "x" * 20) for n in (1, 2, 3, 4)])
-    children = fixture.rows(spark, "doc_id long, chunk_index int", [(n, c) for n in (1, 2, 3, 4) for c in (0, 1)] + [(1, 2)])
-    return compiler.unit_errors(units, docs, children)
+    """Lines of the documents as units, damaged in one way each."""
+    docs, children, rows = _line_units(spark, d)
+    return units.unit_errors(rows, docs, children, limit=10**5)
 
 
-_BAD_BLOCKS = [(1, 0, "heading", 0, 4, None, None, None), (1, 1, "paragraph", 3, 8, 0, None, None), (1, 3, "paragraph", 12, 14, 1, None, None), (2, 0, "paragraph", 0, 4, None, None, 1), (2, 1, "paragraph", 5, 9, None, None, None)]
-
-
-@register(fixture.expected("doc_id, ordinal, error", [(1, 1, "overlap"), (1, 3, "ordinal"), (1, 3, "uncovered_text"), (1, 3, "uncovered_tail"), (1, 3, "parent"), (2, 1, "sibling"), (2, 1, "uncovered_tail")]))
+@register(
+    f"""WITH {_BLOCKS}, sib AS (SELECT b.*, lag(ordinal) OVER w AS previous, lead(ordinal) OVER w AS next, max(ordinal) OVER (PARTITION BY doc_id) AS top FROM b WINDOW w AS (PARTITION BY doc_id, parent ORDER BY ordinal)),
+e AS (SELECT doc_id, ordinal, CASE WHEN doc_id % 4 = 1 AND ordinal = 1 THEN 'overlap' WHEN doc_id % 4 = 2 AND ordinal = 2 AND previous IS NOT NULL THEN 'sibling' WHEN doc_id % 4 = 3 AND ordinal = top THEN 'uncovered_tail' END AS error FROM sib)
+SELECT * FROM e WHERE error IS NOT NULL"""
+)
 def block_errors(spark, d):
-    blocks = fixture.rows(spark, "doc_id long, ordinal int, block_type string, start int, end int, parent int, previous int, next int", _BAD_BLOCKS)
-    return compiler.block_errors(blocks, fixture.rows(spark, "doc_id long, text string", [(1, "abcdefghi kl mnopqrs"), (2, "abcd efghi")]))
+    """Blocks that begin too early, have lost the block before, or end too early."""
+    docs = _markdown(spark, d)
+    blocks, case = markdown.siblings(markdown.markdown_blocks(docs)), F.col("doc_id") % 4
+    top = blocks.groupBy("doc_id").agg(F.max("ordinal").alias("top"))
+    bad = blocks.join(top, "doc_id").select(
+        "doc_id", "ordinal", F.col("kind").alias("block_type"), (F.col("start") - F.when((case == 1) & (F.col("ordinal") == 1), 3).otherwise(0)).alias("start"), (F.col("end") - F.when((case == 3) & (F.col("ordinal") == F.col("top")), 1).otherwise(0)).alias("end"), "parent",
+        F.when((case != 2) | (F.col("ordinal") != 2), F.col("previous")).alias("previous"), "next",
+    )
+    return units.block_errors(bad, docs)
 
 
-_LINKS = [(1, "a", None, "b"), (1, "b", "a", "c"), (1, "c", "a", "x"), (2, "x", "c", None), (2, "y", "gone", None)]
-
-
-@register(fixture.expected("unit_id, error", [("b", "no_back_link"), ("c", "no_back_link"), ("c", "crosses_documents"), ("x", "crosses_documents"), ("y", "unknown_neighbour")]))
+@register(
+    """WITH t AS (SELECT conv_id, turn, conv_id || ':' || turn AS id, max(turn) OVER (PARTITION BY conv_id) AS top FROM conversations), k AS (SELECT conv_id FROM t WHERE turn = 0)
+SELECT id AS unit_id, 'no_back_link' AS error FROM t WHERE conv_id % 4 = 1 AND turn = 1 UNION ALL SELECT t.id, CASE WHEN k.conv_id IS NULL THEN 'unknown_neighbour' ELSE 'crosses_documents' END FROM t LEFT JOIN k ON k.conv_id = t.conv_id + 1 WHERE t.conv_id % 4 = 2 AND turn = top
+UNION ALL SELECT id, 'unknown_neighbour' FROM t WHERE conv_id % 4 = 3 AND turn = 1 UNION ALL SELECT id, 'no_back_link' FROM t WHERE conv_id % 4 = 3 AND turn = 0 AND top > 0"""
+)
 def neighbour_errors(spark, d):
-    return compiler.neighbour_errors(fixture.rows(spark, "doc_id long, unit_id string, previous_id string, next_id string", _LINKS))
+    """Turns linked within their conversation; a forward link lost, one into the next conversation, a backward link to nowhere."""
+    t = table(spark, d, "conversations").select("conv_id", "turn")
+    t = t.withColumn("top", F.max("turn").over(Window.partitionBy("conv_id"))).withColumn("case", F.col("conv_id") % 4)
+    name = lambda c, n: F.concat_ws(":", c.cast("string"), n.cast("string"))
+    conv, turn = F.col("conv_id"), F.col("turn")
+    before = F.when((F.col("case") == 3) & (turn == 1), "gone").when(turn > 0, name(conv, turn - 1))
+    after = F.when((F.col("case") == 1) & (turn == 0), None).when((F.col("case") == 2) & (turn == F.col("top")), name(conv + 1, F.lit(0))).when(turn < F.col("top"), name(conv, turn + 1))
+    return units.neighbour_errors(t.select(conv.alias("doc_id"), name(conv, turn).alias("unit_id"), before.alias("previous_id"), after.alias("next_id")))
 
 
-_ADJACENT = [(1, 0, 0, 7, "p", True, True, 4), (1, 1, 1, 7, "p", True, True, 4), (1, 2, 2, 7, "p", True, True, 4), (1, 3, 3, 7, "q", True, True, 1), (1, 4, 4, 7, "q", False, True, 1), (1, 5, 5, 7, "q", True, True, 1), (1, 6, 7, 7, "q", True, True, 1), (1, 7, 8, 7, "q", True, False, 1), (1, 8, 9, 7, "q", True, True, 1), (2, 0, 0, None, "", True, True, 20)]
-
-
-@register(fixture.expected("doc_id, run, unit, first, last, n, n_tokens", [(1, 1, 0, 0, 1, 2, 8), (1, 1, 1, 2, 2, 1, 4), (1, 2, 0, 3, 3, 1, 1), (1, 3, 0, 4, 4, 1, 1), (1, 4, 0, 5, 5, 1, 1), (1, 5, 0, 6, 6, 1, 1), (1, 6, 0, 7, 8, 2, 2), (2, 1, 0, 0, 0, 1, 20)]))
+@register(
+    rf"""WITH RECURSIVE t AS (SELECT conv_id AS doc_id, turn::INT AS k, turn + turn // 3 AS o, turn // 4 AS p, length(text) % 5 <> 0 AS ok, {_N.format('text')} AS n FROM conversations),
+m AS (SELECT *, CASE WHEN ok AND lag(ok) OVER w AND lag(p) OVER w = p AND o - lag(o) OVER w IN (0, 1) THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM m), q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY k) AS j FROM r),
+f AS (SELECT doc_id, run, j, n AS held, 0 AS unit FROM q WHERE j = 1 UNION ALL SELECT q.doc_id, q.run, q.j, CASE WHEN f.held + q.n <= 120 THEN f.held + q.n ELSE q.n END, CASE WHEN f.held + q.n <= 120 THEN f.unit ELSE f.unit + 1 END FROM f JOIN q ON q.doc_id = f.doc_id AND q.run = f.run AND q.j = f.j + 1)
+SELECT doc_id, run, unit, min(k) AS first, max(k) AS last, count(*) AS n, sum(n) AS n_tokens FROM f JOIN q USING (doc_id, run, j) GROUP BY ALL"""
+)
 def adjacent_units(spark, d):
-    """Broken by path, kind, block order, text between, budget and document."""
-    return compiler.pack_adjacent(fixture.rows(spark, "doc_id long, chunk_index int, ordinal int, parent int, path string, packable boolean, touches boolean, n_tokens int", _ADJACENT), LIMIT)
+    """Turns packed with their neighbours; broken by parent, kind, order and budget."""
+    turn = F.col("turn").cast("int")
+    t = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("doc_id"), turn.alias("chunk_index"), (turn + F.floor(turn / 3)).alias("ordinal"), F.floor(turn / 4).alias("parent"), F.lit("").alias("path"), (F.length("text") % 5 != 0).alias("packable"), (turn > 0).alias("touches"), markdown.token_count(F.col("text")).alias("n_tokens")
+    )
+    return units.pack_adjacent(t, 120)
 
 
 _W = r"'[^\x20\x09-\x0D]+'"
@@ -177,20 +239,30 @@ SELECT doc_id, k AS chunk_index, n AS n_tokens, (coalesce(list_sum(list_transfor
   CASE WHEN n > 254 THEN (coalesce(list_sum(list_transform(w[1:y], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(g[1:y + lead::INT], lambda x: length(x))), 0))::BIGINT END AS tail_start FROM q"""
 )
 def legacy_chunks(spark, d):
-    return compiler.legacy_chunks(table(spark, d, "documents").where("text is not null"))
+    return units.legacy_chunks(table(spark, d, "documents").where("text is not null"))
 
 
-@register("SELECT doc_id, CASE WHEN greatest(doc_id % 30, 5) - 5 < least(doc_id % 30 + doc_id % 11, 25) - 5 THEN greatest(doc_id % 30, 5) - 5 END AS s, CASE WHEN greatest(doc_id % 30, 5) - 5 < least(doc_id % 30 + doc_id % 11, 25) - 5 THEN least(doc_id % 30 + doc_id % 11, 25) - 5 END AS e FROM documents")
+@register(
+    r"""WITH t AS (SELECT doc_id, repeat(' ', (doc_id % 7)::INT) || text || repeat(chr(10), (doc_id % 3)::INT) AS text FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS line, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), 1) AS i FROM t),
+p AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i) AS e, length(regexp_extract(text, '^\s*')) AS a, length(regexp_replace(text, '\s+$', '')) AS z FROM l),
+c AS (SELECT doc_id, i - 1 AS line, (greatest(e - length(line), a) - a)::BIGINT AS s, (least(e, z) - a)::BIGINT AS e FROM p) SELECT doc_id, line, CASE WHEN s < e THEN s END AS s, CASE WHEN s < e THEN e END AS e FROM c"""
+)
 def rebased_intervals(spark, d):
+    """Lines of texts with blanks around them, as places in the stripped text."""
     n = F.col("doc_id")
-    iv = compiler.rebased_interval(n % 30, n % 30 + n % 11, F.lit(5), F.lit(25))
-    return table(spark, d, "documents").select("doc_id", iv.alias("i")).select("doc_id", "i.s", "i.e")
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.expr("repeat(' ', cast(doc_id % 7 AS int))"), F.col("text"), F.expr("repeat('\n', cast(doc_id % 3 AS int))")).alias("text"))
+    low, high = F.length(F.regexp_extract("text", r"^\s*", 0)), F.length(F.regexp_replace("text", r"\s+$", ""))
+    lines = docs.select(n, low.alias("a"), high.alias("z"), F.posexplode(places(F.col("text"), _LINE)).alias("line", "p"))
+    return lines.select("doc_id", "line", units.rebased_interval(F.col("p.start"), F.col("p.end"), F.col("a"), F.col("z")).alias("i")).select("doc_id", "line", "i.s", "i.e")
 
 
-@register(f"SELECT doc_id, n, CASE WHEN n > 0 THEN 1 END AS first_place FROM (SELECT doc_id, len({_TOK}) AS n FROM documents)")
+@register(
+    rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS ws FROM t),
+u AS (SELECT doc_id, length(regexp_extract(text, '^[\x20\x09-\x0D]*')) AS lead, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w), c AS (SELECT *, lead + sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS s FROM u),
+a AS (SELECT doc_id, count(*) AS n, sum(s * i)::BIGINT AS starts, sum((s + length(regexp_extract(x, '^[^\x20\x09-\x0D]+'))) * i)::BIGINT AS ends FROM c GROUP BY doc_id) SELECT t.doc_id, coalesce(n, 0) AS n, starts, ends FROM t LEFT JOIN a USING (doc_id)"""
+)
 def token_places(spark, d):
-    """As many places as words, and the first word where it stands."""
-    p = text.token_places(F.col("text"))
-    places = table(spark, d, "documents").select("doc_id", "text", p.alias("p"))
-    first = F.when(F.size("p") > 0, (F.substr("text", F.col("p")[0]["start"] + 1, F.lit(1)) != " ").cast("int"))
-    return places.select("doc_id", F.size("p").alias("n"), first.alias("first_place"))
+    """Places of all words of all documents, weighted by their order."""
+    p = table(spark, d, "documents").select("doc_id", places(F.coalesce("text", F.lit("")), markdown.WORD).alias("p"))
+    total = lambda f: F.when(F.size("p") > 0, F.aggregate(F.transform("p", lambda x, i: x[f].cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x))
+    return p.select("doc_id", F.size("p").alias("n"), total("start").alias("starts"), total("end").alias("ends"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compiler
+from ..operators import markdown, units as checks
 from .tables import fingerprint
 
 #: Columns of a unit that a payload may lack, with their types.
@@ -25,9 +25,16 @@ def index_available(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/units") and exists(spark, f"{path}/manifest")
 
 
-def compile_and_write(docs: DataFrame, path: str, text: str = "text", name: str | None = None) -> DataFrame:
+def compile_units(docs: DataFrame, limit: int = markdown.UNIT_TOKENS, text: str = "text", name: Column | None = None) -> DataFrame:
+    """Documents to retrieval units with their texts and the units before and after."""
+    packed = markdown.pack_units(markdown.split_blocks(markdown.markdown_blocks(docs, text, name), limit), limit)
+    out = markdown.unit_texts(packed, docs, text).withColumn("retrieval_start", F.coalesce("overlap_start", "core_start"))
+    return checks.attach_neighbours(out)
+
+
+def compile_and_write(docs: DataFrame, path: str, text: str = "text", name: Column | None = None) -> DataFrame:
     """Compile documents to linked units and write them beside a manifest with count, fingerprint and time; returns the manifest."""
-    units = compiler.attach_neighbours(compiler.compile_units(docs, text=text, name=name))
+    units = compile_units(docs, text=text, name=name)
     units.write.mode("overwrite").parquet(f"{path}/units")
     spark = docs.sparkSession
     written = spark.read.parquet(f"{path}/units")

@@ -1,9 +1,9 @@
-"""Index tables, run records and the corpus compiler's Python side."""
+"""Index tables, run records and the corpus compiler."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import compiler, fusion
+from tessera.operators import fusion, markdown
 from tessera.sources import index
 
 TEXT = "# A title\n\nSome words here. And more of them.\n\n## Part\n\n1. one\n2. two\n\n~~~\ncode\n~~~\n\nlast\n"
@@ -46,20 +46,36 @@ def test_scan_rebuild_alias_records(spark, tmp_path):
 
 
 @pytest.mark.parametrize("limit", [6, 9, 14, 254])
-def test_units_cover_every_character_once(limit):
-    for text in (TEXT, TEXT * 3, "", "\n\n", "word " * 60, "```\na b\nc d\ne f\ng h\n", "- a b c\n- d e f\n- g h i j k l m\n"):
-        title, blocks = compiler.blocks_of(text, "doc")
-        children, overflows = compiler.children_of(text, title, blocks, compiler.word_count, limit)
-        assert all(c.tokens <= limit for c in children)
-        segments = compiler.ledger(text, blocks, children)
-        assert "".join(text[s.start : s.end] for s in segments) == text
-        units = list(compiler.units_of(text, title, segments, compiler.word_count, limit))
-        assert "".join(text[u[1] : u[2]] for u in units) == text
-        assert sorted(c for u in units for s in u[3] for c in s.children) == list(range(len(children)))
-        assert all(0 <= u[0] <= u[1] for u in units)
-        covered = {p for c in children for a, b, r in c.spans if r == "content" for p in range(a, b)} | {p for _, a, b, _ in overflows for p in range(a, b)}
-        repeated = {p for c in children for a, b, r in c.spans if r != "content" for p in range(a, b)}
-        assert all(p in covered or p in repeated or text[p].isspace() for b in blocks for p in range(b.start, b.end))
+def test_units_cover_every_word_once(spark, limit):
+    texts = [TEXT, TEXT * 3, "", "\n\n", "word " * 60, "```\na b\nc d\ne f\ng h\n", "- a b c\n- d e f\n- g h i j k l m\n", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    children = markdown.split_blocks(markdown.markdown_blocks(docs), limit)
+    assert all(r["n_tokens"] <= limit or r["overflow"] for r in children.collect())
+    for r in children.where("overflow is null").collect():
+        written = f"{r['title']} {' > '.join(r['heading_path'])} {r['before'] or ''} {r['content']} {r['after'] or ''}"
+        assert len(written.split()) == r["n_tokens"]
+    units = {}
+    for r in markdown.unit_texts(markdown.pack_units(children, limit), docs).orderBy("doc_id", "unit").collect():
+        units.setdefault(r["doc_id"], []).append(r)
+        assert len(r["retrieval_text"].split()) == r["n_tokens"] and (r["n_tokens"] <= limit or r["overlap_words"] == 0)
+    for n, text in enumerate(texts):
+        got = [w for r in units.get(n, []) for w in text[r["core_start"] : r["core_end"]].split()]
+        assert got == (text or "").split()
+        assert all(a["core_end"] <= b["core_start"] for a, b in zip(units.get(n, []), units.get(n, [])[1:]))
+
+
+def test_overlap_goes_as_far_as_fits(spark):
+    """Against a search over all words: the first place from which title, breadcrumb and text fit, outside headings."""
+    text = "intro one two\n\n## S one\n\na b c. d e.\n\n## T\n\nf g h i j k\n\nl m\n"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for limit in (11, 14):
+        units = markdown.pack_units(markdown.split_blocks(markdown.markdown_blocks(docs), limit), limit).orderBy("unit").collect()
+        assert any(u["overlap_words"] for u in units)
+        for u in units:
+            if u["overlap_start"] is not None:
+                assert text[u["overlap_start"] : u["core_start"]].split() and len(text[u["overlap_start"] : u["core_start"]].split()) == u["overlap_words"]
+                line = text.rfind("\n", 0, u["overlap_start"]) + 1
+                assert not text[line:].startswith("#") or line == u["overlap_start"]
 
 
 def test_pack_fails_where_seeds_exceed_the_budget(spark):
@@ -85,8 +101,6 @@ def test_registered_counters(spark):
     texts = ["Hello  world, it's 12 é", "", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(registry.token_counter("bytes_50k")("t")).collect()]
     assert got == [count(t or "") for t in texts] and got[0] == 8 and got[1] == 0
-    docs = spark.createDataFrame([(1, "One two three. " * 60)], "doc_id long, text string")
-    assert compiler.compile_units(docs, 40, count).where("n_tokens > 40").count() == 0
     registry.register("veto", "never", lambda claim, observation: claim.get("id") == 3)
     assert registry.vetoed({"id": 3}, {}) and not registry.vetoed({"id": 4}, {})
 

@@ -5,8 +5,8 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import intervals, text, urls
-from tessera.operators import chunking, claims, dense, evaluation, fusion, lexical, metrics, policy
+from tessera.functions import arrays, intervals, text, urls
+from tessera.operators import chunking, claims, dense, evaluation, fusion, lexical, markdown, metrics, policy
 from tessera.sources import store, tables
 from tessera.streaming import events
 
@@ -132,17 +132,23 @@ MARKDOWN = "# T\nintro line\n\n## A ##\n- x\n  y\n- z\n\n```py\n# no\n```\n| a |
 
 
 def test_markdown_blocks(spark):
-    kinds = [(k, level) for k, _, _, level in chunking.parse_blocks(MARKDOWN)]
-    assert kinds == [("heading", 1), ("paragraph", 0), ("heading", 2), ("list", 0), ("fenced_code", 0), ("table", 0), ("heading", 1), ("blockquote", 0), ("thematic_break", 0), ("code", 0)]
-    docs = spark.createDataFrame([(1, MARKDOWN), (2, None)], "doc_id long, text string")
-    blocks = chunking.markdown_blocks(docs)
-    for r in blocks.collect():
-        assert MARKDOWN[r["start"] : r["end"]] == r["content"]
-    paths = {r["ordinal"]: r["heading_path"] for r in blocks.collect()}
-    assert paths[1] == ["T"] and paths[3] == ["T", "A"] and paths[7] == ["Set"]
-    packed = chunking.pack_blocks(blocks, budget=4).collect()
-    assert all(r["n_tokens"] <= 4 or r["overflow"] for r in packed)
-    assert sum(r["last"] - r["first"] + 1 for r in packed) == blocks.count()
+    docs = spark.createDataFrame([(1, MARKDOWN), (2, None), (3, "~~~\n```\n\n~~~ x\n~~~~\n- a\n\n- b\nlazy\n---\n\n    c\n\nt\n    u\nv\n")], "doc_id long, text string")
+    blocks = markdown.siblings(markdown.markdown_blocks(docs)).orderBy("doc_id", "ordinal").collect()
+    first = [r for r in blocks if r["doc_id"] == 1]
+    kinds = [("heading", 1), ("paragraph", 0), ("heading", 2), ("list", 0), ("fenced_code", 0), ("table", 0), ("heading", 1), ("blockquote", 0), ("thematic_break", 0), ("code", 0)]
+    assert [(r["kind"], r["level"]) for r in first] == kinds
+    assert all(MARKDOWN[r["start"] : r["end"]] == r["content"] and r["title"] == "T" for r in first)
+    assert first[1]["heading_path"] == ["T"] and first[3]["heading_path"] == ["T", "A"] and first[7]["heading_path"] == ["Set"]
+    assert [r["parent"] for r in first] == [None, 0, 0, 2, 2, 2, None, 6, 6, 6] and first[3]["next"] == 4 and first[4]["previous"] == 3 and first[1]["next"] == 2
+    assert [(r["kind"], r["line"]) for r in blocks if r["doc_id"] == 3] == [("fenced_code", 1), ("list", 6), ("thematic_break", 10), ("code", 12), ("paragraph", 14)]
+
+
+def test_arrays(spark):
+    bins = arrays.greedy_bins(F.array(*[F.lit(x) for x in (3, 4, 9, 1, 1, 5)]), F.lit(7))
+    none = arrays.greedy_bins(F.array().cast("array<int>"), F.lit(7))
+    r = spark.range(1).select(arrays.running_sum(F.array(*[F.lit(x) for x in (1, 2, 3, 4, 5)])), arrays.running_max(F.array(*[F.lit(x) for x in (-1, 2, 1, 4, 0)])), arrays.places(F.lit("😀ab  c"), r"\S+"), bins, none, arrays.places(F.lit(""), "x")).first()
+    assert r[0] == [1, 3, 6, 10, 15] and r[1] == [-1, 2, 2, 4, 4]
+    assert [tuple(x) for x in r[2]] == [(0, 3), (5, 6)] and [tuple(x) for x in r[3]] == [(0, 1, 7), (2, 2, 9), (3, 5, 7)] and r[4] == [] and r[5] == []
 
 
 @pytest.mark.parametrize(
