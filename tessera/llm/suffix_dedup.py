@@ -20,9 +20,9 @@ repeat is left out first, without losing a repeat:
    surroundings, is in no one place: its windows are counted by their hashes.
 5. Window runs become byte spans of their texts, and the spans are cut out.
 
-The plan is the same at every size. Texts are known by a 64-bit hash, so copies
+The plan is the same at every size. Texts are known by two 64-bit hashes, so copies
 share their spans. Null and empty texts have no bytes; texts shorter than
-``length`` stay whole. Spans that overlap or touch are one run. Cuts are made in
+``length`` stay whole and are dealt out by their rows, as no span can be theirs. Spans that overlap or touch are one run. Cuts are made in
 bytes and may part a character. Input columns of added names
 (``sd_*``) are kept as ``<name>_in``.
 """
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,35 +129,35 @@ def _slices(values: list[str | None], length: int):
 
 
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(h, r, t, lo, hi, at) for all anchors of ``texts`` (t, body)."""
+    """(h, r, t, u, lo, hi, at) for all anchors of ``texts`` (t, u, body)."""
 
     def run(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for rows, offsets, part in _slices(batch.column(1).to_pylist(), length):
+            keys, others = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for rows, offsets, part in _slices(batch.column(2).to_pylist(), length):
                 text, h, r, lo, hi, at = anchors(part, length)
                 more = offsets[text]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(r), pa.array(keys[rows[text]]), pa.array((lo + more).astype(np.int32)), pa.array((hi + more).astype(np.int32)), pa.array((at - lo).astype(np.int32))], names=["h", "r", "t", "lo", "hi", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(r), pa.array(keys[rows[text]]), pa.array(others[rows[text]]), pa.array((lo + more).astype(np.int32)), pa.array((hi + more).astype(np.int32)), pa.array((at - lo).astype(np.int32))], names=["h", "r", "t", "u", "lo", "hi", "at"])
         give_back()
 
-    return texts.mapInArrow(run, "h long, r long, t long, lo int, hi int, at int")
+    return texts.mapInArrow(run, "h long, r long, t long, u long, lo int, hi int, at int")
 
 
 def _pieces(bodies: DataFrame, length: int) -> DataFrame:
     """(h, r, n, large, at, seg): the bytes of each wanted range; a range may come from copies in several tasks.
 
-    ``bodies`` is (t, body, want): want holds (h, r, n, large, lo, hi, at).
+    ``bodies`` is (t, u, body, want): want holds (h, r, n, large, lo, hi, at).
     """
     kinds = {"h": pa.int64(), "r": pa.int64(), "n": pa.int64(), "large": pa.bool_(), "at": pa.int32(), "seg": pa.binary()}
 
     def run(batches):
-        seen: set[int] = set()
+        last = None
         for batch in batches:
             rows: dict[str, list] = {c: [] for c in kinds}
-            for t, body, want in zip(*[batch.column(k) for k in range(3)], strict=True):
-                if t.as_py() in seen:
-                    continue
-                seen.add(t.as_py())
+            for t, u, body, want in zip(*[batch.column(k) for k in range(4)], strict=True):
+                if (t.as_py(), u.as_py()) == last:
+                    continue  # a copy: the join has sorted them together
+                last = t.as_py(), u.as_py()
                 data = body.as_py().encode()
                 for w in want.as_py():
                     for c in ("h", "r", "n", "large", "at"):
@@ -294,23 +294,29 @@ def _window_hashes(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.mapInArrow(run, "k long, j long, h long, r long, n long, x int")
 
 
+def text_hashes(body: Column) -> list[Column]:
+    """Two hashes that know a text."""
+    return [F.xxhash64(body).alias("t"), F.xxhash64(F.lit(0x5EED), body).alias("u")]
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(t, sd_starts): text hash and its byte spans to cut, for the texts that have any."""
+    """(t, u, sd_starts): a text's hashes and its byte spans to cut, for the texts that have any."""
     body = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.xxhash64(body).alias("t"), body.alias("body")).where(F.octet_length("body") >= length)
+    texts = docs.select(*text_hashes(body), body.alias("body")).where(F.octet_length("body") >= length)
     rows = materialize(_anchor_rows(texts, length), "anchors")
     known = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "known")
     # Both sides of each join below are tables and its result is written at once, so Spark can split a frequent key.
     found = materialize(rows.join(known, "h"), "found")
     release(rows, known)
-    ranges = materialize(found.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(F.struct("t", "lo", "hi", "at")).alias("x")).select("h", "r", "n", "x.*"), "ranges")
+    ranges = materialize(found.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(F.struct("t", "u", "lo", "hi", "at")).alias("x")).select("h", "r", "n", "x.*"), "ranges")
     size = F.sum(F.col("hi") - F.col("lo") + length)
     large = ranges.groupBy("h").agg(size.alias("size")).where(F.col("size") > GROUP_BYTES).select("h", F.lit(True).alias("large"))
     any_large = large.limit(1).count() > 0
     marked = ranges.join(large, "h", "left") if any_large else ranges.withColumn("large", F.lit(False))
     item = F.struct("h", "r", "n", F.coalesce("large", F.lit(False)).alias("large"), "lo", "hi", "at")
-    want = materialize(marked.groupBy("t").agg(F.collect_list(item).alias("want")), "want")
-    pieces = materialize(_pieces(texts.join(want.hint("shuffle_hash"), "t").select("t", "body", "want"), length), "pieces")
+    want = materialize(marked.groupBy("t", "u").agg(F.collect_list(item).alias("want")), "want")
+    # A merge join keeps one text at a time; a hash table of one side could not spill.
+    pieces = materialize(_pieces(texts.join(want.hint("merge"), ["t", "u"]).select("t", "u", "body", "want"), length), "pieces")
     release(ranges, want)
     shards = pieces.where("not large").select("h", "r", "n", "at", "seg").repartition("h").sortWithinPartitions("h", "r")
     runs = _sorted_shards(shards, length)
@@ -320,9 +326,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
         runs = runs.union(windows.join(materialize(twice, "twice"), ["k", "j"]).select("h", "r", "x", F.col("x").alias("y")))
     runs = materialize(runs, "runs")
     release(pieces)
-    spans = found.join(runs, ["h", "r"]).select("t", (F.col("lo") + F.col("x")).alias("lo"), (F.col("lo") + F.col("y")).alias("hi"))
-    spans = spans.groupBy("t", "lo").agg(F.max("hi").alias("hi"))
-    spans = materialize(spans.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("lo", (F.col("hi") + length).alias("end")))).alias("sd_starts")), "spans")
+    spans = found.join(runs, ["h", "r"]).select("t", "u", (F.col("lo") + F.col("x")).alias("lo"), (F.col("lo") + F.col("y")).alias("hi"))
+    spans = spans.groupBy("t", "u", "lo").agg(F.max("hi").alias("hi"))
+    spans = materialize(spans.groupBy("t", "u").agg(F.array_sort(F.collect_list(F.struct("lo", (F.col("hi") + length).alias("end")))).alias("sd_starts")), "spans")
     release(found, runs)
     return spans
 
@@ -339,10 +345,13 @@ def _merge(starts: list[dict] | None) -> list[list[int]]:
 
 def cut_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with sd_n_bytes, sd_spans (byte ranges that go) and sd_kept (the remaining bytes)."""
-    docs = make_room(docs, ["sd_t", "sd_starts", "sd_n_bytes", "sd_spans", "sd_kept"])
+    docs = make_room(docs, ["sd_t", "sd_u", "sd_starts", "sd_n_bytes", "sd_spans", "sd_kept"])
     spans = repeated_spans(docs, text, length)
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    joined = docs.withColumn("sd_t", key).join(spans.withColumnRenamed("t", "sd_t").hint("shuffle_hash"), "sd_t", "left").drop("sd_t")
+    body = F.coalesce(F.col(text), F.lit(""))
+    t, u = text_hashes(body)
+    long = F.octet_length(body) >= length
+    keyed = docs.withColumn("sd_t", F.when(long, t).otherwise(F.xxhash64(*docs.columns))).withColumn("sd_u", F.when(long, u))
+    joined = keyed.join(spans.withColumnsRenamed({"t": "sd_t", "u": "sd_u"}), ["sd_t", "sd_u"], "left").drop("sd_t", "sd_u")
 
     def make():
         def work(texts, starts):
