@@ -293,7 +293,7 @@ def find_groups(docs: DataFrame, text: str = "text", width: int = 5, percent: in
     n_ids = firsts.count()
     wanted = docs.select("doc_id", text)
     ids = firsts.select("doc_id").distinct()
-    wanted = wanted.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    wanted = wanted.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     sets = _sets(wanted.withColumnRenamed("doc_id", "node"), text, width)
     sets = materialize(sets.where(F.length("nd_set") > 0), "sets")
     small = sized.where(F.col("cluster_n") <= CLUSTER_SHINGLES).select("node", "cluster").join(sets, "node")
@@ -318,7 +318,7 @@ def find_groups(docs: DataFrame, text: str = "text", width: int = 5, percent: in
 
 def near_duplicate_table(docs: DataFrame, width: int = 4) -> DataFrame:
     out = find_groups(docs.select("doc_id", "text"), width=width)
-    return out.select("doc_id", F.col("nd_n").alias("n_shingles"), F.col("nd_component").alias("component_id"), (F.col("doc_id") == F.col("nd_component")).alias("kept"))
+    return out.select("doc_id", F.col("nd_n").alias("n_shingles"), F.col("nd_component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("nd_component")).alias("kept"))
 
 
 def keep_one_per_group(docs: DataFrame, text: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
