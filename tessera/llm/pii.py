@@ -43,10 +43,13 @@ BASE = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_AT = r"\x20?(?:\[at\]|\(at\)|\{at\}|<at>|\x20at\x20|@)\x20?"
-_DOT = r"(?:\x20?(?:\[dot\]|\(dot\)|\{dot\}|<dot>|\x20dot\x20)\x20?|\.)"
+_AT = r"\x20?(?:\[at\]|\(at\)|\{at\}|<at>|@)\x20?"
+_DOT = r"(?:\x20?(?:\[dot\]|\(dot\)|\{dot\}|<dot>)\x20?|\.)"
+#: Last labels that make plain "at" and "dot" an address.
+_TOP = "com|org|net|edu|gov|info|io|eu|de|fr|es|it|uk|us"
 GENERATORS = (
     ("email", rf"(?i)(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]{{1,64}}+{_AT}[\p{{L}}\p{{N}}-]{{1,63}}+(?:{_DOT}[\p{{L}}\p{{N}}-]{{1,63}}+){{1,8}}+"),
+    ("email", rf"(?i)(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]{{1,64}}+\x20at\x20[\p{{L}}\p{{N}}-]{{1,63}}+(?:\x20dot\x20[\p{{L}}\p{{N}}-]{{1,63}}){{0,4}}\x20dot\x20(?:{_TOP})(?![\p{{L}}\p{{N}}-])"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}){3}(?![0-9.]?[0-9])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[\x20._/-]?[0-9]{4}){3}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])"),
