@@ -35,3 +35,23 @@ def covered_spans(spans: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
     both = ends.unionByName(asked).withColumn("_reach", F.last("_e", ignorenulls=True).over(order)).where("_turn = 1")
     hit = both.where("_reach >= ge").select(*keys, "span_id").distinct().withColumn("_hit", F.lit(True))
     return spans.join(hit, [*keys, "span_id"], "left").withColumn("covered", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Every pair of ``left`` (keys, a_id, s, e) and ``right`` (keys, b_id, s, e) that share a place: (keys, a_id, b_id, a_s, a_e, b_s, b_e, relation).
+
+    The axis of a key is cut into bins as wide as an interval on average, so that
+    there are about as many pieces as intervals; pieces meet by (key, bin), which
+    also deals out a key that holds most rows, and a pair counts only in the bin of
+    its later start. Empty intervals share no place. ``relation`` is same, nested or overlap.
+    """
+    solid = F.col("s") < F.col("e")
+    sizes = left.where(solid).select(F.col("e") - F.col("s")).union(right.where(solid).select(F.col("e") - F.col("s"))).toDF("n")
+    width = int(sizes.agg(F.coalesce(F.ceil(F.avg("n")), F.lit(1))).first()[0])
+    cut = lambda rows: rows.where(solid).withColumn("_bin", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))))
+    a = cut(left).select(*keys, "_bin", "a_id", F.col("s").alias("a_s"), F.col("e").alias("a_e"))
+    b = cut(right).select(*keys, "_bin", "b_id", F.col("s").alias("b_s"), F.col("e").alias("b_e"))
+    met = a.join(b, [*keys, "_bin"]).where((F.col("a_s") < F.col("b_e")) & (F.col("b_s") < F.col("a_e")) & (F.col("_bin") == F.floor(F.greatest("a_s", "b_s") / width)))
+    inside = (F.col("a_s") >= F.col("b_s")) & (F.col("a_e") <= F.col("b_e")) | (F.col("b_s") >= F.col("a_s")) & (F.col("b_e") <= F.col("a_e"))
+    same = (F.col("a_s") == F.col("b_s")) & (F.col("a_e") == F.col("b_e"))
+    return met.drop("_bin").withColumn("relation", F.when(same, "same").when(inside, "nested").otherwise("overlap"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +26,16 @@ def resolve(kind: str, name: str) -> Callable:
     return _HELD[kind, name]
 
 
-def vetoed(claim: dict, observation: dict) -> bool:
-    """Whether any registered veto speaks against a claim; none is registered by default."""
-    return any(f(claim, observation) for (kind, _), f in _HELD.items() if kind == "veto")
+def vetoes(row: Callable[[str], Column] = F.col, names: tuple[str, ...] | None = None) -> Column:
+    """Whether any registered veto (all, or those of ``names``) speaks against a row, as one expression; none is registered by default.
+
+    A veto takes a function from a column's name to the column and gives a condition; null is no veto.
+    """
+    found = F.lit(False)
+    for (kind, name), rule in sorted(_HELD.items(), key=lambda x: x[0]):
+        if kind == "veto" and (names is None or name in names):
+            found = found | F.coalesce(rule(row), F.lit(False))
+    return found
 
 
 def for_sql(spark: SparkSession) -> list[str]:

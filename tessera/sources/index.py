@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import markdown, units as checks
+from . import snapshots
 from .tables import fingerprint
 
 #: Columns of a unit that a payload may lack, with their types.
@@ -101,18 +102,19 @@ def update_document(points: DataFrame, new: DataFrame) -> DataFrame:
     return points.join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(new.select(*points.columns))
 
 
-def point_alias(spark: SparkSession, name: str, path: str) -> None:
-    """A name for the table at a path; the table must be there, and a name is moved in one step."""
+def point_alias(spark: SparkSession, root: str, name: str, path: str, expected: int | None = None) -> int:
+    """Let a name under ``root`` stand for the table at a path, which must be there; returns the name's generation.
+
+    The name is a file, so every session resolves it. It is moved in one step, and only from the generation ``expected``.
+    """
     if not exists(spark, path):
         raise ValueError(f"no table at {path}")
-    spark.read.parquet(path).createOrReplaceTempView(name)
+    return snapshots.point(spark, root, {"path": path}, snapshots.generation(spark, root, name) if expected is None else expected, name)
 
 
-def resolve_alias(spark: SparkSession, name: str) -> DataFrame:
-    """The table a name points to; never another one."""
-    if not spark.catalog.tableExists(name):
-        raise ValueError(f"no table is named {name}")
-    return spark.table(name)
+def resolve_alias(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The table a name stands for; never another one."""
+    return spark.read.parquet(snapshots.resolve(spark, root, name)["path"])
 
 
 def write_record(spark: SparkSession, path: str, record: dict) -> None:

@@ -24,12 +24,16 @@ def test_scan_rebuild_alias_records(spark, tmp_path):
     points = spark.createDataFrame([("a", "d", "v", "t", 0), ("b", "d", "v", "t", 1)], "chunk_id string, document_id string, document_version string, retrieval_text string, reading_order_ordinal int")
     path = str(tmp_path / "points")
     assert index.full_rebuild(points, path) == 2 and index.scan_points(spark, path).count() == 2
-    index.point_alias(spark, "serving_points", path)
-    assert index.resolve_alias(spark, "serving_points").count() == 2
+    root = str(tmp_path / "serving")
+    assert index.point_alias(spark, root, "points", path) == 1
+    assert index.resolve_alias(spark.newSession(), root, "points").count() == 2
     with pytest.raises(ValueError, match="named"):
-        index.resolve_alias(spark, "no_such_points")
+        index.resolve_alias(spark, root, "no_such_points")
     with pytest.raises(ValueError, match="no table"):
-        index.point_alias(spark, "x", path + "-gone")
+        index.point_alias(spark, root, "x", path + "-gone")
+    assert index.point_alias(spark, root, "points", path, expected=1) == 2
+    with pytest.raises(ValueError, match="generation"):
+        index.point_alias(spark, root, "points", path, expected=1)
     index.full_rebuild(points.limit(0), path + "-empty")
     with pytest.raises(ValueError, match="no points"):
         index.scan_points(spark, path + "-empty")
@@ -101,8 +105,9 @@ def test_registered_counters(spark):
     texts = ["Hello  world, it's 12 é", "", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(registry.token_counter("bytes_50k")("t")).collect()]
     assert got == [count(t or "") for t in texts] and got[0] == 8 and got[1] == 0
-    registry.register("veto", "never", lambda claim, observation: claim.get("id") == 3)
-    assert registry.vetoed({"id": 3}, {}) and not registry.vetoed({"id": 4}, {})
+    registry.register("veto", "never", lambda row: row("id") == 3)
+    got = spark.createDataFrame([(3,), (4,), (None,)], "id int").select(registry.vetoes(names=("never",)), registry.vetoes(names=("other",))).collect()
+    assert [tuple(r) for r in got] == [(True, False), (False, False), (False, False)]
 
 
 def test_rules_that_refuse(spark):
