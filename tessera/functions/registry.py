@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 KINDS = ("tokenizer", "encoder", "url", "normal_form", "parser", "veto")
 _HELD: dict[tuple[str, str], Callable] = {}
@@ -38,14 +41,56 @@ def vetoes(row: Callable[[str], Column] = F.col, names: tuple[str, ...] | None =
     return found
 
 
+@udtf
+class MergeIntervals:
+    """Table function: an argument table with columns s and e, partitioned and ordered by s, e, merged to rows of the partition's
+    columns of ``keep`` and s, e, n. Touching intervals become one. One interval is held at a time.
+    """
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, keep: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable or {"s", "e"} - set(rows.dataType.fieldNames()):
+            raise ValueError("the first argument is a table with columns s and e")
+        names = [c.strip() for c in keep.value.split(",") if c.strip()]
+        fields = [rows.dataType[c] for c in names]
+        return AnalyzeResult(T.StructType([*fields, T.StructField("s", T.LongType()), T.StructField("e", T.LongType()), T.StructField("n", T.LongType())]))
+
+    def __init__(self):
+        self.held = None
+
+    def eval(self, row, keep):
+        if row["s"] is None or row["e"] is None:
+            return
+        names = tuple(row[c.strip()] for c in keep.split(",") if c.strip())
+        if self.held and row["s"] <= self.held[2]:
+            self.held = (names, self.held[1], max(self.held[2], row["e"]), self.held[3] + 1)
+            return
+        done, self.held = self.held, (names, row["s"], row["e"], 1)
+        if done:
+            yield (*done[0], *done[1:])
+
+    def terminate(self):
+        if self.held:
+            yield (*self.held[0], *self.held[1:])
+
+
+def _spread(values: pd.Series) -> float:
+    """Median distance from the median; null without values."""
+    values = values.dropna()
+    return float((values - values.median()).abs().median()) if len(values) else None
+
+
 def for_sql(spark: SparkSession) -> list[str]:
-    """Register the Python functions of the library under their SQL names."""
+    """Register the Python functions of the library under their SQL names: scalars, the table function ``tessera_merge_intervals`` and the aggregate ``tessera_spread``."""
     from . import jsontext, text, urls
 
     named = {"tessera_nfc": text.nfc, "tessera_ascii_name": urls.ascii_name, "tessera_json_array": jsontext.json_array, "tessera_uuid5": jsontext.uuid5}
+    # A group's values come together in one task, as for any exact median.
+    named["tessera_spread"] = F.pandas_udf("double")(_spread)
     for name, function in named.items():
         spark.udf.register(name, function)
-    return sorted(named)
+    spark.udtf.register("tessera_merge_intervals", MergeIntervals)
+    return sorted([*named, "tessera_merge_intervals"])
 
 
 def token_counter(name: str):

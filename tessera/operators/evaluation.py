@@ -7,6 +7,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.arrays import running_max
+from ..functions.text import let
 
 
 def confusion(rows: DataFrame, gold: str, predicted: str, values: list) -> DataFrame:
@@ -52,41 +56,94 @@ def match_pairs(edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return sorted((a, b) for b, a in owner.items())
 
 
-#: Groups that are worked on in one task hold so many rows at most.
-MAX_GROUP = 20_000
-
-
-def _bounded(pdf: pd.DataFrame) -> None:
-    if len(pdf) > MAX_GROUP:
-        raise ValueError(f"a group of {len(pdf)} rows is above the bound of {MAX_GROUP}")
+#: A case's edges are worked on in one task and are so many at most.
+MAX_EDGES = 20_000
 
 
 def largest_matching(edges: DataFrame) -> DataFrame:
-    """(case_id, left, right) from edges of the same shape; each case is one small fixture, and one above ``MAX_GROUP`` edges fails."""
+    """(case_id, left, right) from edges of the same shape; each case is one small fixture, and one above ``MAX_EDGES`` edges fails."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _bounded(pdf)
+        if len(pdf) > MAX_EDGES:
+            raise ValueError(f"a case of {len(pdf)} edges is above the bound of {MAX_EDGES}")
         pairs = match_pairs(list(zip(pdf["left"], pdf["right"], strict=True)))
         return pd.DataFrame([(pdf["case_id"].iloc[0], a, b) for a, b in pairs], columns=["case_id", "left", "right"])
 
     return edges.groupBy("case_id").applyInPandas(run, "case_id string, left string, right string")
 
 
-def fuzzy_dedup(rows: DataFrame, keys: list[str], order: str, text: str, threshold: float = 0.85) -> DataFrame:
-    """First-kept dedup by sequence-match ratio within one group (one run's claims); empty texts go. A group above ``MAX_GROUP`` rows fails."""
-    schema = rows.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _bounded(pdf)
-        kept, texts = [], []
-        for i, t in pdf.sort_values(order)[text].items():
-            low = (t or "").strip().lower()
-            if low and all(SequenceMatcher(None, low, k).ratio() < threshold for k in texts):
-                kept.append(i)
-                texts.append(low)
-        return pdf.loc[kept]
-
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+def _grams(text):
+    """Distinct (two letters, how often before) of a text, as strings; a text of one letter is its own."""
+    n = F.length(text)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2)))
+    ordered = F.array_sort(F.transform(pairs, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    # In the sorted list the running place since the last other pair tells the occurrence.
+    return let(ordered, lambda o: let(running_max(F.transform(o, lambda x, i: F.when((i == 0) | (F.get(o, i - 1)["g"] != x["g"]), i).otherwise(-1))), lambda first: F.transform(o, lambda x, i: F.concat(x["g"], (i - F.get(first, i)).cast("string")))))
+
+
+@F.pandas_udf(T.BooleanType())
+def _alike(new: pd.Series, old: pd.Series, threshold: pd.Series) -> pd.Series:
+    def one(a, b, t):
+        m = SequenceMatcher(None, a, b)
+        return m.real_quick_ratio() >= t and m.quick_ratio() >= t and m.ratio() >= t
+
+    return pd.Series([one(a, b, t) for a, b, t in zip(new, old, threshold, strict=True)])
+
+
+def fuzzy_dedup(rows: DataFrame, keys: list[str], order: str, text: str, threshold: float = 0.85, most_rounds: int = 1000) -> DataFrame:
+    """First-kept dedup by sequence-match ratio within each group of ``keys``; ``order`` is unique in a group. Empty texts go.
+
+    Texts are compared without case and outer blanks. Texts of a ratio t differ in at
+    most (1 - t)(a + b) letters, so they share (a + b - 2 - 3 (1 - t)(a + b)) / 2 of their
+    counted letter pairs at least: pairs of texts meet by (group, rare letter pair), are
+    held to their lengths and that number, and only then matched. What is kept follows from
+    the links in rounds: texts without an earlier link stay, texts linked to one
+    that stays go, until no link is left. No group is gathered.
+    """
+    from ..sources.snapshots import scratch
+
+    spark = rows.sparkSession
+    low = F.lower(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""))
+    said = rows.select(*keys, F.col(order).alias("_o"), low.alias("_t")).where(F.length("_t") > 0)
+    firsts = said.groupBy(*keys, "_t").agg(F.min("_o").alias("_o"))
+    home = scratch(spark, "fuzzy")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{home}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{home}/{name}")
+
+    firsts = kept(firsts, "firsts")
+    n = F.length("_t")
+    sized = firsts.select(*keys, "_o", n.alias("_n"), F.explode(_grams(F.col("_t"))).alias("_g"))
+    often = sized.groupBy("_g").agg(F.count("*").alias("_c"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_o").orderBy("_c", "_g"))
+    # The least number that a partner of the shortest fitting length would have to share.
+    least_n = F.ceil(F.col("_n") * (threshold / (2 - threshold)) - 1e-9)
+    share = lambda total: F.ceil((total - 2 - 3 * F.floor((1 - threshold) * total + 1e-9)) / 2)
+    prefix = sized.join(often, "_g").withColumn("_r", rank).where(F.col("_r") <= F.greatest(F.col("_n") - 1, F.lit(1)) - F.greatest(share(F.col("_n") + least_n), F.lit(1)) + 1)
+    a = prefix.select(*keys, "_g", F.col("_o").alias("_a"), F.col("_n").alias("_an"))
+    b = prefix.select(*keys, "_g", F.col("_o").alias("_b"), F.col("_n").alias("_bn"))
+    fits = (F.col("_a") < F.col("_b")) & (2 * F.least("_an", "_bn") >= threshold * (F.col("_an") + F.col("_bn")) - 1e-9)
+    met = a.join(b, [*keys, "_g"]).where(fits).select(*keys, "_a", "_b").distinct()
+    side = lambda name, text: firsts.select(*keys, F.col("_o").alias(name), F.col("_t").alias(text))
+    pairs = met.join(side("_a", "_at"), [*keys, "_a"]).join(side("_b", "_bt"), [*keys, "_b"])
+    total = F.length("_at") + F.length("_bt")
+    pairs = pairs.where(F.size(F.array_intersect(_grams(F.col("_at")), _grams(F.col("_bt")))) >= share(total))
+    links = kept(pairs.where(_alike(F.col("_bt"), F.col("_at"), F.lit(float(threshold)))).select(*keys, "_a", "_b"), "links-0")
+    gone = None
+    for k in range(1, most_rounds):
+        if links.isEmpty():
+            break
+        heads = links.select(*keys, F.col("_a").alias("_x")).distinct().join(links.select(*keys, F.col("_b").alias("_x")).distinct(), [*keys, "_x"], "left_anti")
+        out = kept(links.join(heads.withColumnRenamed("_x", "_a"), [*keys, "_a"], "left_semi").select(*keys, F.col("_b").alias("_x")).distinct(), f"gone-{k}")
+        gone = out if gone is None else gone.union(out)
+        left = links.join(out.withColumnRenamed("_x", "_b"), [*keys, "_b"], "left_anti").join(out.withColumnRenamed("_x", "_a"), [*keys, "_a"], "left_anti")
+        links = kept(left.select(*keys, "_a", "_b"), f"links-{k}")
+    else:
+        raise RuntimeError("links did not settle")
+    stay = firsts.select(*keys, F.col("_o").alias("_x"))
+    stay = stay if gone is None else stay.join(gone, [*keys, "_x"], "left_anti")
+    return rows.join(stay.withColumnRenamed("_x", order), [*keys, order], "left_semi")
 
 
 def run_rollup(runs: DataFrame) -> DataFrame:

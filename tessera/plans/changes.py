@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import intervals, registry
+from ..functions import intervals, registry, vocabulary
 from ..functions.arrays import places
-from ..operators import claims, nested
+from ..operators import chunking, claims, nested
 from ..sources import index, snapshots
-from ..sources.tables import table
+from ..sources.tables import fingerprint, table
 from .catalog import register
 
 
@@ -109,3 +110,58 @@ def vetoed_statuses(spark, d):
     veto = registry.vetoes(names=("short text", "barred source"))
     support, entailed = F.col("quality") == 1, (F.col("quality") == 1) & (F.col("doc_id") % 3 != 0)
     return labels.select("doc_id", veto.alias("vetoed"), claims.claim_status(support, entailed, F.col("toxic") == 1, veto).alias("status"))
+
+
+@register(
+    """WITH e AS (SELECT user_id, event_id % 500 AS s, event_id % 500 + user_id % 7 + 1 AS e FROM events), m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM e),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS n FROM i GROUP BY user_id, k"""
+)
+def sql_table_function(spark, d):
+    """Intervals of each user merged by a table function that SQL calls with a partitioned, ordered table."""
+    registry.for_sql(spark)
+    table(spark, d, "events").selectExpr("user_id", "event_id % 500 AS s", "event_id % 500 + user_id % 7 + 1 AS e").createOrReplaceTempView("tessera_intervals")
+    return spark.sql("SELECT * FROM tessera_merge_intervals(TABLE(tessera_intervals) PARTITION BY user_id ORDER BY (s, e), 'user_id')")
+
+
+@register("SELECT event_type, round(mad(value), 6) AS spread FROM events GROUP BY event_type")
+def sql_aggregate_function(spark, d):
+    """The library's aggregate in the text of a query."""
+    registry.for_sql(spark)
+    table(spark, d, "events").createOrReplaceTempView("tessera_events")
+    return spark.sql("SELECT event_type, round(tessera_spread(value), 6) AS spread FROM tessera_events GROUP BY event_type")
+
+
+@register(
+    """WITH n AS (SELECT count(*) AS n FROM conversations) SELECT * FROM (VALUES ('none', NULL), ('manifest', 'no_manifest'), ('config', 'bad_config'), ('rows', 'bad_count'), ('field', 'missing_field'), ('topology', 'broken_topology'), ('value', 'bad_fingerprint')) v(damage, code), n"""
+)
+def index_acceptance(spark, d):
+    """An index over all turns, and the same damaged in one way each: the first code that the acceptance chain gives."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    name = lambda n: F.concat_ws(":", conv.cast("string"), n.cast("string"))
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    units = table(spark, d, "conversations").select(conv.alias("doc_id"), name(turn).alias("unit_id"), F.col("text").alias("retrieval_text"), F.when(turn > 0, name(turn - 1)).alias("previous_id"), F.when(turn < last, name(turn + 1)).alias("next_id"))
+    lowest = units.agg(F.min("unit_id")).first()[0]
+    hit = F.col("unit_id") == lowest
+    damaged = {
+        "none": units, "manifest": units, "config": units, "rows": units.where(~hit), "field": units.withColumn("retrieval_text", F.when(~hit, F.col("retrieval_text"))),
+        "topology": units.withColumn("next_id", F.when(hit, F.lit("nowhere")).otherwise(F.col("next_id"))), "value": units.withColumn("retrieval_text", F.when(hit, F.concat("retrieval_text", F.lit("!"))).otherwise(F.col("retrieval_text"))),
+    }
+    home, n, found = snapshots.scratch(spark, "acceptance"), units.count(), []
+    manifest = fingerprint(units, "unit_id").withColumn("counter", F.lit("words"))
+    for damage, rows in damaged.items():
+        rows.write.parquet(f"{home}/{damage}/units")
+        if damage != "manifest":
+            manifest.write.json(f"{home}/{damage}/manifest")
+        held, code = index.accept_index(spark, f"{home}/{damage}", {"counter": "letters" if damage == "config" else "words"})
+        found.append((damage, code, n if held is None else held.count()))
+    return spark.createDataFrame(found, "damage string, code string, n long")
+
+
+@register(None)
+def vocabulary_windows(spark, d):
+    """Windows of 400 tokens of a real vocabulary, 350 apart, with their places; tests hold them against the vocabulary's library."""
+    import public_tokenizers
+
+    places_ = vocabulary.token_places(public_tokenizers.path("word_bpe_49k.json"))
+    counted = table(spark, d, "documents").select("doc_id", "text", places_(F.col("text")).alias("tokens"))
+    return chunking.token_windows(counted)

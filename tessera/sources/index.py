@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import markdown, units as checks
@@ -133,3 +135,42 @@ def read_record(spark: SparkSession, path: str, run_id: str, topic: str) -> dict
     if record.get("run_id") != run_id or record.get("topic") != topic:
         raise ValueError("the record is of another run or topic")
     return record
+
+
+#: Codes of ``accept_index`` in the order in which they are checked; the first that applies is the answer.
+ACCEPTANCE = ("no_manifest", "bad_config", "no_units", "bad_count", "missing_field", "broken_topology", "bad_fingerprint")
+
+
+def accept_index(spark: SparkSession, path: str, config: dict, required: tuple[str, ...] = ("unit_id", "doc_id", "retrieval_text")) -> tuple[DataFrame | None, str | None]:
+    """The units of an index with no code, or no units with the first code of ``ACCEPTANCE`` that applies.
+
+    The manifest must hold each item of ``config``. One pass over the units takes all
+    other measures: count, fields that are null, the fingerprint, and sums of hashes of forward and backward
+    links, which are equal if every link leads back.
+    """
+    if not index_available(spark, path):
+        return None, "no_manifest"
+    manifest = spark.read.json(f"{path}/manifest").first()
+    if manifest is None or {"n", "fingerprint"} - set(manifest.asDict()):
+        return None, "no_manifest"
+    if any(manifest.asDict().get(k) != v for k, v in config.items()):
+        return None, "bad_config"
+    units = spark.read.parquet(f"{path}/units")
+    lacking = [c for c in required if c not in units.columns]
+    record = F.sha2(F.to_json(F.struct(*sorted(units.columns)), {"ignoreNullFields": "false"}), 256)
+    parts = [F.sum(F.conv(F.substring(record, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"part{k}") for k in range(5)]
+    null = F.lit(bool(lacking))
+    for c in required:
+        if c not in lacking:
+            null = null | F.col(c).isNull()
+    linked = {"unit_id", "previous_id", "next_id"} <= set(units.columns)
+    edge = lambda a, b: F.coalesce(F.sum(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.xxhash64(a, b).cast("decimal(38,0)"))), F.lit(0)).cast("string")
+    links = [edge("unit_id", "next_id").alias("ahead"), edge("previous_id", "unit_id").alias("back")] if linked else [F.lit("").alias("ahead"), F.lit("").alias("back")]
+    seen = Observation(f"acceptance-{uuid.uuid4().hex}")
+    key = F.count("unit_id") if "unit_id" in units.columns else F.lit(0)
+    units.observe(seen, F.count(F.lit(1)).alias("n"), key.alias("keys"), F.count_if(null).alias("null"), *parts, *links).write.format("noop").mode("overwrite").save()
+    got = seen.get
+    print_ = hashlib.sha256(":".join([str(got["keys"]), *[got[f"part{k}"] or "" for k in range(5) if got[f"part{k}"] is not None]]).encode()).hexdigest()
+    tests = ((got["n"] == 0, "no_units"), (got["n"] != manifest["n"], "bad_count"), (got["null"] > 0, "missing_field"), (got["ahead"] != got["back"], "broken_topology"), (print_ != manifest["fingerprint"], "bad_fingerprint"))
+    code = next((code for broken, code in tests if broken), None)
+    return (None, code) if code else (units, None)
