@@ -55,9 +55,20 @@ def identity(kind: str, payload: Column) -> Column:
 
 
 def occurrences(text: Column, quote: Column) -> Column:
-    """Zero-based starts of ``quote``, overlapping ones included; none for an empty quote."""
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(quote) + 1, F.lit(1))), lambda i: F.substr(text, i, F.length(quote)) == quote)
-    return F.when((F.length(quote) > 0) & F.contains(text, quote), F.transform(starts, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+    """Zero-based starts of ``quote``, overlapping ones included; none for an empty quote.
+
+    The text is split before every place by a look ahead; cutting at every place would read it once per place.
+    """
+    from .arrays import running_sum
+
+    ahead = F.concat(F.lit("(?=\\Q"), F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+
+    def starts(sizes: Column) -> Column:
+        # a place at 0 doesn't split
+        inner = F.slice(running_sum(sizes), F.lit(1), F.size(sizes) - 1)
+        return F.when(F.startswith(text, quote), F.concat(F.array(F.lit(0)), inner)).otherwise(inner)
+
+    return F.when((F.length(quote) > 0) & F.contains(text, quote), let(F.transform(F.split(text, ahead, -1), F.length), starts)).otherwise(F.array().cast("array<int>"))
 
 
 def anchor_validity(n_occurrences: Column, claim_is_anchor: Column) -> Column:

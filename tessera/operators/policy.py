@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import places
+from ..functions.text import occurrences
+
 MARKER = r"\[((?:WEB|KB)-\d{3}|E\d+)\]"
 
 
@@ -61,14 +61,8 @@ def placement_conflicts(groups: DataFrame) -> DataFrame:
 
 def markers(texts: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, evidence_id, place): every citation marker with its offset in code points."""
-
-    def run(batches):
-        pattern = re.compile(MARKER)
-        for pdf in batches:
-            rows = [(d, m[1], m.start()) for d, t in zip(pdf["doc_id"], pdf["t"], strict=True) for m in pattern.finditer(t or "")]
-            yield pd.DataFrame(rows, columns=["doc_id", "evidence_id", "place"])
-
-    return texts.select("doc_id", F.col(text).alias("t")).mapInPandas(run, "doc_id long, evidence_id string, place int")
+    found = F.zip_with(places(F.col(text), MARKER), F.regexp_extract_all(text, F.lit(MARKER), F.lit(1)), lambda p, name: F.struct(name.alias("evidence_id"), p["start"].alias("place")))
+    return texts.where(F.col(text).isNotNull()).select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
 
 
 def citation_coverage(groups: DataFrame, found: DataFrame) -> DataFrame:
@@ -273,5 +267,4 @@ def cluster_html(groups: DataFrame, numbers: DataFrame) -> DataFrame:
 
 def nth_occurrence(text: Column, quote: Column, place: Column) -> Column:
     """Which occurrence of ``quote`` in ``text`` the one at ``place`` (from 0) is, from 0; overlapping ones count."""
-    before = F.substr(text, F.lit(1), place + F.length(quote) - 1)
-    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(before), F.lit(1))), lambda i: F.substr(before, i, F.length(quote)) == quote))
+    return F.size(F.filter(occurrences(text, quote), lambda i: i < place))

@@ -13,40 +13,6 @@ from ..sources.tables import table
 from . import fixture
 from .catalog import register
 
-_MANIFEST = [("E1", "aaaa bcd bcd xyz"), ("E2", "hello")]
-_QUOTES = [
-    ("c1", "support", 0, "E1", "xyz"), ("c2", "support", 0, "E1", "bcd"), ("c3", "support", 0, "E1", "aa"), ("c4", "support", 0, "E2", ""), ("c5", "support", 0, "E9", "x"), ("c6", "support", 0, "E2", "zz"),
-    ("c7", "blocker_0", 0, "E1", "nope"), ("c7", "support", 0, "E2", "hello"), ("c8", "support", 0, "E2", "ell"), ("c8", "support", 1, "E1", "aaaa"),
-]
-_Q_SCHEMA = "claim_id string, role string, index int, evidence_id string, quote string"
-
-
-def _bound(spark):
-    return binding.bind_quotes(fixture.rows(spark, _Q_SCHEMA, _QUOTES), fixture.rows(spark, "evidence_id string, source_text string", _MANIFEST))
-
-
-@register(
-    "WITH " + fixture.values("m", "evidence_id, t", _MANIFEST) + ", " + fixture.values("q", "claim_id, role, index, evidence_id, quote", _QUOTES) + """,
-o AS (SELECT q.*, t, CASE WHEN quote <> '' AND t IS NOT NULL THEN list_filter(range(1, length(t) - length(quote) + 2), lambda i: substr(t, i, length(quote)) = quote) END AS places FROM q LEFT JOIN m USING (evidence_id))
-SELECT claim_id, role, index, evidence_id, quote, CASE WHEN quote = '' THEN 'empty_quote' WHEN t IS NULL THEN 'invalid_evidence_id' WHEN len(places) = 0 THEN 'quote_not_found' WHEN len(places) > 1 THEN 'ambiguous_quote' ELSE 'bound' END AS status,
-  CASE WHEN len(places) = 1 THEN places[1] - 1 END AS start, CASE WHEN len(places) = 1 THEN places[1] - 1 + length(quote) END AS "end" FROM o"""
-)
-def quote_spans(spark, d):
-    return _bound(spark)
-
-
-@register(
-    fixture.expected(
-        "claim_id, failure, failed_evidence, n_spans",
-        [("c1", None, None, 1), ("c2", "ambiguous_quote", "E1", None), ("c3", "ambiguous_quote", "E1", None), ("c4", "empty_quote", "E2", None), ("c5", "invalid_evidence_id", "E9", None), ("c6", "quote_not_found", "E2", None), ("c7", "quote_not_found", "E1", None), ("c8", None, None, 2)],
-    )
-)
-def quote_observations(spark, d):
-    """One quote that does not bind fails its whole observation."""
-    out = binding.bound_observations(_bound(spark))
-    return out.select("claim_id", "failure", "failed_evidence", F.when(F.col("spans").isNotNull(), F.size("spans")).alias("n_spans"))
-
-
 _EVIDENCE = [("E1", "r1", "hello wörld", None, True), ("E2", "r2", "other", None, True), ("E3", "r1", "stale", "00", True), ("E4", "r1", "hidden", None, False)]
 _SPANS = [
     (1, '{"evidence_id":"E1","start":0,"end":11}', None), (2, '["E1",0,5]', "malformed_span"), (3, '{"evidence_id":"E1","start":0,"end":5,"note":1}', "unknown_span_field"), (4, '{"evidence_id":"E1","start":0}', "missing_span_field"),
@@ -73,52 +39,6 @@ def blocker_codes(spark, d):
     return t.select("id", binding.blocker_code(F.col("kind"), F.col("explanation"), F.col("n")).alias("code"))
 
 
-_ROSTER = [("r1", c) for c in ("a", "b", "c", "d", "e", "f", "g")] + [("r2", "a"), ("r3", "a"), ("r3", "a")]
-_OBSERVED = [
-    ("r1", "a", "s1", 1, True, [], False, []), ("r1", "b", "s1", 1, True, ["contradiction"], False, []), ("r1", "c", "s1", 0, True, [], False, []), ("r1", "d", "s1", 0, False, ["limitation"], False, []),
-    ("r1", "e", "s1", 1, False, [], False, []), ("r1", "e", "s2", 1, True, [], False, []), ("r1", "f", "s1", 1, True, [], True, []), ("r1", "x", "s1", 1, True, [], False, []),
-    ("r2", "a", "s1", 2, True, [], False, []), ("r3", "a", "s1", 1, True, [], False, []), ("r3", "a", "s1", 1, True, [], False, []),
-]
-_P, _N, _F = "MEANINGFUL_SUPPORT_PRESENT", "NO_MEANINGFUL_SUPPORT", "FULL_ENTAILMENT_CLAIMED"
-_JUDGED = [
-    ("r1", "a", "VALID", "verified", "", f"{_P},{_F}"), ("r1", "b", "VALID", "weak", "", f"{_P},{_F},BLOCKER_CONTRADICTION"), ("r1", "c", "INVALID", None, "no_support_with_full_entailment_true", f"{_N},{_F}"),
-    ("r1", "d", "VALID", "unverified", "", f"{_N},BLOCKER_LIMITATION"), ("r1", "e", "INVALID", None, "conflicting_duplicate_claim_row", ""), ("r1", "f", "VALID", "weak", "", f"{_P},{_F},DETERMINISTIC_FACT_VETO"),
-    ("r1", "g", "INVALID", None, "missing_claim_row:g", ""), ("r1", None, "INVALID", None, "extra_claim_row:x", ""), ("r2", "a", "VALID", "verified", "", f"{_P},{_F}"),
-    ("r3", "a", "INVALID", None, "duplicate_claim_row", ""), ("r3", None, "INVALID", None, "duplicate_claim_in_roster", ""),
-]
-
-
-def _judged(spark):
-    claims = fixture.rows(spark, "request_id string, claim_id string", _ROSTER)
-    seen = fixture.rows(spark, "request_id string, claim_id string, signature string, n_support int, full_entailment boolean, kinds array<string>, vetoed boolean, errors array<string>", _OBSERVED)
-    return binding.adjudicate(claims, seen)
-
-
-@register(fixture.expected("request_id, claim_id, validity, status, invalid_reasons, reason_codes", _JUDGED))
-def adjudication_rows(spark, d):
-    return _judged(spark)
-
-
-@register(fixture.expected("request_id, validity", [("r1", "INVALID"), ("r2", "VALID"), ("r3", "INVALID")]))
-def adjudication_validity(spark, d):
-    return binding.overall_validity(_judged(spark))
-
-
-_SOURCES = [("WEB-001", "web", "https://h/a", None, "hello world"), ("KB-001", "kb", None, "intro.md", "some notes")]
-_SUPPORT = [("r1", "a", 0, "WEB-001", 0, 5), ("r1", "a", 1, "KB-001", 5, 10), ("r1", "b", 0, "KB-001", 0, 4), ("r1", "e", 0, "GONE", 0, 3), ("r2", "a", 0, "WEB-001", 6, 11)]
-_ROWS = [
-    ("r1", "a", "verified", "VALID", "web", "https://h/a", "https://h/a", "hello|notes"), ("r1", "b", "weak", "VALID", "kb", None, "kb:intro.md", "some"), ("r1", "c", "unverified", "INVALID", "none", None, None, ""),
-    ("r1", "d", "unverified", "VALID", "none", None, None, ""), ("r1", "e", "unverified", "INVALID", "none", None, None, ""), ("r1", "f", "weak", "VALID", "none", None, None, ""), ("r1", "g", "unverified", "INVALID", "none", None, None, ""),
-    ("r2", "a", "verified", "VALID", "web", "https://h/a", "https://h/a", "world"), ("r3", "a", "unverified", "INVALID", "none", None, None, ""),
-]
-
-
-@register(fixture.expected("request_id, claim_id, status, validity, source_kind, source_url, source_ref, support_text", _ROWS))
-def grounding_rows(spark, d):
-    support = fixture.rows(spark, "request_id string, claim_id string, place int, evidence_id string, start int, end int", _SUPPORT)
-    return binding.grounding_rows(_judged(spark), support, fixture.rows(spark, "evidence_id string, kind string, url string, source string, source_text string", _SOURCES))
-
-
 @register("WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE source END AS req_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS description, nullif(doc_id % 3 = 0, doc_id % 11 = 0) AS mandatory FROM documents) SELECT doc_id, req_id, description, mandatory FROM r WHERE trim(req_id) <> '' AND description IS NOT NULL AND mandatory IS NOT NULL")
 def normalized_requirements(spark, d):
     n = F.col("doc_id")
@@ -144,129 +64,6 @@ def signoff_states(spark, d):
     return binding.signoff(fixture.rows(spark, "run_id string, claim_id string, evidence_id string, text string", _BUNDLES), receipts, ["run_id"])
 
 
-# ---------------------------------------------------------------- material policy
-
-_DRAFT = "draft"
-_RUNS = [("a", True, "ok", 0), ("b", False, None, 0), ("c", True, "old", 0), ("d", True, "ok", 0), ("e", True, "ok", 0), ("f", True, "ok", 2), ("g", True, "ok", 0), ("h", True, "ok", 1)]
-_CLAIMS = [
-    ("a", 0, "1", "true", "factual", "bound"), ("a", 1, "2", "false", "opinion", "bound"), ("c", 0, "1", "true", "factual", "bound"), ("d", 0, "1", "true", "factual", "ANCHOR_FAILED"), ("e", 0, "1", "true", "factual", "bound"), ("e", 1, "1", "true", "factual", "bound"),
-    ("f", 0, "1", "true", "factual", "bound"), ("f", 1, "2", "true", "factual", "bound"), ("g", 0, "1", "unknown", "factual", "bound"), ("g", 1, "2", "true", "factual", "bound"), ("h", 0, "1", "true", "factual", "bound"), ("h", 1, "2", "true", "factual", "bound"), ("h", 2, "3", "false", "factual", "bound"),
-]
-_ROW = [
-    ("a", "1", "verified", "VALID", False), ("a", "2", "weak", None, False), ("c", "1", "verified", "VALID", False), ("d", "1", "verified", "VALID", False), ("e", "1", "verified", "VALID", False),
-    ("f", "1", "weak", "VALID", False), ("f", "2", "verified", "VALID", True), ("g", "1", "verified", "VALID", False), ("g", "2", "verified", "invalid", False), ("h", "1", "verified", "valid", False), ("h", "2", "unverified", "VALID", False), ("h", "3", "verified", "VALID", False),
-]
-_REQS = [("a", "q1", True), ("a", "q2", None), ("f", "q1", False), ("f", "q2", None), ("g", "q1", None), ("h", "q1", None), ("h", "q2", False), ("h", "q3", None)]
-_LINKS = [("a", "2", "q2"), ("f", "1", "q2"), ("g", "1", "q1"), ("h", "2", "q1"), ("h", "1", "q2")]
-
-
-def _claims(spark):
-    return fixture.rows(spark, "run_id string, ordinal int, claim_id string, material string, claim_type string, validity string", _CLAIMS)
-
-
-def _rows(spark):
-    return fixture.rows(spark, "run_id string, claim_id string, status string, validity string, blocked boolean", _ROW)
-
-
-@register(fixture.expected("run_id, reason", [("a", None), ("b", "missing_inventory"), ("c", "stale_inventory_draft_sha"), ("d", "unresolved_anchor"), ("e", "grounding_roster_mismatch"), ("f", None), ("g", None), ("h", None)]))
-def integrity_failures(spark, d):
-    import hashlib
-
-    sha = {"ok": hashlib.sha256(_DRAFT.encode()).hexdigest(), "old": "0", None: None}
-    runs = fixture.rows(spark, "run_id string, has_inventory boolean, inventory_sha string, draft string", [(r, h, sha[s], _DRAFT) for r, h, s, _ in _RUNS])
-    return policy.integrity_failure(runs, _claims(spark), _rows(spark))
-
-
-@register(
-    "WITH " + fixture.values("c", "run_id, ordinal, claim_id, material, claim_type, validity", _CLAIMS) + ", " + fixture.values("r", "run_id, claim_id, status, validity, blocked", _ROW) + """
-SELECT c.run_id, c.claim_id, CASE WHEN r.run_id IS NULL THEN 'missing_semantic_disposition' WHEN upper(coalesce(r.validity, 'VALID')) <> 'VALID' THEN 'invalid_analysis_validity' WHEN r.status <> 'verified' THEN 'semantic_status_' || r.status
-  WHEN r.blocked THEN 'unresolved_applicable_blocker' ELSE 'resolved' END AS resolution FROM c LEFT JOIN r ON r.run_id = c.run_id AND r.claim_id = c.claim_id WHERE material = 'true'"""
-)
-def material_resolution(spark, d):
-    return policy.material_resolution(_claims(spark), _rows(spark))
-
-
-def _outcomes(spark):
-    requirements = fixture.rows(spark, "run_id string, req_id string, structural boolean", _REQS)
-    links = fixture.rows(spark, "run_id string, claim_id string, req_id string", _LINKS)
-    return policy.requirement_outcomes(requirements, links, _claims(spark), policy.material_resolution(_claims(spark), _rows(spark)))
-
-
-@register(
-    fixture.expected(
-        "run_id, req_id, state, reason",
-        [("a", "q1", "SATISFIED", "structural_check_passed"), ("a", "q2", "UNKNOWN", "semantic_coverage_unqualified"), ("f", "q1", "MISSING", "structural_check_failed"), ("f", "q2", "UNRESOLVED", "supported_by_unresolved_material_claim"),
-         ("g", "q1", "UNKNOWN", "linked_unknown_materiality_claim"), ("h", "q1", "UNRESOLVED", "supported_by_unresolved_material_claim"), ("h", "q2", "MISSING", "structural_check_failed"), ("h", "q3", "MISSING", "no_linked_current_claims")],
-    )
-)
-def requirement_outcomes(spark, d):
-    return _outcomes(spark)
-
-
-_MR = [
-    ("a", 1.0, 1, 1, 1, 0, "unknown_mandatory_requirement", "unknown_materiality", "hitl"), ("f", 0.0, 2, 2, 0, 2, "unresolved_material_claim,missing_mandatory_requirement,unresolved_mandatory_requirement", "exhausted", "hitl"),
-    ("g", 0.0, 2, 1, 0, 1, "unknown_materiality,unknown_mandatory_requirement,invalid_material_claim,unresolved_material_claim", "unknown_materiality", "hitl"),
-    ("h", 0.5, 3, 2, 1, 1, "unresolved_material_claim,missing_mandatory_requirement,unresolved_mandatory_requirement", "repairable", "revision"),
-]
-
-
-@register(fixture.expected("run_id, verified_rate, factual, material, resolved, unresolved, reason_codes, state, decision", _MR))
-def material_results(spark, d):
-    runs = fixture.rows(spark, "run_id string, iterations int", [(r, n) for r, _, _, n in _RUNS if r in "afgh"])
-    claims = _claims(spark)
-    return policy.material_result(runs, claims, policy.material_resolution(claims, _rows(spark)), _outcomes(spark))
-
-
-# ---------------------------------------------------------------- citation policy
-
-_OCC = [
-    ("p", 0, "1", "true", [(0, 10)]), ("p", 1, "2", "true", [(0, 10), (20, 30)]), ("p", 2, "3", "false", [(40, 50)]), ("q", 0, "1", "true", [(0, 10)]), ("q", 1, "2", "true", [(20, 30)]), ("r", 0, "1", "true", [(0, 10)]), ("r", 1, "2", "true", [(5, 15)]),
-    ("s", 0, "1", "true", [(0, 30)]), ("s", 1, "2", "true", [(5, 15)]), ("t", 0, "1", "true", [(0, 30)]), ("t", 1, "2", "true", [(5, 15)]), ("v", 0, "1", "true", [(0, 9)]), ("v", 1, "2", "true", [(20, 29)]),
-]
-_JUDG = [(r, c, "verified", None) for r, _, c, _, _ in _OCC]
-_EV = [("p", "1", 0, "WEB-001"), ("p", "2", 0, "KB-001"), ("p", "2", 1, "WEB-001"), ("q", "1", 0, "WEB-001"), ("q", "2", 0, "WEB-002"), ("r", "1", 0, "E1"), ("r", "2", 0, "E1"), ("s", "1", 0, "E1"), ("s", "2", 0, "E2"), ("t", "1", 0, "E1"), ("t", "2", 0, "E2"), ("v", "1", 0, "E1"), ("v", "2", 0, "E2")]
-_CITES = [("p", 10, "WEB-001"), ("q", 11, "KB-007"), ("q", 90, "WEB-002"), ("q", 95, "E99"), ("s", 40, "E1"), ("t", 16, "E2"), ("v", 90, "E2")]
-_GIVEN = [(r, e, "given") for r, e in (("q", "WEB-001"), ("q", "WEB-002"), ("r", "E1"), ("s", "E1"), ("s", "E2"), ("t", "E1"), ("t", "E2"), ("v", "E1"), ("v", "E2"))]
-_LAID = [("v", 0, 9, ["E1"])]
-
-
-def _groups(spark):
-    occ = fixture.rows(spark, "run_id string, ordinal int, claim_id string, material string, occurrences array<struct<start:int,end:int>>", _OCC)
-    return policy.applicable_groups(occ, fixture.rows(spark, "run_id string, claim_id string, status string, validity string", _JUDG), fixture.rows(spark, "run_id string, claim_id string, place int, evidence_id string", _EV))
-
-
-def _registry(spark):
-    web = fixture.rows(spark, "run_id string, place int", [("p", n) for n in range(1, 8)])
-    kb = fixture.rows(spark, "run_id string, place int", [("p", 1)])
-    support = fixture.rows(spark, "run_id string, claim_id string, place int, evidence_id string", _EV + [("p", "3", 0, "E7"), ("p", "3", 0, "")])
-    return policy.evidence_registry(fixture.rows(spark, "run_id string, evidence_id string, kind string", _GIVEN + [("p", "WEB-002", "given")]), web, kb, support)
-
-
-@register(fixture.expected("run_id, start, \"end\", claim_ids, required", [("p", 0, 10, "1,2", "WEB-001,KB-001"), ("p", 20, 30, "2", "KB-001,WEB-001"), ("q", 0, 10, "1", "WEB-001"), ("q", 20, 30, "2", "WEB-002"), ("r", 0, 10, "1", "E1"), ("r", 5, 15, "2", "E1"), ("s", 0, 30, "1", "E1"), ("s", 5, 15, "2", "E2"), ("t", 0, 30, "1", "E1"), ("t", 5, 15, "2", "E2"), ("v", 0, 9, "1", "E1"), ("v", 20, 29, "2", "E2")]))
-def citation_groups(spark, d):
-    return _groups(spark).withColumn("claim_ids", F.array_join("claim_ids", ",")).withColumn("required", F.array_join("required", ","))
-
-
-@register(fixture.expected("run_id, evidence_id, kind", [("p", "WEB-001", "web"), ("p", "WEB-002", "given"), ("p", "WEB-003", "web"), ("p", "WEB-004", "web"), ("p", "WEB-005", "web"), ("p", "KB-001", "kb"), ("p", "E7", "unknown"), *_GIVEN]))
-def evidence_registry(spark, d):
-    return _registry(spark)
-
-
-_CR = [
-    ("p", 2, 0, 0, 0, 0, 1.0, "citation_policy_pass", ""), ("q", 2, 0, 2, 0, 2, 1.0, "citation_hitl_required", "unsupported_extra_citation,dangling_citation"),
-    ("r", 2, 0, 0, 1, 0, None, "placement_integrity_failure", "overlapping_nonidentical_anchors"), ("s", 2, 0, 0, 0, 0, 1.0, "citation_policy_pass", ""),
-    ("t", 2, 0, 0, 1, 0, None, "placement_integrity_failure", "ambiguous_nested_model_citation"), ("v", 2, 1, 0, 2, 0, 0.5, "citation_hitl_required", "missing_required_citation,citation_placement_failure"),
-]
-
-
-@register(fixture.expected("run_id, n_groups, missing, extra, misplaced, dangling, coverage, state, reason_codes", _CR))
-def citation_results(spark, d):
-    runs = fixture.rows(spark, "run_id string", [(r,) for r in "pqrstv"])
-    cites = fixture.rows(spark, "run_id string, place int, evidence_id string", _CITES)
-    overlay = fixture.rows(spark, "run_id string, start int, end int, evidence_ids array<string>", _LAID)
-    return policy.citation_result(runs, _groups(spark), cites, _registry(spark), overlay)
-
-
 _PLANS = [("a", "x", ["1"], ["1"], "g"), ("b", "y", ["1"], ["1"], "g"), ("c", "x", ["2"], [], "g"), ("d", "x", [], ["9"], "h")]
 _NOW = [(r, "x", ["1"], ["1"], "g") for r in "abcd"]
 
@@ -277,12 +74,6 @@ def plan_staleness(spark, d):
     return policy.plan_staleness(fixture.rows(spark, schema, _PLANS), fixture.rows(spark, schema, _NOW))
 
 
-@register(fixture.expected("run_id, start, \"end\", html", [("p", 0, 10, '<sup>[<a href="#ref-1">1</a>, <a href="#ref-2">2</a>]</sup>'), ("p", 20, 30, '<sup>[<a href="#ref-1">1</a>, <a href="#ref-2">2</a>]</sup>'), ("q", 0, 10, '<sup>[<a href="#ref-1">1</a>]</sup>')]))
-def citation_clusters(spark, d):
-    numbers = fixture.rows(spark, "run_id string, evidence_id string, number int", [("p", "KB-001", 2), ("p", "WEB-001", 1), ("q", "WEB-001", 1)])
-    return policy.cluster_html(_groups(spark), numbers)
-
-
 @register(
     """WITH m AS (SELECT doc_id, text, strpos(substr(text, 11), substr(text, 3, 2)) AS p, substr(text, 3, 2) AS q FROM documents WHERE length(text) >= 20)
 SELECT doc_id, p + 9 AS place, len(list_filter(range(1, p + 10), lambda i: substr(text, i, 2) = q)) AS nth FROM m WHERE p > 0"""

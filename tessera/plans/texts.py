@@ -11,33 +11,6 @@ from ..sources.tables import table
 from . import fixture
 from .catalog import _EXPANDED, _expanded, register
 
-_PLACES = [(1, "aaaa", "aa"), (2, "a😀b😀", "😀"), (3, "abc", "x"), (4, "abc", ""), (5, "abcabc", "abc"), (6, "", "a")]
-
-
-@register("WITH " + fixture.values("t", "id, body, quote", _PLACES) + " SELECT id, array_to_string(CASE WHEN quote = '' THEN [] ELSE list_transform(list_filter(range(1, length(body) - length(quote) + 2), lambda i: substr(body, i, length(quote)) = quote), lambda i: i - 1) END, ',') AS starts FROM t")
-def exact_occurrences(spark, d):
-    t = fixture.rows(spark, "id int, body string, quote string", _PLACES)
-    return t.select("id", F.array_join(F.transform(text.occurrences(F.col("body"), F.col("quote")), lambda i: i.cast("string")), ",").alias("starts"))
-
-
-_DRAFTS = [(1, "One [WEB-001] and [KB-12] or [KB-012][E7]."), (2, "none [WEB-1] [E] [web-001]"), (3, ""), (4, None), (5, "😀[E12]")]
-
-
-@register(fixture.expected("doc_id, evidence_id, place", [(1, "WEB-001", 4), (1, "KB-012", 29), (1, "E7", 37), (5, "E12", 1)]))
-def citation_markers(spark, d):
-    return policy.markers(fixture.rows(spark, "doc_id long, text string", _DRAFTS))
-
-
-_INSERT = [(1, "abcdef", [(0, "<"), (6, ">")]), (2, "abc", []), (3, "a😀c", [(2, "|"), (1, "|")]), (4, "abc", [(1, "x"), (1, "y")])]
-
-
-@register(fixture.expected("id, marked", [(1, "<abcdef>"), (2, "abc"), (3, "a|😀|c"), (4, "axybc")]))
-def inserted_markers(spark, d):
-    """Highest place first, so that earlier places stay right; markers of one place in their own order."""
-    t = fixture.rows(spark, "id int, body string, places array<struct<place:int,marker:string>>", _INSERT)
-    return t.select("id", policy.insert_markers(F.col("body"), F.col("places")).alias("marked"))
-
-
 @register("WITH c AS (SELECT conv_id AS doc_id, role || turn % 3 AS evidence_id, min(turn) AS place FROM conversations GROUP BY ALL) SELECT doc_id, evidence_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, evidence_id) AS number FROM c")
 def evidence_numbers(spark, d):
     cited = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat("role", (F.col("turn") % 3).cast("string")).alias("evidence_id"), F.col("turn").alias("place"))
@@ -51,14 +24,6 @@ def url_labels(spark, d):
     return table(spark, d, "pages").select("page_id", urls.label(title, F.col("url")).alias("label"))
 
 
-_EXCERPTS = [(1, "# Head\n\nsome *bold* words here", 18, "Head some bold…"), (2, "short", 18, "short"), (3, "a  b\tc", 18, "a b c"), (4, "exactly eighteen c", 18, "exactly eighteen c")]
-
-
-@register(fixture.expected("id, excerpt", [(i, w) for i, _, _, w in _EXCERPTS]))
-def excerpts(spark, d):
-    return fixture.rows(spark, "id int, body string", [(i, t) for i, t, _, _ in _EXCERPTS]).select("id", text.excerpt(F.col("body"), 18).alias("excerpt"))
-
-
 @register("SELECT doc_id, 'ca:unit:' || sha256('{\"lang\":' || CASE WHEN lang IS NULL THEN 'null' ELSE '\"' || lang || '\"' END || ',\"n\":' || doc_id || ',\"source\":\"' || source || '\"}') AS id FROM documents")
 def content_ids(spark, d):
     """Identity over canonical JSON with fields in name order."""

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalog, changes, corpus, evidence, exposure, policies, reports, retrieval, semantics, texts  # noqa: F401  (registers its queries)
+from tessera.plans import catalog, changes, corpus, evidence, exposure, policies, reports, retrieval, runs, semantics, texts  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages benchmark labels conversations lineitem orders"
