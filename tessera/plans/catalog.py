@@ -439,15 +439,16 @@ def uvr_gate(spark, d):
 
 
 @register(
-    """SELECT s AS support, e AS entailed, b AS blocked, CASE WHEN NOT s AND e THEN 'INVALID' WHEN NOT s THEN 'unverified' WHEN e AND NOT b THEN 'verified' ELSE 'weak' END AS status,
-  array_to_string(list_filter([CASE WHEN NOT s AND e THEN 'entailment_without_support' END, CASE WHEN NOT s THEN 'no_support' END, CASE WHEN s AND NOT e THEN 'partial_entailment' END, CASE WHEN b THEN 'blocker_present' END], lambda x: x IS NOT NULL), ',') AS reasons
-FROM (VALUES (true), (false)) x(s), (VALUES (true), (false)) y(e), (VALUES (true), (false)) z(b)"""
+    """WITH x AS (SELECT doc_id, quality = 1 AS s, doc_id % 3 <> 0 AS e, toxic = 1 AS b FROM labels)
+SELECT s AS support, e AS entailed, b AS blocked, CASE WHEN NOT s AND e THEN 'INVALID' WHEN NOT s THEN 'unverified' WHEN e AND NOT b THEN 'verified' ELSE 'weak' END AS status,
+  array_to_string(list_filter([CASE WHEN NOT s AND e THEN 'entailment_without_support' END, CASE WHEN NOT s THEN 'no_support' END, CASE WHEN s AND NOT e THEN 'partial_entailment' END, CASE WHEN b THEN 'blocker_present' END], lambda x: x IS NOT NULL), ',') AS reasons, count(*) AS n
+FROM x GROUP BY ALL"""
 )
 def status_truth_table(spark, d):
-    both = (True, False)
-    rows = spark.createDataFrame([(s, e, b) for s in both for e in both for b in both], "support boolean, entailed boolean, blocked boolean")
+    """Statuses and reasons of all labelled documents, counted."""
+    rows = table(spark, d, "labels").select((F.col("quality") == 1).alias("support"), (F.col("doc_id") % 3 != 0).alias("entailed"), (F.col("toxic") == 1).alias("blocked"))
     c = F.col("support"), F.col("entailed"), F.col("blocked")
-    return rows.select("support", "entailed", "blocked", claims.claim_status(*c).alias("status"), F.array_join(claims.reason_codes(*c), ",").alias("reasons"))
+    return rows.select("*", claims.claim_status(*c).alias("status"), F.array_join(claims.reason_codes(*c), ",").alias("reasons")).groupBy("support", "entailed", "blocked", "status", "reasons").agg(F.count("*").alias("n"))
 
 
 @register(

@@ -1,7 +1,4 @@
-"""Registered queries of binding, adjudication and policy operators, mostly over small tables given in place.
-
-Where the SQL is a list of rows, they were worked out by hand from the rules stated in the operators.
-"""
+"""Registered queries of requirement rows, draft order, occurrence numbers and canonical texts."""
 
 from __future__ import annotations
 
@@ -10,35 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import binding, policy
 from ..sources.tables import table
-from . import fixture
 from .catalog import register
 
-_EVIDENCE = [("E1", "r1", "hello wörld", None, True), ("E2", "r2", "other", None, True), ("E3", "r1", "stale", "00", True), ("E4", "r1", "hidden", None, False)]
-_SPANS = [
-    (1, '{"evidence_id":"E1","start":0,"end":11}', None), (2, '["E1",0,5]', "malformed_span"), (3, '{"evidence_id":"E1","start":0,"end":5,"note":1}', "unknown_span_field"), (4, '{"evidence_id":"E1","start":0}', "missing_span_field"),
-    (5, '{"evidence_id":7,"start":0,"end":5}', "invalid_evidence_id_type"), (6, '{"evidence_id":"E1","start":"0","end":5}', "invalid_start_type"), (7, '{"evidence_id":"E1","start":true,"end":5}', "invalid_start_type"),
-    (8, '{"evidence_id":"E1","start":0,"end":5.5}', "invalid_end_type"), (9, '{"evidence_id":"E9","start":0,"end":5}', "unknown_evidence_id"), (10, '{"evidence_id":"E2","start":0,"end":5}', "cross_request_evidence_reference"),
-    (11, '{"evidence_id":"E3","start":0,"end":5}', "stale_evidence_hash"), (12, '{"evidence_id":"E4","start":0,"end":5}', "invisible_evidence"), (13, '{"evidence_id":"E1","start":-1,"end":5}', "negative_span_start"),
-    (14, '{"evidence_id":"E1","start":5,"end":5}', "zero_or_negative_length_span"), (15, '{"evidence_id":"E1","start":0,"end":12}', "out_of_bounds_span"), (16, "not json", "malformed_span"), (17, '{"evidence_id":null,"start":0,"end":5}', "invalid_evidence_id_type"),
-]
-
-
-@register(fixture.expected("id, code", [(i, c) for i, _, c in _SPANS]))
-def span_codes(spark, d):
-    spans = fixture.rows(spark, "id int, span string", [(i, s) for i, s, _ in _SPANS])
-    manifest = fixture.rows(spark, "evidence_id string, request_id string, source_text string, source_sha256 string, visible boolean", _EVIDENCE)
-    return binding.span_codes(spans, manifest, "r1").select("id", "code")
-
-
-_BLOCKERS = [(1, "contradiction", "no", 1, None), (2, "contradiction", "no", 0, "contradiction_requires_evidence_span"), (3, "limitation", "only here", 0, None), (4, "limitation", " ", 2, "missing_explanation"), (5, "doubt", "x", 1, "unknown_kind"), (6, None, "x", 1, "unknown_kind"), (7, "limitation", None, 0, "missing_explanation")]
-
-
-@register(fixture.expected("id, code", [(i, c) for i, *_, c in _BLOCKERS]))
-def blocker_codes(spark, d):
-    t = fixture.rows(spark, "id int, kind string, explanation string, n int", [b[:4] for b in _BLOCKERS])
-    return t.select("id", binding.blocker_code(F.col("kind"), F.col("explanation"), F.col("n")).alias("code"))
-
-
 @register("WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE source END AS req_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS description, nullif(doc_id % 3 = 0, doc_id % 11 = 0) AS mandatory FROM documents) SELECT doc_id, req_id, description, mandatory FROM r WHERE trim(req_id) <> '' AND description IS NOT NULL AND mandatory IS NOT NULL")
 def normalized_requirements(spark, d):
     n = F.col("doc_id")
@@ -52,28 +22,6 @@ def rows_in_draft_order(spark, d):
     return binding.in_draft_order(docs, docs.where("place % 3 <> 0").select("source", "claim_id", F.col("place").alias("ordinal")), ["source"])
 
 
-_BUNDLES = [("a", "c1", "E1", "x"), ("a", "c2", "E1", "y"), ("b", "c1", "E1", "x"), ("c", "c1", "E1", ""), ("d", "c1", "E1", "x"), ("e", "c1", "E1", "x"), ("e", "c1", "E1", "z")]
-
-
-@register(fixture.expected("run_id, state", [("a", "signed"), ("b", "stale"), ("c", "invalid_bundle"), ("d", "unsigned"), ("e", "invalid_bundle")]))
-def signoff_states(spark, d):
-    import hashlib
-
-    digest = hashlib.sha256("\x1e".join("\x1f".join(r) for r in (("c1", "E1", "x"), ("c2", "E1", "y"))).encode()).hexdigest()
-    receipts = fixture.rows(spark, "run_id string, digest string", [("a", digest), ("b", digest), ("c", digest), ("e", digest)])
-    return binding.signoff(fixture.rows(spark, "run_id string, claim_id string, evidence_id string, text string", _BUNDLES), receipts, ["run_id"])
-
-
-_PLANS = [("a", "x", ["1"], ["1"], "g"), ("b", "y", ["1"], ["1"], "g"), ("c", "x", ["2"], [], "g"), ("d", "x", [], ["9"], "h")]
-_NOW = [(r, "x", ["1"], ["1"], "g") for r in "abcd"]
-
-
-@register(fixture.expected("run_id, reason", [("b", "stale_citation_plan_draft_sha"), ("c", "stale_citation_plan_claim_roster"), ("d", "stale_citation_plan_grounding_roster"), ("d", "stale_citation_plan_support")]))
-def plan_staleness(spark, d):
-    schema = "run_id string, draft_sha string, claim_roster array<string>, grounding_roster array<string>, groups string"
-    return policy.plan_staleness(fixture.rows(spark, schema, _PLANS), fixture.rows(spark, schema, _NOW))
-
-
 @register(
     """WITH m AS (SELECT doc_id, text, strpos(substr(text, 11), substr(text, 3, 2)) AS p, substr(text, 3, 2) AS q FROM documents WHERE length(text) >= 20)
 SELECT doc_id, p + 9 AS place, len(list_filter(range(1, p + 10), lambda i: substr(text, i, 2) = q)) AS nth FROM m WHERE p > 0"""

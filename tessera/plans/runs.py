@@ -339,3 +339,62 @@ SELECT doc_id, CASE WHEN length(p) <= 220 THEN p ELSE regexp_replace(substr(p, 1
 )
 def excerpts(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@register(
+    """WITH t AS (SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'limitation' WHEN 2 THEN 'doubt' END AS kind, CASE WHEN turn % 3 = 0 THEN '  ' ELSE text END AS x, turn % 2 AS n FROM conversations)
+SELECT conv_id, turn, CASE WHEN kind IS NULL OR kind = 'doubt' THEN 'unknown_kind' WHEN trim(coalesce(x, '')) = '' THEN 'missing_explanation' WHEN kind = 'contradiction' AND n = 0 THEN 'contradiction_requires_evidence_span' END AS code FROM t"""
+)
+def blocker_codes(spark, d):
+    turn, case = F.col("turn"), (F.col("conv_id") + F.col("turn")) % 4
+    kind = F.when(case == 0, "contradiction").when(case == 1, "limitation").when(case == 2, "doubt")
+    return table(spark, d, "conversations").select("conv_id", "turn", binding.blocker_code(kind, F.when(turn % 3 == 0, "  ").otherwise(F.col("text")), turn % 2).alias("code"))
+
+
+_FORMS = (
+    '{"evidence_id":"%","start":0,"end":5}', '["x"]', '{"evidence_id":"%","start":0,"end":5,"note":1}', '{"evidence_id":"%","start":0}', '{"evidence_id":7,"start":0,"end":5}', '{"evidence_id":"%","start":"0","end":5}', '{"evidence_id":"%","start":0,"end":5.5}',
+    '{"evidence_id":"E-9","start":0,"end":5}', '{"evidence_id":"%","start":-1,"end":5}', '{"evidence_id":"%","start":5,"end":5}', '{"evidence_id":"%","start":0,"end":10000000}', "not json", '{"evidence_id":"%","start":0,"end":1}',
+)
+
+
+@register(
+    """WITH d AS (SELECT doc_id, doc_id % 13 AS f, text FROM documents) SELECT doc_id, CASE WHEN f IN (1, 11) THEN 'malformed_span' WHEN f = 2 THEN 'unknown_span_field' WHEN f = 3 THEN 'missing_span_field' WHEN f = 4 THEN 'invalid_evidence_id_type' WHEN f = 5 THEN 'invalid_start_type' WHEN f = 6 THEN 'invalid_end_type'
+  WHEN f = 7 OR text IS NULL THEN 'unknown_evidence_id' WHEN doc_id % 10 = 0 THEN 'cross_request_evidence_reference' WHEN doc_id % 17 = 0 THEN 'stale_evidence_hash' WHEN doc_id % 19 = 0 THEN 'invisible_evidence' WHEN f = 8 THEN 'negative_span_start' WHEN f = 9 THEN 'zero_or_negative_length_span'
+  WHEN f = 10 OR length(text) < CASE f WHEN 12 THEN 1 ELSE 5 END THEN 'out_of_bounds_span' END AS code FROM d"""
+)
+def span_codes(spark, d):
+    """Spans over all documents as evidence, malformed in every way, and evidence of another request, stale or hidden."""
+    n = F.col("doc_id")
+    name = F.concat(F.lit("E"), n.cast("string"))
+    form = F.lit(None).cast("string")
+    for k, shape in enumerate(_FORMS):
+        form = F.when(n % len(_FORMS) == k, F.replace(F.lit(shape), F.lit("%"), name)).otherwise(form)
+    docs = table(spark, d, "documents")
+    manifest = docs.select(name.alias("evidence_id"), F.when(n % 10 == 0, "r2").otherwise("r1").alias("request_id"), F.col("text").alias("source_text"), F.when(n % 17 == 0, "00").alias("source_sha256"), (n % 19 != 0).alias("visible"))
+    return binding.span_codes(docs.select("doc_id", form.alias("span")), manifest, "r1").select("doc_id", "code")
+
+
+@register(
+    """WITH r AS (SELECT conv_id AS run_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT run_id, CASE WHEN run_id % 5 = 0 THEN 'invalid_bundle' WHEN run_id % 4 = 2 THEN 'unsigned' WHEN run_id % 4 = 1 THEN 'stale' ELSE 'signed' END AS state FROM r"""
+)
+def signoff_states(spark, d):
+    """Turns as the evidence of their conversation; receipts for what it is now, for something else, or none; texts that are missing."""
+    run = F.col("run_id")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").cast("string").alias("claim_id"), F.col("role").alias("evidence_id"), F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 0), "").otherwise(F.concat_ws(" ", F.lit("said:"), "text")).alias("text"))
+    whole = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.concat_ws("\x1f", "claim_id", "evidence_id", "text"))).alias("all"))
+    receipts = whole.where(run % 4 != 2).select("run_id", F.when(run % 4 == 1, "0").otherwise(F.sha2(F.array_join("all", "\x1e"), 256)).alias("digest"))
+    return binding.signoff(rows, receipts, ["run_id"])
+
+
+@register(
+    """WITH d AS (SELECT doc_id AS run_id, doc_id % 6 AS f FROM documents), x AS (SELECT run_id, unnest(CASE f WHEN 1 THEN ['stale_citation_plan_draft_sha'] WHEN 2 THEN ['stale_citation_plan_claim_roster'] WHEN 4 THEN ['stale_citation_plan_grounding_roster', 'stale_citation_plan_support'] WHEN 5 THEN ['stale_citation_plan_draft_sha', 'stale_citation_plan_support'] ELSE [] END) AS reason, f FROM d) SELECT run_id, reason FROM x"""
+)
+def plan_staleness(spark, d):
+    """Plans made for each document, of which some are for another draft, roster or support; an empty roster is not compared."""
+    n = F.col("doc_id")
+    f, sha, roster = n % 6, F.sha2(F.coalesce("text", F.lit("")), 256), F.array(F.col("source"), F.col("lang"))
+    other, none = F.array(F.lit("x")), F.array().cast("array<string>")
+    docs = table(spark, d, "documents")
+    now = docs.select(n.alias("run_id"), sha.alias("draft_sha"), roster.alias("claim_roster"), roster.alias("grounding_roster"), F.lit("g").alias("groups"))
+    plans = docs.select(n.alias("run_id"), F.when(f.isin(1, 5), "old").otherwise(sha).alias("draft_sha"), F.when(f == 2, other).when(f == 3, none).otherwise(roster).alias("claim_roster"), F.when(f == 4, other).when(f == 3, none).otherwise(roster).alias("grounding_roster"), F.when(f >= 4, "h").otherwise("g").alias("groups"))
+    return policy.plan_staleness(plans, now)
