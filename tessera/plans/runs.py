@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.arrays import running_sum
 from ..operators import binding, policy
+from ..sources import snapshots
 from ..sources.tables import table
 from .catalog import register
 
@@ -108,6 +109,14 @@ def material_results(spark, d):
 
 # ---------------------------------------------------------------- citation policy
 
+
+def _kept(df, name):
+    """``df`` written to the shared folder and read again."""
+    path = snapshots.scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Lines as anchors; in some runs a part of a line inside it, or one that crosses into the next line.
 _GROUPS = rf"""{_CLAIMS},
 oc AS (SELECT run_id, ordinal, claim_id, claim_id AS base, material, s, s + length(line) AS e FROM c WHERE length(line) > 0 UNION ALL SELECT run_id, ordinal + 1000000, 'n' || claim_id, claim_id, material, s + 5, s + 20 FROM c WHERE length(line) >= 40 AND run_id % 3 = 0 AND ordinal % 4 = 1
@@ -196,7 +205,8 @@ def citation_results(spark, d):
         .union(c.where((F.col("run_id") % 6 == 0) & (i == 0)).select("run_id", F.lit(20000000), F.lit("E99")))
     )
     overlay = c.where((F.col("run_id") % 8 == 3) & (i % 2 == 0) & (F.length("line") > 0)).select("run_id", F.col("s").alias("start"), (F.col("s") + F.length("line")).alias("end"), F.array(own).alias("evidence_ids"))
-    return policy.citation_result(_runs(spark, d), groups, cites, _registry(spark, d, anchors), overlay)
+    # Each of these is read several times; they are worked out once.
+    return policy.citation_result(_runs(spark, d), _kept(groups, "groups"), _kept(cites, "cites"), _kept(_registry(spark, d, anchors), "registry"), _kept(overlay, "overlay"))
 
 
 @register(
