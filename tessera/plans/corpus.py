@@ -180,7 +180,7 @@ def unit_errors(spark, d):
 
 @register(
     f"""WITH {_BLOCKS}, sib AS (SELECT b.*, lag(ordinal) OVER w AS previous, lead(ordinal) OVER w AS next, max(ordinal) OVER (PARTITION BY doc_id) AS top FROM b WINDOW w AS (PARTITION BY doc_id, parent ORDER BY ordinal)),
-e AS (SELECT doc_id, ordinal, CASE WHEN doc_id % 4 = 1 AND ordinal = 1 THEN 'overlap' WHEN doc_id % 4 = 2 AND ordinal = 2 AND previous IS NOT NULL THEN 'sibling' WHEN doc_id % 4 = 3 AND ordinal = top THEN 'uncovered_tail' END AS error FROM sib)
+e AS (SELECT doc_id, ordinal, CASE WHEN doc_id % 4 = 1 AND ordinal = 1 THEN 'overlap' WHEN doc_id % 4 = 2 AND ordinal = 2 AND previous IS NOT NULL THEN 'sibling' WHEN doc_id % 4 = 3 AND ordinal = top AND NOT regexp_matches(right(content, 1), '[\\x20\\x09-\\x0D]') THEN 'uncovered_tail' END AS error FROM sib)
 SELECT * FROM e WHERE error IS NOT NULL"""
 )
 def block_errors(spark, d):
