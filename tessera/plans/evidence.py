@@ -5,37 +5,53 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import registry
+from ..functions.arrays import running_sum
 from ..operators import evidence
 from ..sources.tables import table
-from . import fixture
 from .catalog import _FUSED, _TOK, _fused, _units, register
 from .exposure import _GOLD, _TEN, _gold, _ten
 
-_SPAN = "array<struct<start:int,end:int,role:string>>"
-_PLACES = [(1, "a.md", [(0, 5, "content"), (5, 9, "content")]), (2, "a.md", [(0, 5, "content"), (6, 9, "content")]), (3, "a.md", [(0, 5, "content"), (5, 9, "context_after")]), (4, "b.md", []), (5, "b.md", [(3, 4, "content")])]
+_ROWS = "WITH l AS (SELECT doc_id, source, lang, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)"
 
 
-@register(fixture.expected("id, s, e, key", [(1, 0, 9, "a.md|0:5:content;5:9:content"), (2, None, None, "a.md|0:5:content;6:9:content"), (3, None, None, "a.md|0:5:content;5:9:context_after"), (4, None, None, "b.md|"), (5, 3, 4, "b.md|3:4:content")]))
-def content_intervals(spark, d):
-    t = fixture.rows(spark, f"id int, path string, spans {_SPAN}", _PLACES)
-    return t.select("id", evidence.content_interval(F.col("spans")).alias("i"), evidence.interval_key(F.col("path"), F.col("spans")).alias("key")).select("id", "i.s", "i.e", "key")
+def _split(spark, d):
+    return table(spark, d, "documents").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
 
 
-_DOCS = [(1, ("d", "v", "p", "s"), ("d", "v", "p", "s")), (2, ("d", "v", "p", "s"), ("d", "w", "p", "s")), (3, ("d", None, "p", "s"), ("d", None, "p", "s")), (4, ("d", "v", "p", "s"), ("d", "v", "q", "s"))]
+@register(
+    f"""{_ROWS}, p AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS e, max(i) OVER (PARTITION BY doc_id) AS m FROM l),
+s AS (SELECT *, e - length(t) - 1 AS s, CASE WHEN i = m AND doc_id % 4 = 0 THEN 'context_after' ELSE 'content' END AS role FROM p WHERE trim(t) <> ''),
+g AS (SELECT doc_id, string_agg(s || ':' || e || ':' || role, ';' ORDER BY i) AS spans, min(s) AS s, max(e) AS e, bool_and(role = 'content') AND sum(e - s) = max(e) - min(s) AS whole FROM s GROUP BY doc_id)
+SELECT doc_id AS id, CASE WHEN whole THEN g.s END AS s, CASE WHEN whole THEN g.e END AS e, source || '.md|' || coalesce(spans, '') AS key FROM documents LEFT JOIN g USING (doc_id)"""
+)
+def content_intervals(spark, d):
+    """Lines with their ends as spans of a text; blank ones leave a gap, and the last of every fourth text is context."""
+    docs = _split(spark, d).withColumn("ends", running_sum(F.transform("lines", lambda t: F.length(t) + 1)))
+    last = F.size("lines") - 1
+    role = lambda i: F.when((i == last) & (F.col("doc_id") % 4 == 0), "context_after").otherwise("content")
+    at = F.transform("lines", lambda t, i: F.struct((F.get("ends", i) - F.length(t) - 1).alias("start"), F.get("ends", i).alias("end"), role(i).alias("role"), (F.trim(t) != "").alias("said")))
+    spans = docs.select(F.col("doc_id").alias("id"), F.concat("source", F.lit(".md")).alias("path"), F.transform(F.filter(at, lambda x: x["said"]), lambda x: x.dropFields("said")).alias("spans"))
+    return spans.select("id", evidence.content_interval(F.col("spans")).alias("i"), evidence.interval_key(F.col("path"), F.col("spans")).alias("key")).select("id", "i.s", "i.e", "key")
 
 
-@register(fixture.expected("id, same", [(1, True), (2, False), (3, True), (4, False)]))
+@register("WITH h AS (SELECT *, md5(coalesce(text, '')) AS h FROM documents), f AS (SELECT h, arg_min(source, doc_id) AS source, arg_min(lang, doc_id) AS lang, min(doc_id) % 2 AS odd FROM h GROUP BY h) SELECT doc_id AS id, h.source IS NOT DISTINCT FROM f.source AND h.lang IS NOT DISTINCT FROM f.lang AND doc_id % 2 = odd AS same FROM h JOIN f USING (h)")
 def same_documents(spark, d):
-    one = "struct<document_id:string,document_version:string,source_path:string,source_sha256:string>"
-    return fixture.rows(spark, f"id int, a {one}, b {one}", _DOCS).select("id", evidence.same_document("a", "b").alias("same"))
+    """Every document against the first one of the same text."""
+    docs = table(spark, d, "documents").withColumn("h", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    name = F.struct(F.col("source").alias("document_id"), F.col("lang").alias("document_version"), F.concat(F.lit("p"), (F.col("doc_id") % 2).cast("string")).alias("source_path"), F.col("h").alias("source_sha256"))
+    docs = docs.select("doc_id", "h", name.alias("a"))
+    first = docs.groupBy("h").agg(F.min_by("a", "doc_id").alias("b"))
+    return docs.join(first, "h").select(F.col("doc_id").alias("id"), evidence.same_document("a", "b").alias("same"))
 
 
-_SEGMENTS = [(1, [("heading", 1), ("seam", 0)]), (2, [("heading", 1), ("paragraph", 0)]), (3, [("seam", 0)]), (4, []), (5, [("heading", 2)]), (6, [("heading", 1), ("heading", 1)])]
-
-
-@register(fixture.expected("id, h1", [(1, True), (2, False), (3, False), (4, False), (5, False), (6, True)]))
+@register(f"{_ROWS}, k AS (SELECT doc_id, (i - 1) // 2 AS unit, CASE WHEN trim(t) = '' THEN 0 WHEN length(t) < 40 THEN 1 WHEN length(t) < 60 THEN 2 ELSE 3 END AS k FROM l) SELECT doc_id AS id, unit, bool_or(k = 1) AND max(k) < 2 AS h1 FROM k GROUP BY ALL")
 def h1_only_units(spark, d):
-    return fixture.rows(spark, "id int, segments array<struct<kind:string,level:int>>", _SEGMENTS).select("id", evidence.h1_only(F.col("segments")).alias("h1"))
+    """Units of two lines: short lines as headings of the first or second level, blank ones as seams."""
+    kind = lambda t: F.when(F.trim(t) == "", "seam").when(F.length(t) < 60, "heading").otherwise("paragraph")
+    segments = lambda part: F.transform(part, lambda t: F.struct(kind(t).alias("kind"), F.when(F.length(t) < 40, 1).otherwise(2).alias("level")))
+    docs = _split(spark, d)
+    units = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 2).cast("int")), lambda j: segments(F.slice("lines", 2 * j + 1, F.lit(2))))
+    return docs.select(F.col("doc_id").alias("id"), F.posexplode(units).alias("unit", "segments")).select("id", "unit", evidence.h1_only(F.col("segments")).alias("h1"))
 
 
 @register(f"WITH {_FUSED}, h AS (SELECT query_id, rank, unit_id FROM fused UNION ALL SELECT query_id, 9, unit_id FROM fused WHERE rank = 1 AND query_id % 2 = 0 UNION ALL SELECT query_id, 10, -1 FROM fused WHERE rank = 1) SELECT query_id, rank, CASE WHEN d.doc_id IS NULL THEN 'unknown_unit' ELSE 'unit_twice' END AS error FROM (SELECT *, count(*) OVER (PARTITION BY query_id, unit_id) AS n FROM h) LEFT JOIN documents d ON d.doc_id = unit_id WHERE d.doc_id IS NULL OR n > 1")
@@ -73,12 +89,15 @@ def propagated_statuses(spark, d):
     return evidence.propagated_status(atoms, rows)
 
 
-_CELLS = [(1, "A", "m", 0.0, "x"), (1, "B", "m", 0.0, "y"), (2, "A", "m", 0.0, "x"), (2, "B", "n", 0.0, "x"), (3, "A", "m", 0.0, "x"), (4, "A", "m", None, "x"), (4, "B", "m", 0.1, "x")]
-
-
-@register(fixture.expected('pair, "column"', [(2, "model"), (3, "arm"), (4, "temperature")]))
+@register(
+    """WITH c AS (SELECT doc_id // 2 AS pair, count(DISTINCT doc_id % 2) AS arms, count(DISTINCT coalesce(lang, '')) AS models, count(DISTINCT coalesce(length(text), 0) % 2) AS temperatures FROM documents WHERE doc_id % 9 <> 4 GROUP BY ALL)
+SELECT pair, 'arm' AS "column" FROM c WHERE arms <> 2 UNION ALL SELECT pair, 'model' FROM c WHERE models > 1 UNION ALL SELECT pair, 'temperature' FROM c WHERE temperatures > 1"""
+)
 def isolation_errors(spark, d):
-    return evidence.isolation_errors(fixture.rows(spark, "pair int, arm string, model string, temperature double, context string", _CELLS), ["model", "temperature"])
+    """Neighbouring documents as the two arms of a pair."""
+    n = F.col("doc_id")
+    cells = table(spark, d, "documents").where(n % 9 != 4).select(F.floor(n / 2).alias("pair"), F.when(n % 2 == 0, "A").otherwise("B").alias("arm"), F.col("lang").alias("model"), (F.coalesce(F.length("text"), F.lit(0)) % 2 / 10).alias("temperature"), F.col("text").alias("context"))
+    return evidence.isolation_errors(cells, ["model", "temperature"])
 
 
 @register("SELECT source, CASE WHEN bool_or(doc_id % 400 = 399) THEN 'INVALID' WHEN bool_or(doc_id % 37 = 5) THEN 'FAIL' ELSE 'PASS' END AS verdict FROM documents WHERE source IN ('src1', 'src19') GROUP BY source")
@@ -91,14 +110,19 @@ def gate_verdicts(spark, d):
     return out
 
 
-_TEXTS = [(1, "\n  Title\nfirst line\nsecond  \n\n"), (2, "only"), (3, "a\nb\nc")]
-_LINES = [(1, "x", 3, 4, "first line\nsecond"), (1, "y", 3, 3, "first line"), (1, "z", 1, 1, ""), (1, "w", 9, 9, "?"), (2, "x", 1, 1, "only"), (3, "x", 2, 3, "b\nc"), (3, "y", 2, 2, "B")]
-
-
-@register(fixture.expected("doc_id, span_id, s, e, quote_ok", [(1, "x", None, None, False), (1, "y", 6, 16, True), (1, "z", None, None, False), (1, "w", None, None, False), (2, "x", 0, 4, True), (3, "x", 2, 5, True), (3, "y", 2, 3, False)]))
+@register(
+    r"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls, 1 + doc_id % 3 AS a, 1 + doc_id % 3 + doc_id % 2 AS b FROM documents WHERE text IS NOT NULL),
+p AS (SELECT *, length(text) - length(regexp_replace(text, '^[\x20\x09-\x0D]+', '')) AS lead, regexp_replace(regexp_replace(text, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS body, array_to_string(ls[a:b], chr(10)) AS said, length(array_to_string(ls[1:a - 1] || [''], chr(10))) AS start FROM l),
+q AS (SELECT *, start - lead AS s, start + length(regexp_replace(said, '[\r\n]+$', '')) - lead AS e, CASE WHEN doc_id % 5 = 0 THEN 'x' || said ELSE said END AS quote FROM p), g AS (SELECT *, b <= len(ls) AND s >= 0 AND e <= length(body) AND s < e AS good FROM q)
+SELECT doc_id, 'q' AS span_id, CASE WHEN good THEN s END AS s, CASE WHEN good THEN e END AS e, good AND substr(body, s + 1, e - s) = quote AS quote_ok FROM g"""
+)
 def line_evidence(spark, d):
-    """The last line of the first text ends behind the stripped text, so a span over it has no place."""
-    return evidence.line_evidence(fixture.rows(spark, "doc_id int, text string", _TEXTS), fixture.rows(spark, "doc_id int, span_id string, first int, last int, quote string", _LINES))
+    """One or two of the first lines of every text, quoted rightly or, of every fifth text, wrongly."""
+    n, docs = F.col("doc_id"), table(spark, d, "documents").where("text is not null")
+    first, last = (1 + n % 3).cast("int"), (1 + n % 3 + n % 2).cast("int")
+    said = F.array_join(F.slice(F.split("text", "\n", -1), first, last - first + 1), "\n")
+    spans = docs.select("doc_id", F.lit("q").alias("span_id"), first.alias("first"), last.alias("last"), F.when(n % 5 == 0, F.concat(F.lit("x"), said)).otherwise(said).alias("quote"))
+    return evidence.line_evidence(docs, spans)
 
 
 @register(

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..operators import reports
 from ..sources.tables import table
-from . import fixture
 from .catalog import _VERDICT, _report, register
 
 _R = f"""r AS (SELECT doc_id, source, lang, {_VERDICT} AS status, CASE WHEN doc_id % 3 = 0 THEN 'substantive' ELSE 'trivial' END AS specificity, (doc_id % 101) / 100.0 AS confidence,
@@ -70,18 +69,33 @@ def experiment_cells(spark, d):
     return reports.experiment_cells(its, ["arm"], "source", "iteration")
 
 
-_OUTCOME_ROWS = [(i, s, t, u, z) for i, (s, t, u, z) in enumerate([("completed", 8, 2, False), ("completed", 0, 0, False), ("completed", 0, 0, True), ("parse_failed", 4, 1, True), ("skipped", 0, 0, False), ("completed", 3, 3, True)])]
+_LINES = """v AS (SELECT o_orderkey AS id, o_custkey AS cust, o_orderpriority AS pr, CASE WHEN o_orderstatus = 'P' THEN 'parse_failed' WHEN o_orderpriority = '1-URGENT' THEN 'skipped' ELSE 'completed' END AS verification_status,
+  count(*) FILTER (l_returnflag = 'N' AND l_quantity > 25) AS verified, count(*) FILTER (l_returnflag = 'A' AND l_quantity > 25) AS weak, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 25) AS unverified,
+  count(l_orderkey) AS n, count(*) FILTER (l_tax >= 0.08) AS taxed, count(*) FILTER (l_discount >= 0.1) AS reduced, count(*) FILTER (l_linestatus = 'F') AS done, o_orderstatus AS os FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""
+
+
+def _lines(spark, d):
+    """Orders as runs, their large lines as claims: the return flag is the verdict."""
+    claim = lambda flag: F.count_if((F.col("l_returnflag") == flag) & (F.col("l_quantity") > 25))
+    per = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+        claim("N").alias("verified"), claim("A").alias("weak"), claim("R").alias("unverified"), F.count("*").alias("n"),
+        F.count_if(F.col("l_tax") >= 0.08).alias("taxed"), F.count_if(F.col("l_discount") >= 0.1).alias("reduced"), F.count_if(F.col("l_linestatus") == "F").alias("done"),
+    )
+    status = F.when(F.col("o_orderstatus") == "P", "parse_failed").when(F.col("o_orderpriority") == "1-URGENT", "skipped").otherwise("completed")
+    runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.col("o_orderpriority").alias("pr"), F.col("o_orderstatus").alias("os"), status.alias("verification_status"))
+    return runs.join(per, "id", "left").fillna(0)
 
 
 @register(
-    "WITH " + fixture.values("t", "run, status, total, unverified, allow_zero", _OUTCOME_ROWS) + """
+    f"""WITH {_LINES}, t AS (SELECT id AS run, verification_status AS status, verified + weak + unverified AS total, unverified, pr = '5-LOW' AS allow_zero FROM v)
 SELECT run, CASE WHEN status <> 'completed' THEN 'verification_incomplete' WHEN total > 0 THEN 'scorable' WHEN allow_zero THEN 'allowed_zero_claims' ELSE 'unscorable_incomplete' END AS evaluation_status,
   CASE WHEN status = 'completed' AND total > 0 THEN unverified / total END AS uvr,
   CASE WHEN status <> 'completed' THEN 'verification_status=' || status WHEN total = 0 AND NOT allow_zero THEN 'zero verdicts without allow_zero_claims' END AS validation_error FROM t"""
 )
 def verification_outcome(spark, d):
-    t = fixture.rows(spark, "run int, status string, total int, unverified int, allow_zero boolean", _OUTCOME_ROWS)
-    return t.select("run", reports.verification_outcome(F.col("status"), F.col("total"), F.col("unverified"), F.col("allow_zero")).alias("o")).select("run", "o.*")
+    total = F.col("verified") + F.col("weak") + F.col("unverified")
+    out = _lines(spark, d).select(F.col("id").alias("run"), reports.verification_outcome(F.col("verification_status"), total, F.col("unverified"), F.col("pr") == "5-LOW").alias("o"))
+    return out.select("run", "o.*")
 
 
 _RUNS = """runs AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'success' END AS status, CASE WHEN o_orderkey % 17 = 0 THEN 'telemetry mismatch' END AS validation_error, o_orderkey % 23 <> 0 AS has_telemetry,
@@ -119,49 +133,47 @@ def smoke_failures(spark, d):
     return reports.smoke_failures(_runs(spark, d))
 
 
-_RELEASE = [
-    (1, "r1", "success", None, 0, True, "completed", 6, 2, 1, 1 / 9), (2, "r2", "failed", None, 0, True, "completed", 6, 2, 1, 1 / 9), (3, "r3", "success", "bad", 0, True, "completed", 1, 0, 0, 0.0),
-    (4, "r4", "success", None, 2, True, "completed", 1, 0, 0, 0.0), (5, "r5", "success", None, 0, False, None, 0, 0, 0, None), (6, "r6", "success", None, 0, True, "completed", 0, 0, 0, None),
-    (7, "r7", "success", None, 0, True, "parse_failed", 3, 0, 0, 0.0), (8, "r8", "success", None, 0, True, "completed", 3, 0, 1, 0.25), (9, "r9", "success", None, 0, True, "completed", 9, 0, 1, 0.05),
-    (10, "r9", "success", None, 0, True, "completed", 9, 0, 1, 0.1), (11, "", "success", None, 0, True, "completed", 4, 0, 0, 0.0), (12, "r12", "success", None, 0, True, "completed", 4, 0, 0, None),
-]
-_RELEASE_COLUMNS = "id int, run_id string, status string, validation_error string, exit_code int, has_telemetry boolean, verification_status string, verified int, weak int, unverified int, uvr double"
-
-
 @register(
-    "WITH " + fixture.values("t", ", ".join(c.split()[0] for c in _RELEASE_COLUMNS.split(", ")), _RELEASE) + """,
-f AS (SELECT id, CASE WHEN exit_code <> 0 THEN 'subprocess exit code ' || exit_code WHEN status <> 'success' OR coalesce(validation_error, '') <> '' THEN coalesce(nullif(validation_error, ''), 'CLI failed') WHEN NOT has_telemetry THEN 'telemetry unavailable'
-  WHEN verified + weak + unverified <= 0 THEN 'unscorable zero-verdict telemetry claim total' WHEN verification_status <> 'completed' THEN 'verification_status=' || verification_status WHEN uvr IS NULL OR uvr < 0 OR uvr > 1 THEN 'UVR out of range'
-  WHEN uvr > 0.15 THEN printf('UVR %.2f > 0.15', uvr) WHEN uvr::DOUBLE <> unverified::DOUBLE / (verified + weak + unverified) THEN 'UVR contradicts claim counts' END AS f FROM t)
+    f"""WITH {_LINES}, t AS (SELECT id, CASE WHEN id % 19 = 0 THEN '' WHEN id % 7 = 0 THEN 'r' || (id - 1) ELSE 'r' || id END AS run_id, os = 'P' AS bad, CASE WHEN id % 17 = 0 THEN 'telemetry mismatch' END AS validation_error, id % 29 = 0 AS exits, id % 23 <> 0 AS has_telemetry,
+  verification_status, verified, weak, unverified, verified + weak + unverified AS total, unverified / nullif(verified + weak + unverified, 0) AS rate FROM v), u AS (SELECT *, CASE WHEN id % 31 <> 0 THEN CASE WHEN id % 5 = 0 THEN floor(rate * 10) / 10 ELSE rate END END AS uvr FROM t),
+f AS (SELECT id, CASE WHEN exits THEN 'subprocess exit code 2' WHEN bad OR validation_error IS NOT NULL THEN coalesce(validation_error, 'CLI failed') WHEN NOT has_telemetry THEN 'telemetry unavailable'
+  WHEN total = 0 THEN 'unscorable zero-verdict telemetry claim total' WHEN verification_status <> 'completed' THEN 'verification_status=' || verification_status WHEN uvr IS NULL THEN 'UVR out of range'
+  WHEN uvr > 0.15 THEN printf('UVR %.2f > 0.15', round(uvr, 2)) WHEN uvr <> rate THEN 'UVR contradicts claim counts' END AS f FROM u)
 SELECT id, printf('topic %02d: ', id) || f AS failure FROM f WHERE f IS NOT NULL
 UNION ALL SELECT id, CASE WHEN run_id = '' THEN 'run ID missing' ELSE 'run ID repeated' END FROM (SELECT *, count(*) OVER (PARTITION BY run_id) AS c FROM t) WHERE run_id = '' OR c > 1"""
 )
 def release_failures(spark, d):
-    return reports.release_failures(fixture.rows(spark, _RELEASE_COLUMNS, _RELEASE))
-
-
-_TELEMETRY = [(1, [], 3, 4, 4, 0, 0), (2, ["attribution"], 3, 0, 4, 0, 0), (3, [], -1, 4, 4, 0, 0), (4, [], None, 4, 4, 0, 0), (5, [], 0, 3, 4, 0, 0), (6, [], 0, 4, 4, 1, 0), (7, [], 0, 0, 0, 0, 2), (8, [], 0, 0, 0, 3, 0)]
+    k, rate = F.col("id"), F.col("unverified") / F.nullif(F.col("verified") + F.col("weak") + F.col("unverified"), F.lit(0))
+    runs = _lines(spark, d).select(
+        "id", F.when(k % 19 == 0, "").when(k % 7 == 0, F.concat(F.lit("r"), (k - 1).cast("string"))).otherwise(F.concat(F.lit("r"), k.cast("string"))).alias("run_id"),
+        F.when(F.col("os") == "P", "failed").otherwise("success").alias("status"), F.when(k % 17 == 0, "telemetry mismatch").alias("validation_error"), F.when(k % 29 == 0, 2).otherwise(0).alias("exit_code"), (k % 23 != 0).alias("has_telemetry"),
+        "verification_status", "verified", "weak", "unverified", F.when(k % 31 != 0, F.when(k % 5 == 0, F.floor(rate * 10) / 10).otherwise(rate)).alias("uvr"),
+    )
+    return reports.release_failures(runs)
 
 
 @register(
-    "WITH " + fixture.values("t", "run, missing, web, attribution, n_report, no_kind, no_chunk", _TELEMETRY) + """
-SELECT run, CASE WHEN len(missing) > 0 THEN 'missing_fields' WHEN web IS NULL OR web < 0 THEN 'web_sources_count_invalid' WHEN n_report > 0 AND attribution <> n_report THEN 'attribution_does_not_sum'
-  WHEN n_report > 0 AND no_kind > 0 THEN 'source_kind_missing' WHEN no_chunk > 0 THEN 'chunk_index_missing' END AS error FROM t"""
+    f"""WITH {_LINES} SELECT id AS run, CASE WHEN cust % 13 = 0 OR n > 3 AND done = 0 THEN 'missing_fields' WHEN id % 41 = 0 OR n - 2 * reduced < 0 THEN 'web_sources_count_invalid' WHEN n = 0 THEN CASE WHEN pr = '2-HIGH' THEN 'chunk_index_missing' END
+  WHEN weak > 1 THEN 'attribution_does_not_sum' WHEN taxed > 0 THEN 'source_kind_missing' WHEN pr = '2-HIGH' THEN 'chunk_index_missing' END AS error FROM v"""
 )
 def telemetry_errors(spark, d):
-    t = fixture.rows(spark, "run int, missing array<string>, web int, attribution int, n_report int, no_kind int, no_chunk int", _TELEMETRY)
-    return t.select("run", reports.telemetry_error(*[F.col(c) for c in t.columns[1:]]).alias("error"))
-
-
-_REQUESTS, _RECORDS = [("a", "x"), ("b", "y"), ("c", "z"), ("d", "w")], [("a", "a", "x"), ("b", "q", "y"), ("c", "c", "other")]
+    """Records of orders: lines as report rows; one is lost from the attribution where several are weak."""
+    t, c = _lines(spark, d), F.col
+    missing = F.array_compact(F.array(F.when(c("cust") % 13 == 0, "attribution"), F.when((c("n") > 3) & (c("done") == 0), "status")))
+    web = F.when(c("id") % 41 != 0, c("n") - 2 * c("reduced"))
+    return t.select(c("id").alias("run"), reports.telemetry_error(missing, web, c("n") - (c("weak") > 1).cast("long"), c("n"), c("taxed"), (c("pr") == "2-HIGH").cast("long")).alias("error"))
 
 
 @register(
-    "WITH " + fixture.values("q", "run_id, topic", _REQUESTS) + ", " + fixture.values("h", "file_id, run_id, topic", _RECORDS) + """
+    """WITH q AS (SELECT o_orderkey AS k, 'run-' || o_orderkey AS run_id, o_orderpriority AS topic FROM orders), h AS (SELECT run_id AS file_id, CASE WHEN k % 11 = 0 THEN 'run-' || (k + 1) ELSE run_id END AS run_id, CASE WHEN k % 13 = 0 THEN '2-HIGH' ELSE topic END AS topic FROM q WHERE k % 7 <> 0)
 SELECT q.run_id, q.topic, CASE WHEN h.file_id IS NULL THEN 'telemetry_missing' WHEN h.run_id <> q.run_id THEN 'run_id_mismatch' WHEN h.topic <> q.topic THEN 'topic_mismatch' ELSE 'ok' END AS result FROM q LEFT JOIN h ON h.file_id = q.run_id"""
 )
 def telemetry_exact_read(spark, d):
-    return reports.exact_record(fixture.rows(spark, "run_id string, topic string", _REQUESTS), fixture.rows(spark, "file_id string, run_id string, topic string", _RECORDS))
+    """Orders as requests; some files are not there or hold another run or topic."""
+    k, name = F.col("o_orderkey"), lambda k: F.concat(F.lit("run-"), k.cast("string"))
+    orders = table(spark, d, "orders")
+    held = orders.where(k % 7 != 0).select(name(k).alias("file_id"), F.when(k % 11 == 0, name(k + 1)).otherwise(name(k)).alias("run_id"), F.when(k % 13 == 0, "2-HIGH").otherwise(F.col("o_orderpriority")).alias("topic"))
+    return reports.exact_record(orders.select(name(k).alias("run_id"), F.col("o_orderpriority").alias("topic")), held)
 
 
 _TOPICS = "tp AS (SELECT doc_id AS place, nullif(doc_id % 90 - 1, 7) AS id, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE lang || doc_id % 200 END AS topic, CASE WHEN doc_id % 29 = 0 THEN NULL ELSE source || '-' || doc_id % 77 END AS slug FROM documents)"
@@ -209,35 +221,34 @@ def cost_gate_steps(spark, d):
     return reports.cost_gate(steps, "user_id", ["ts", "event_id"], "cost", 0.1).select("event_id", F.round(F.col("spent").cast("double"), 6).alias("spent"), "stops", "runs")
 
 
-_HEAD = [("r1", None, None, None, None), ("r2", "published", " done ", 1200, 0.0123456), ("r3", "execution_failed", "  ", 0, 0.1)]
+@register(
+    """WITH e AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last, arg_max(props, (ts, event_id)) AS props, sum(value::DECIMAL(18, 2))::DOUBLE AS v, count(*) AS n, max(event_id) AS top FROM events GROUP BY user_id)
+SELECT user_id AS run_id, CASE last WHEN 'error' THEN 'execution_failed' WHEN 'purchase' THEN 'published' ELSE 'running' END AS state, CASE WHEN top % 3 = 0 THEN '' ELSE props END AS message, CASE WHEN top % 4 = 0 THEN 0 ELSE n END AS total_tokens, round(CASE WHEN top % 5 = 0 THEN 0 ELSE v / 1000 END, 5) AS cost_usd FROM e"""
+)
+def run_headlines(spark, d):
+    """Users as runs: the last event is the state, its properties the message."""
+    at = F.struct("ts", "event_id")
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.max_by("event_type", at).alias("last"), F.max_by("props", at).alias("props"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("v"), F.count("*").alias("n"), F.max("event_id").alias("top"))
+    top = F.col("top")
+    status = F.when(F.col("last") == "error", "execution_failed").when(F.col("last") == "purchase", "published")
+    runs = e.select("run_id", status.alias("terminal_status"), F.when(top % 3 == 0, "  ").otherwise(F.col("props")).alias("message"), F.when(top % 4 != 0, F.col("n")).alias("total_tokens"), F.when(top % 5 != 0, F.col("v") / 1000).alias("cost_usd"))
+    return reports.headline(runs)
 
 
-@register("WITH " + fixture.values("t", "run_id, terminal_status, message, total_tokens, cost_usd", _HEAD) + " SELECT run_id, coalesce(terminal_status, 'running') AS state, trim(coalesce(message, '')) AS message, coalesce(total_tokens, 0) AS total_tokens, round(coalesce(cost_usd, 0), 5) AS cost_usd FROM t")
-def run_headlines(spark, d):
-    return reports.headline(fixture.rows(spark, "run_id string, terminal_status string, message string, total_tokens long, cost_usd double", _HEAD)).withColumn("message", F.trim("message"))
-
-
-_STATES = [
-    (i, *r)
-    for i, r in enumerate(
-        [
-            (True, False, "completed", True, True, "pass", True, True), (False, False, "completed", True, True, "pass", True, True), (True, True, "inventory_failed", True, False, "pass", True, True),
-            (True, False, "inventory_failed", True, True, "pass", True, True), (True, False, "parse_failed", True, True, "pass", True, True), (True, False, "skipped", True, True, "pass", True, True),
-            (True, False, "completed", False, True, "pass", True, True), (True, False, "completed", True, False, "pass", True, True), (True, False, "completed", True, True, "unknown_materiality", True, True),
-            (True, False, "completed", True, True, "repairable", False, True), (True, False, "completed", True, True, "repairable", True, False), (True, False, "completed", True, True, "exhausted", True, True),
-        ]
-    )
-]
-_OUTCOMES = [
-    (0, "execution_failed", False), (1, "execution_failed", False), (2, "execution_failed", False), (3, "execution_failed", True), (4, "execution_failed", True), (5, "execution_failed", False),
-    (6, "execution_failed", False), (7, "execution_failed", False), (8, "policy_blocked", False), (9, "policy_blocked", False), (10, "terminal_quality_exhausted", True), (11, "policy_blocked", True),
-]
-
-
-@register("WITH " + fixture.values("t", "run_id, outcome, repairable", _OUTCOMES) + " SELECT * FROM t")
+@register(
+    f"""WITH {_LINES}, s AS (SELECT id, CASE WHEN id % 17 = 0 THEN 'other run' WHEN n = 0 AND verification_status = 'parse_failed' AND cust % 3 = 0 THEN 'ambiguous' WHEN verification_status = 'parse_failed' THEN 'unread' WHEN verification_status <> 'completed' THEN 'skipped' WHEN taxed > 1 OR reduced > 2 THEN 'stale' WHEN pr = '4-NOT SPECIFIED' THEN 'blocked'
+  WHEN weak > 2 THEN 'citations' WHEN unverified > 2 THEN 'semantic' WHEN pr IN ('2-HIGH', '3-MEDIUM') THEN 'material' ELSE 'none' END AS rule FROM v)
+SELECT id AS run_id, CASE WHEN rule IN ('blocked', 'citations', 'material') THEN 'policy_blocked' WHEN rule = 'semantic' THEN 'terminal_quality_exhausted' ELSE 'execution_failed' END AS outcome, rule IN ('unread', 'semantic', 'material') AS repairable FROM s"""
+)
 def terminal_outcomes(spark, d):
-    """A decision table; the expected rows are written out."""
-    return reports.terminal_outcome(fixture.rows(spark, "run_id int, identity_matches boolean, ambiguous_anchor boolean, verification_status string, inventory_current boolean, anchors_ok boolean, material_state string, citations_ok boolean, semantic_ok boolean", _STATES))
+    """Orders as runs: a failed inventory is a failed order without lines, an old one has two taxed lines; the priority is the state of the material claims."""
+    t, c = _lines(spark, d), F.col
+    state = F.when(c("pr") == "1-URGENT", "pass").when(c("pr") == "2-HIGH", "repairable").when(c("pr") == "3-MEDIUM", "exhausted").when(c("pr") == "4-NOT SPECIFIED", "unknown_materiality").otherwise("no_inventory")
+    failed = (c("verification_status") == "parse_failed") & (c("n") == 0)
+    return reports.terminal_outcome(t.select(
+        c("id").alias("run_id"), (c("id") % 17 != 0).alias("identity_matches"), (c("cust") % 3 == 0).alias("ambiguous_anchor"), F.when(failed, "inventory_failed").otherwise(c("verification_status")).alias("verification_status"),
+        (c("taxed") <= 1).alias("inventory_current"), (c("reduced") <= 2).alias("anchors_ok"), state.alias("material_state"), (c("weak") <= 2).alias("citations_ok"), (c("unverified") <= 2).alias("semantic_ok"),
+    ))
 
 
 LIMITS = {"drafts": 2, "content_feedbacks": 2, "layout_revisions": 2}
