@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import intervals, text, urls
@@ -18,7 +18,6 @@ from ..operators import chunking, claims, dense, evaluation, fusion, lexical, me
 from ..sources import store
 from ..sources.tables import table
 from ..streaming import events as stream
-from . import fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -285,17 +284,15 @@ def exact_dup_groups(spark, d):
     return docs.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-_VECTORS = [(1, 1, [1.0, 0.0]), (1, 2, [0.99, 0.14]), (1, 3, [0.0, 1.0]), (1, 4, [0.3, 0.954]), (1, 5, [0.25, 0.968]), (2, 6, [0.6, 0.8]), (2, 7, [0.6, 0.8]), (2, 8, [0.8, 0.6])]
-
-
 @register(
-    "WITH " + fixture.values("t", "query_id, unit_id, v", _VECTORS) + """
-SELECT a.query_id, a.unit_id AS unit_a, b.unit_id AS unit_b, round(list_inner_product(a.v::DOUBLE[], b.v::DOUBLE[]), 6) AS cosine FROM t a JOIN t b ON a.query_id = b.query_id AND a.unit_id < b.unit_id WHERE list_inner_product(a.v::DOUBLE[], b.v::DOUBLE[]) >= 0.95"""
+    f"""WITH {_DENSE_SELF}, p AS (SELECT a.query_id, a.unit_id AS unit_a, b.unit_id AS unit_b, list_inner_product(x.v, y.v) AS c FROM dense a JOIN dense b ON a.query_id = b.query_id AND a.rank < b.rank JOIN vec x ON x.vec_id = a.unit_id JOIN vec y ON y.vec_id = b.unit_id)
+SELECT query_id, unit_a, unit_b, round(c, 6) AS cosine FROM p WHERE c >= 0.25"""
 )
 def near_dup_pairs(spark, d):
-    """Similar pairs within each query's ten nearest; ranks follow the ids."""
-    top = fixture.rows(spark, "query_id int, unit_id int, embedding array<double>", _VECTORS).withColumn("rank", F.col("unit_id"))
-    return dense.similar_pairs(top, dense.NEAR_DUPLICATE).withColumn("cosine", F.round("cosine", 6))
+    """Similar pairs within each query's ten nearest; the tables hold no vectors as close as the default of 0.95."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("unit_id"), "embedding")
+    top = _dense_self(spark, d).select("query_id", "rank", "unit_id").join(vectors, "unit_id")
+    return dense.similar_pairs(top, 0.25).withColumn("cosine", F.round("cosine", 6))
 
 
 # ---------------------------------------------------------------- intervals
@@ -603,13 +600,18 @@ def event_tumbling(spark, d):
     return out.select(F.unix_timestamp("started").alias("started"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
-_EDGES = [("one", "a", "1"), ("one", "a", "2"), ("one", "b", "1"), ("two", "a", "1"), ("two", "b", "1"), ("two", "c", "2"), ("two", "c", "3"), ("two", "d", "3"), ("three", "x", "9")]
-
-
-@register(fixture.expected("case_id, \"left\", \"right\"", [("one", "a", "2"), ("one", "b", "1"), ("two", "a", "1"), ("two", "c", "2"), ("two", "d", "3"), ("three", "x", "9")]))
+@register(
+    """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)
+SELECT 'c' || conv_id AS case_id, printf('%04d', n) AS "left", printf('%04d', n + 1) AS "right" FROM t JOIN (SELECT conv_id, count(*) AS size FROM t GROUP BY conv_id) USING (conv_id) WHERE n % 2 = 0 AND n + 1 < size"""
+)
 def claim_matching(spark, d):
-    """Largest matching of candidate and gold atoms, per case."""
-    return evaluation.largest_matching(fixture.rows(spark, "case_id string, left string, right string", _EDGES))
+    """Largest matching of even to odd turns of a conversation, each turn with those beside it: the pairs from the first turn on."""
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    t = table(spark, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("case_id"), n.alias("n"))
+    even, odd = t.where("n % 2 = 0").withColumnRenamed("n", "a"), t.where("n % 2 = 1").withColumnRenamed("n", "b")
+    name = lambda c: F.lpad(F.col(c).cast("string"), 4, "0")
+    beside = even.withColumn("b", F.explode(F.array(F.col("a") - 1, F.col("a") + 1))).join(odd, ["case_id", "b"])
+    return evaluation.largest_matching(beside.select("case_id", name("a").alias("left"), name("b").alias("right")))
 
 
 @register(None)

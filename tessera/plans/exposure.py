@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import exposure, fusion
 from ..sources.tables import table
-from . import fixture
 from .catalog import _BM25, _DENSE_ITEMS, _FUSED, _LINKED, _TOK, _bm25, _dense_items, _items, _units, register
 
 _TEN = _FUSED.replace("QUALIFY rank <= 5)", "QUALIFY rank <= 10)")
@@ -182,17 +181,20 @@ def evidence_change(spark, d):
     return exposure.evidence_change(covered(layers["retrieved"]), covered(layers["expanded"]), ["query_id"])
 
 
-_SCORES = [(1, "ANSWERABLE", 1.0, 1.0, 0), (2, "ANSWERABLE", 0.5, 1.0, 1), (3, "PARTIAL", 0.9, 0.5, 0), (4, "PARTIAL", 1.0, 1.0, 0), (5, "ABSENT", 0.0, 1.0, 3), (6, "ANSWERABLE", 0.75, 0.75, 0)]
-
-
 @register(
-    "WITH " + fixture.values("t", "query_id, answerability, packed, shown, lost", _SCORES) + """, b AS (SELECT * FROM t WHERE answerability <> 'ABSENT')
-SELECT 'partial_available_recall_below_one' AS gate, query_id FROM b WHERE answerability = 'PARTIAL' AND packed <> 1 UNION ALL SELECT 'packed_below_retrieved_recall', query_id FROM b WHERE packed < shown
+    f"""WITH {_TEN}, {_GOLD}, h AS (SELECT query_id, rank, source FROM fused JOIN documents ON doc_id = unit_id), f AS (SELECT g.query_id, g.source, min(rank) AS place FROM gold g LEFT JOIN h ON h.query_id = g.query_id AND h.source = g.source GROUP BY ALL),
+t AS (SELECT query_id, query_id % 3 AS kind, count(place) / 2 AS shown, count(*) FILTER (WHERE place <= 5) / 2 AS packed, count(place) - count(*) FILTER (WHERE place <= 5) AS lost FROM f GROUP BY query_id), b AS (SELECT * FROM t WHERE kind < 2)
+SELECT 'partial_available_recall_below_one' AS gate, query_id FROM b WHERE kind = 1 AND packed <> 1 UNION ALL SELECT 'packed_below_retrieved_recall', query_id FROM b WHERE packed < shown
 UNION ALL SELECT 'critical_grade2_lost_at_packed', query_id FROM b WHERE lost > 0 UNION ALL SELECT 'backend_identity_mismatch', NULL
-UNION ALL SELECT 'macro_packed_below_floor', NULL FROM b HAVING avg(packed) < 0.875 UNION ALL SELECT 'answerable_macro_below_floor', NULL FROM b WHERE answerability = 'ANSWERABLE' HAVING avg(packed) < 0.8333"""
+UNION ALL SELECT 'macro_packed_below_floor', NULL FROM b HAVING avg(packed) < 0.875 UNION ALL SELECT 'answerable_macro_below_floor', NULL FROM b WHERE kind = 0 HAVING avg(packed) < 0.8333"""
 )
 def evidence_gates(spark, d):
-    scores = fixture.rows(spark, "query_id int, answerability string, packed_recall double, shown_recall double, lost_grade2 int", _SCORES)
+    """Gold sources among the first ten as retrieved, among the first five as packed; a third of the items has no answer."""
+    ranked = _ten(spark, d).join(_units(spark, d).select("unit_id", "source"), "unit_id")
+    first = ranked.groupBy("query_id", "source").agg(F.min("rank").alias("at"))
+    found = _gold(spark, d).join(first, ["query_id", "source"], "left").groupBy("query_id").agg(F.count("at").alias("ten"), F.count_if(F.col("at") <= 5).alias("five"))
+    kind = F.when(F.col("query_id") % 3 == 0, "ANSWERABLE").when(F.col("query_id") % 3 == 1, "PARTIAL").otherwise("ABSENT")
+    scores = found.select("query_id", kind.alias("answerability"), (F.col("five") / 2).alias("packed_recall"), (F.col("ten") / 2).alias("shown_recall"), (F.col("ten") - F.col("five")).alias("lost_grade2"))
     return exposure.evidence_gates(scores, parity_failures=1)
 
 
@@ -310,24 +312,34 @@ def text_agreement(spark, d):
     return out.groupBy("source", "outcome").agg(F.count("*").alias("n"))
 
 
-_PHRASES = [("a", "red fox"), ("a", "the red fox ran home"), ("a", "ran home"), ("a", "fox ran"), ("a", "home"), ("b", "red fox"), ("b", "a red foxes den"), ("b", "den"), ("c", "x y z"), ("c", "x y"), ("c", "y z"), ("c", "x y z")]
-
-
-@register("WITH " + fixture.values("t", "run, text", _PHRASES) + " SELECT o.run, o.text AS whole, count(DISTINCT i.text) AS n FROM t o JOIN t i ON o.run = i.run AND o.text <> i.text AND contains(' ' || o.text || ' ', ' ' || i.text || ' ') GROUP BY ALL HAVING count(DISTINCT i.text) >= 2")
+@register(
+    f"""WITH w AS (SELECT conv_id AS run, {_TOK} AS ws FROM conversations), t AS (SELECT DISTINCT run, text FROM (SELECT run, unnest([array_to_string(ws[1:12], ' '), array_to_string(ws[2:4], ' '), array_to_string(ws[6:9], ' '), array_to_string(ws[11:14], ' ')]) AS text FROM w) WHERE text <> '')
+SELECT o.run, o.text AS whole, count(DISTINCT i.text) AS n FROM t o JOIN t i ON o.run = i.run AND o.text <> i.text AND contains(' ' || o.text || ' ', ' ' || i.text || ' ') GROUP BY ALL HAVING count(DISTINCT i.text) >= 2"""
+)
 def split_claims(spark, d):
-    return exposure.shared_terms(fixture.rows(spark, "run string, text string", _PHRASES), ["run"])
-
-
-_REPORT = [("a", 1, None, None), ("a", 2, "", None), ("a", 3, "https://h/x", "https://h/x"), ("a", 4, "Intro.md", None), ("a", 5, "kb/intro.md#2", None), ("a", 6, "https://no/where", "https://no/where"), ("b", 1, "intro.md", None), ("b", 2, "notes", None)]
-_WEB, _KB = [("a", "https://h/x"), ("a", None), ("b", "https://b/")], [("a", 0, "other.md"), ("a", 1, "intro.md"), ("b", 0, "notes-2.md"), ("b", 1, "notes-1.md")]
-_SOURCES = [("a", 1, "none", None), ("a", 2, "none", None), ("a", 3, "web", "https://h/x"), ("a", 4, "kb", "kb:intro.md"), ("a", 5, "kb", "kb:intro.md"), ("a", 6, "unresolved", None), ("b", 1, "unresolved", None), ("b", 2, "kb", "kb:notes-2.md")]
+    """The first twelve words of every turn as a claim, and parts of the turn as others."""
+    part = lambda at, n: F.array_join(F.slice("ws", at, n), " ")
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("run"), text.tokens(F.col("text")).alias("ws"))
+    claims = turns.select("run", F.explode(F.array(part(1, 12), part(2, 3), part(6, 4), part(11, 4))).alias("text")).where("text <> ''").distinct()
+    return exposure.shared_terms(claims, ["run"])
 
 
-@register("WITH " + fixture.values("t", "run, row_id, source_kind, source_ref", _SOURCES) + " SELECT * FROM t")
+@register(
+    """WITH r AS (SELECT page_id AS row_id, page_id % 20 AS run, CASE page_id % 5 WHEN 1 THEN '' WHEN 2 THEN url WHEN 3 THEN 'kb/F' || page_id % 12 || '.md#2' WHEN 4 THEN 'https://nowhere/' || page_id END AS u, page_id % 5 = 2 AND page_id % 7 <> 0 AS fetched, url FROM pages),
+k AS (SELECT doc_id % 20 AS run, 'f' || length(coalesce(text, '')) % 12 || '.md' AS source, min(doc_id) AS place FROM documents GROUP BY ALL),
+m AS (SELECT r.run, row_id, arg_min(source, (place, source)) AS file FROM r JOIN k ON r.run = k.run AND (contains(lower(trim(u)), source) OR contains(source, lower(trim(u)))) WHERE u <> '' GROUP BY ALL),
+h AS (SELECT DISTINCT run, url FROM r WHERE fetched), j AS (SELECT r.run, r.row_id, u, file, h.url AS hit FROM r LEFT JOIN m ON m.run = r.run AND m.row_id = r.row_id LEFT JOIN h ON h.run = r.run AND h.url = u)
+SELECT run, row_id, CASE WHEN coalesce(u, '') = '' THEN 'none' WHEN hit IS NOT NULL THEN 'web' WHEN file IS NOT NULL THEN 'kb' ELSE 'unresolved' END AS source_kind, CASE WHEN coalesce(u, '') <> '' THEN coalesce(hit, 'kb:' || file) END AS source_ref FROM j"""
+)
 def claim_attribution(spark, d):
-    """Exact URLs first, then file names by substring either way; the expected rows are written out."""
-    report = fixture.rows(spark, "run string, row_id int, source_url string, norm_url string", _REPORT)
-    return exposure.attribution(report, fixture.rows(spark, "run string, norm_url string", _WEB), fixture.rows(spark, "run string, place int, source string", _KB), ["run"])
+    """Exact URLs first, then file names by substring either way: pages as report rows, some of them fetched, and files named by the length of documents."""
+    n, text_of = F.col("page_id"), lambda c: c.cast("string")
+    pages = table(spark, d, "pages").withColumn("run", n % 20)
+    named = F.when(n % 5 == 1, "").when(n % 5 == 2, F.col("url")).when(n % 5 == 3, F.concat(F.lit("kb/F"), text_of(n % 12), F.lit(".md#2"))).when(n % 5 == 4, F.concat(F.lit("https://nowhere/"), text_of(n)))
+    report = pages.select("run", n.alias("row_id"), named.alias("source_url"), F.when(n % 5 == 2, F.col("url")).alias("norm_url"))
+    web = pages.where((n % 5 == 2) & (n % 7 != 0)).select("run", F.col("url").alias("norm_url"))
+    kb = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("run"), F.col("doc_id").alias("place"), F.concat(F.lit("f"), text_of(F.length(F.coalesce("text", F.lit(""))) % 12), F.lit(".md")).alias("source"))
+    return exposure.attribution(report, web, kb, ["run"])
 
 
 @register(

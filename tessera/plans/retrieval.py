@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion, retrieval
 from ..sources.tables import table
-from . import fixture
 from .catalog import _BM25, _DENSE_ITEMS, _EXPANDED, _FUSED, _TOK, _bm25, _dense_items, _expanded, _fused, _items, _units, register
 
 _PACK = f"""{_EXPANDED},
@@ -94,15 +93,17 @@ def source_contexts(spark, d):
     return retrieval.source_context(_items(spark, d), web, results).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
-_OLD = [(1, 0, "s", "SEED", 1, "a" * 2100, "legacy_kb_v1"), (1, 1, "t", "NEXT", 1, "b", "legacy_kb_v1"), (2, 0, "s", "SEED", 1, "c", "packed_evidence_v1"), *[(3, n, "u", "SEED", n + 1, str(n), "other") for n in range(7)]]
-
-
-@register(fixture.expected("query_id, qualified, length", [(1, False, len("[KB] s\n") + 2000 + 2 + len("[KB] t\nb")), (2, True, len("[KB seed_rank=1 relation=SEED] s\nc")), (3, False, 5 * len("[KB] u\n0") + 4 * 2), (4, None, len("No sources available."))]))
+@register(
+    f"""WITH RECURSIVE {_PACK}, k AS (SELECT query_id, packed_order, query_id % 2 = 1 AS old, CASE WHEN query_id % 2 = 1 THEN '[KB] ' || source || chr(10) || left(coalesce(text, ''), 2000) ELSE '[KB seed_rank=' || seed_rank || ' relation=' || relation || '] ' || source || chr(10) || coalesce(text, '') END AS t FROM pk JOIN documents ON doc_id = unit_id),
+c AS (SELECT query_id, any_value(old) AS old, string_agg(t, chr(10) || chr(10) ORDER BY packed_order) AS t FROM k WHERE NOT old OR packed_order < 5 GROUP BY query_id) SELECT item_id AS query_id, NOT old AS qualified, length(coalesce(t, 'No sources available.')) AS length FROM benchmark LEFT JOIN c ON query_id = item_id"""
+)
 def legacy_contexts(spark, d):
-    results = fixture.rows(spark, "query_id int, packed_order int, source string, relation string, seed_rank int, text string, contract string", _OLD)
-    queries = fixture.rows(spark, "query_id int", [(n,) for n in (1, 2, 3, 4)])
-    none = fixture.rows(spark, "query_id int, place int, url string, content string", [])
-    out = retrieval.source_context(queries, none, results).join(retrieval.is_qualified(results), "query_id", "left")
+    """Packed evidence, that of odd queries under the older contract."""
+    seeds = retrieval.seeds_with_distance(_fused(spark, d), _query_vectors(spark, d), _unit_vectors(spark, d))
+    results = retrieval.kb_results(_packed(spark, d), _units(spark, d), seeds)
+    results = results.withColumn("contract", F.when(F.col("query_id") % 2 == 1, "legacy_kb_v1").otherwise(F.col("contract")))
+    none = table(spark, d, "pages").where("false").select(F.col("page_id").alias("query_id"), F.lit(0).alias("place"), "url", F.col("html").alias("content"))
+    out = retrieval.source_context(_items(spark, d), none, results).join(retrieval.is_qualified(results), "query_id", "left")
     return out.select("query_id", "qualified", F.length("context").alias("length"))
 
 
@@ -123,37 +124,47 @@ def clip_violations(spark, d):
     return retrieval.clip_violations(shown, packed)
 
 
-_LENGTHS, _WINDOWS = [("a", "web", 3000), ("b", "kb", 2500), ("c", "web", 100)], [("a", 1, 0, 100, "q1"), ("a", 2, 1400, 1600, "q1"), ("a", 3, 1550, 1700, "q2"), ("b", 4, 1900, 2000, "q2"), ("b", 5, 2400, 2600, "q3"), ("c", 6, 50, 100, "q3"), ("z", 7, 0, 5, "q4")]
-_SHOWN = [("a", 1, True, True, True, 400), ("a", 2, False, True, True, 400), ("a", 3, False, True, True, 400), ("b", 4, True, True, True, 100), ("b", 5, False, False, False, 100), ("c", 6, True, True, True, 50), ("z", 7, False, False, False, 0)]
+_SHOWN = """src AS (SELECT doc_id AS source_id, CASE WHEN doc_id % 2 = 0 THEN 1500 ELSE 2000 END AS shown, length(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT CASE WHEN source_id % 97 = 5 THEN -1 - source_id ELSE source_id END AS source_id, source_id * 4 + k AS window_id, n * k // 4 AS s, n * k // 4 + n // 3 + k AS e FROM src, (VALUES (0), (1), (2), (3)) v(k)),
+x AS (SELECT w.*, n IS NOT NULL AND s < e AND e <= n AS inside, coalesce(e <= least(n, shown), false) AS first FROM w LEFT JOIN src USING (source_id)),
+m AS (SELECT source_id, sum(greatest(e - greatest(s, before), 0))::BIGINT AS gold_chars FROM (SELECT *, coalesce(max(e) OVER (PARTITION BY source_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x WHERE inside) GROUP BY source_id)"""
 
 
-def _arms(spark):
-    windows = fixture.rows(spark, "source_id string, window_id int, s int, e int, requirement string", _WINDOWS)
-    return retrieval.exposure_arms(fixture.rows(spark, "source_id string, kind string, length int", _LENGTHS), windows.drop("requirement"), {"web": 1500, "kb": 2000}), windows
+def _arms(spark, d):
+    """Four windows to a text, which overlap; some end behind it, some name no source."""
+    n = F.col("doc_id")
+    docs = table(spark, d, "documents").select(n, F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    sources = docs.select(n.alias("source_id"), F.when(n % 2 == 0, "web").otherwise("kb").alias("kind"), F.col("n").alias("length"))
+    k = docs.select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("k")).withColumn("s", F.floor(F.col("n") * F.col("k") / 4))
+    windows = k.select(F.when(n % 97 == 5, -1 - n).otherwise(n).alias("source_id"), (n * 4 + F.col("k")).alias("window_id"), "s", (F.col("s") + F.floor(F.col("n") / 3) + F.col("k")).alias("e"))
+    return retrieval.exposure_arms(sources, windows, {"web": 1500, "kb": 2000})
 
 
-@register(fixture.expected("source_id, window_id, in_prefix, in_whole, in_gold, gold_chars", _SHOWN))
+@register(f"WITH {_SHOWN} SELECT source_id, window_id, first AS in_prefix, inside AS in_whole, inside AS in_gold, coalesce(gold_chars, 0) AS gold_chars FROM x LEFT JOIN m USING (source_id)")
 def exposure_arms(spark, d):
-    return _arms(spark)[0]
+    return _arms(spark, d)
 
 
-@register(fixture.expected("requirement, any_visible, all_visible, windows", [("q1", True, False, 2), ("q2", True, False, 2), ("q3", True, False, 2), ("q4", False, False, 1)]))
+@register(f"WITH {_SHOWN} SELECT window_id // 8 * 4 + window_id % 4 AS requirement, bool_or(first) AS any_visible, bool_and(first) AS all_visible, count(*) AS windows FROM x GROUP BY ALL")
 def requirement_visibility(spark, d):
-    shown, windows = _arms(spark)
-    return retrieval.requirement_visibility(shown.join(windows.select("window_id", "requirement"), "window_id"), "in_prefix")
-
+    return retrieval.requirement_visibility(_arms(spark, d).withColumn("requirement", F.floor(F.col("window_id") / 8) * 4 + F.col("window_id") % 4), "in_prefix")
 
-_GATES = [
-    ("r1", None, 0.05, True, True, "i", "i", True, True, True, "i", "judge", True, "ok", 8), ("r2", "done", 0.05, True, True, "i", "i", True, True, True, "i", "judge", True, "ok", 8), ("r3", None, 0.10, True, True, "i", "i", True, True, True, "i", "judge", True, "ok", 10),
-    ("r4", None, 0.0, True, True, "i", "old", True, True, True, "i", "judge", True, "ok", 7), ("r5", None, 0.0, True, True, "i", "i", True, False, True, "i", "judge", True, "ok", 7), ("r6", None, 0.0, True, True, "i", "i", True, True, True, "i", "fallback", True, "ok", 9),
-    ("r7", None, 0.0, True, True, "i", "i", True, True, True, "i", "judge", True, "ok", 6), ("r8", None, 0.0, True, True, "i", "i", True, True, True, None, None, None, None, None), ("r9", None, 0.0, False, True, "i", "i", True, True, True, "i", "judge", True, "ok", 11),
-]
 
-
-@register(fixture.expected("run_id, verified, reflected, eligible", [("r1", True, True, True), ("r2", False, True, False), ("r3", False, True, False), ("r4", False, True, False), ("r5", False, True, False), ("r6", True, False, False), ("r7", True, False, False), ("r8", True, False, False), ("r9", False, False, False)]))
+@register(
+    """WITH s AS (SELECT doc_id AS run_id, length(coalesce(text, '')) AS n, quality, toxic, doc_id AS k FROM documents LEFT JOIN labels USING (doc_id)),
+g AS (SELECT run_id, coalesce(toxic, 0) = 0 AND n < 10000 AND coalesce(quality, 0) = 1 AND k % 11 <> 0 AND k % 13 <> 0 AND n > 20 AND k % 7 <> 0 AND k % 17 <> 0 AS verified, k % 19 <> 0 AND k % 3 <> 2 AND k % 5 <> 4 AND k % 23 <> 0 AND n % 12 BETWEEN 7 AND 10 AND k % 29 <> 0 AS reflected FROM s)
+SELECT *, verified AND reflected AS eligible FROM g"""
+)
 def gate_eligibility(spark, d):
-    schema = "run_id string, terminal_status string, cost_usd double, draft_valid boolean, inventory_current boolean, identity string, verification_identity string, semantic_ok boolean, material_ok boolean, citation_ok boolean, reflection_identity string, origin string, provider_called boolean, parse_status string, score int"
-    return retrieval.gate_eligible(fixture.rows(spark, schema, _GATES))
+    """Documents as drafts: toxic ones have ended, those of quality are valid, a character costs a hundred-thousandth, the length gives the score."""
+    k, n = F.col("doc_id"), F.length(F.coalesce("text", F.lit("")))
+    name = lambda bad: F.when(k % bad == 0, "old").otherwise(F.md5(k.cast("string").cast("binary")))
+    rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    return retrieval.gate_eligible(rows.select(
+        k.alias("run_id"), F.when(F.col("toxic") == 1, "done").alias("terminal_status"), (n / 100000).alias("cost_usd"), (F.col("quality") == 1).alias("draft_valid"), (k % 11 != 0).alias("inventory_current"), F.md5(k.cast("string").cast("binary")).alias("identity"),
+        name(13).alias("verification_identity"), (n > 20).alias("semantic_ok"), (k % 7 != 0).alias("material_ok"), (k % 17 != 0).alias("citation_ok"), name(19).alias("reflection_identity"), F.when(k % 3 == 2, "fallback").otherwise("judge").alias("origin"),
+        (k % 5 != 4).alias("provider_called"), F.when(k % 23 != 0, "ok").alias("parse_status"), F.when(k % 29 != 0, n % 12).alias("score"),
+    ))
 
 
 @register("WITH r AS (SELECT user_id, CASE WHEN user_id % 6 = 0 THEN 'parse_failed' WHEN user_id % 6 = 1 THEN NULL ELSE 'completed' END AS status, count(*) - 90 AS n0, count(*) FILTER (event_type = 'error') / count(*) AS u FROM events GROUP BY user_id), s AS (SELECT user_id, status, greatest(n0, 0) AS n, CASE WHEN user_id % 7 <> 0 THEN round(u, 9) END AS u FROM r) SELECT user_id, CASE WHEN status IS DISTINCT FROM 'completed' THEN 'status_not_completed' WHEN n = 0 THEN 'empty_report' WHEN u IS NULL THEN 'uvr_undefined' WHEN u > 0.15 THEN 'uvr_above_threshold' ELSE 'accepted' END AS reason FROM s")
@@ -164,13 +175,16 @@ def runtime_acceptance(spark, d):
     return r.select("user_id", retrieval.runtime_acceptance(status, F.col("n"), F.when(u % 7 != 0, F.col("u"))).alias("reason"))
 
 
-_USAGE = [(1, 10, 3, 4), (2, None, 3, 4), (3, -1, 3, 4), (4, None, None, 4), (5, 0, None, None), (6, None, -3, 4)]
-
-
-@register(fixture.expected("id, tokens, basis", [(1, 10, "provider"), (2, 7, "component_sum"), (3, None, "invalid"), (4, None, "incomplete"), (5, 0, "provider"), (6, None, "incomplete")]))
+@register(
+    """WITH c AS (SELECT conv_id AS id, sum(length(coalesce(text, ''))) FILTER (role = 'user') AS p, sum(length(coalesce(text, ''))) FILTER (role = 'assistant') AS c FROM conversations GROUP BY conv_id), t AS (SELECT *, CASE id % 3 WHEN 1 THEN p WHEN 2 THEN p - 500 END AS t FROM c)
+SELECT id, CASE WHEN t >= 0 THEN t WHEN t IS NULL THEN p + c END::BIGINT AS tokens, CASE WHEN t < 0 THEN 'invalid' WHEN t >= 0 THEN 'provider' WHEN p + c IS NULL THEN 'incomplete' ELSE 'component_sum' END AS basis FROM t"""
+)
 def token_totals(spark, d):
-    t = fixture.rows(spark, "id int, total int, prompt int, completion int", _USAGE)
-    return t.select("id", retrieval.total_tokens(F.col("total"), F.col("prompt"), F.col("completion")).alias("x")).select("id", "x.*")
+    """Characters of a conversation's user and assistant as parts; some totals are missing or below zero."""
+    size = lambda role: F.sum(F.when(F.col("role") == role, F.length(F.coalesce("text", F.lit("")))))
+    t = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(size("user").alias("p"), size("assistant").alias("c"))
+    total = F.when(F.col("id") % 3 == 1, F.col("p")).when(F.col("id") % 3 == 2, F.col("p") - 500)
+    return t.select("id", retrieval.total_tokens(total, F.col("p"), F.col("c")).alias("x")).select("id", "x.*")
 
 
 @register("SELECT count(*) AS cells, round(sum(length(coalesce(text, '')) * 0.27 / 1000000 + 500 * 1.10 / 1000000), 8) AS upper_usd, sum(length(coalesce(text, '')) * 0.27 / 1000000 + 500 * 1.10 / 1000000) <= 1.0 AS allowed FROM documents")
@@ -207,15 +221,19 @@ def structural_checks(spark, d):
     return table(spark, d, "documents").select("doc_id", retrieval.structural_check(wanted, F.col("text")).alias("stands"))
 
 
-_CITED, _BEST = [("a", 5, "web", "u2"), ("a", 1, "kb", "f1"), ("a", 9, "kb", "f1")], [("b", "u1", 0.2), ("b", "u2", 0.9), ("b", "u3", None), ("b", "u4", 0.5), ("a", "u9", 1.0)]
-
-
-@register(fixture.expected("run_id, number, kind, label", [("a", 1, "kb", "f1"), ("a", 2, "web", "u2"), ("b", 1, "web", "u2"), ("b", 2, "web", "u4"), ("b", 3, "web", "u1"), ("c", 1, "kb", "f3"), ("c", 2, "kb", "f1")]))
+@register(
+    """WITH own AS (SELECT user_id, kind, label, row_number() OVER (PARTITION BY user_id ORDER BY place, kind, label) AS number FROM (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'kb' ELSE 'web' END AS kind, 'k' || event_id % 7 AS label, min(event_id) AS place FROM events WHERE event_type = 'purchase' AND user_id % 3 = 0 GROUP BY ALL)),
+web AS (SELECT user_id, 'web' AS kind, label, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, label) AS number FROM (SELECT user_id, props AS label, max(CASE WHEN event_id % 5 = 0 THEN 0 ELSE value END) AS score FROM events WHERE event_type = 'click' AND user_id % 3 <> 2 GROUP BY ALL) WHERE user_id NOT IN (SELECT user_id FROM own)),
+kb AS (SELECT user_id, 'kb' AS kind, label, row_number() OVER (PARTITION BY user_id ORDER BY place, label) AS number FROM (SELECT user_id, 'f' || event_id % 9 AS label, min(event_id) AS place FROM events WHERE event_type = 'view' GROUP BY ALL) WHERE user_id NOT IN (SELECT user_id FROM own UNION ALL SELECT user_id FROM web))
+SELECT user_id AS run_id, number, kind, label FROM own UNION ALL SELECT user_id, number, kind, label FROM web WHERE number <= 3 UNION ALL SELECT user_id, number, kind, label FROM kb WHERE number <= 3"""
+)
 def bibliographies(spark, d):
-    return retrieval.bibliography(
-        fixture.rows(spark, "run_id string, place int, kind string, label string", _CITED), fixture.rows(spark, "run_id string, url string, score double", _BEST),
-        fixture.rows(spark, "run_id string, place int, source string", [("c", 0, "f3"), ("c", 1, "f1"), ("c", 2, "f3"), ("b", 0, "f1")]), fixture.rows(spark, "run_id string", [("a",), ("b",), ("c",), ("d",)]),
-    )
+    """Users as runs: every third cites what it purchased, of the others one half found pages by clicks, the rest have views alone."""
+    n, run, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    e = table(spark, d, "events").withColumn("run_id", run)
+    cited = e.where((kind == "purchase") & (run % 3 == 0)).select("run_id", n.alias("place"), F.when(n % 2 == 0, "kb").otherwise("web").alias("kind"), F.concat(F.lit("k"), (n % 7).cast("string")).alias("label"))
+    web = e.where((kind == "click") & (run % 3 != 2)).select("run_id", F.col("props").alias("url"), F.when(n % 5 != 0, F.col("value")).alias("score"))
+    return retrieval.bibliography(cited, web, e.where(kind == "view").select("run_id", n.alias("place"), F.concat(F.lit("f"), (n % 9).cast("string")).alias("source")), e.select("run_id"))
 
 
 @register("WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), s AS (SELECT *, 2 AS a, 3 AS b FROM l) SELECT doc_id, CASE WHEN len(ls) >= 3 THEN length(ls[1]) + 1 END AS start, CASE WHEN len(ls) >= 3 THEN length(ls[1]) + 1 + length(regexp_replace(ls[2] || chr(10) || ls[3], '[\\r\\n]+$', '')) END AS \"end\" FROM s")

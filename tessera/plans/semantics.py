@@ -8,55 +8,76 @@ from ..functions import jsontext, urls
 from ..operators import semantics
 from ..sources import index
 from ..sources.tables import table
-from . import fixture
 from .catalog import _TOK, register
 
-_RAW = [
-    (1, '[{"a": 1}, 2]', ['{"a": 1}', "2"]), (2, '```json\n["x"]\n```', ['"x"']), (3, 'Here: [1, 2] as asked.', ["1", "2"]), (4, '{"a": 1}', None), (5, "no array", None), (6, "[1, 2", None), (7, "", None), (8, None, None), (9, "[]", []),
-    (10, '```\n[true]\n``` trailing', ["true"]),
-]
+_J = """r AS (SELECT event_id, event_type, user_id, props, '[' || props || ', ' || event_id || ']' AS list FROM events)"""
 
 
-@register(fixture.expected("id, items", [(i, None if x is None else "|".join(x)) for i, _, x in _RAW]))
+@register(f"WITH {_J} SELECT event_id, CASE WHEN event_id % 9 < 3 THEN props || '|' || event_id WHEN event_id % 9 = 6 THEN '' WHEN event_id % 9 = 7 THEN '\"' || event_type || '\"' END AS items FROM r")
 def json_arrays(spark, d):
-    raw = fixture.rows(spark, "id int, raw string", [(i, r) for i, r, _ in _RAW])
-    return raw.select("id", F.array_join(jsontext.json_array("raw"), "|").alias("items"))
-
-
-_GOOD = '{"claim_id":"c","support_quotes":[{"evidence_id":"E1","quote":"q"}],"full_entailment":true,"blockers":[]}'
-_ANSWERS = [
-    (1, f'{{"observations":[{_GOOD}]}}', None), (2, " ", "empty_response"), (3, '```{"observations":[]}```', "markdown_fence_rejected"), (4, '{"observations":[],"observations":[]}', "duplicate_json_keys"), (5, '{"observations":[]} thanks', "trailing_prose"),
-    (6, '{"observations":[', "malformed_json"), (7, "[]", "top_level_not_object"), (8, '{"observations":[],"note":1}', "unknown_top_level_field"), (9, "{}", "missing_observations"), (10, '{"observations":{}}', "observations_not_array"),
-    (11, '{"observations":[null]}', "observation_0_null"), (12, '{"observations":[3]}', "observation_0_not_object"), (13, '{"observations":[' + _GOOD.replace('"c"', "null") + "]}", "observation_0_null_claim_id"),
-    (14, '{"observations":[' + _GOOD.replace('"blockers":[]', '"blockers":[],"x":1') + "]}", "observation_0_unknown_field"), (15, '{"observations":[' + _GOOD.replace(',"blockers":[]', "") + "]}", "observation_0_missing_blockers"),
-    (16, '{"observations":[' + _GOOD.replace('"q"', '""') + "]}", "observation_0_support_quotes_0_empty_quote"), (17, '{"observations":[' + _GOOD.replace("true", '"yes"') + "]}", "observation_0_invalid_full_entailment"), (18, '{"observations":[]}', None),
+    """Arrays of an event's properties and id: plain, fenced, within prose, cut off, empty, behind a fence, or none."""
+    n, lit = F.col("event_id"), F.lit
+    whole = F.concat(lit("["), "props", lit(", "), n.cast("string"), lit("]"))
+    forms = [
+        whole, F.concat(lit("```json\n"), whole, lit("\n```")), F.concat(lit("Here: "), whole, lit(" as asked.")), F.col("props"), F.concat(lit("["), n.cast("string"), lit(", 2")), lit(""),
+        lit("[]"), F.concat(lit('```\n["'), "event_type", lit('"]\n``` trailing')), lit(None).cast("string"),
+    ]
+    raw = table(spark, d, "events").select("event_id", F.get(F.array(*forms), (n % 9).cast("int")).alias("raw"))
+    return raw.select("event_id", F.array_join(jsontext.json_array("raw"), "|").alias("items"))
+
+
+#: How a right observation is spoiled, and the error behind its number; a repeated key is met while reading.
+_SPOILT = [
+    ("", "", None), ('"claim_id":"', '"claim_id":null,"_":"', "_unknown_field"), (',"blockers":[]', "", "_missing_blockers"), ('"full_entailment":true', '"full_entailment":"yes"', "_invalid_full_entailment"), ('"full_entailment":true', '"full_entailment":null', "_null_full_entailment"),
+    ('"blockers":[]', '"blockers":[],"claim_id":"d"', None), ('"quote":"', '"quote":1,"_q":"', "_support_quotes_0_unknown_field"), ('"support_quotes":[', '"support_quotes":[{"evidence_id":"E","quote":""},', "_support_quotes_0_empty_quote"), ('"evidence_id":"E', '"evidence_id":7,"_e":"', "_support_quotes_0_unknown_field"),
+    ('"support_quotes":[{', '"support_quotes":[[],{', "_support_quotes_0_not_object"),
 ]
+_WRAPPED = [("", ""), ("```", "```"), ("", " thanks"), ("[", "]"), ("{", ""), ("", ""), ("", "")]
 
 
-@register(fixture.expected("id, error", [(i, e) for i, _, e in _ANSWERS]))
+@register(
+    "SELECT event_id, CASE WHEN event_id % 7 = 1 THEN 'markdown_fence_rejected' WHEN event_id % 7 = 4 THEN 'malformed_json' WHEN event_id % 10 = 5 THEN 'duplicate_json_keys' WHEN event_id % 7 = 2 THEN 'trailing_prose' WHEN event_id % 7 = 3 THEN 'top_level_not_object' "
+    + " ".join(f"WHEN event_id % 10 = {n} THEN 'observation_' || event_id % 3 || '{e}'" for n, (_, _, e) in enumerate(_SPOILT) if e) + " END AS error FROM events"
+)
 def answer_errors(spark, d):
-    return fixture.rows(spark, "id int, raw string", [(i, r) for i, r, _ in _ANSWERS]).select("id", jsontext.strict_answer_error("raw").alias("error"))
+    """Answers of up to three observations made of events, the last one, the whole or both spoiled."""
+    n, lit = F.col("event_id"), F.lit
+    good = F.concat(lit('{"claim_id":"c'), n.cast("string"), lit('","support_quotes":[{"evidence_id":"E'), F.col("user_id").cast("string"), lit('","quote":"'), "event_type", lit('"}],"full_entailment":true,"blockers":[]}'))
+    last = good
+    for k, (old, new, _) in enumerate(_SPOILT):
+        last = last if not old else F.when(n % 10 == k, F.replace(good, lit(old), lit(new))).otherwise(last)
+    answer = F.concat(lit('{"observations":['), F.array_join(F.concat(F.array_repeat(good, (n % 3).cast("int")), F.array(last)), ","), lit("]}"))
+    wrap = lambda side: F.get(F.array(*[lit(w[side]) for w in _WRAPPED]), (n % 7).cast("int"))
+    return table(spark, d, "events").select("event_id", jsontext.strict_answer_error(F.concat(wrap(0), answer, wrap(1))).alias("error"))
 
 
 _SCHEMA = {
     "type": "object", "additionalProperties": False, "required": ["id", "tags"],
     "properties": {
-        "id": {"$ref": "#/$defs/name"}, "n": {"type": "integer", "minimum": 1}, "tags": {"type": "array", "minItems": 1, "maxItems": 2, "uniqueItems": True, "items": {"type": "string", "minLength": 2}},
+        "id": {"$ref": "#/$defs/name"}, "n": {"type": "integer", "minimum": 1}, "tags": {"type": "array", "minItems": 1, "maxItems": 2, "uniqueItems": True, "items": {"type": "string", "minLength": 5}},
         "kind": {"enum": ["a", "b"]}, "version": {"const": 2}, "pair": {"type": "array", "prefixItems": [{"type": "integer"}, {"type": "string"}], "items": False}, "note": {"anyOf": [{"type": "null"}, {"type": "string"}]},
     },
     "$defs": {"name": {"type": "string", "pattern": "[a-z]+"}},
 }
-_PACKS = [
-    (1, '{"id":"ab","tags":["xx"],"n":1,"kind":"a","version":2,"pair":[1,"x"],"note":null}', None), (2, '{"id":"aB","tags":["xx"]}', "$.id pattern"), (3, '{"id":"ab"}', "$ required"), (4, '{"id":"ab","tags":["xx"],"z":1}', "$ additionalProperties"),
-    (5, '{"id":"ab","tags":[]}', "$.tags minItems"), (6, '{"id":"ab","tags":["xx","yy","zz"]}', "$.tags maxItems"), (7, '{"id":"ab","tags":["xx","xx"]}', "$.tags uniqueItems"), (8, '{"id":"ab","tags":["x"]}', "$.tags[0] minLength"),
-    (9, '{"id":"ab","tags":["xx"],"n":true}', "$.n type"), (10, '{"id":"ab","tags":["xx"],"n":0}', "$.n minimum"), (11, '{"id":"ab","tags":["xx"],"kind":"c"}', "$.kind enum"), (12, '{"id":"ab","tags":["xx"],"version":3}', "$.version const"),
-    (13, '{"id":"ab","tags":["xx"],"pair":[1,"x",2]}', "$.pair maxItems"), (14, '{"id":"ab","tags":["xx"],"pair":["x",1]}', "$.pair[0] type"), (15, '{"id":"ab","tags":["xx"],"note":1}', "$.note anyOf"), (16, "[]", "$ type"), (17, "{", "not json"), (18, '{"id":1,"tags":["xx"]}', "$.id type"),
-]
 
 
-@register(fixture.expected("id, error", [(i, e) for i, _, e in _PACKS]))
+@register(
+    """SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'not json' WHEN event_id % 11 = 0 THEN '$ additionalProperties' WHEN event_id % 13 = 0 THEN '$ required' WHEN user_id % 7 = 0 THEN '$.id pattern' WHEN user_id % 5 = 2 THEN '$.kind enum' WHEN event_id % 29 = 0 THEN '$.n type'
+  WHEN floor(value) % 6 = 0 THEN '$.n minimum' WHEN event_id % 19 = 1 THEN '$.note anyOf' WHEN event_id % 17 = 0 THEN '$.pair maxItems' WHEN event_id % 17 = 1 THEN '$.pair[0] type' WHEN event_id % 4 = 0 THEN '$.tags minItems' WHEN event_id % 4 = 3 THEN '$.tags maxItems'
+  WHEN event_id % 4 = 2 AND event_id % 3 = 0 THEN '$.tags uniqueItems' WHEN event_type = 'view' THEN '$.tags[0] minLength' WHEN event_id % 31 = 0 THEN '$.version const' END AS error FROM events"""
+)
 def schema_errors(spark, d):
-    return fixture.rows(spark, "id int, raw string", [(i, r) for i, r, _ in _PACKS]).select("id", jsontext.schema_check(F.col("raw"), _SCHEMA).alias("error"))
+    """Packs made of events; several rules may be broken, and the first in the order of names counts."""
+    n, lit = F.col("event_id"), F.lit
+    quoted = lambda c: F.concat(lit('"'), c, lit('"'))
+    tags = F.get(F.array(F.array().cast("array<string>"), F.array("event_type"), F.array(F.col("event_type"), F.when(n % 3 == 0, F.col("event_type")).otherwise("another")), F.array_repeat("event_type", 3)), (n % 4).cast("int"))
+    fields = [
+        F.concat(lit('"id":'), quoted(F.when(F.col("user_id") % 7 == 0, F.upper("event_type")).otherwise(F.col("event_type")))), F.when(n % 13 != 0, F.concat(lit('"tags":['), F.array_join(F.transform(tags, quoted), ","), lit("]"))),
+        F.concat(lit('"n":'), F.when(n % 29 == 0, "true").otherwise((F.floor("value") % 6).cast("string"))), F.concat(lit('"kind":'), F.when(F.col("user_id") % 5 == 2, '"c"').otherwise('"b"')), F.when(n % 11 == 0, lit('"z":1')),
+        F.concat(lit('"note":'), F.when(n % 19 == 1, "1").when(n % 2 == 0, "null").otherwise('"said"')), F.concat(lit('"pair":'), F.when(n % 17 == 0, '[1,"x",2]').when(n % 17 == 1, '["x",1]').otherwise('[1,"x"]')), F.concat(lit('"version":'), F.when(n % 31 == 0, "3").otherwise("2")),
+    ]
+    raw = F.concat(F.when(n % 23 == 0, "").otherwise("{"), F.array_join(F.array_compact(F.array(*fields)), ","), lit("}"))
+    return table(spark, d, "events").select("event_id", jsontext.schema_check(raw, _SCHEMA).alias("error"))
 
 
 def _forms() -> dict:
@@ -85,46 +106,68 @@ def citation_urls(spark, d):
     return forms.select("page_id", "f.form", urls.normalize(F.col("f.url")).alias("norm_url"))
 
 
-_G = [("f1", "g1", True, "verified"), ("f1", "g2", True, "weak"), ("f1", "g3", True, "verified"), ("f1", "g4", False, "unverified"), ("f1", "g5", True, "verified"), ("f1", "g6", True, "verified"), ("f2", "g1", True, "verified"), ("f3", "g1", False, "verified")]
-_M = [("f1", "g1", "c1"), ("f1", "g2", "c2"), ("f1", "g3", "c3"), ("f1", "g5", "c5"), ("f2", "g1", "c1")]
-_C = [("f1", "c1", "exact", "verified"), ("f1", "c2", "exact", "verified"), ("f1", "c3", "fragment", "verified"), ("f1", "c5", "exact", "weak"), ("f2", "c1", "exact", "verified")]
-_B = [("f1", "g1", "c1", True, True), ("f1", "g2", "c2", True, True), ("f1", "g3", "c3", True, True), ("f1", "g5", "c5", True, True), ("f2", "g1", "c1", True, True)]
+_GOLDS = """g AS (SELECT doc_id, source AS fixture, lang <> 'es' AS material, CASE WHEN quality = 0 THEN 'unverified' WHEN toxic = 1 THEN 'weak' ELSE 'verified' END AS gold_status, length(coalesce(text, '')) AS n,
+  CASE WHEN doc_id % 7 <> 3 THEN doc_id END AS candidate_id, CASE WHEN length(coalesce(text, '')) % 4 = 0 THEN 'weak' ELSE 'verified' END AS predicted, CASE doc_id % 10 WHEN 0 THEN 'compound' WHEN 1 THEN 'fragment' ELSE 'exact' END AS role FROM labels JOIN documents USING (doc_id))"""
+_OPEN = """u AS (SELECT fixture, doc_id AS gold_id, gold_status, candidate_id, CASE WHEN candidate_id IS NOT NULL THEN predicted END AS predicted_status, candidate_id IS NOT NULL AND role = 'exact' AS recalled,
+  NOT (candidate_id IS NOT NULL AND role = 'exact' AND gold_status = 'verified' AND predicted = 'verified' AND doc_id % 11 <> 4 AND doc_id % 13 <> 5 AND n > 40 AND doc_id % 9 <> 2) AS unresolved FROM g WHERE material)"""
+
 
+def _golds(spark, d):
+    n, size = F.col("doc_id"), F.length(F.coalesce("text", F.lit("")))
+    status = F.when(F.col("quality") == 0, "unverified").when(F.col("toxic") == 1, "weak").otherwise("verified")
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    role = F.when(n % 10 == 0, "compound").when(n % 10 == 1, "fragment").otherwise("exact")
+    return rows.select("doc_id", F.col("source").alias("fixture"), (F.col("lang") != "es").alias("material"), status.alias("gold_status"), size.alias("n"), F.when(size % 4 == 0, "weak").otherwise("verified").alias("predicted_status"), role.alias("role"), "text")
 
-def _unresolved(spark):
+
+def _unresolved(spark, d):
+    """Labelled documents as golds, found as candidates but for some; bindings that are not there, name another candidate, or are invalid."""
+    g, n = _golds(spark, d).withColumn("gold_id", F.col("doc_id")), F.col("doc_id")
+    bound = F.when(n % 13 == 5, n + 1).otherwise(n)
     return semantics.unresolved_gold(
-        fixture.rows(spark, "fixture string, gold_id string, material boolean, gold_status string", _G), fixture.rows(spark, "fixture string, gold_id string, candidate_id string", _M),
-        fixture.rows(spark, "fixture string, candidate_id string, role string, predicted_status string", _C), fixture.rows(spark, "fixture string, gold_id string, candidate_id string, valid boolean, fully_entailed boolean", _B),
+        g.select("fixture", "gold_id", "material", "gold_status"), g.where(n % 7 != 3).select("fixture", "gold_id", n.alias("candidate_id")), g.select("fixture", n.alias("candidate_id"), "role", "predicted_status"),
+        g.where(n % 11 != 4).select("fixture", "gold_id", bound.alias("candidate_id"), (F.col("n") > 40).alias("valid"), (n % 9 != 2).alias("fully_entailed")),
     )
 
 
-@register(fixture.expected("fixture, gold_id, gold_status, candidate_id, predicted_status, recalled, unresolved", [("f1", "g1", "verified", "c1", "verified", True, False), ("f1", "g2", "weak", "c2", "verified", True, True), ("f1", "g3", "verified", "c3", "verified", False, True), ("f1", "g5", "verified", "c5", "weak", True, True), ("f1", "g6", "verified", None, None, False, True), ("f2", "g1", "verified", "c1", "verified", True, False)]))
+@register(f"WITH {_GOLDS}, {_OPEN} SELECT * FROM u")
 def unresolved_golds(spark, d):
-    return _unresolved(spark)
+    return _unresolved(spark, d)
 
 
-@register(fixture.expected("fixture, material_golds, material_claim_recall, material_unresolved_rate, material_false_verification_rate, semantic_pass", [("f1", 5, 0.6, 0.8, 1.0, False), ("f2", 1, 1.0, 0.0, None, True)]))
+@register(
+    f"""WITH {_GOLDS}, {_OPEN}, c AS (SELECT fixture, count(*) AS material_golds, count(*) FILTER (recalled) AS r, count(*) FILTER (unresolved) AS o, count(*) FILTER (gold_status <> 'verified') AS neg, count(*) FILTER (gold_status <> 'verified' AND predicted_status = 'verified') AS f FROM u GROUP BY fixture)
+SELECT fixture, material_golds, round(r / material_golds, 8) AS material_claim_recall, round(o / material_golds, 8) AS material_unresolved_rate, round(f / nullif(neg, 0), 8) AS material_false_verification_rate, o = 0 AS semantic_pass FROM c"""
+)
 def gold_metrics(spark, d):
-    return semantics.gold_metrics(_unresolved(spark), ["fixture"])
+    return semantics.gold_metrics(_unresolved(spark, d), ["fixture"])
 
 
-_ATOMS = [
-    ("f1", "a1", True, "verified", "p1", "verified", "a1", True, True, "E1"), ("f1", "a2", True, "weak", "p2", "verified", "a2", True, True, "E1"), ("f1", "a3", True, "verified", None, "verified", "a3", True, True, "E1"), ("f1", "a4", True, "verified", "p4", "weak", "a4", True, True, "E1"),
-    ("f1", "a5", True, "verified", "p5", "verified", None, None, None, None), ("f1", "a6", True, "verified", "p6", "verified", "a9", True, True, "E1"), ("f1", "a7", True, "verified", "p7", "verified", "a7", True, False, "E1"), ("f1", "a8", True, "verified", "p8", "verified", "a8", True, True, ""), ("f1", "a9", False, "weak", None, None, None, None, None, None),
-]
-_CASES = [("f1", True, "weak", "verified"), ("f1", True, "unverified", "weak"), ("f1", True, "verified", "verified"), ("f1", False, "weak", "verified"), ("f2", True, "verified", "verified")]
+_FINAL = f"""{_GOLDS}, a AS (SELECT *, material AND NOT coalesce(gold_status = 'verified' AND doc_id % 17 > 1 AND predicted = 'verified' AND doc_id % 13 <> 5 AND n > 40 AND doc_id % 9 <> 2 AND doc_id % 8 <> 6, false) AS unresolved FROM g)"""
+
+
+def _atoms(spark, d):
+    n, name = F.col("doc_id"), lambda n: F.concat(F.lit("a"), n.cast("string"))
+    return _golds(spark, d).select(
+        "fixture", name(n).alias("atom_id"), "material", F.col("gold_status").alias("label"), F.when(n % 17 == 0, "").when(n % 17 != 1, F.concat(F.lit("p"), n.cast("string"))).alias("prediction_id"), "predicted_status",
+        name(F.when(n % 13 == 5, n + 1).otherwise(n)).alias("bound_to"), (F.col("n") > 40).alias("valid"), F.when(n % 9 != 2, F.lit(True)).alias("fully_entailed"), F.when(n % 8 == 6, "").otherwise(F.col("fixture")).alias("evidence_id"),
+    )
 
 
-@register(fixture.expected("fixture, atom_id, unresolved", [("f1", f"a{n}", n not in (1, 9)) for n in range(1, 10)]))
+@register(f"WITH {_FINAL} SELECT fixture, 'a' || doc_id AS atom_id, unresolved FROM a")
 def final_unresolved(spark, d):
-    atoms = fixture.rows(spark, "fixture string, atom_id string, material boolean, label string, prediction_id string, predicted_status string, bound_to string, valid boolean, fully_entailed boolean, evidence_id string", _ATOMS)
-    return semantics.final_unresolved(atoms).select("fixture", "atom_id", "unresolved")
+    """Labelled documents as final claims, of whose bindings parts are missing or wrong."""
+    return semantics.final_unresolved(_atoms(spark, d)).select("fixture", "atom_id", "unresolved")
 
 
-@register(fixture.expected("fixture, final_unresolved_rate, false_verification_rate", [("f1", 0.875, 0.5), ("f2", None, None)]))
+@register(
+    f"""WITH {_FINAL}, x AS (SELECT fixture, round(count(*) FILTER (unresolved) / nullif(count(*) FILTER (material), 0), 8) AS final_unresolved_rate FROM a GROUP BY fixture),
+c AS (SELECT fixture, round(count(*) FILTER (material AND gold_status <> 'verified' AND predicted = 'verified') / nullif(count(*) FILTER (material AND gold_status <> 'verified'), 0), 8) AS false_verification_rate FROM g WHERE n % 5 <> 0 GROUP BY fixture)
+SELECT coalesce(x.fixture, c.fixture) AS fixture, final_unresolved_rate, false_verification_rate FROM x FULL JOIN c ON x.fixture = c.fixture"""
+)
 def final_metrics(spark, d):
-    atoms = fixture.rows(spark, "fixture string, atom_id string, material boolean, label string, prediction_id string, predicted_status string, bound_to string, valid boolean, fully_entailed boolean, evidence_id string", _ATOMS)
-    return semantics.final_metrics(atoms, fixture.rows(spark, "fixture string, material boolean, label string, predicted_status string", _CASES), ["fixture"])
+    cases = _golds(spark, d).where("n % 5 <> 0").select("fixture", "material", F.col("gold_status").alias("label"), "predicted_status")
+    return semantics.final_metrics(_atoms(spark, d), cases, ["fixture"])
 
 
 @register("WITH r AS (SELECT source, CASE WHEN quality = 0 THEN 'unverified' ELSE 'verified' END AS status FROM labels JOIN documents USING (doc_id)) SELECT source, count(*) FILTER (status = 'unverified') AS numerator, count(*) AS denominator, count(*) FILTER (status = 'unverified') / count(*) AS value FROM r GROUP BY source")
@@ -133,22 +176,18 @@ def unverified_rates(spark, d):
     return semantics.unverified_rate(rows, ["source"])
 
 
-_FOUND = [("r", "c1", "a", "exact"), ("r", "c2", "a", "exact"), ("r", "c3", "b", "compound"), ("r", "c4", "c", "fragment"), ("s", "c1", "x", "exact")]
-_WANTED = [("r", "g1", True, True), ("r", "g2", True, True), ("r", "g3", False, True), ("r", "g4", False, False), ("t", "g1", True, False)]
-_PAIRS = [("r", "c1", "g1"), ("r", "c3", "g3")]
-
-
 @register(
-    fixture.expected(
-        "run, material_recall, factual_recall, tp, duplicate_rate, atomicity, fragments, precision, f1",
-        [("r", 0.5, 0.66666667, 2, 0.25, 0.75, 1, 0.5, 0.5), ("s", None, None, 0, 0.0, 1.0, 0, 0.0, 0.0), ("t", 0.0, None, 0, None, None, 0, None, 0.0)],
-    )
+    f"""WITH {_GOLDS}, t AS (SELECT g.*, md5(coalesce(text, '')) AS h, doc_id % 3 <> 1 AS found, doc_id % 3 <> 2 AS wanted, n > 100 AS factual FROM g JOIN documents USING (doc_id)),
+c AS (SELECT fixture AS run, count(*) FILTER (wanted) AS w, count(*) FILTER (found) AS f, count(*) FILTER (found AND wanted) AS tp, count(*) FILTER (wanted AND material) AS m, count(*) FILTER (wanted AND found AND material) AS mm, count(*) FILTER (wanted AND factual) AS k, count(*) FILTER (wanted AND found AND factual) AS mk,
+  count(DISTINCT h) FILTER (found) AS u, count(*) FILTER (found AND role = 'compound') AS joined, count(*) FILTER (found AND role = 'fragment') AS fragments FROM t GROUP BY fixture HAVING bool_or(found OR wanted))
+SELECT run, round(mm / nullif(m, 0), 8) AS material_recall, round(mk / nullif(k, 0), 8) AS factual_recall, tp, round((f - u) / nullif(f, 0), 8) AS duplicate_rate, round((f - joined) / nullif(f, 0), 8) AS atomicity, fragments, round(tp / nullif(f, 0), 8) AS precision, round(2 * tp / nullif(f + w, 0), 8) AS f1 FROM c"""
 )
 def extraction_metrics(spark, d):
-    return semantics.extraction_metrics(
-        fixture.rows(spark, "run string, candidate_id string, canonical string, role string", _FOUND), fixture.rows(spark, "run string, gold_id string, material boolean, factual boolean", _WANTED),
-        fixture.rows(spark, "run string, candidate_id string, gold_id string", _PAIRS), ["run"],
-    )
+    """Labelled documents by source: two of three found, two of three wanted."""
+    g, n = _golds(spark, d).withColumnRenamed("fixture", "run"), F.col("doc_id")
+    found = g.where(n % 3 != 1).select("run", n.alias("candidate_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("canonical"), "role")
+    wanted = g.where(n % 3 != 2).select("run", n.alias("gold_id"), "material", (F.col("n") > 100).alias("factual"))
+    return semantics.extraction_metrics(found, wanted, g.where(n % 3 == 0).select("run", n.alias("candidate_id"), n.alias("gold_id")), ["run"])
 
 
 @register("WITH a AS (SELECT DISTINCT source, text FROM documents WHERE doc_id % 3 <> 1 AND text IS NOT NULL), b AS (SELECT DISTINCT source, text FROM documents WHERE doc_id % 3 <> 2 AND text IS NOT NULL), j AS (SELECT coalesce(a.source, b.source) AS source, a.text AS f, b.text AS w FROM a FULL JOIN b ON a.source = b.source AND a.text = b.text) SELECT source, count(*) FILTER (f IS NOT NULL AND w IS NOT NULL) AS tp, count(*) FILTER (f IS NULL) AS fn, count(*) FILTER (w IS NULL) AS fp, round(count(*) FILTER (f IS NOT NULL AND w IS NOT NULL) / nullif(count(w), 0), 8) AS recall FROM j GROUP BY source")

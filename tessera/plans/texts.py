@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..functions.arrays import places
 from ..operators import claims, evidence, fusion, policy
 from ..sources import store
 from ..sources.tables import table
-from . import fixture
 from .catalog import _EXPANDED, _expanded, register
 
 @register("WITH c AS (SELECT conv_id AS doc_id, role || turn % 3 AS evidence_id, min(turn) AS place FROM conversations GROUP BY ALL) SELECT doc_id, evidence_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, evidence_id) AS number FROM c")
@@ -30,12 +30,17 @@ def content_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", text.identity("unit", F.struct("lang", F.col("doc_id").alias("n"), "source")).alias("id"))
 
 
-_INVENTORY = [("a", "bound", [3, 9]), ("b", "ANCHOR_FAILED", []), ("c", "ANCHOR_AMBIGUOUS", [1, 2]), ("d", "bound_multiple", [5, 7])]
-
-
-@register(fixture.expected("claim_id, start, critical", [("a", 3, False), ("b", None, True), ("c", 1, True), ("d", 5, False)]))
+@register(
+    """WITH n AS (SELECT doc_id, strpos(text, 'th') - 1 AS first, (length(text) - length(replace(text, 'th', ''))) // 2 AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id AS claim_id, CASE WHEN n > 0 THEN first END AS start, n = 0 OR n > 1 AND doc_id % 2 = 1 AS critical FROM n"""
+)
 def claim_rosters(spark, d):
-    inventory = fixture.rows(spark, "claim_id string, validity string, starts array<int>", _INVENTORY)
+    """A claim of two letters bound to every place in its text; several places are ambiguous in odd documents."""
+    starts = F.transform(places(F.col("text"), "th"), lambda x: x["start"])
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("claim_id"), starts.alias("starts"))
+    n = F.size("starts")
+    validity = F.when(n == 0, "ANCHOR_FAILED").when(n == 1, "bound").when(F.col("claim_id") % 2 == 1, "ANCHOR_AMBIGUOUS").otherwise("bound_multiple")
+    inventory = docs.withColumn("validity", validity)
     critical = claims.critical_failures(inventory).select("claim_id", F.lit(True).alias("critical"))
     return inventory.select("claim_id").join(claims.roster(inventory), "claim_id", "left").join(critical, "claim_id", "left").withColumn("critical", F.coalesce("critical", F.lit(False)))
 
