@@ -8,13 +8,11 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-
-#: Rows that are worked on at a time.
-ROWS = 1024
+from ..functions.batches import ROWS, bound_batches
 
 
 def make_room(df: DataFrame, names: list[str]) -> DataFrame:
@@ -30,16 +28,6 @@ def make_room(df: DataFrame, names: list[str]) -> DataFrame:
     return df.toDF(*out) if out != df.columns else df
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Let no more than ``ROWS`` rows go to Python at a time where the session keeps Spark's default of 10,000.
-
-    A batch of texts is held several times over, beside the heap and in the worker.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(ROWS))
-
-
 def give_back() -> None:
     """Return freed memory to the system: workers live on after a task, beside the heap of their executor."""
     gc.collect()
