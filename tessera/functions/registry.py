@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from .batches import bound_batches
+
 KINDS = ("tokenizer", "encoder", "url", "normal_form", "parser", "veto")
 _HELD: dict[tuple[str, str], Callable] = {}
 
@@ -94,12 +97,15 @@ def for_sql(spark: SparkSession) -> list[str]:
 
 
 def token_counter(name: str):
-    """A column function that counts with a registered tokenizer (text to number)."""
+    """A column function that counts with a registered tokenizer (text to number), one text at a time."""
     count = resolve("tokenizer", name)
 
-    @F.pandas_udf(T.IntegerType())
-    def counted(texts):
-        return texts.map(lambda t: count(t or ""))
+    bound_batches(SparkSession.getActiveSession())
+
+    @F.arrow_udf(T.IntegerType())
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([count(t.as_py() or "") for t in texts], pa.int32())
 
     return counted
 
