@@ -19,13 +19,17 @@ c AS (SELECT *, ordinal::VARCHAR AS claim_id, length(line) + w AS v, (sum(length
 r AS (SELECT run_id, claim_id, CASE v % 4 WHEN 0 THEN 'weak' WHEN 1 THEN 'unverified' ELSE 'verified' END AS status, CASE (run_id + ordinal) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'invalid' ELSE 'VALID' END AS valid, (run_id + 2 * ordinal) % 9 = 0 AS blocked FROM c WHERE (run_id + ordinal) % 13 <> 0)"""
 
 
+def _placed_lines(text):
+    """(line, s) of every line of a text."""
+    parts = F.split(text, "\n")
+    ends = running_sum(F.transform(parts, lambda x: F.length(x) + 1))
+    return F.zip_with(ends, parts, lambda e, x: F.struct(x.alias("line"), (e - F.length(x) - 1).alias("s")))
+
+
 def _claims(spark, d):
     labels = table(spark, d, "labels").select("doc_id", "quality", "toxic")
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text").join(labels, "doc_id", "left")
-    parts = F.split("text", "\n")
-    ends = running_sum(F.transform(parts, lambda x: F.length(x) + 1))
-    placed = F.zip_with(ends, parts, lambda e, x: F.struct(x.alias("line"), (e - F.length(x) - 1).alias("s")))
-    rows = docs.select(F.col("doc_id").alias("run_id"), "text", (F.coalesce("quality", F.lit(0)) + 2 * F.coalesce("toxic", F.lit(0))).alias("w"), F.posexplode(placed).alias("ordinal", "p"))
+    rows = docs.select(F.col("doc_id").alias("run_id"), "text", (F.coalesce("quality", F.lit(0)) + 2 * F.coalesce("toxic", F.lit(0))).alias("w"), F.posexplode(_placed_lines("text")).alias("ordinal", "p"))
     n = F.length("p.line")
     return rows.select(
         "run_id", "text", "ordinal", F.col("ordinal").cast("string").alias("claim_id"), F.col("p.line").alias("line"), F.col("p.s").alias("s"), (n + F.col("w")).alias("v"),
@@ -335,11 +339,11 @@ def citation_markers(spark, d):
     f"""WITH {_CLAIMS}, x AS (SELECT run_id, any_value(text) AS text, string_agg(CASE WHEN length(line) > 0 THEN line || '[' || ordinal || ']' ELSE line END, chr(10) ORDER BY ordinal) AS marked FROM c GROUP BY run_id) SELECT run_id, md5(marked) AS marked_md5, length(marked) AS chars FROM x"""
 )
 def inserted_markers(spark, d):
-    """A marker behind every line that isn't empty, put in at its place in the text."""
-    c = _claims(spark, d)
-    at = F.struct((F.col("s") + F.length("line")).alias("place"), F.concat(F.lit("["), F.col("ordinal").cast("string"), F.lit("]")).alias("marker"))
-    spots = c.groupBy("run_id").agg(F.first("text").alias("text"), F.collect_list(F.when(F.length("line") > 0, at)).alias("places"))
-    marked = spots.select("run_id", policy.insert_markers(F.col("text"), F.col("places")).alias("t"))
+    """A marker behind every line that isn't empty, put in at its place in the text; a text and its places stand in one row."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("run_id"), "text")
+    at = lambda p, i: F.struct((p["s"] + F.length(p["line"])).alias("place"), F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("marker"), F.length(p["line"]).alias("n"))
+    spots = F.filter(F.transform(_placed_lines("text"), at), lambda x: x["n"] > 0)
+    marked = docs.select("run_id", policy.insert_markers(F.col("text"), spots).alias("t"))
     return marked.select("run_id", F.md5(F.col("t").cast("binary")).alias("marked_md5"), F.length("t").alias("chars"))
 
 

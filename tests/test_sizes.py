@@ -46,3 +46,42 @@ def test_nearest_scores_tiles_and_keeps_ties_by_id(spark):
     for q in range(0, 400, 20):
         want = [u for u in sorted(range(400), key=lambda u: (-scores[q, u], u)) if u != q][:9]
         assert [r["unit_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _dir(spark, tmp_path, **tables):
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def _documents(spark, texts):
+    return spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_inserted_markers_shuffle_nothing(spark, tmp_path):
+    from hashlib import md5
+
+    from tessera.plans import runs
+
+    texts = ["a\n\nbc", "", None, "\nüx\n"]
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    out = runs.inserted_markers(spark, _dir(spark, tmp_path, documents=_documents(spark, texts), labels=labels))
+    assert "Aggregate" not in _plan(out) and "Join" not in _plan(out)
+    marked = {i: "\n".join(x + f"[{k}]" if x else x for k, x in enumerate(t.split("\n"))) for i, t in enumerate(texts) if t is not None}
+    assert {r["run_id"]: (r["marked_md5"], r["chars"]) for r in out.collect()} == {i: (md5(t.encode()).hexdigest(), len(t)) for i, t in marked.items()}
+
+
+def test_block_errors_carry_no_text_in_windows(spark):
+    from tessera.operators import units
+
+    kind = "doc_id long, ordinal int, block_type string, start int, end int, parent int, previous int, next int"
+    good = [(1, 0, "heading", 0, 4, None, None, None), (1, 1, "paragraph", 5, 8, 0, None, 2), (1, 2, "paragraph", 9, 12, 0, 1, None)]
+    bad = [(2, 0, "paragraph", 0, 3, None, None, 1), (2, 1, "paragraph", 2, 8, None, None, None), (2, 3, "paragraph", 10, 11, 1, None, None)]
+    docs = spark.createDataFrame([(1, "# ab\ncde\nfgh"), (2, "abc de f x yz"), (3, None)], "doc_id long, text string")
+    out = units.block_errors(spark.createDataFrame(good + bad, kind), docs)
+    assert not any("_t#" in x or "text#" in x for x in _plan(out).splitlines() if "Window [" in x)
+    assert sorted(map(tuple, out.collect())) == [(2, 1, "overlap"), (2, 1, "sibling"), (2, 3, "ordinal"), (2, 3, "parent"), (2, 3, "uncovered_tail"), (2, 3, "uncovered_text")]
