@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import places
@@ -49,23 +49,33 @@ def unit_errors(units: DataFrame, docs: DataFrame, children: DataFrame, limit: i
 
 
 def block_errors(blocks: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, ordinal, error) of blocks: order, overlaps, text that no block has, parents that are no earlier heading, siblings out of order."""
-    order = Window.partitionBy("doc_id").orderBy("ordinal")
-    parent = blocks.select("doc_id", F.col("ordinal").alias("parent"), F.col("block_type").alias("_kind"))
-    out = blocks.join(parent, ["doc_id", "parent"], "left").join(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t")), "doc_id")
-    out = out.withColumn("_from", F.coalesce(F.lag("end").over(order), F.lit(0))).withColumn("_nth", F.row_number().over(order) - 1).withColumn("_last", F.lead("ordinal").over(order).isNull())
-    sibling = Window.partitionBy("doc_id", "parent").orderBy("ordinal")
-    out = out.withColumn("_before", F.lag("ordinal").over(sibling)).withColumn("_after", F.lead("ordinal").over(sibling))
-    solid = lambda a, b: F.substr("_t", a + 1, F.greatest(b - a, F.lit(0))).rlike(r"[^\x20\x09-\x0D]")
-    why = F.array_compact(
-        F.array(
-            F.when(F.col("ordinal") != F.col("_nth"), F.lit("ordinal")), F.when(F.col("start") < F.col("_from"), F.lit("overlap")), F.when(solid(F.col("_from"), F.col("start")), F.lit("uncovered_text")),
-            F.when(F.col("_last") & solid(F.col("end"), F.length("_t")), F.lit("uncovered_tail")),
-            F.when(F.col("parent").isNotNull() & (~F.col("_kind").eqNullSafe(F.lit("heading")) | (F.col("parent") >= F.col("ordinal"))), F.lit("parent")),
-            F.when(~F.col("previous").eqNullSafe(F.col("_before")) | ~F.col("next").eqNullSafe(F.col("_after")), F.lit("sibling")),
-        )
+    """(doc_id, ordinal, error) of blocks: order, overlaps, text that no block has, parents that are no earlier heading, siblings out of order.
+
+    The blocks of a document meet its text as one row, so no block carries a text.
+    """
+    order, sibling = Window.partitionBy("doc_id").orderBy("ordinal"), Window.partitionBy("doc_id", "parent").orderBy("ordinal")
+    before, after = F.lag("ordinal").over(sibling), F.lead("ordinal").over(sibling)
+    rows = blocks.select(
+        "doc_id", "ordinal", "block_type", "parent", "start", "end", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("from"), F.lead("ordinal").over(order).isNull().alias("last"),
+        (F.col("ordinal") != F.row_number().over(order) - 1).alias("moved"), (~F.col("previous").eqNullSafe(before) | ~F.col("next").eqNullSafe(after)).alias("parted"),
     )
-    return out.withColumn("_e", why).select("doc_id", "ordinal", F.explode("_e").alias("error"))
+    held = rows.groupBy("doc_id").agg(
+        F.collect_list(F.struct("ordinal", "parent", "start", "end", "from", "last", "moved", "parted")).alias("_b"), F.collect_set(F.when(F.col("block_type") == "heading", F.col("ordinal"))).alias("_h")
+    )
+    out = held.join(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t")), "doc_id")
+    solid = lambda a, b: F.substr("_t", a + 1, F.greatest(b - a, F.lit(0))).rlike(r"[^\x20\x09-\x0D]")
+
+    def why(b: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                F.when(b["moved"], F.lit("ordinal")), F.when(b["start"] < b["from"], F.lit("overlap")), F.when(solid(b["from"], b["start"]), F.lit("uncovered_text")), F.when(b["last"] & solid(b["end"], F.length("_t")), F.lit("uncovered_tail")),
+                F.when(b["parent"].isNotNull() & (~F.array_contains("_h", b["parent"]) | (b["parent"] >= b["ordinal"])), F.lit("parent")), F.when(b["parted"], F.lit("sibling")),
+            )
+        )
+
+    found = F.flatten(F.transform("_b", lambda b: F.transform(why(b), lambda e: F.struct(b["ordinal"].alias("ordinal"), e.alias("error")))))
+    # The outer form keeps the optimizer from writing the array's expression into a filter below.
+    return out.select("doc_id", F.explode_outer(found).alias("_e")).where(F.col("_e").isNotNull()).select("doc_id", "_e.ordinal", "_e.error")
 
 
 def pack_adjacent(children: DataFrame, limit: int = UNIT_TOKENS) -> DataFrame:

@@ -187,8 +187,7 @@ def block_errors(spark, d):
     """Blocks that begin too early, have lost the block before, or end too early."""
     docs = _markdown(spark, d)
     blocks, case = markdown.siblings(markdown.markdown_blocks(docs)), F.col("doc_id") % 4
-    top = blocks.groupBy("doc_id").agg(F.max("ordinal").alias("top"))
-    bad = blocks.join(top, "doc_id").select(
+    bad = blocks.withColumn("top", F.max("ordinal").over(Window.partitionBy("doc_id"))).select(
         "doc_id", "ordinal", F.col("kind").alias("block_type"), (F.col("start") - F.when((case == 1) & (F.col("ordinal") == 1), 3).otherwise(0)).alias("start"), (F.col("end") - F.when((case == 3) & (F.col("ordinal") == F.col("top")), 1).otherwise(0)).alias("end"), "parent",
         F.when((case != 2) | (F.col("ordinal") != 2), F.col("previous")).alias("previous"), "next",
     )
