@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.store import written
 from . import dense, fusion, lexical
 
 #: Fixed values of the packed-evidence contract and the older one beside it.
@@ -85,7 +86,7 @@ def retrieve(spark: SparkSession, queries: DataFrame, units: DataFrame, vectors:
         raise ValueError(f"the contract takes {SEEDS} seeds")
     found = lexical.top_k(lexical.bm25_scores(lexical.build_index(units), queries), fusion.CANDIDATES)
     near = dense.nearest(spark, query_vectors, vectors, fusion.CANDIDATES)
-    seeds = seeds_with_distance(fusion.rrf(near, found, n_seeds), query_vectors, vectors)
+    seeds = written(seeds_with_distance(fusion.rrf(near, found, n_seeds), query_vectors, vectors), "seeds")
     linked = fusion.with_neighbours(units, document="source", start="unit_id")
     sizes = units.select("unit_id", F.size(tokens(F.col("text"))).alias("tokens"))
     packed = fusion.pack(fusion.first_seen(fusion.expand(seeds, linked)).join(sizes, "unit_id"), budget, fail_over_budget=False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fusion, retrieval
+from ..sources import store
 from ..sources.tables import table
 from .catalog import _BM25, _DENSE_ITEMS, _EXPANDED, _FUSED, _TOK, _bm25, _dense_items, _expanded, _fused, _items, _units, register
 
@@ -29,8 +30,8 @@ def _unit_vectors(spark, d):
     return vectors.join(_units(spark, d).select("unit_id"), "unit_id", "left_semi")
 
 
-def _packed(spark, d):
-    return fusion.pack(_expanded(spark, d), fail_over_budget=False)
+def _packed(spark, d, fused=None):
+    return fusion.pack(_expanded(spark, d, fused), fail_over_budget=False)
 
 
 _DOT = "(round(1 - list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) + 0.0)"
@@ -99,8 +100,10 @@ c AS (SELECT query_id, any_value(old) AS old, string_agg(t, chr(10) || chr(10) O
 )
 def legacy_contexts(spark, d):
     """Packed evidence, that of odd queries under the older contract."""
-    seeds = retrieval.seeds_with_distance(_fused(spark, d), _query_vectors(spark, d), _unit_vectors(spark, d))
-    results = retrieval.kb_results(_packed(spark, d), _units(spark, d), seeds)
+    fused = _fused(spark, d)
+    seeds = retrieval.seeds_with_distance(fused, _query_vectors(spark, d), _unit_vectors(spark, d))
+    # A few rows a query, used three times below.
+    results = store.written(retrieval.kb_results(_packed(spark, d, fused), _units(spark, d), seeds), "results")
     results = results.withColumn("contract", F.when(F.col("query_id") % 2 == 1, "legacy_kb_v1").otherwise(F.col("contract")))
     none = table(spark, d, "pages").where("false").select(F.col("page_id").alias("query_id"), F.lit(0).alias("place"), "url", F.col("html").alias("content"))
     out = retrieval.source_context(_items(spark, d), none, results).join(retrieval.is_qualified(results), "query_id", "left")

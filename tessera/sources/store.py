@@ -47,3 +47,13 @@ def cache_key(query: Column, n: Column) -> Column:
 def fresh(stored: Column, now: Column, days: int = 7) -> Column:
     """Age in whole days not above ``days``."""
     return F.floor((now.cast("double") - stored.cast("double")) / 86400) <= days
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, worked out once, written to a new shared folder and read from there."""
+    from .snapshots import scratch
+
+    spark = rows.sparkSession
+    path = scratch(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -85,3 +85,12 @@ def test_block_errors_carry_no_text_in_windows(spark):
     out = units.block_errors(spark.createDataFrame(good + bad, kind), docs)
     assert not any("_t#" in x or "text#" in x for x in _plan(out).splitlines() if "Window [" in x)
     assert sorted(map(tuple, out.collect())) == [(2, 1, "overlap"), (2, 1, "sibling"), (2, 3, "ordinal"), (2, 3, "parent"), (2, 3, "uncovered_tail"), (2, 3, "uncovered_text")]
+
+
+def test_ranking_reads_document_frequencies_once(spark):
+    from tessera.operators import lexical
+
+    units = spark.createDataFrame([(1, "a b b"), (2, "a"), (3, ""), (4, None)], "unit_id long, text string")
+    scores = lexical.bm25_scores(lexical.build_index(units), spark.createDataFrame([(7, "b z")], "query_id long, text string"))
+    assert "array_distinct" not in _plan(scores)
+    assert [(r["query_id"], r["unit_id"]) for r in scores.collect()] == [(7, 1)]
