@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import exposure, fusion
+from ..sources import store
 from ..sources.tables import table
 from .catalog import _BM25, _DENSE_ITEMS, _FUSED, _LINKED, _TOK, _bm25, _dense_items, _items, _units, register
 
@@ -21,8 +22,8 @@ _SPANS = """spans AS (SELECT item_id AS query_id, d.source, k AS span_id, item_i
 _PLACED = "u AS (SELECT doc_id AS unit_id, source, doc_id * 10 AS s, doc_id * 10 + 25 AS e, text FROM documents)"
 
 
-def _ten(spark, d):
-    return fusion.rrf(_dense_items(spark, d), _bm25(spark, d), k=10)
+def _ten(spark, d, near=None, found=None):
+    return fusion.rrf(_dense_items(spark, d) if near is None else near, _bm25(spark, d) if found is None else found, k=10)
 
 
 def _placed(spark, d):
@@ -129,7 +130,9 @@ SELECT query_id, source, span_id, in_dense, in_bm25, in_final, array_to_string(l
 def missed_spans(spark, d):
     """Covered character by character in SQL, by islands here."""
     placed = _placed(spark, d).select("unit_id", "source", "s", "e")
-    lists = [x.join(placed, "unit_id").select("query_id", "rank", "source", "s", "e") for x in (_dense_items(spark, d), _bm25(spark, d), _ten(spark, d))]
+    # Twenty rows a query each, used twice below.
+    near, found = store.written(_dense_items(spark, d), "near"), store.written(_bm25(spark, d), "found")
+    lists = [x.join(placed, "unit_id").select("query_id", "rank", "source", "s", "e") for x in (near, found, _ten(spark, d, near, found))]
     return exposure.missed_spans(_spans(spark, d), *lists)
 
 
