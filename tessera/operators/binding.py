@@ -112,10 +112,11 @@ def grounding_rows(adjudicated: DataFrame, support: DataFrame, manifest: DataFra
 
     ``support`` is (request, claim_id, place, evidence_id, start, end); ``manifest`` has (evidence_id, kind, url, source, source_text).
     """
-    spans = support.join(manifest.select("evidence_id", "kind", "url", "source", "source_text"), "evidence_id", "left")
     body = F.coalesce(F.substr("source_text", F.col("start") + 1, F.col("end") - F.col("start")), F.lit(""))
+    # Cut before the aggregate, which would sort and spill the whole text with each span.
+    spans = support.join(manifest.select("evidence_id", "kind", "url", "source", "source_text"), "evidence_id", "left").select(key, "claim_id", "place", "kind", "url", "source", body.alias("text"))
     first = F.min(F.struct("place", "kind", "url", "source"))
-    per = spans.groupBy(key, "claim_id").agg(first.alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("place", body.alias("text")))), lambda x: x["text"]).alias("texts"))
+    per = spans.groupBy(key, "claim_id").agg(first.alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("texts"))
     out = adjudicated.where("claim_id is not null").join(per, [key, "claim_id"], "left")
     web, kb = F.col("first.kind") == "web", F.col("first.kind") == "kb"
     return out.select(

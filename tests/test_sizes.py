@@ -94,3 +94,15 @@ def test_ranking_reads_document_frequencies_once(spark):
     scores = lexical.bm25_scores(lexical.build_index(units), spark.createDataFrame([(7, "b z")], "query_id long, text string"))
     assert "array_distinct" not in _plan(scores)
     assert [(r["query_id"], r["unit_id"]) for r in scores.collect()] == [(7, 1)]
+
+
+def test_grounding_rows_cut_texts_before_they_are_grouped(spark):
+    from tessera.operators import binding
+
+    judged = spark.createDataFrame([(1, "a", "VALID", "weak"), (1, "b", "INVALID", None), (2, "a", "VALID", "verified"), (2, None, "INVALID", None)], "request_id long, claim_id string, validity string, status string")
+    support = spark.createDataFrame([(1, "a", 1, "E2", 0, 2), (1, "a", 0, "E1", 2, 5), (1, "b", 0, "gone", 0, 3), (2, "a", 0, "E2", 1, 9)], "request_id long, claim_id string, place int, evidence_id string, start int, end int")
+    manifest = spark.createDataFrame([("E1", "web", "u1", "s1", "abcdef"), ("E2", "kb", "u2", "s2", "xyz"), ("E3", "kb", "u3", "s3", None)], "evidence_id string, kind string, url string, source string, source_text string")
+    out = binding.grounding_rows(judged, support, manifest)
+    assert not any("source_text#" in x for x in _plan(out).splitlines() if "Aggregate [" in x)
+    got = {(r["request_id"], r["claim_id"]): (r["status"], r["source_kind"], r["source_url"], r["source_ref"], r["support_text"]) for r in out.collect()}
+    assert got == {(1, "a"): ("weak", "web", "u1", "u1", "cde|xy"), (1, "b"): ("unverified", "none", None, None, ""), (2, "a"): ("verified", "kb", None, "kb:s2", "yz")}
