@@ -151,7 +151,8 @@ def _blocks(text: Column) -> Column:
 
         return let(_markers(lines), lambda m: F.transform(m, lambda b, j: one(b, F.get(m, j + 1))))
 
-    return let(_solid(_fenced(_lines(text))), built)
+    # The lines are used in many places of what follows, and each would work them out again.
+    return let(_lines(text), lambda lines: let(_solid(_fenced(lines)), built))
 
 
 def _paths(headings: Column) -> Column:
