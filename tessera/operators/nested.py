@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _levels(json: Column) -> Column:
+    """How deep objects and arrays that are not empty stand in each other in a JSON text."""
+    plain = F.regexp_replace(F.replace(F.replace(json, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit("")), '"[^"]*"', "")
+    signs = F.regexp_replace(F.replace(F.replace(plain, F.lit("{}"), F.lit("")), F.lit("[]"), F.lit("")), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, sign: Column) -> Column:
+        now = a["now"] + F.when(sign.isin("[", "{"), 1).when(sign.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(F.split(signs, ""), start, step, lambda a: a["most"])
+
+
 def leaves(rows: DataFrame, keys: list[str], value: str = "v", most: int = 64) -> DataFrame:
     """(keys, path, kind, value) of every leaf of a VARIANT column; an empty object or array is a leaf.
 
-    One level is exploded at a time, for as long as any row has one; deeper than
-    ``most`` fails. Kinds are object, array, null, boolean, number and string; values
+    The values are written down once and their levels counted; then each level is exploded in turn, in one pass, which
+    a leaf goes through as it is. As many levels as ``most`` fail. Kinds are object, array, null, boolean, number and string; values
     are JSON. A null column has no leaves.
     """
+    from ..sources.snapshots import scratch
+
     spark = rows.sparkSession
-    cur = rows.where(F.col(value).isNotNull()).select(*keys, F.lit("$").alias("path"), F.col(value).alias("_v"))
-    found = None
-    for _ in range(most):
-        shape = F.schema_of_variant("_v")
-        text = F.to_json("_v")
-        deep = shape.rlike("^(OBJECT|ARRAY)<") & ~text.isin("{}", "[]")
-        kind = F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "VOID", "null").when(shape == "BOOLEAN", "boolean").when(shape == "STRING", "string").otherwise("number")
-        own = cur.where(~deep).select(*keys, "path", kind.alias("kind"), text.alias("value"))
-        found = own if found is None else found.unionByName(own)
-        nested = cur.where(deep)
-        if nested.isEmpty():
-            return found
-        each = nested.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()).select("pos", "key", F.col("value").alias("_w")))
-        cur = each.select(*keys, F.concat("path", F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))).alias("path"), F.col("_w").alias("_v"))
-    raise ValueError(f"values are nested deeper than {most}")
+    home = scratch(spark, "leaves")
+    rows.where(F.col(value).isNotNull()).select(*keys, F.lit("$").alias("path"), F.col(value).alias("_v")).write.parquet(home)
+    cur = spark.read.parquet(home)
+    levels = cur.agg(F.max(_levels(F.to_json("_v")))).first()[0] or 0
+    if levels >= most:
+        raise ValueError(f"values are nested deeper than {most}")
+    for _ in range(levels):
+        each = cur.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer()).select("pos", "key", F.col("value").alias("_w")))
+        step = F.when(F.col("pos").isNull(), "").when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
+        cur = each.select(*keys, F.concat("path", step).alias("path"), F.when(F.col("pos").isNull(), F.col("_v")).otherwise(F.col("_w")).alias("_v"))
+    shape = F.schema_of_variant("_v")
+    kind = F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "VOID", "null").when(shape == "BOOLEAN", "boolean").when(shape == "STRING", "string").otherwise("number")
+    return cur.select(*keys, "path", kind.alias("kind"), F.to_json("_v").alias("value"))
 
 
 def nested_diff(first: DataFrame, second: DataFrame, keys: list[str], value: str = "v") -> DataFrame:

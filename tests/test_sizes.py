@@ -106,3 +106,29 @@ def test_grounding_rows_cut_texts_before_they_are_grouped(spark):
     assert not any("source_text#" in x for x in _plan(out).splitlines() if "Aggregate [" in x)
     got = {(r["request_id"], r["claim_id"]): (r["status"], r["source_kind"], r["source_url"], r["source_ref"], r["support_text"]) for r in out.collect()}
     assert got == {(1, "a"): ("weak", "web", "u1", "u1", "cde|xy"), (1, "b"): ("unverified", "none", None, None, ""), (2, "a"): ("verified", "kb", None, "kb:s2", "yz")}
+
+
+def test_leaves_work_the_values_out_once(spark):
+    from tessera.operators import nested
+
+    rows = [(1, r'{"a\"[{":["]\\",{"x":[[]],"y":{"z":null}}],"b":{}}'), (2, "[[[[[7]]]]]"), (3, '"[{"'), (4, None), (5, '{"k":""}')]
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "id int, x string").mapInArrow(told, "id int, x string").select("id", F.parse_json("x").alias("v"))
+    out = nested.leaves(df, ["id"])
+    assert "Union" not in _plan(out)
+    got = sorted((r["id"], r["kind"], r["value"]) for r in out.collect())
+    assert seen.value == len(rows)
+    assert got == [(1, "array", "[]"), (1, "null", "null"), (1, "object", "{}"), (1, "string", r'"]\\"'), (2, "number", "7"), (3, "string", '"[{"'), (5, "string", '""')]
+    assert [r["path"] for r in out.where("id = 2").collect()] == ["$[0][0][0][0][0]"]
+    assert nested.leaves(df, ["id"], most=6).count() == 7
+    try:
+        nested.leaves(df, ["id"], most=5)
+        raise AssertionError("five levels are too deep")
+    except ValueError:
+        pass
