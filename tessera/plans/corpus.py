@@ -144,8 +144,9 @@ def corpus_invariants(spark, d):
     docs = _markdown(spark, d)
     packed = markdown.pack_units(markdown.split_blocks(markdown.markdown_blocks(docs), LIMIT), LIMIT)
     core = F.substr("text", F.col("core_start") + 1, F.col("core_end") - F.col("core_start"))
-    held = docs.join(packed, "doc_id", "left").groupBy("doc_id").agg(
-        F.first(markdown.token_count(F.col("text"))).alias("words"), F.coalesce(F.sum(F.when(F.col("unit").isNotNull(), markdown.token_count(core))), F.lit(0)).alias("core_words"), F.count_if(F.col("n_tokens") > LIMIT).alias("too_long"),
+    # A text is counted once, not once with each of its units.
+    held = docs.withColumn("words", markdown.token_count(F.col("text"))).join(packed, "doc_id", "left").groupBy("doc_id").agg(
+        F.first("words").alias("words"), F.coalesce(F.sum(F.when(F.col("unit").isNotNull(), markdown.token_count(core))), F.lit(0)).alias("core_words"), F.count_if(F.col("n_tokens") > LIMIT).alias("too_long"),
         F.count("unit").alias("units"), F.coalesce(F.sum("overlap_words"), F.lit(0)).alias("overlap_words"),
     )
     return held
