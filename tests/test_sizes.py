@@ -132,3 +132,21 @@ def test_leaves_work_the_values_out_once(spark):
         raise AssertionError("five levels are too deep")
     except ValueError:
         pass
+
+
+def test_lines_of_a_document_are_worked_out_once(spark):
+    from tessera.operators import markdown
+
+    out = markdown.markdown_blocks(spark.createDataFrame([(1, "# a\n\n```\nx\n```\n- b\n")], "doc_id long, text string"))
+    assert _plan(out).count(f"split(_t#{_plan(out).split('split(_t#')[1].split(',')[0]}, {markdown.EOL}") == 1
+    assert [(r["kind"], r["content"]) for r in out.orderBy("ordinal").collect()] == [("heading", "# a"), ("fenced_code", "```\nx\n```"), ("list", "- b")]
+
+
+def test_corpus_invariants_count_a_text_once(spark, tmp_path):
+    from tessera.plans import corpus
+
+    out = corpus.corpus_invariants(spark, _dir(spark, tmp_path, documents=_documents(spark, ["a b\nc d e", None, "", "x " * 100])))
+    lines = [x for x in _plan(out).splitlines() if "Aggregate [doc_id" in x and "core_words" in x]
+    assert len(lines) == 1 and "first(words#" in lines[0]
+    got = {r["doc_id"]: (r["words"], r["core_words"]) for r in out.collect()}
+    assert set(got) == {0, 2, 3} and all(a == b for a, b in got.values()) and got[3][0] > 100
