@@ -56,8 +56,8 @@ def greedy_bins(sizes: Column, budget: Column, opening: Column | None = None) ->
 
     def step(a: Column, x: Column) -> Column:
         joins = (a["n"] > 0) & (a["size"] + x <= budget)
-        same = F.struct(a["out"].alias("out"), a["first"].alias("first"), (a["size"] + x).alias("size"), (a["n"] + 1).alias("n"))
-        fresh = F.struct(F.when(a["n"] > 0, close(a)).otherwise(a["out"]).alias("out"), a["n"].alias("first"), (x + at(a["n"])).alias("size"), (a["n"] + 1).alias("n"))
-        return F.when(joins, same.cast(kind)).otherwise(fresh.cast(kind))
+        same = F.struct(a["out"].alias("out"), a["first"].alias("first"), (a["size"] + x).cast("int").alias("size"), (a["n"] + 1).alias("n"))
+        fresh = F.struct(F.when(a["n"] > 0, close(a)).otherwise(a["out"]).alias("out"), a["n"].alias("first"), (x + at(a["n"])).cast("int").alias("size"), (a["n"] + 1).alias("n"))
+        return F.when(joins, same).otherwise(fresh)
 
     return F.aggregate(sizes, empty, step, lambda a: F.when(a["n"] > 0, close(a)).otherwise(a["out"]))

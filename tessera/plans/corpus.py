@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import places
+from ..functions.text import let
 from ..operators import markdown, units
 from ..sources.tables import table
 from .catalog import register
@@ -24,17 +25,21 @@ def _markdown(spark, d):
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
 
     def part(line, i):
-        w = F.filter(F.split(line, " "), lambda x: x != "")
-        some = lambda a, n=None: F.array_join(F.slice(w, a, n) if n else F.slice(w, F.lit(a), F.greatest(F.size(w), F.lit(1))), " ")
-        one, form = F.coalesce(F.get(w, F.lit(0)), F.lit("x")), (F.col("doc_id") + i) % 9
+        one = F.coalesce(F.nullif(F.regexp_extract(line, "[^ ]+", 0), F.lit("")), F.lit("x"))
+        words = lambda f: let(F.filter(F.split(line, " "), lambda x: x != ""), f)
+        some = lambda w, a, n=None: F.array_join(F.slice(w, a, n) if n else F.slice(w, F.lit(a), F.greatest(F.size(w), F.lit(1))), " ")
         forms = [
-            F.concat(F.lit("## "), some(1, 3)), F.concat(F.lit("- "), some(1, 6), F.lit("\n- "), some(7)), F.concat(F.lit("> "), line), F.concat(F.lit("```\n"), line, F.lit("\n"), one, F.lit("\n```")),
-            F.concat(F.lit("| "), one, F.lit(" | b |\n|---|---|\n| "), some(1, 30), F.lit(" | 2 |\n| 3 | 4 |")), F.lit("---"), F.concat(F.lit("### "), one), line, F.concat(one, F.lit("\n===")),
+            words(lambda w: F.concat(F.lit("## "), some(w, 1, 3))), words(lambda w: F.concat(F.lit("- "), some(w, 1, 6), F.lit("\n- "), some(w, 7))), F.concat(F.lit("> "), line), F.concat(F.lit("```\n"), line, F.lit("\n"), one, F.lit("\n```")),
+            words(lambda w: F.concat(F.lit("| "), one, F.lit(" | b |\n|---|---|\n| "), some(w, 1, 30), F.lit(" | 2 |\n| 3 | 4 |"))), F.lit("---"), F.concat(F.lit("### "), one), line, F.concat(one, F.lit("\n===")),
         ]
-        out = F.lit(None).cast("string")
-        for k, f in enumerate(forms):
-            out = F.when(form == k, f).otherwise(out)
-        return out
+
+        def formed(form):
+            out = F.when(form == 0, forms[0])
+            for k, f in enumerate(forms[1:], 1):
+                out = out.when(form == k, f)
+            return out
+
+        return let((F.col("doc_id") + i) % 9, formed)
 
     head = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n\n"))).otherwise(F.lit(""))
     return docs.select("doc_id", F.concat(head, F.array_join(F.transform(F.split("text", "\n"), part), "\n\n")).alias("text"))

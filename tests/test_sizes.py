@@ -150,3 +150,24 @@ def test_corpus_invariants_count_a_text_once(spark, tmp_path):
     assert len(lines) == 1 and "first(words#" in lines[0]
     got = {r["doc_id"]: (r["words"], r["core_words"]) for r in out.collect()}
     assert set(got) == {0, 2, 3} and all(a == b for a, b in got.values()) and got[3][0] > 100
+
+
+def test_blocks_parts_and_units_carry_no_document_with_each_row(spark):
+    import re
+
+    from tessera.operators import markdown
+
+    long = " ".join(f"word{i} is here." for i in range(120))
+    docs = spark.createDataFrame([(1, f"# a\n\n{long}\n\n## b\n\n- x\n- y\n\n> q"), (2, ""), (3, None)], "doc_id long, text string")
+    out = markdown.pack_units(markdown.split_blocks(markdown.markdown_blocks(docs), 40), 40)
+    carried = re.findall(r"Generate posexplode\([^)]*\), \[([^\]]*)\]", out._jdf.queryExecution().executedPlan().toString())
+    assert len(carried) == 3
+    for held in carried:
+        assert not {"_t", "_b", "_u", "content", "c", "words"} & {re.sub(r"#.*", "", x).strip() for x in held.split(",")}
+    rows = out.orderBy("unit").collect()
+    text = docs.where("doc_id = 1").first()["text"]
+    assert {r["doc_id"] for r in rows} == {1} and sum(r["core_tokens"] > 40 for r in rows) == 0
+    held = [text[r["core_start"] : r["core_end"]] for r in rows]
+    assert " ".join(" ".join(held).split()) == " ".join(text.split())
+    assert all(text[r["overlap_start"] - 1].isspace() and len(text[r["overlap_start"] : r["core_start"]].split()) == r["overlap_words"] for r in rows if r["overlap_start"])
+    assert any(r["overlap_start"] for r in rows)
