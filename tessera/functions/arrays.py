@@ -8,23 +8,22 @@ from pyspark.sql import functions as F
 from .text import let
 
 
-def _scan(values: Column, neutral: Column, join) -> Column:
+def _scan(values: Column, join) -> Column:
     """Running ``join`` over an array by doubling: as many passes as its size has binary digits."""
 
-    def step(done: Column, s: Column) -> Column:
-        shift = F.least(F.pow(F.lit(2), s).cast("int"), F.size(done))
-        return F.zip_with(done, F.slice(F.concat(F.array_repeat(neutral, shift), done), F.lit(1), F.size(done)), join)
+    def step(done: Column, shift: Column) -> Column:
+        return F.transform(done, lambda x, i: F.when(i >= shift, join(x, F.get(done, i - shift))).otherwise(x))
 
-    return let(values, lambda a: F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(a)))), a, step))
+    shifts = lambda a: F.transform(F.sequence(F.lit(0), F.length(F.bin(F.size(a))) - 1), lambda s: F.pow(F.lit(2), s).cast("int"))
+    return let(values, lambda a: F.aggregate(shifts(a), a, step))
 
 
 def running_sum(values: Column) -> Column:
-    return _scan(values, F.lit(0), lambda a, b: a + b)
+    return _scan(values, lambda a, b: a + b)
 
 
 def running_max(values: Column) -> Column:
-    """Running maximum of whole numbers from -1 up."""
-    return _scan(values, F.lit(-1), lambda a, b: F.greatest(a, b))
+    return _scan(values, lambda a, b: F.greatest(a, b))
 
 
 def places(text: Column, pattern: str) -> Column:
@@ -50,14 +49,17 @@ def greedy_bins(sizes: Column, budget: Column, opening: Column | None = None) ->
     the budget has a bin of its own. One pass; only closed bins are copied.
     """
     kind = "struct<out:array<struct<first:int,last:int,size:int>>,first:int,size:int,n:int>"
-    at = lambda i: F.coalesce(F.get(opening, i), F.lit(0)) if opening is not None else F.lit(0)
     empty = F.struct(F.array().cast("array<struct<first:int,last:int,size:int>>").alias("out"), F.lit(0).alias("first"), F.lit(0).alias("size"), F.lit(0).alias("n")).cast(kind)
     close = lambda a: F.concat(a["out"], F.array(F.struct(a["first"].alias("first"), (a["n"] - 1).alias("last"), a["size"].alias("size"))))
 
-    def step(a: Column, x: Column) -> Column:
-        joins = (a["n"] > 0) & (a["size"] + x <= budget)
-        same = F.struct(a["out"].alias("out"), a["first"].alias("first"), (a["size"] + x).cast("int").alias("size"), (a["n"] + 1).alias("n"))
-        fresh = F.struct(F.when(a["n"] > 0, close(a)).otherwise(a["out"]).alias("out"), a["n"].alias("first"), (x + at(a["n"])).cast("int").alias("size"), (a["n"] + 1).alias("n"))
-        return F.when(joins, same).otherwise(fresh)
+    def filled(at) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            joins = (a["n"] > 0) & (a["size"] + x <= budget)
+            same = F.struct(a["out"].alias("out"), a["first"].alias("first"), (a["size"] + x).cast("int").alias("size"), (a["n"] + 1).alias("n"))
+            fresh = F.struct(F.when(a["n"] > 0, close(a)).otherwise(a["out"]).alias("out"), a["n"].alias("first"), (x + at(a["n"])).cast("int").alias("size"), (a["n"] + 1).alias("n"))
+            return F.when(joins, same).otherwise(fresh)
 
-    return F.aggregate(sizes, empty, step, lambda a: F.when(a["n"] > 0, close(a)).otherwise(a["out"]))
+        return F.aggregate(sizes, empty, step, lambda a: F.when(a["n"] > 0, close(a)).otherwise(a["out"]))
+
+    # Within the fold the openings would be worked out again for each bin.
+    return filled(lambda i: F.lit(0)) if opening is None else let(opening, lambda o: filled(lambda i: F.coalesce(F.get(o, i), F.lit(0))))
