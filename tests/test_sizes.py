@@ -171,3 +171,35 @@ def test_blocks_parts_and_units_carry_no_document_with_each_row(spark):
     assert " ".join(" ".join(held).split()) == " ".join(text.split())
     assert all(text[r["overlap_start"] - 1].isspace() and len(text[r["overlap_start"] : r["core_start"]].split()) == r["overlap_words"] for r in rows if r["overlap_start"])
     assert any(r["overlap_start"] for r in rows)
+
+
+def test_neighbours_of_every_row_are_those_of_the_plain_rule(spark, monkeypatch):
+    random = np.random.default_rng(5)
+    vectors = random.standard_normal((700, 8)).round(2).astype(np.float32)
+    vectors[100:400] = vectors[7]  # copies tie by id
+    ids = random.permutation(5000)[:700] - 900
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)] + [(None, vectors[0].tolist()), (-5000, None), (9000, None)], "unit_id long, embedding array<float>")
+    monkeypatch.setattr(dense, "BLOCK", 150)
+    out = dense.neighbours(rows, 9)
+    scores = {(int(i), int(j)): s for i, line in zip(ids, np.round(vectors.astype(float) @ vectors.astype(float).T, 9), strict=True) for j, s in zip(ids, line, strict=True)}
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["unit_id"])
+        if {r["query_id"], r["unit_id"]} & {-5000, 9000}:  # null vectors have no score
+            assert r["score"] is None
+        else:
+            assert abs(r["score"] - scores[r["query_id"], r["unit_id"]]) < 1e-8
+    known = sorted(map(int, ids))
+    assert set(got) == {*known, -5000, 9000}
+    for q in known:
+        assert got[q] == [u for u in sorted(known, key=lambda u: (-scores[q, u], u)) if u != q][:9]
+    assert got[9000] == [-5000, *known[:8]] and got[-5000] == known[:9]
+
+
+def test_dense_topk_asks_with_every_vector(spark, tmp_path):
+    from tessera.plans import catalog
+
+    rows = [(i, [float(i % 5), 1.0], i % 2) for i in range(43)]
+    out = catalog.dense_topk(spark, _dir(spark, tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))).collect()
+    assert {r["query_id"] for r in out} == set(range(43)) and len(out) == 430
+    assert [r["unit_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == 9] == [4, 14, 19, 24, 29, 34, 39, 3, 8, 13]
