@@ -203,3 +203,13 @@ def test_dense_topk_asks_with_every_vector(spark, tmp_path):
     out = catalog.dense_topk(spark, _dir(spark, tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))).collect()
     assert {r["query_id"] for r in out} == set(range(43)) and len(out) == 430
     assert [r["unit_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == 9] == [4, 14, 19, 24, 29, 34, 39, 3, 8, 13]
+
+
+def test_ab_classification_has_every_vector(spark, tmp_path):
+    from tessera.plans import catalog
+
+    rows = [(i, [float(i % 5), 1.0], i % 5 // 4) for i in range(45)]
+    out = catalog.ab_classification(spark, _dir(spark, tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))).collect()
+    # a vector of label 1 has eight copies, then two of label 0; all that a vector of label 0 finds first are of label 1
+    assert {r["query_id"]: (r["delta"], r["class"]) for r in out if r["query_id"] % 5 == 4} == {i: (-0.2, "REGRESSED") for i in range(4, 45, 5)}
+    assert {r["query_id"] for r in out} == set(range(45))
