@@ -213,3 +213,15 @@ def test_ab_classification_has_every_vector(spark, tmp_path):
     # a vector of label 1 has eight copies, then two of label 0; all that a vector of label 0 finds first are of label 1
     assert {r["query_id"]: (r["delta"], r["class"]) for r in out if r["query_id"] % 5 == 4} == {i: (-0.2, "REGRESSED") for i in range(4, 45, 5)}
     assert {r["query_id"] for r in out} == set(range(45))
+
+
+def test_ir_metrics_have_every_vector(spark, tmp_path):
+    from tessera.plans import catalog
+
+    rows = [(i, [float(i % 5), 1.0], i % 5 // 4) for i in range(45)] + [(45, [9.0, 1.0], 7)]
+    out = catalog.ir_metrics(spark, _dir(spark, tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))).collect()
+    # 45 is nearest to all others but to 0, 5, ..., whose scores are all alike; no other has its label
+    got = {r["query_id"]: (r["hit"], r["recall"], r["precision"], r["mrr"]) for r in out}
+    assert set(got) == set(range(45))
+    assert {got[i] for i in range(4, 45, 5)} == {(True, 1.0, 0.8, 0.5)} and {got[i] for i in range(1, 45, 5)} == {(False, 0.0, 0.0, 0.0)}
+    assert got[0] == (True, round(8 / 35, 6), 0.8, 1.0)  # 1 to 10 without 4 and 9
